@@ -15,6 +15,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,7 +206,7 @@ def decode_bpe(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
                 lists = piece.column(at)
                 flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
                 texts, begin = [], 0
-                for n in pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_pylist():
+                for n in pc.fill_null(pc.list_value_length(lists), 0).to_pylist():
                     texts.append(own.decode(flat[begin : begin + n]))
                     begin += n
                 yield pa.RecordBatch.from_arrays([*piece.columns, pa.array(texts, pa.string())], names=names)

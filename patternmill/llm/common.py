@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int) -> Iterat
     """Cut batches so that the named text column of each piece has about `limit` bytes at most, one row at least."""
     for batch in batches:
         start, held = 0, 0
-        lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
+        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(column))), 0).to_pylist()
         for row, length in enumerate(lengths):
             if row > start and held + length > limit:
                 yield batch.slice(start, row - start)
