@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import bpe, tiff, tokens, warc_zip
+from patternmill.llm import bpe, mixing, quality, ring, tiff, tokens, warc_zip
 from patternmill.llm.common import table
 from patternmill.session import ship
 
@@ -37,16 +37,33 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_documents(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ring.shard_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_tiff": op1_tiff,
     "op2_token_counts": op2_token_counts,
     "op4_warc": op4_warc,
+    "op5_mix": op5_mix,
+    "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op9_ring": op9_ring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality": quality.ORACLE_SQL,
+}
