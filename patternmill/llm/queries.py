@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import bpe, mixing, quality, ring, tiff, tokens, warc_zip
+from patternmill.llm import bpe, mixing, near_dup, quality, ring, tiff, tokens, warc_zip
 from patternmill.llm.common import table
 from patternmill.session import ship
 
@@ -50,6 +50,11 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
 def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(table(spark, sf_dir, "documents"))
 
@@ -61,6 +66,7 @@ QUERIES: dict[str, Query] = {
     "op5_mix": op5_mix,
     "op6_quality": op6_quality,
     "op7_bpe": op7_bpe,
+    "op8_near_dup": op8_near_dup,
     "op9_ring": op9_ring,
 }
 
