@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import bpe, mixing, near_dup, quality, ring, tiff, tokens, warc_zip
+from patternmill.llm import bpe, mixing, near_dup, quality, ring, secrets, tiff, tokens, warc_zip
 from patternmill.llm.common import table
 from patternmill.session import ship
 
@@ -59,6 +59,10 @@ def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ring.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_tiff": op1_tiff,
     "op2_token_counts": op2_token_counts,
@@ -68,6 +72,7 @@ QUERIES: dict[str, Query] = {
     "op7_bpe": op7_bpe,
     "op8_near_dup": op8_near_dup,
     "op9_ring": op9_ring,
+    "op10_secrets": op10_secrets,
 }
 
 ORACLE_SQL: dict[str, str] = {
