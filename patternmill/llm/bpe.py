@@ -37,7 +37,7 @@ def byte_letters() -> list[str]:
 class PairIndexBPE:
     """Vocabulary and merges of a byte-level BPE tokenizer file, with a bounded memory of known words."""
 
-    def __init__(self, path: str, remember: int = 300_000):
+    def __init__(self, path: str, remember: int = 800_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -65,11 +65,12 @@ class PairIndexBPE:
         self.keys, self.key_ranks = keys[order], np.fromiter(self.ranks.values(), np.int64, len(self.ranks))[order]
         self.split = regex.compile(PATTERN).findall
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.known: dict[str, tuple[int, ...]] = {}
+        #: the ids of words as 32-bit numbers
+        self.known: dict[str, bytes] = {}
         self.remember = remember
 
-    def encode_words(self, words: list[str]) -> list[tuple[int, ...]]:
-        """The ids of each word, all words through one pair occurrence index."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as 32-bit numbers, all words through one pair occurrence index."""
         raw = [w.encode() for w in words]
         symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int64)
         n = len(symbols)
@@ -123,11 +124,12 @@ class PairIndexBPE:
                         else:
                             where[r] = [u]
                             heapq.heappush(active, r)
-        out, start = [], 0
-        for end in ends.tolist():
-            out.append(tuple(s for s in sym[start:end] if s >= 0))
-            start = end
-        return out
+        ids = np.array(sym, np.int32)
+        alive = ids >= 0
+        held = ids[alive].tobytes()
+        stops = [0, *(4 * np.concatenate([[0], np.cumsum(alive)])[ends]).tolist()]
+        # The order of `words` does not matter: each word's ids depend on the word alone.
+        return [held[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def words(self, text: str) -> list[str]:
         """The words and special tokens of a text, in order."""
@@ -140,16 +142,15 @@ class PairIndexBPE:
             at = m.end()
         return out + self.split(text[at:])
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.words(t) for t in texts]
         known = self.known
         if len(known) > self.remember:
             known.clear()
-        known.update((s, (k,)) for s, k in self.special.items())
-        new = list(dict.fromkeys(w for p in parts for w in p if w not in known))
-        for w, ids in zip(new, self.encode_words(new), strict=True):
-            known[w] = ids
-        return [list(chain.from_iterable(map(known.__getitem__, p))) for p in parts]
+        known.update((s, np.int32(k).tobytes()) for s, k in self.special.items())
+        new = list(set(chain.from_iterable(parts)).difference(known))
+        known.update(zip(new, self.encode_words(new), strict=True))
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in parts]
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.pieces.__getitem__, ids)).decode("utf-8", "replace")
@@ -184,7 +185,7 @@ def encode_bpe(df: DataFrame, path: str, text: str = "text", out: str = "ids") -
         for piece in slices(batches, text, 1 << 20):
             coded = own.encode([t or "" for t in piece.column(at).to_pylist()])
             offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-            flat = np.fromiter(chain.from_iterable(coded), np.int32, int(offsets[-1]))
+            flat = np.concatenate(coded)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
             yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), ids], names=names)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import bpe, mixing, near_dup, quality, ring, secrets, tiff, tokens, warc_zip
+from patternmill.llm import bpe, mixing, near_dup, quality, ring, secrets, suffix_dedup, tiff, tokens, warc_zip
 from patternmill.llm.common import table
 from patternmill.session import ship
 
@@ -32,6 +32,12 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 4096).alias("over_limit"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    out = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return warc_zip.round_trip(table(spark, sf_dir, "pages"))
@@ -66,6 +72,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_tiff": op1_tiff,
     "op2_token_counts": op2_token_counts,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_warc": op4_warc,
     "op5_mix": op5_mix,
     "op6_quality": op6_quality,
