@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -50,4 +51,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._patternmill_path = path
+    return out
+
+
+def forget(*stored_ones: DataFrame) -> None:
+    """Delete the tables of `stored`, when no further query needs them, and let Spark drop its unused shuffle files."""
+    for df in stored_ones:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+        path = jvm.org.apache.hadoop.fs.Path(df._patternmill_path)
+        path.getFileSystem(hadoop).delete(path, True)
+    if stored_ones:
+        gc.collect()
+        stored_ones[0].sparkSession._jvm.System.gc()
