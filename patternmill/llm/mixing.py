@@ -24,6 +24,8 @@ BLOCK_WORDS = 32
 SHARD_SLOTS = 1024
 GROUP_DOCS = 2048
 ROUNDS = 12
+#: Rows that one task makes of few, about.
+TASK_ROWS = 100_000
 
 
 class Mix(NamedTuple):
@@ -34,6 +36,11 @@ class Mix(NamedTuple):
     empty: DataFrame  # source_no, doc_id, source of documents without words
 
 
+def spread(df: DataFrame, rows: int) -> DataFrame:
+    """df over as many partitions as the rows that will be made of it ask for; a small table is one partition when read."""
+    return df.repartition(max(1, -(-rows // TASK_ROWS)))
+
+
 def unit(*parts: Column) -> Column:
     """A number from 0 to 2^62 - 1 from a hash."""
     return F.shiftrightunsigned(F.xxhash64(*parts), 2)
@@ -94,8 +101,8 @@ def located(df: DataFrame, value: str, spans: DataFrame, first: str, end: str, t
     return df.withColumn("__cell", F.floor(F.col(value) / width)).join(joinable(cut), "__cell").where((F.col(value) >= F.col(first)) & (F.col(value) < F.col(end))).drop("__cell")
 
 
-def pack_blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Number the words of each source in blocks: (documents with offsets, pieces of documents in blocks, blocks per source).
+def pack_blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+    """Number the words of each source in blocks: (documents with offsets, groups with their blocks and first block).
 
     Documents go to groups of about GROUP_DOCS by hash, so no window holds a whole source; each group starts a block.
     """
@@ -106,16 +113,19 @@ def pack_blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_W
     documents = joined.withColumn("group", group).withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long")).select("source_no", "doc_id", "source", "size", "group", "offset")
     documents = stored(documents, "mix-documents")
     groups = documents.groupBy("source_no", "group").agg(F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"))
-    based = stored(running_total(groups, ["source_no"], "group", "blocks", "base"), "mix-groups")
+    return documents, stored(running_total(groups, ["source_no"], "group", "blocks", "base"), "mix-groups")
+
+
+def block_pieces(documents: DataFrame, groups: DataFrame, blocks: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+    """The pieces of documents in blocks; blocks: how many there are in all."""
     first, last = F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words)
     low, high = F.greatest("offset", F.col("__b") * block_words), F.least(F.col("offset") + F.col("size"), (F.col("__b") + 1) * block_words)
-    pieces = (
-        documents.drop("source")
-        .join(joinable(based.select("source_no", "group", "base")), ["source_no", "group"])
+    return (
+        spread(documents.drop("source"), blocks)
+        .join(joinable(groups.select("source_no", "group", "base")), ["source_no", "group"])
         .withColumn("__b", F.explode(F.sequence(first, last)))
         .select("source_no", "doc_id", "size", "group", "offset", (F.col("base") + F.col("__b")).alias("block"), (low - F.col("offset")).alias("start"), (high - low).alias("words"))
     )
-    return documents, pieces, based.groupBy("source_no").agg(F.sum("blocks").cast("long").alias("blocks"))
 
 
 def draw_slots(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) -> DataFrame:
@@ -128,7 +138,7 @@ def draw_slots(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) ->
     counts = located(draws, "draw", spans, "low", "high", total).groupBy("source_no", "shard").agg(F.count("*").alias("n"))
     drawn = stored(running_total(counts, ["source_no"], "shard", "n", "base"), "mix-draws").join(joinable(sources.select("source_no", "quota")), "source_no")
     within = F.greatest(F.lit(0), F.least("n", F.col("quota") - F.col("base")))
-    split = drawn.withColumn("__in", within)
+    split = spread(drawn, total).withColumn("__in", within)
     ranks = lambda first, n: F.explode(F.sequence(first, first + n - 1))
     kept = split.where("__in > 0").select("shard", "source_no", ranks(F.col("base"), F.col("__in")).alias("rank"))
     # Draws beyond a quota, numbered by source, take the ranks that other sources miss, numbered by source too.
@@ -153,10 +163,12 @@ def mix(docs: DataFrame, seed: int = 1, text: str = "text") -> Mix:
     """
     sizes = stored(docs.select("doc_id", "source", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
     targets = stored(source_targets(sizes), "mix-targets")
-    documents, pieces, blocks = pack_blocks(sizes, targets)
+    documents, groups = pack_blocks(sizes, targets)
+    blocks = groups.groupBy("source_no").agg(F.sum("blocks").cast("long").alias("blocks"))
     quota = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), MOST * F.col("blocks")).cast("long")
     sources = targets.join(blocks, "source_no", "left").withColumn("blocks", F.coalesce("blocks", F.lit(0)).cast("long"))
     sources = stored(sources.withColumn("quota", F.when(F.col("blocks") > 0, quota).otherwise(F.lit(0)).cast("long")), "mix-sources")
+    pieces = block_pieces(documents, groups, sources.agg(F.sum("blocks").alias("n")).first()["n"] or 0)
     slots = draw_slots(sources, seed).join(joinable(sources.select("source_no", "blocks")), "source_no")
     turned = slots.select("shard", "source_no", "blocks", F.floor(F.col("rank") / F.col("blocks")).alias("turn"), (F.col("rank") % F.col("blocks")).alias("block"))
     turned = permuted(turned, "block", "blocks", [F.lit(seed), F.col("source_no"), F.col("turn")])
