@@ -69,3 +69,24 @@ def running_total(df: DataFrame, keys: list[str], order: str, value: str, out: s
 
 def unsigned_crc32(data: Column) -> Column:
     return F.crc32(data).cast("long")
+
+
+def packed(df: DataFrame, *names: str | Column) -> DataFrame:
+    """The whole row as one struct column __row beside the named columns, so that no other column name can clash."""
+    return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *names)
+
+
+def without(df: DataFrame, *names: str) -> DataFrame:
+    """df without columns of these names, which an operator is about to add."""
+    return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])
+
+
+def fenced(df: DataFrame, *names: str) -> DataFrame:
+    """df, in which filters on the named columns are not moved below this point.
+
+    Spark moves a filter below a projection by putting in the expressions it filters on, as often as they occur; for
+    columns that are built in steps this would repeat the steps many times over. A column that is not deterministic
+    stops that, as long as the named columns depend on it.
+    """
+    marked = df.withColumn("__fence", F.monotonically_increasing_id())
+    return marked.select(*[F.when(F.col("__fence") >= 0, F.col(c)).alias(c) if c in names else F.col(f"`{c}`") for c in df.columns])

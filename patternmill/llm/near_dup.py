@@ -17,12 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import joinable, slices
+from patternmill.llm.common import joinable, packed, slices
 from patternmill.llm.graph import components
 from patternmill.session import stored
 
-#: 32 bands of 6 coordinates: a pair at 0.85 is missed with a probability of 3e-7.
-BANDS, ROWS = 32, 6
+#: 40 bands of 5 coordinates: a pair at 0.8 is missed with a probability of 1e-7 (32 bands of 6 do as well at 0.85).
+BANDS, ROWS = 40, 5
 #: Shingles that one task compares at most; groups that have more go to pairs of blocks.
 TASK_SHINGLES = 1_500_000
 
@@ -218,8 +218,11 @@ def near_duplicates(
 
 
 def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one for each component: that with the smallest doc_id; of rows that share it, the first by text."""
+    """The rows of docs, one for each component: that with the smallest doc_id; of rows that share it, the first by text.
+
+    Rows without a doc_id are kept, once for each text, if their set is in no component with one.
+    """
     verdicts = near_duplicates(docs, size=size, percent=percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    held = docs.join(verdicts, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    return held.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    held = packed(docs, "doc_id", "text").join(verdicts, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    first = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
+    return held.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")

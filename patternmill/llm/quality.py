@@ -11,7 +11,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import BLANK, WORD, joinable
+from patternmill.llm.common import BLANK, WORD, fenced, joinable, packed, without
 from patternmill.session import stored
 
 #: A host is rejected if its posterior mean rate of failures is over this.
@@ -54,10 +54,9 @@ def document_rules(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the columns RULES to each row; no shuffle.
 
     A null or empty text has no words and fails, as do all texts of under 50 words and those of which over half the
-    words lie in repeated windows. Columns with these names already are refused.
+    words lie in repeated windows. Columns that have these names already are replaced.
     """
-    if clash := [c for c in RULES if c in df.columns]:
-        raise ValueError(f"there are columns {clash} already")
+    df = without(df, *RULES)
     t = F.coalesce(F.col(text), F.lit(""))
     split = df.withColumn("__text", t).withColumn("__words", F.regexp_extract_all("__text", F.lit(WORD), F.lit(0)))
     lines = F.filter(F.split("__text", "\n", -1), lambda x: x.rlike(WORD))
@@ -69,7 +68,7 @@ def document_rules(df: DataFrame, text: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .drop("__lines", "__text")
     )
-    done = _repeat_words(counted, "__words", "n_repeat_words").drop("__words")
+    done = fenced(_repeat_words(counted, "__words", "n_repeat_words").drop("__words"), *RULES)
     return done.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
@@ -118,6 +117,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     return judge(rules, hosts).select("doc_id", *RULES, kept, F.round("host_rate", 6).alias("host_rate"))
 
 
+def kept_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+    """The rows of docs (source, text and any others) that are kept; the rules are reckoned twice, no text is shuffled."""
+    _, hosts = verdicts_of(docs.select(F.lit(0).alias("doc_id"), "source", "text"), limit=limit)
+    return judge(document_rules(packed(docs, "source", "text")), hosts).where("kept").select("__row.*")
+
+
 #: The same in DuckDB's SQL.
 ORACLE_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(text, '') AS t FROM documents),

@@ -58,7 +58,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85)
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), size=3, percent=85, bands=32, rows=6)
 
 
 def op9_ring(spark: SparkSession, sf_dir: str) -> DataFrame:

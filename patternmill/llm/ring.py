@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import unsigned_crc32
+from patternmill.llm.common import unsigned_crc32, without
 from patternmill.session import stored
 
 #: Places on the ring; the table that maps a place to its arc has so many rows and is broadcast.
@@ -87,10 +87,10 @@ def assign(df: DataFrame, key: Column, order: list[str], shards: int = 24, repli
 
     key: what the ring hashes; rows with equal keys stand at one place and share a shard as far as it has room.
     order: columns that order rows; rows equal in key and order are interchangeable. df is read three times, so it
-    should be a stored, narrow table. An empty df gives no rows; nulls in the key hash like any value.
+    should be a stored, narrow table. An empty df gives no rows; nulls in the key hash like any value. Columns named
+    shard or slot already are replaced.
     """
-    if clash := [c for c in ("shard", "slot") if c in df.columns]:
-        raise ValueError(f"there are columns {clash} already")
+    df = without(df, "shard", "slot")
     spark = df.sparkSession
     nodes = virtual_nodes(spark, shards, replicas)
     arcs = arcs_of_places(nodes)

@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import joinable
+from patternmill.llm.common import fenced, joinable, packed
 from patternmill.session import stored
 
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
@@ -46,7 +46,7 @@ def candidates(docs: DataFrame, path: str = "source", text: str = "text", key: s
     """
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), t.alias("__t")).withColumn("__m", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)))
-    some = found.where(F.size("__m") > 0).withColumn("__s", F.split("__t", CANDIDATE, -1))
+    some = fenced(found, "__m").where(F.size("__m") > 0).withColumn("__s", F.split("__t", CANDIDATE, -1))
     ends = F.transform(F.col("__m"), lambda m, i: F.length(m) + F.length(F.get("__s", i)))
     some = some.withColumn("__lens", ends).drop("__t")
     rows = some.select("doc_id", "path", "__s", "__lens", F.posexplode("__m").alias("finding_no", "__match"))
@@ -159,10 +159,10 @@ def redacted(docs: DataFrame, mask: str = "[SECRET]", labelled: DataFrame | None
     spans = F.array_sort(F.collect_list(F.struct("start", "length")))
     confirmed = stored(scan(docs, labelled).where("confirmed").select("doc_id", "start", "length").distinct(), "secrets")
     told = confirmed.groupBy(F.col("doc_id").alias("__doc")).agg(spans.alias("__spans"))
-    joined = docs.join(joinable(told), docs["doc_id"].eqNullSafe(F.col("__doc")), "left")
+    joined = packed(docs, "doc_id", "text").join(joinable(told), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     step = lambda a, s: F.struct(F.concat(a["t"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("t"), (s["start"] + s["length"]).alias("at"))
     masked = F.aggregate("__spans", F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["t"], F.substr("text", (a["at"] + 1).cast("int"))))
-    made = joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(masked))
+    row = F.col("__row").withField("text", masked)
     if "n_chars" in docs.columns:
-        made = made.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast("long"))
-    return made.select(*docs.columns)
+        row = row.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("__spans").isNull(), F.col("__row")).otherwise(row).alias("__row")).select("__row.*")

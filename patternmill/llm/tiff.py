@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import slices
+from patternmill.llm.common import slices, without
 
 # Fixed values of the TIFF 6.0 format and its technical notes.
 WIDTH, LENGTH, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -344,14 +344,9 @@ def _ddl(fields: list, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *more])
 
 
-def _taken(df: DataFrame, *names: str) -> None:
-    if clash := [n for n in names if n in df.columns]:
-        raise ValueError(f"there are columns {clash} already")
-
-
 def encode_texts(df: DataFrame, text: str = "text") -> DataFrame:
-    """Put n_bytes and media (the TIFF of the padded UTF-8) in place of the text column; a null text is empty."""
-    _taken(df, "n_bytes", "media")
+    """Put n_bytes and media (the TIFF of the padded UTF-8) in place of the text column and of columns of these names; a null text is empty."""
+    df = without(df, "n_bytes", "media")
     rest, at, names = _others(df, text), df.columns.index(text), df.columns
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -372,9 +367,9 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
 
     The media column goes, the other columns stay on each page. Null media, or bytes that cannot be decoded, give one
     last row whose error says why and whose data is null; pages before it stay. A file without directories gives such
-    a row too. A worker holds one image and about 2 MB of pages.
+    a row too. Columns that have the names in PAGE already are replaced. A worker holds one image and about 2 MB of pages.
     """
-    _taken(df, *PAGE)
+    df = without(df, *(c for c in PAGE if c != media))
     rest, at, names = _others(df, media), df.columns.index(media), df.columns
     keep = [k for k, c in enumerate(names) if c != media]
 

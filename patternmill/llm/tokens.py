@@ -14,7 +14,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from patternmill.llm.common import slices
+from patternmill.llm.common import slices, without
 
 SPACE = "▁"
 _LOADED: dict[str, "SplicedEncoder"] = {}
@@ -109,11 +109,10 @@ def encoder(model_file: str, chunk: int, overlap: int) -> SplicedEncoder:
 def count_tokens(df: DataFrame, model_file: str, text: str = "text", out: str = "n_tokens", chunk: int = 8192, overlap: int = 256) -> DataFrame:
     """Put the token count of each whole text in place of the text column.
 
-    A null text counts as empty (0 tokens). Repeated rows are counted each; other columns stay as they are, and one
-    that is named `out` already is refused. One pass, no shuffle; a worker holds one slice of about 2 MB and one text.
+    A null text counts as empty (0 tokens). Repeated rows are counted each; other columns stay as they are, but one
+    that is named `out` already is replaced. One pass, no shuffle; a worker holds one slice of about 2 MB and one text.
     """
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already")
+    df = without(df, out)
     at = df.columns.index(text)
     rest = [c for c in df.columns if c != text]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != text), f"`{out}` long"])
