@@ -18,8 +18,9 @@ def _length(c: str, least: int, most: int | None = None) -> Column:
     return n < least if most is None else (n < least) | (n > most)
 
 
-def store_errors() -> Column:
-    """Content, title, description, category, language, quality_score of a pattern to store."""
+def store_errors(scored: bool = True) -> Column:
+    """Content, title, description, category, language and, if there is one, quality_score of a pattern to store."""
+    quality = F.coalesce(F.col("quality_score"), F.lit(5)) if scored else F.lit(5)
     return _errors(
         {
             "content": _length("content", 10),
@@ -27,7 +28,7 @@ def store_errors() -> Column:
             "description": _length("description", 10),
             "category": ~F.lower("category").isin(CATEGORIES),
             "language": ~F.lower("language").isin(LANGUAGES),
-            "quality_score": ~F.coalesce("quality_score", F.lit(5)).between(1, 10),
+            "quality_score": ~quality.between(1, 10),
         }
     )
 

@@ -28,7 +28,7 @@ class PatternBank:
 
         Without dedup each row is a point of its own, as ids are random.
         """
-        told = rows.withColumn("errors", validate.store_errors())
+        told = rows.withColumn("errors", validate.store_errors("quality_score" in rows.columns))
         bad, good = told.where(F.size("errors") > 0), told.where(F.size("errors") == 0)
         default = lambda c, v: F.coalesce(F.col(c), F.lit(v)) if c in rows.columns else F.lit(v)
         new = good.select(

@@ -12,10 +12,17 @@ from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
+#: Rows in an Arrow batch to Python: with Spark's default a batch of long texts is many times what a worker needs at once.
+ARROW_ROWS = 1_000
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per context; a job may start outside the repository's folder."""
+    """Give the executors this package once per context; a job may start outside the repository's folder.
+
+    Where the session has Spark's default number of rows in an Arrow batch, it gets ARROW_ROWS.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     context = spark.sparkContext
     if getattr(context, "_patternmill_shipped", False):
         return
