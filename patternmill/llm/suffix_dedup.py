@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternmill.llm.anchors import GRAM, PART, Hashed, anchors
-from patternmill.llm.common import joinable, slices
+from patternmill.llm.common import slices
 from patternmill.llm.grouping import suffix_array
 from patternmill.session import forget, stored
 
@@ -84,8 +84,7 @@ def piece_rows(docs: DataFrame, needed: DataFrame, length: int, gram: int, width
     """Rows (core, piece, doc, mark, start, single, left, right): the pieces of the needed contexts of each document."""
     ranges = offset_ranges(length, gram, width)
     told = needed.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_list("spot").alias("spots"), F.collect_list("single").alias("singles"))
-    few = needed.limit(300_001).count() <= 300_000
-    held = docs.join(F.broadcast(told) if few else told, (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")))
+    held = docs.join(told, (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
@@ -159,6 +158,28 @@ def repeated_starts(pieces: list[tuple[bytes, int, bytes]], width: int) -> list[
     return out
 
 
+def longest_shared(strings: list[bytes]) -> list[int]:
+    """For each string the length of the longest prefix that another one has too."""
+    order = sorted(range(len(strings)), key=strings.__getitem__)
+    best = [0] * len(strings)
+    for a, b in zip(order, order[1:], strict=False):
+        one, two = strings[a], strings[b]
+        n = min(len(one), len(two))
+        if one[:n] != two[:n]:
+            n = next(k for k in range(n) if one[k] != two[k])
+        best[a], best[b] = max(best[a], n), n
+    return best
+
+
+def comparable(pieces: list[tuple[bytes, bytes]], width: int) -> list[tuple[int, bytes, bytes]]:
+    """(number, left, right) of the pieces of one core that may share a string with another, cut to what they may share.
+
+    On each side no piece shares more with another than with its neighbours in order.
+    """
+    lefts, rights = longest_shared([a[::-1] for a, _ in pieces]), longest_shared([b for _, b in pieces])
+    return [(k, left[len(left) - m :], right[:n]) for k, ((left, right), m, n) in enumerate(zip(pieces, lefts, rights, strict=True)) if m + n >= width - 1]
+
+
 def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """Intervals (doc, mark, low, high) of the single pieces that others hold too; rows with one core are in one task."""
     dealt = pieces.repartition("core").sortWithinPartitions("core")
@@ -170,10 +191,14 @@ def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            names = [(c, p) for c, own in held.items() for p in own]
-            order = {name: k for k, name in enumerate(names)}
-            numbers = {c: k for k, c in enumerate(held)}
-            found = repeated_starts([(held[c][p][0], numbers[c], held[c][p][1]) for c, p in names], width)
+            names, texts = [], []
+            for number, (core, own) in enumerate(held.items()):
+                keys = list(own)
+                for k, left, right in comparable(list(own.values()), width) if len(own) > 1 else ():
+                    names.append((core, keys[k]))
+                    texts.append((left, number, right))
+            starts = repeated_starts(texts, width)
+            found = {name: [k + len(held[name[0]][name[1]][0]) - len(text[0]) for k in own] for name, text, own in zip(names, texts, starts, strict=True)}
             rows: list[tuple[int, int, int, int]] = []
             for core, piece, doc, mark, start in single:
                 left, right = held[core][piece]
@@ -181,7 +206,7 @@ def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
                     rows.append((doc, mark, start, start + len(left) + len(right) + length - (width - 1)))
                     continue
                 run_from = None
-                for k in [*found[order[core, piece]], None]:
+                for k in [*found.get((core, piece), ()), None]:
                     if run_from is not None and k != upto + 1:
                         rows.append((doc, mark, start + run_from, start + upto + length))
                         run_from = None
@@ -263,7 +288,7 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     intervals = repeated_intervals(told.select("doc", "mark", "text"), length, gram, width, core_pieces, part)
     per_doc = intervals.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("found"))
     per_doc = stored(per_doc, "intervals")
-    joined = told.join(joinable(per_doc), (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left").select(key, "text", "found")
+    joined = told.join(per_doc, (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left").select(key, "text", "found")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
