@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import WORD, joinable, packed, running_total
+from patternmill.llm.common import WORD, fenced, joinable, packed, running_total
 from patternmill.session import stored
 
 #: Weights of the sources in code point order, again and again; and all sources' share of all words.
@@ -203,7 +203,9 @@ def mixed_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     chosen = taken_pieces(plan).where("times > 0").groupBy("source_no", "group", "offset", F.col("doc_id").alias("__doc"), "size")
     chosen = chosen.agg(F.array_sort(F.collect_list(piece)).alias("__first"), F.array_sort(F.collect_list(F.when(F.col("times") > 1, piece))).alias("__second"))
     lists = chosen.select("__doc", "size", F.explode(F.array("__first", "__second")).alias("__pieces")).where(F.size("__pieces") > 0)
-    joined = packed(docs, "doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("__doc"))).withColumn("__words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0)))
+    joined = packed(docs, "doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    # Fenced, or the words of a text would be found anew for each of its pieces.
+    joined = fenced(joined.withColumn("__words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), "__words")
     whole = F.aggregate("__pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")
     cut = F.array_join(F.flatten(F.transform("__pieces", lambda p: F.slice(F.col("__words"), (p["start"] + 1).cast("int"), p["words"].cast("int")))), " ")
     made = joined.withColumn("__cut", F.when(whole, F.col("text")).otherwise(cut))
