@@ -1,0 +1,74 @@
+from __future__ import annotations
+
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from patternmill.llm import secrets
+
+KEY = "9b0b3c6a43eb78aa99cbd7049c572391524f37a8"
+
+
+@pytest.fixture(scope="module")
+def model(llm):
+    return secrets.train(secrets.labelled_findings(llm))
+
+
+def test_held_out_accuracy(llm, model):
+    held = secrets.labelled_findings(llm, 9_000).where("id >= 6000")
+    row = secrets.judge(held, model).agg(F.count("*").alias("n"), F.avg((F.col("confirmed").cast("double") == F.col("label")).cast("double")).alias("right")).first()
+    assert row["n"] == 3000 and row["right"] > 0.97
+
+
+def test_bound_on_training_rows(llm):
+    assert len(secrets.train(secrets.labelled_findings(llm, 300), 100).stages) == 2
+
+
+def docs(llm):
+    rows = [
+        (1, f'begin token = "{KEY}" end', "src0"), (2, f"commit {KEY} fixes it", "src0"), (3, "call 9807915762804490 now", "src1"), (4, None, None), (5, "", "src1"), (6, f'TOKEN = "{KEY.upper()}"!! and TOKEN = "{KEY.upper()}"', "src1"),
+        (7, "word " * 60_000 + f'api_key: "{KEY}"', "src2"), (8, "donaudampfschiffahrtsgesellschaft1 is long", "src2"), (None, f'é😀 secret = "{KEY}".', None), (1, f'begin token = "{KEY}" end', "src0"),
+    ]
+    return llm.createDataFrame([(*r, len(r[1] or ""), "x", 1) for r in rows], "doc_id long, text string, source string, n_chars long, value string, start int")
+
+
+def test_findings_point_into_the_text(llm):
+    df = docs(llm)
+    texts = {r["doc_id"]: r["text"] for r in df.collect()}
+    rows = secrets.scan(df).collect()
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"] : r["start"] + r["length"]] == r["value"]
+    confirmed = sorted(((r["doc_id"], r["finding_no"]) for r in rows if r["confirmed"]), key=repr)
+    assert confirmed == sorted([(1, 0), (1, 0), (6, 0), (6, 1), (7, 0), (None, 0)], key=repr)
+    assert {r["doc_id"] for r in rows if not r["confirmed"]} == {2, 3, 8}
+    assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_redacted(llm):
+    df = docs(llm)
+    out = secrets.redacted(df)
+    assert out.columns == df.columns and out.dtypes == df.dtypes and out.count() == df.count()
+    rows = {r["doc_id"]: r for r in out.collect()}
+    before = {r["doc_id"]: r for r in df.collect()}
+    assert rows[1]["text"] == 'begin token = "[SECRET]" end' and rows[6]["text"] == 'TOKEN = "[SECRET]"!! and TOKEN = "[SECRET]"'
+    assert rows[7]["text"].endswith('api_key: "[SECRET]"') and rows[7]["n_chars"] == len(rows[7]["text"]) and rows[None]["text"] == 'é😀 secret = "[SECRET]".'
+    assert all(rows[k] == before[k] for k in (2, 3, 4, 5, 8))
+    assert secrets.redacted(df.limit(0)).count() == 0
+
+
+def test_planted_secrets_and_edges(llm, sf, edges, nothing):
+    import re
+
+    rows = llm.read.parquet(f"{os.path.dirname(sf.rstrip('/'))}/sf0.01/documents.parquet")
+    planted = {r["doc_id"] for r in rows.collect() if re.search(r'(?i)token = "[0-9a-f]{40}"', r["text"])}
+    found = {r["doc_id"] for r in secrets.report(rows).where("confirmed").collect()}
+    assert planted and found == planted
+    assert secrets.redacted(edges).columns == edges.columns and secrets.report(nothing).count() == 0
+
+
+def test_own_labels(llm):
+    """Findings that were labelled the other way round turn the verdicts round."""
+    turned = secrets.labelled_findings(llm, 2000).withColumn("label", 1 - F.col("label"))
+    rows = secrets.scan(docs(llm).where("doc_id = 1"), turned).collect()
+    assert rows and not any(r["confirmed"] for r in rows)
