@@ -51,6 +51,17 @@ def with_progress(df: DataFrame) -> DataFrame:
     return df.withColumn("percent", percent).withColumn("eta_s", left)
 
 
+def progress_report() -> Column:
+    """One line of (repo_name, total_files, processed_files, percent, eta_s), or that there is none."""
+    told = F.format_string("%s: %d of %d files (%.1f%%), about %s left", "repo_name", "processed_files", "total_files", "percent", elapsed(F.col("eta_s")))
+    return F.when(F.col("repo_name").isNull(), "No progress found").otherwise(told)
+
+
+def stats_lines(counts: DataFrame) -> DataFrame:
+    """A line of text per dimension and value, most frequent first."""
+    return counts.orderBy("dimension", F.desc("n"), "value").select(F.format_string("%s | %s: %d", "dimension", "value", "n").alias("line"))
+
+
 def analysis_prompt(template: str) -> Column:
     """Fill {language}, {code}, {context} and {file_path} of a template from the chunk's columns."""
     out = F.lit(template)

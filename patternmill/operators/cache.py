@@ -46,6 +46,11 @@ def put(cache: DataFrame, entries: DataFrame, size: int) -> DataFrame:
     return keep_recent(cache.join(entries.select("key"), "key", "left_anti").unionByName(entries), size)
 
 
+def load_valid(cache: DataFrame, now: float, size: int) -> DataFrame:
+    """What a restart takes over: valid entries, up to the size."""
+    return keep_recent(valid(cache, now), size)
+
+
 def without_key(cache: DataFrame, key: str) -> DataFrame:
     return cache.where(F.col("key") != key)
 

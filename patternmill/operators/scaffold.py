@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from patternmill.functions.replies import structure_of
+
 STRUCTURE = "name string, directories array<string>, files map<string,string>"
 
 # Contents of generated files are fixed values; {name}, {about} and {package} are filled in.
@@ -70,6 +73,25 @@ def scaffold(spark: SparkSession, name: str, kind: str, stack: str | list[str])
     return spark.createDataFrame([(name, folders, files)], STRUCTURE)
 
 
+def structure_from(spark: SparkSession, name: str, kind: str, stack: list[str], ask: Callable[[str], str] | None = None, prompt: str = "") -> DataFrame:
+    """The structure that a model's reply gives, or the template without a model or if asking fails.
+
+    A reply that cannot be parsed is no failure to ask: it raises ValueError.
+    """
+    reply = None
+    if ask is not None:
+        try:
+            reply = ask(prompt)
+        except Exception:  # noqa: BLE001  any failure of the model leaves the template
+            ask = None
+    if ask is None:
+        return scaffold(spark, name, kind, stack)
+    row = spark.createDataFrame([(reply,)], "reply string").select(structure_of(F.col("reply")).alias("s")).first()["s"]
+    if row is None:
+        raise ValueError("the reply is no structure")
+    return spark.createDataFrame([(name, row["directories"], row["files"])], STRUCTURE)
+
+
 def listing(structures: DataFrame) -> DataFrame:
     """(name, kind, path) of folders and files in code point order, with position."""
     folders = structures.select("name", F.lit("directory").alias("kind"), F.posexplode(F.array_sort("directories")).alias("position", "path"))

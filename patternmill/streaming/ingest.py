@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -57,3 +57,24 @@ def remaining(files: DataFrame, done: DataFrame) -> DataFrame:
 def sampled(df: DataFrame, every: int, order: str) -> DataFrame:
     """Each n-th step of a progress log, counted from 0."""
     return df.where(F.col(order) % every == 0)
+
+
+PROGRESS = "repo_name string, total_files long, processed_files long, failed_files array<struct<path: string, error: string>>, elapsed_s double"
+
+
+def progress_of(files: DataFrame, done: DataFrame, failed: DataFrame, elapsed_s: float) -> DataFrame:
+    """Per repository how far an ingestion is, with its failures (repo, file_path, error), five of them and how many more."""
+    total = files.groupBy("repo").agg(F.count("*").alias("total_files"))
+    processed = done.select("repo", "file_path").distinct().groupBy("repo").agg(F.count("*").alias("processed_files"))
+    order = Window.partitionBy("repo").orderBy("file_path")
+    few = failed.withColumn("__n", F.row_number().over(order)).where("__n <= 5").groupBy("repo").agg(F.array_sort(F.collect_list(F.struct(F.col("file_path").alias("path"), "error"))).alias("failed_files"))
+    count = failed.groupBy("repo").agg(F.count("*").alias("n_failed"))
+    joined = total.join(processed, "repo", "left").join(few, "repo", "left").join(count, "repo", "left")
+    more = F.greatest(F.coalesce("n_failed", F.lit(0)) - 5, F.lit(0)).alias("more_failed")
+    return joined.select(F.col("repo").alias("repo_name"), "total_files", F.coalesce("processed_files", F.lit(0)).alias("processed_files"), "failed_files", more, F.lit(float(elapsed_s)).alias("elapsed_s"))
+
+
+def clear(spark: SparkSession, checkpoint: str) -> bool:
+    """T4: forget what is done, so the next run starts anew; whether there was anything."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
