@@ -37,7 +37,7 @@ def byte_letters() -> list[str]:
 class PairIndexBPE:
     """Vocabulary and merges of a byte-level BPE tokenizer file, with a bounded memory of known words."""
 
-    def __init__(self, path: str, remember: int = 800_000):
+    def __init__(self, path: str, remember: int = 250_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
@@ -71,6 +71,8 @@ class PairIndexBPE:
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """The ids of each word as 32-bit numbers, all words through one pair occurrence index."""
+        if not words:
+            return []
         raw = [w.encode() for w in words]
         symbols = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)].astype(np.int64)
         n = len(symbols)
@@ -164,11 +166,9 @@ def coder(path: str) -> PairIndexBPE:
 
 
 def _prepare(df: DataFrame, source: str, out: str, kind: str) -> tuple[int, list[int], list[str], str]:
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already")
     at = df.columns.index(source)
-    keep = [k for k, c in enumerate(df.columns) if c != source]
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name != source), f"`{out}` {kind}"])
+    keep = [k for k, c in enumerate(df.columns) if c not in (source, out)]
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields if f.name not in (source, out)), f"`{out}` {kind}"])
     return at, keep, [*(df.columns[k] for k in keep), out], ddl
 
 
@@ -176,7 +176,7 @@ def encode_bpe(df: DataFrame, path: str, text: str = "text", out: str = "ids") -
     """Put the ids of each whole text in place of the text column; a null or empty text has no ids.
 
     Special tokens in a text are taken as such. Other columns stay, repeated rows too; a column named `out` already is
-    refused. No shuffle; a worker holds a slice of about 1 MB of text and a bounded memory of words.
+    replaced. No shuffle; a worker holds a slice of about 1 MB of text and a bounded memory of words.
     """
     at, keep, names, ddl = _prepare(df, text, out, "array<int>")
 
@@ -184,18 +184,14 @@ def encode_bpe(df: DataFrame, path: str, text: str = "text", out: str = "ids") -
         own = coder(path)
         for piece in slices(batches, text, 1 << 20):
             coded = own.encode([t or "" for t in piece.column(at).to_pylist()])
-            offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
-            flat = np.concatenate(coded)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), ids], names=names)
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), _lists(coded)], names=names)
 
     return df.mapInArrow(run, ddl)
 
 
 def decode_bpe(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """Add the text of each array of ids, special tokens included; null ids give an empty text. The ids stay."""
-    if out in df.columns:
-        raise ValueError(f"there is a column {out} already")
+    """Add the text of each array of ids, special tokens included; null ids give an empty text. The ids stay, a column `out` is replaced."""
+    df = df.drop(out)
     at, names = df.columns.index(ids), [*df.columns, out]
     ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields), f"`{out}` string"])
 
@@ -215,9 +211,28 @@ def decode_bpe(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded")
     return df.mapInArrow(run, ddl)
 
 
+def recode_bpe(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """Both steps in one worker, as encode_bpe and decode_bpe: ids, and the text decoded from them, in place of the text."""
+    at, keep, names, ddl = _prepare(df.drop(decoded), text, ids, "array<int>")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(path)
+        for piece in slices(batches, text, 1 << 20):
+            coded = own.encode([t or "" for t in piece.column(at).to_pylist()])
+            texts = pa.array([own.decode(c.tolist()) for c in coded], pa.string())
+            yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), _lists(coded), texts], names=[*names, decoded])
+
+    return df.drop(decoded).mapInArrow(run, f"{ddl}, `{decoded}` string")
+
+
+def _lists(coded: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(coded)))
+
+
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
     """Encode and decode the whole texts of documents; counts and digests of both."""
-    both = decode_bpe(encode_bpe(docs.select("doc_id", "text"), path), path)
+    both = recode_bpe(docs.select("doc_id", "text"), path)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
