@@ -23,7 +23,7 @@ _PLACE = np.uint64((1 << 24) - 1)
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 4 << 20)
+        size = max(n, 5 << 19)
         _POWERS[:] = [np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(size - 1, b, np.uint64)])) for b in (_BASE, _INVERSE)]
     return _POWERS[0][:n], _POWERS[1][:n]
 

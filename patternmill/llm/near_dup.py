@@ -49,7 +49,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     known = _WORDS
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     try:
         codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
