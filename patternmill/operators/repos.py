@@ -24,7 +24,15 @@ def routes(files: DataFrame, repo: str = "repo", limit: int = LARGE_REPO_FILES)
     return counts.withColumn("route", F.when(F.col("n_files") > limit, "batch").otherwise("single"))
 
 
-def batches(files: DataFrame, repo: str = "repo", order: str = "ingest_seq", size: int = BATCH_FILES) -> DataFrame:
-    """Number consecutive files of a repository in batches."""
-    n = F.row_number().over(Window.partitionBy(repo).orderBy(order)) - 1
-    return files.withColumn("batch_no", F.floor(n / size).cast("int"))
+def batches(files: DataFrame, repo: str = "repo", order: str = "ingest_seq", size: int = BATCH_FILES, block: int = 4096) -> DataFrame:
+    """Number consecutive files of a repository in batches; order holds whole numbers.
+
+    Numbered within blocks of the order and then by how many files earlier blocks hold, so that no task sorts all
+    files of a very large repository. Nulls in repo are a repository of their own.
+    """
+    cut = files.withColumn("__block", F.floor(F.col(order) / block))
+    before = Window.partitionBy("__repo").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    bases = cut.groupBy(F.col(repo).alias("__repo"), F.col("__block").alias("__b")).agg(F.count("*").alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    within = F.row_number().over(Window.partitionBy(repo, "__block").orderBy(order)) - 1
+    numbered = cut.withColumn("__k", within).join(bases, F.col(repo).eqNullSafe(F.col("__repo")) & F.col("__block").eqNullSafe(F.col("__b")))
+    return numbered.withColumn("batch_no", F.floor((F.col("__base") + F.col("__k")) / size).cast("int")).select(*files.columns, "batch_no")

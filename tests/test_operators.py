@@ -171,6 +171,14 @@ def test_repos_and_prompt(spark):
     assert chunk.select(render.analysis_prompt("{language}|{file_path}|{context}|{code}").alias("p")).first()["p"] == "go|f.go|N/A|x {code}"
 
 
+def test_batches_over_blocks(spark):
+    rows = spark.createDataFrame([("a" if k % 3 else None, k) for k in range(200)], "repo string, ingest_seq long")
+    got = {}
+    for r in repos.batches(rows, size=7, block=20).collect():
+        got.setdefault(r["repo"], []).append((r["ingest_seq"], r["batch_no"]))
+    assert all([b for _, b in sorted(v)] == [k // 7 for k in range(len(v))] for v in got.values()) and len(got) == 2
+
+
 def test_bank_table_versions(spark, tmp_path):
     t = BankTable(spark, f"file://{tmp_path}/bank")
     t.create()
