@@ -8,7 +8,6 @@ the byte ranges of records; nothing is extracted.
 
 from __future__ import annotations
 
-import hashlib
 import io
 import json
 import struct
@@ -182,7 +181,7 @@ def read_archive(uri: str, gap: int = 4 << 20) -> Iterator[dict]:
         held = {m.name: m for m in members(source)}
         starts: dict[str, int] = {}
         for name in sorted(n for n in held if n.startswith("indexes/") and n.endswith(".cdxj")):
-            lines = source.read(stored_start(source, held[name]), held[name].size).decode().splitlines()
+            lines = source.read(stored_start(source, held[name]), held[name].size).decode().split("\n")
             told = [json.loads(line.split(" ", 2)[2]) for line in lines if line.strip()]
             k = 0
             while k < len(told):

@@ -12,7 +12,7 @@ SCHEMA = "page_id long, url string, html string, digest int, payload string"
 
 def rows():
     big, other = "<p>" + "x" * 200, "é" * 60
-    return [(3, "http://a/1", big, 0, ""), (2, "http://a/2", big, 0, ""), (2, "http://a/2", big, 0, ""), (4, None, None, 0, ""), (5, "http://a/\n5", "", 0, ""), (6, "u", "short", 0, ""), (7, "u", "short", 0, ""), (None, "u", big, 0, ""), (9, "u", other, 0, ""), (8, "u", other, 0, ""), (10, "u", "w" * 50_000, 0, "")]
+    return [(3, "http://a/1", big, 0, ""), (2, "http://a/2", big, 0, ""), (2, "http://a/2", big, 0, ""), (4, None, None, 0, ""), (5, "http://a/\n5", "", 0, ""), (6, " u\u2028\x85 v", "short", 0, ""), (7, "u", "short", 0, ""), (None, "u", big, 0, ""), (9, "u", other, 0, ""), (8, "u", other, 0, ""), (10, "u", "w" * 50_000, 0, "")]
 
 
 def expected(table):
