@@ -37,7 +37,7 @@ def byte_letters() -> list[str]:
 class PairIndexBPE:
     """Vocabulary and merges of a byte-level BPE tokenizer file, with a bounded memory of known words."""
 
-    def __init__(self, path: str, remember: int = 250_000):
+    def __init__(self, path: str, remember: int = 400_000):
         import regex
 
         with open(path, encoding="utf-8") as f:
