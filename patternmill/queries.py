@@ -639,7 +639,7 @@ def failed_files_top5(spark, sf):
 
 def sync_files(spark: SparkSession, sf: str) -> DataFrame:
     """The documents as files that hold a function each."""
-    body = F.concat(F.lit("import os\n\ndef work():\n    a = '"), F.regexp_replace(F.left("text", F.lit(1 << 30)), r"\s+", " "), F.lit("'\n    b = 1\n    c = 2\n    return a\n"))
+    body = F.concat(F.lit("import os\n\ndef work():\n    a = '"), F.regexp_replace("text", r"\s+", " "), F.lit("'\n    b = 1\n    c = 2\n    return a\n"))
     return table(spark, sf, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), body.alias("content"), F.col("doc_id").alias("ingest_seq"))
 
 
