@@ -45,7 +45,14 @@ def shared_dir(spark: SparkSession) -> str:
         found = "file://" + tempfile.mkdtemp(prefix="patternmill-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
-    return found.rstrip("/")
+    return qualified(spark, found)
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its scheme, so that Spark and other readers mean the same place."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    told = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).makeQualified(p).toString().rstrip("/")
+    return "file://" + told.removeprefix("file:") if told.startswith("file:/") and not told.startswith("file://") else told
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
