@@ -19,10 +19,12 @@ from patternmill.llm.common import fenced, joinable, packed
 from patternmill.session import stored
 
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-ASSIGNED = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?[^\s\"'<>]{{8,512}}"
+NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?"
+# A value of any length, up to a blank, quote or bracket or to the next assignment; possessive, so nothing is tried twice.
+ASSIGNED = rf"{NAMED}(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{8,}}+"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{ASSIGNED}|{RUN}"
-VALUE = rf"^(?:(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?)?(.*)$"
+VALUE = rf"(?s)^(?:{NAMED})?(.*)$"
 
 # Words that placeholders, names and prose are made of; a parameter.
 DICTIONARY = (

@@ -72,3 +72,19 @@ def test_own_labels(llm):
     turned = secrets.labelled_findings(llm, 2000).withColumn("label", 1 - F.col("label"))
     rows = secrets.scan(docs(llm).where("doc_id = 1"), turned).collect()
     assert rows and not any(r["confirmed"] for r in rows)
+
+
+def test_long_secrets_are_whole(llm):
+    """Values of thousands of characters, of one kind or with separators, and the assignment that follows one."""
+    import hashlib
+
+    hexes = "".join(hashlib.sha256(str(k).encode()).hexdigest() for k in range(80))
+    base64 = "".join(hashlib.sha256(str(k).encode()).hexdigest()[:40].translate(str.maketrans("abcdef", "XqZ+/R")) for k in range(100))
+    jwt = f"{base64[:900]}.{base64[900:2500]}.{base64[2500:]}"
+    values = [hexes, base64, jwt, hexes[:960]]
+    df = llm.createDataFrame([(k, f'begin token = "{v}" end', "src0") for k, v in enumerate(values)] + [(9, f"begin token={hexes}&secret={KEY} end", "src0")], "doc_id long, text string, source string")
+    rows = {(r["doc_id"], r["finding_no"]): r for r in secrets.report(df).collect()}
+    want = {(k, 0): v for k, v in enumerate(values)} | {(9, 0): hexes, (9, 1): KEY}
+    assert {k: (r["length"], r["value_sha256"], r["confirmed"]) for k, r in rows.items()} == {k: (len(v), hashlib.sha256(v.encode()).hexdigest(), True) for k, v in want.items()}
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert texts == {k: 'begin token = "[SECRET]" end' for k in range(4)} | {9: "begin token=[SECRET]&secret=[SECRET] end"}
