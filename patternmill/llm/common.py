@@ -76,6 +76,12 @@ def packed(df: DataFrame, *names: str | Column) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *names)
 
 
+def text_mark(text: str | Column = "text", source: str | Column = "source") -> Column:
+    """A hash of a row's text and source: with doc_id it tells rows apart that have no doc_id or share one."""
+    of = lambda c: F.col(c) if isinstance(c, str) else c
+    return F.xxhash64(F.coalesce(of(text), F.lit("")), of(source).cast("string"))
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """df without columns of these names, which an operator is about to add."""
     return df.drop(*[c for c in df.columns if c.lower() in {n.lower() for n in names}])

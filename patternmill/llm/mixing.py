@@ -15,7 +15,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import WORD, fenced, joinable, packed, running_total
+from patternmill.llm.common import WORD, fenced, joinable, packed, running_total, small_enough, text_mark
 from patternmill.session import stored
 
 #: Weights of the sources in code point order, again and again; and all sources' share of all words.
@@ -105,12 +105,14 @@ def pack_blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_W
     """Number the words of each source in blocks: (documents with offsets, groups with their blocks and first block).
 
     Documents go to groups of about GROUP_DOCS by hash, so no window holds a whole source; each group starts a block.
+    A column mark, if there, is kept and settles ties.
     """
+    mark = [c for c in sizes.columns if c == "mark"]
     told = sources.select(F.col("source").alias("__source"), "source_no", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / GROUP_DOCS)).alias("__groups"))
     joined = sizes.join(joinable(told), F.col("source").eqNullSafe(F.col("__source"))).where("size > 0")
     group = F.pmod(F.xxhash64(F.lit("group"), "doc_id", "size"), F.col("__groups"))
-    within = Window.partitionBy("source_no", "group").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    documents = joined.withColumn("group", group).withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long")).select("source_no", "doc_id", "source", "size", "group", "offset")
+    within = Window.partitionBy("source_no", "group").orderBy("doc_id", "size", *mark).rowsBetween(Window.unboundedPreceding, -1)
+    documents = joined.withColumn("group", group).withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long")).select("source_no", "doc_id", *mark, "source", "size", "group", "offset")
     documents = stored(documents, "mix-documents")
     groups = documents.groupBy("source_no", "group").agg(F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"))
     return documents, stored(running_total(groups, ["source_no"], "group", "blocks", "base"), "mix-groups")
@@ -118,13 +120,14 @@ def pack_blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_W
 
 def block_pieces(documents: DataFrame, groups: DataFrame, blocks: int, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The pieces of documents in blocks; blocks: how many there are in all."""
+    mark = [c for c in documents.columns if c == "mark"]
     first, last = F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words)
     low, high = F.greatest("offset", F.col("__b") * block_words), F.least(F.col("offset") + F.col("size"), (F.col("__b") + 1) * block_words)
     return (
         spread(documents.drop("source"), blocks)
         .join(joinable(groups.select("source_no", "group", "base")), ["source_no", "group"])
         .withColumn("__b", F.explode(F.sequence(first, last)))
-        .select("source_no", "doc_id", "size", "group", "offset", (F.col("base") + F.col("__b")).alias("block"), (low - F.col("offset")).alias("start"), (high - low).alias("words"))
+        .select("source_no", "doc_id", *mark, "size", "group", "offset", (F.col("base") + F.col("__b")).alias("block"), (low - F.col("offset")).alias("start"), (high - low).alias("words"))
     )
 
 
@@ -156,12 +159,14 @@ def draw_slots(sources: DataFrame, seed: int, shard_slots: int = SHARD_SLOTS) ->
     return kept.unionByName(moved)
 
 
-def mix(docs: DataFrame, seed: int = 1, text: str = "text") -> Mix:
+def mix(docs: DataFrame, seed: int = 1, text: str = "text", marked: bool = False) -> Mix:
     """Plan the mix of all documents (doc_id, source, text). Equal rows are interchangeable; a null text has no words.
 
+    If marked, documents and pieces have the text_mark of their row as mark.
     Block numbers go up to twice round the blocks of a source, so no block, and no document, is taken more than twice.
     """
-    sizes = stored(docs.select("doc_id", "source", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
+    mark = [text_mark(text).alias("mark")] if marked else []
+    sizes = stored(docs.select("doc_id", *mark, "source", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
     targets = stored(source_targets(sizes), "mix-targets")
     documents, groups = pack_blocks(sizes, targets)
     blocks = groups.groupBy("source_no").agg(F.sum("blocks").cast("long").alias("blocks"))
@@ -195,15 +200,28 @@ def mixed_texts(docs: DataFrame, seed: int = 1) -> DataFrame:
     """The mixed corpus with the columns of docs: a row for each time round in which words of a document are taken.
 
     The first row of a document holds its pieces taken at least once, a second one those taken twice, in the order of
-    the text. A whole document keeps its text; else the taken words are joined by single spaces. doc_id should be
-    unique here. n_chars, if there, is set anew. Documents without a taken word go.
+    the text. A whole document keeps its text; else the taken words are joined by single spaces. Pieces go to the
+    row with their doc_id, text and source, those of equal rows to one of these each. n_chars, if there, is set anew.
+    Documents without a taken word go.
     """
-    plan = mix(docs, seed)
+    plan = mix(docs, seed, marked=True)
     piece = F.struct("start", "words")
-    chosen = taken_pieces(plan).where("times > 0").groupBy("source_no", "group", "offset", F.col("doc_id").alias("__doc"), "size")
+    chosen = taken_pieces(plan).where("times > 0").groupBy("source_no", "group", "offset", F.col("doc_id").alias("__doc"), F.col("mark").alias("__of"), "size")
     chosen = chosen.agg(F.array_sort(F.collect_list(piece)).alias("__first"), F.array_sort(F.collect_list(F.when(F.col("times") > 1, piece))).alias("__second"))
-    lists = chosen.select("__doc", "size", F.explode(F.array("__first", "__second")).alias("__pieces")).where(F.size("__pieces") > 0)
-    joined = packed(docs, "doc_id", "text").join(lists, F.col("doc_id").eqNullSafe(F.col("__doc")))
+    held = packed(docs, "doc_id", "text", text_mark().alias("__mark"))
+    same = F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__of"))
+    repeated = plan.documents.groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__of")).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    if not small_enough(repeated, 0):
+        # Equal rows are numbered on both sides, so that each meets the pieces of one; only they are shuffled for that.
+        repeated = joinable(stored(repeated, "mix-repeated"))
+        chosen = chosen.withColumn("__take", F.row_number().over(Window.partitionBy("__doc", "__of").orderBy("group", "offset")))
+        copies = held.join(repeated, same, "left_semi").withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "__mark").orderBy(F.lit(0))))
+        held = held.join(repeated, same, "left_anti").withColumn("__copy", F.lit(1)).unionByName(copies)
+        same = same & (F.col("__copy") == F.col("__take"))
+    else:
+        chosen = chosen.withColumn("__take", F.lit(1))
+    lists = chosen.select("__doc", "__of", "__take", "size", F.explode(F.array("__first", "__second")).alias("__pieces")).where(F.size("__pieces") > 0)
+    joined = held.join(lists, same)
     # Fenced, or the words of a text would be found anew for each of its pieces.
     joined = fenced(joined.withColumn("__words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))), "__words")
     whole = F.aggregate("__pieces", F.lit(0).cast("long"), lambda a, p: a + p["words"]) == F.col("size")

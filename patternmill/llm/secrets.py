@@ -15,7 +15,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import fenced, joinable, packed
+from patternmill.llm.common import fenced, joinable, packed, text_mark
 from patternmill.session import stored
 
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
@@ -42,25 +42,26 @@ FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distin
 
 
 def candidates(docs: DataFrame, path: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
-    """Rows (key, finding_no, start, length, value, before, after, path), one per candidate; start counts characters from 0.
+    """Rows (key, mark, finding_no, start, length, value, before, after, path), one per candidate; start counts characters from 0.
 
-    Null and empty texts have none. Long texts are scanned whole. Repeated rows repeat their findings. No shuffle.
+    mark is the text_mark of the row. Null and empty texts have no candidates. Long texts are scanned whole. Repeated
+    rows repeat their findings. No shuffle.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), t.alias("__t")).withColumn("__m", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)))
     some = fenced(found, "__m").where(F.size("__m") > 0).withColumn("__s", F.split("__t", CANDIDATE, -1))
     ends = F.transform(F.col("__m"), lambda m, i: F.length(m) + F.length(F.get("__s", i)))
-    some = some.withColumn("__lens", ends).drop("__t")
-    rows = some.select("doc_id", "path", "__s", "__lens", F.posexplode("__m").alias("finding_no", "__match"))
+    some = some.withColumn("__lens", ends).withColumn("mark", text_mark("__t", "path")).drop("__t")
+    rows = some.select("doc_id", "mark", "path", "__s", "__lens", F.posexplode("__m").alias("finding_no", "__match"))
     value = F.regexp_extract("__match", VALUE, 1)
     end = F.aggregate(F.slice("__lens", 1, F.col("finding_no") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
     cut = rows.select(
-        "doc_id", "finding_no", end.alias("__end"), value.alias("value"), "path", F.col("__match"),
+        "doc_id", "mark", "finding_no", end.alias("__end"), value.alias("value"), "path", F.col("__match"),
         F.right(F.get("__s", F.col("finding_no")), F.lit(BEFORE)).alias("__left"), F.left(F.get("__s", F.col("finding_no") + 1), F.lit(AFTER)).alias("after"),
     )
     name = F.left("__match", F.length("__match") - F.length("value"))
     return cut.select(
-        "doc_id", "finding_no", (F.col("__end") - F.length("value")).cast("long").alias("start"), F.length("value").cast("long").alias("length"), "value", F.concat("__left", name).alias("before"), "after", "path"
+        "doc_id", "mark", "finding_no", (F.col("__end") - F.length("value")).cast("long").alias("start"), F.length("value").cast("long").alias("length"), "value", F.concat("__left", name).alias("before"), "after", "path"
     )
 
 
@@ -142,10 +143,15 @@ def judge(found: DataFrame, model: PipelineModel, threshold: float = 0.5) -> Dat
     return scored.withColumn("score", score).withColumn("confirmed", F.col("score") >= threshold).drop(*drop)
 
 
+def judged(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
+    """All candidates of all documents with score and confirmed."""
+    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
+    return judge(candidates(docs), model)
+
+
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """All candidates of all documents with their verdicts: doc_id, finding_no, start, length, value, path, score, confirmed."""
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    return judge(candidates(docs), model).select("doc_id", "finding_no", "start", "length", "value", "path", "score", "confirmed")
+    return judged(docs, labelled).select("doc_id", "finding_no", "start", "length", "value", "path", "score", "confirmed")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -156,12 +162,12 @@ def report(docs: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, mask: str = "[SECRET]", labelled: DataFrame | None = None) -> DataFrame:
     """All rows of docs, with each confirmed secret in the text replaced by the mask; n_chars, if there, set anew.
 
-    doc_id should be unique; rows that share one are masked alike where they hold the same number of candidates.
+    Findings go to the rows with their doc_id, text and source, so rows without a doc_id or with the same one keep their own.
     """
     spans = F.array_sort(F.collect_list(F.struct("start", "length")))
-    confirmed = stored(scan(docs, labelled).where("confirmed").select("doc_id", "start", "length").distinct(), "secrets")
-    told = confirmed.groupBy(F.col("doc_id").alias("__doc")).agg(spans.alias("__spans"))
-    joined = packed(docs, "doc_id", "text").join(joinable(told), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
+    confirmed = stored(judged(docs, labelled).where("confirmed").select("doc_id", "mark", "start", "length").distinct(), "secrets")
+    told = confirmed.groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__of")).agg(spans.alias("__spans"))
+    joined = packed(docs, "doc_id", "text", text_mark().alias("__mark")).join(joinable(told), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__of")), "left")
     step = lambda a, s: F.struct(F.concat(a["t"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("t"), (s["start"] + s["length"]).alias("at"))
     masked = F.aggregate("__spans", F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["t"], F.substr("text", (a["at"] + 1).cast("int"))))
     row = F.col("__row").withField("text", masked)

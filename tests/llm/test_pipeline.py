@@ -100,3 +100,33 @@ def test_findings_of_the_scan_are_what_is_masked(llm, steps):
     docs = llm.createDataFrame(steps[2])
     n = secrets.report(docs).where("confirmed").count()
     assert sum(r["text"].count("[SECRET]") for r in steps[3]) == n
+
+
+def test_rows_without_an_id_or_with_the_same_one(llm):
+    """Several texts under a null doc_id and under a repeated one: each is masked and cut by what it holds itself."""
+    from collections import Counter
+
+    from conftest import prose
+
+    texts, clean = [], []
+    for k in range(24):
+        key = hashlib.sha1(str(k).encode()).hexdigest()
+        front, back = prose(20 + 7 * k, k).replace(" ", f"_{k} "), prose(40, 100 + k).replace(" ", f"_{k} ")
+        texts.append(f'{front} token = "{key}" {back}' if k % 3 else f"{front} {back}")
+        clean.append(texts[-1].replace(key, "[SECRET]"))
+    rows = [(None if k % 2 else 5, t, "en", f"s{k % 4 // 2}", len(t)) for k, t in enumerate(texts)]
+    docs = llm.createDataFrame(rows + rows[:2] * 3, "doc_id long, text string, lang string, source string, n_chars long")
+    masked = corpus_pipeline.secret_scan(llm, docs, "")
+    assert Counter(r["text"] for r in masked.collect()) == Counter(clean + clean[:2] * 3)
+    taken = mixing.mix_documents(masked)
+    out = corpus_pipeline.source_mix(llm, masked, "").collect()
+    assert sum(len(WORD.findall(r["text"])) for r in out) == taken.agg(F.sum("taken")).first()[0]
+    size = {t: len(WORD.findall(t)) for t in clean}
+    held: Counter = Counter()
+    for r in out:
+        words = Counter(WORD.findall(r["text"]))
+        homes = [t for t in clean if not words - Counter(WORD.findall(t))]
+        if len(homes) == 1:
+            held[homes[0]] += sum(words.values())
+        assert homes and r["n_chars"] == len(r["text"])
+    assert all(n <= 2 * size[t] * (4 if t in clean[:2] else 1) for t, n in held.items())
