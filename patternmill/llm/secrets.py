@@ -1,7 +1,7 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, and values assigned to names of secrets. The forest judges
-each by its length, its changes between kinds of characters, how far words of a dictionary cover it, the path it
+Candidates are long runs of key characters with a digit, values assigned to names of secrets, passwords in URLs and
+private keys in their blocks. The forest judges each by its length, its changes between kinds of characters, how far words of a dictionary cover it, the path it
 stands in and the words next to it. It is trained from labelled findings. All on the rows is DataFrame functions and
 Spark's own forest.
 """
@@ -19,12 +19,19 @@ from patternmill.llm.common import fenced, joinable, packed, text_mark
 from patternmill.session import stored
 
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]{{0,2}}[=:][ \t]{{0,2}}[\"']?"
+NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]*+[=:][ \t]*+[\"']?"
+# The password of a URL, up to the last @ before its path.
+LOGIN = r"://[^\s/?#:@\"'<>]*+:"
+PASSWORD = r"[^\s/?#\"'<>]+(?=@)"
+URL = rf"(?<=[A-Za-z0-9+.-]){LOGIN}{PASSWORD}"
+# A private key to its end; where that is missing, its lines.
+OPEN, CLOSE = (rf"-----{side} [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----" for side in ("BEGIN", "END"))
+BLOCK = rf"{OPEN}(?:(?:[^-]|-(?!----))*+{CLOSE}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++)"
 # A value of any length, up to a blank, quote or bracket or to the next assignment; possessive, so nothing is tried twice.
-ASSIGNED = rf"{NAMED}(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{8,}}+"
+ASSIGNED = rf"{NAMED}(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.:-]*{LOGIN}{PASSWORD})(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{4,}}+"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
-CANDIDATE = f"{ASSIGNED}|{RUN}"
-VALUE = rf"(?s)^(?:{NAMED})?(.*)$"
+CANDIDATE = f"{BLOCK}|{URL}|{ASSIGNED}|{RUN}"
+VALUE = rf"(?s)^(?:{NAMED}|{LOGIN})?(.*)$"
 
 # Words that placeholders, names and prose are made of; a parameter.
 DICTIONARY = (
@@ -38,7 +45,7 @@ TRAINING_ROWS = 8_000
 TREES, DEPTH, SEED = 20, 8, 7
 BEFORE, AFTER = 48, 24
 
-FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_vowels", "f_words", "f_test_path", "f_code_path", "f_named", "f_assigned", "f_hash_near", "f_fake_near", "f_url_near", "f_after_word"]
+FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_vowels", "f_words", "f_test_path", "f_code_path", "f_named", "f_assigned", "f_hash_near", "f_fake_near", "f_url_near", "f_after_word", "f_login", "f_block"]
 
 
 def candidates(docs: DataFrame, path: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -85,11 +92,13 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "f_test_path": flag(path, r"(?i)test|example|sample|mock|fixture|docs?/"),
         "f_code_path": flag(path, r"(?i)\.(?:py|js|ts|java|go|env|ya?ml|json|cfg|ini|properties|sh)$"),
         "f_named": flag(before, rf"(?i){NAMES}|bearer|aws"),
-        "f_assigned": flag(before, r"[=:][ \t]{0,2}[\"']?$"),
+        "f_assigned": flag(before, r"[=:][ \t]*[\"']?$"),
         "f_hash_near": flag(before, r"(?i)commit|sha-?\d*|md5|checksum|digest|etag|uuid|revision|integrity"),
         "f_fake_near": flag(F.concat(before, v, after), r"(?i)example|sample|dummy|placeholder|your[_-]|changeme|xxxx|<|\$\{"),
         "f_url_near": flag(before, r"(?:://|www\.|/)[^\s\"']*$"),
         "f_after_word": flag(after, r"^[\"']?[\s,.;)]|^$"),
+        "f_login": flag(before, LOGIN + "$"),
+        "f_block": flag(v, f"^{OPEN}"),
     }
     return found.withColumns({k: c.cast("double") for k, c in made.items()})
 
@@ -97,8 +106,9 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
 def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     """Labelled findings of known make, for training where none are at hand: (value, before, after, path, label).
 
-    Secrets are hex, base64 and prefixed keys next to names of secrets; the false ones are hashes of commits and
-    files, identifiers, numbers, paths of URLs, names, placeholders and long words.
+    Secrets are hex, base64 and prefixed keys and short passwords next to names of secrets, passwords in URLs and
+    private keys; the false ones are hashes of commits and files, identifiers, numbers, paths of URLs, names, constants,
+    placeholders (in URLs and blocks too) and long words.
     """
     r = lambda k: f"pmod(xxhash64(id, {k}), 1000)"
     hex40, hex32, hex64 = "sha1(concat('a', id))", "md5(concat('b', id))", "sha2(concat('c', id), 256)"
@@ -108,10 +118,15 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     word = pick(20, "the", "und", "le", "value", "of", "config", "est", "note", "see", "la", "de", "")
     name = pick(21, "token", "secret", "api_key", "password", "access_key", "auth_token", "TOKEN", "API_KEY", "client_secret", "Password", "private_key")
     join = pick(22, ' = "', ' = ', ": ", '="', "=", ': "', " = '")
+    login = f"concat({pick(25, 'postgres', 'https', 'redis', 'mongodb+srv', 'amqp', 'ftp')}, '://', {pick(26, 'user', 'admin', 'app', '', 'root')}, ':')"
+    host = f"concat('@', {pick(27, 'localhost', 'db.internal', 'host', '10.0.0.5')}, {pick(28, ':5432/app', '/', '', ':6379')})"
+    block = lambda body: f"concat('-----BEGIN ', kind, 'PRIVATE KEY-----', chr(10), {body}, chr(10), '-----END ', kind, 'PRIVATE KEY-----')".replace("kind", pick(29, "RSA ", "EC ", "", "OPENSSH "))
     good = [
         (hex40, f"concat({word}, ' ', {name}, {join})"), (f"upper({hex40})", f"concat({word}, ' ', upper({name}), {join})"), (hex32, f"concat({word}, ' ', {name}, {join})"), (f"left({b64}, 40)", f"concat('aws_', {name}, {join})"),
         (f"concat('AKIA', upper(left({b64}, 16)))", f"concat({word}, ' ')"), (f"concat('ghp_', left({b64}, 36))", f"concat({word}, ' ')"), (f"concat('sk-', left({b64}, 40))", f"concat({name}, {join})"),
         (f"left({b64}, 43)", "'Authorization: Bearer '"), (f"concat(left({b64}, 6), '!', left({hex32}, 6))", f"concat({name}, {join})"), (hex64, f"concat({word}, ' ', {name}, {join})"),
+        (f"concat({pick(30, 'hunter', 'Pw!', 's3cr', 'x', 'Tr0ub')}, left({hex32}, cast({r(31)} % 4 + 2 as int)))", f"concat({word}, ' ', {name}, {join})"), (f"concat({pick(30, 'hunter', 'Pw!', 's3cr', 'x', 'Tr0ub')}, left({hex32}, cast({r(31)} % 12 + 1 as int)))", f"concat({word}, ' ', {login})", host),
+        (f"left({b64}, cast({r(31)} % 30 + 10 as int))", f"concat({word}, ' ', {login})", host), (block(f"repeat(concat({b64}, chr(10)), cast({r(31)} % 20 + 3 as int))"), f"concat({word}, ' ')"),
     ]
     bad = [
         (hex40, f"concat({word}, ' commit ')"), (hex64, f"concat({word}, ' sha256: ')"), (hex32, "'md5sum '"), (f"concat(left({hex32}, 8), '-', substring({hex32}, 9, 4), '-4', substring({hex32}, 14, 3), '-a', substring({hex32}, 18, 3), '-', right({hex32}, 12))", f"concat({word}, ' uuid=')"),
@@ -119,11 +134,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         ("concat('your_token_here_', id % 100)", f"concat({name}, {join})"), ("concat('example-value-', id % 1000)", f"concat({name}, {join})"), ("concat('xxxxxxxxxxxxxxxx', id % 1000)", f"concat({name}, {join})"), ("concat('getUserById', id % 10, 'FromServiceFactory')", f"concat({word}, ' ')"),
         ("concat('donaudampfschiff', translate(cast(id % 977 as string), '0123456789', 'aeioulmnrt'), 'gesellschaft', id % 10)", f"concat({word}, ' ')"), ("concat('2024-01-02T03-04-', id % 60, '-report')", f"concat({word}, ' ')"), ("concat('os.environ[', id % 10, ']')", f"concat({name}, {join})"),
         ("concat('changeme', id % 1000)", f"concat({name}, {join})"), (f"left({digits}, 20)", f"concat({word}, ' id ')"), ("concat(repeat('th', cast(id % 9 + 8 as int)), id % 10)", f"concat({word}, ' ')"),
+        (pick(32, "None", "true", "false", "null", "self", "required", "string", "get()", "user"), f"concat({word}, ' ', {name}, {join})"), (pick(32, "changeme", "your-password", "example", "xxxxxxxx", "placeholder"), f"concat({word}, ' ', {login})", host),
+        (block("'your-private-key-goes-here'"), f"concat({word}, ' ')"),
     ]
-    case = lambda rows, at: "CASE " + " ".join(f"WHEN {r(1)} % {len(rows)} = {k} THEN {x[at]}" for k, x in enumerate(rows)) + " END"
+    case = lambda rows, at: "CASE " + " ".join(f"WHEN {r(1)} % {len(rows)} = {k} THEN {x[at]}" for k, x in enumerate(rows) if len(x) > at) + " END"
     after = f"concat({pick(23, chr(34), '', chr(34) + '$$$', chr(34) + '###', chr(34) + ',', '.', chr(34))}, ' ', {word})"
     path = pick(24, "src/main.py", "config/app.yml", "docs/readme.md", "tests/test_a.py", "src0", "src7", "deploy/.env", "web/index.js", "src12", "notes.txt")
-    made = spark.range(0, rows, 1, 1).selectExpr("id", f"id % 2 AS label", f"CASE WHEN id % 2 = 1 THEN {case(good, 0)} ELSE {case(bad, 0)} END AS value", f"CASE WHEN id % 2 = 1 THEN {case(good, 1)} ELSE {case(bad, 1)} END AS before", f"{after} AS after", f"{path} AS path")
+    made = spark.range(0, rows, 1, 1).selectExpr("id", f"id % 2 AS label", f"CASE WHEN id % 2 = 1 THEN {case(good, 0)} ELSE {case(bad, 0)} END AS value", f"CASE WHEN id % 2 = 1 THEN {case(good, 1)} ELSE {case(bad, 1)} END AS before", f"coalesce(CASE WHEN id % 2 = 1 THEN {case(good, 2)} ELSE {case(bad, 2)} END, {after}) AS after", f"{path} AS path")
     return made.select("id", "value", "before", "after", "path", F.col("label").cast("double").alias("label"))
 
 
