@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import os
 import zlib
 from collections import Counter, defaultdict
 
@@ -62,6 +63,14 @@ def test_movement_is_limited(llm):
     assert sum(one[k] != two[k] for k in one) / len(one) < 0.12
 
 
+def test_movement_without_slack(llm, sf):
+    """The registered query has no slack: full shards pass rows on round the ring, so more than 1 in 25 move, but not many more."""
+    docs = llm.read.parquet(f"{os.path.dirname(sf.rstrip('/'))}/sf0.1/documents.parquet")
+    one, two = ({r["doc_id"]: r["shard"] for r in ring.shard_documents(docs, n).collect()} for n in (24, 25))
+    moved = sum(one[k] != two[k] for k in one) / len(one)
+    assert len(one) == docs.count() and 0.04 <= moved < 0.1
+
+
 def test_columns_are_replaced(edges):
     out = ring.assign(edges, F.col("text"), ["doc_id", "text"])
     assert out.columns.count("shard") == 1 and dict(out.dtypes)["shard"] == "int" and out.count() == edges.count()
