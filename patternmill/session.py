@@ -2,27 +2,25 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 _PACKAGE = os.path.dirname(os.path.abspath(__file__))
-#: Rows in an Arrow batch to Python: with Spark's default a batch of long texts is many times what a worker needs at once.
-ARROW_ROWS = 1_000
+#: While a table of `stored` is written: small Arrow batches, as workers hold texts, and no shuffle files once it is done.
+WRITING = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+#: The paths that fresh_path gave out within each open `scratch`.
+_SCRATCH: list[list[str]] = []
 
 
 def ship(spark: SparkSession) -> None:
-    """Give the executors this package once per context; a job may start outside the repository's folder.
-
-    Where the session has Spark's default number of rows in an Arrow batch, it gets ARROW_ROWS.
-    """
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Give the executors this package once per context; a job may start outside the repository's folder."""
     context = spark.sparkContext
     if getattr(context, "_patternmill_shipped", False):
         return
@@ -38,10 +36,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir. A temporary one stands in on a local master only."""
     context: SparkContext = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not found:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
         found = "file://" + tempfile.mkdtemp(prefix="patternmill-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(found)
@@ -57,25 +57,60 @@ def qualified(spark: SparkSession, path: str) -> str:
 
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/patternmill/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/patternmill/{name}-{uuid.uuid4().hex}"
+    for held in _SCRATCH:
+        held.append(path)
+    return path
+
+
+@contextmanager
+def _writing(spark: SparkSession) -> Iterator[None]:
+    before = {k: spark.conf.get(k, None) for k in WRITING}
+    for k, v in WRITING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: cuts lineage and outlives lost executors."""
+    path = fresh_path(df.sparkSession, name)
+    return written(df, path)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """Write df as Parquet to the path and read it back."""
     spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _writing(spark):
+        df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._patternmill_path = path
     return out
 
 
+def delete(spark: SparkSession, path: str) -> bool:
+    """Delete a file or folder of any Hadoop file system; whether there was one."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def forget(*stored_ones: DataFrame) -> None:
-    """Delete the tables of `stored`, when no further query needs them, and let Spark drop its unused shuffle files."""
+    """Delete the tables of `stored`, when no further query needs them."""
     for df in stored_ones:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        path = jvm.org.apache.hadoop.fs.Path(df._patternmill_path)
-        path.getFileSystem(hadoop).delete(path, True)
-    if stored_ones:
-        gc.collect()
-        stored_ones[0].sparkSession._jvm.System.gc()
+        delete(df.sparkSession, df._patternmill_path)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete on leaving what fresh_path gave out within: for steps whose result has been written elsewhere by then."""
+    held: list[str] = []
+    _SCRATCH.append(held)
+    try:
+        yield
+    finally:
+        _SCRATCH[:] = [x for x in _SCRATCH if x is not held]
+        for path in held:
+            delete(spark, path)
