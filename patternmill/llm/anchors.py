@@ -2,7 +2,8 @@
 
 The hashes of all k-grams of a text go through a sliding minimum; the first smallest k-gram of each window that starts
 a string of the given length is an anchor. Whether two strings of that length are equal can then be decided among the
-places with the same anchor k-gram.
+places with the same anchor k-gram. The rolling hash of k-grams only chooses anchors and groups their places: k-grams
+that collide are told apart later. What decides that bytes are equal is XXH3 over the bytes themselves.
 """
 
 from __future__ import annotations
@@ -16,9 +17,9 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _LETTERS = mixed(np.arange(256, dtype=np.uint64), 77) | np.uint64(1)
 _POWERS: list[np.ndarray] = []
-#: Bytes that are hashed at once at most; longer texts go in overlapping parts.
-PART = 8 << 20
-_PLACE = np.uint64((1 << 24) - 1)
+#: Bytes that are hashed at once; longer texts go in overlapping parts. No part has more than MOST_PART bytes.
+PART, MOST_PART = 8 << 20, 1 << 24
+_PLACE = np.uint64(MOST_PART - 1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,7 +30,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashed:
-    """Sums by which any substring of the joined bytes has a hash in constant time."""
+    """Sums by which any substring of the joined bytes has a hash in constant time; it must not stand for the bytes."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
@@ -41,6 +42,13 @@ class Hashed:
         return mixed((self.sums[end] - self.sums[begin]) * self.inverse[begin], seed)
 
 
+def byte_hashes(raw: bytes, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """The XXH3 hash of each substring."""
+    from xxhash import xxh3_64_intdigest as digest
+
+    return np.fromiter((digest(raw[a:b], seed) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.uint64, len(begin))
+
+
 def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(text number, place, first byte and end of the context, anchor hash, context hash) of all anchors.
 
@@ -48,7 +56,8 @@ def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarr
     tells the bytes and how they lie about the anchor.
     """
     sizes = np.array([len(t) for t in texts], np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    raw = b"".join(texts)
+    data = np.frombuffer(raw, np.uint8)
     none = np.zeros(0, np.int64)
     if len(data) < length or (sizes < length).all():
         return none, none, none, none, none.astype(np.uint64), none.astype(np.uint64)
@@ -73,5 +82,5 @@ def anchors(texts: list[bytes], length: int, gram: int = GRAM) -> tuple[np.ndarr
     text = owner[place]
     begin = ends[text] - sizes[text]
     low, high = np.maximum(begin, place - (length - gram)), np.minimum(ends[text], place + length)
-    context = mixed(hashed.of(low, high, 6) ^ ((place - low).astype(np.uint64) << np.uint64(32)) ^ (high - place).astype(np.uint64), 8)
+    context = mixed(byte_hashes(raw, low, high) ^ ((place - low).astype(np.uint64) << np.uint64(32)) ^ (high - place).astype(np.uint64), 8)
     return text, place - begin, low - begin, high - begin, keys[place], context

@@ -6,7 +6,8 @@ Where contexts of an anchor differ, the strings about it fall into ranges of nei
 range hold a common core, and a piece is a core with the bytes about it that the range can reach. Pieces with the
 same core go to one task, which writes the core as one symbol and builds the suffix array of the pieces by linear
 grouping construction; two strings are equal where neighbours in the array share the core and the bytes about it.
-Cores with very many pieces are decided by counting their strings instead, so no task grows with a core.
+The pieces of a core that has very many are dealt anew by the half of the bytes next to it that each string must hold:
+these become part of a longer core, and so on until a core is the whole string. So no task grows with a core.
 """
 
 from __future__ import annotations
@@ -18,15 +19,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from patternmill.llm.anchors import GRAM, PART, Hashed, anchors
+from patternmill.llm.anchors import GRAM, MOST_PART, PART, anchors, byte_hashes
 from patternmill.llm.common import slices
 from patternmill.llm.grouping import suffix_array
 from patternmill.session import forget, stored
 
 #: Strings in a range, and the pieces of one core that a task takes at most.
-RANGE, CORE_PIECES = 35, 20_000
+RANGE, CORE_PIECES = 35, 4_000
 #: Symbols of one suffix array, about; cores are not cut.
 ARRAY_SYMBOLS = 150_000
+PIECE = ["gram", "core", "piece", "doc", "mark", "start", "single", "left", "right"]
 
 
 def offset_ranges(length: int, gram: int, width: int) -> list[tuple[int, int]]:
@@ -81,22 +83,26 @@ def _groups(parts: list[bytes], limit: int) -> Iterator[slice]:
 
 
 def piece_rows(docs: DataFrame, needed: DataFrame, length: int, gram: int, width: int) -> DataFrame:
-    """Rows (core, piece, doc, mark, start, single, left, right): the pieces of the needed contexts of each document."""
+    """Rows (gram, core, piece, doc, mark, start, single, left, right): the pieces of the needed contexts of each document.
+
+    gram and core together name the bytes of the core. A document's spots come as one list, which is never longer than
+    its text.
+    """
     ranges = offset_ranges(length, gram, width)
-    told = needed.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_list("spot").alias("spots"), F.collect_list("single").alias("singles"))
+    told = needed.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.collect_list(F.struct("spot", "gram", "single")).alias("spots"))
     held = docs.join(told, (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")))
+    types = [pa.int64()] * 6 + [pa.bool_(), pa.binary(), pa.binary()]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 << 20):
-            out: list[list] = [[] for _ in range(8)]
+            out: list[list] = [[] for _ in types]
             for row in range(batch.num_rows):
                 doc, mark = batch.column(0)[row].as_py(), batch.column(1)[row].as_py()
                 text = batch.column(2)[row].as_py().encode()
-                spots = batch.column(3)[row].values.to_numpy()
-                single = batch.column(4)[row].values.to_numpy(zero_copy_only=False)
+                told = batch.column(3)[row].values
+                spots, grams, single = (told.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 place = spots >> 30
                 low, high = place - (spots >> 15 & 0x7FFF), place + (spots & 0x7FFF)
-                hashed = Hashed(np.frombuffer(text, np.uint8))
                 for r, (near, far) in enumerate(ranges):
                     first, last = np.maximum(place - far, low), np.minimum(place - near, high - length)
                     ok = np.flatnonzero(first <= last)
@@ -104,21 +110,17 @@ def piece_rows(docs: DataFrame, needed: DataFrame, length: int, gram: int, width
                         continue
                     begin, end = place[ok] - near, place[ok] - far + length
                     first, stop = first[ok], last[ok] + length
-                    core = hashed.of(begin, end, 100 + r).view(np.int64)
-                    whole = (hashed.of(first, stop, 200) ^ ((begin - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (stop - end).astype(np.uint64)).view(np.int64)
-                    out[0] += core.tolist()
-                    out[1] += whole.tolist()
-                    out[2] += [doc] * len(ok)
-                    out[3] += [mark] * len(ok)
-                    out[4] += first.tolist()
-                    out[5] += single[ok].tolist()
-                    out[6] += [text[a:b] for a, b in zip(first.tolist(), begin.tolist(), strict=True)]
-                    out[7] += [text[a:b] for a, b in zip(end.tolist(), stop.tolist(), strict=True)]
+                    whole = byte_hashes(text, first, stop) ^ ((begin - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (stop - end).astype(np.uint64)
+                    made = (
+                        grams[ok].tolist(), byte_hashes(text, begin, end, 1 + r).view(np.int64).tolist(), whole.view(np.int64).tolist(), [doc] * len(ok), [mark] * len(ok), first.tolist(), single[ok].tolist(),
+                        [text[a:b] for a, b in zip(first.tolist(), begin.tolist(), strict=True)], [text[a:b] for a, b in zip(end.tolist(), stop.tolist(), strict=True)],
+                    )
+                    for column, values in zip(out, made, strict=True):
+                        column += values
             if out[0]:
-                types = [pa.int64()] * 5 + [pa.bool_(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=["core", "piece", "doc", "mark", "start", "single", "left", "right"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], names=PIECE)
 
-    return held.select("doc", "mark", "text", "spots", "singles").mapInArrow(run, "core long, piece long, doc long, mark long, start long, single boolean, left binary, right binary")
+    return held.select("doc", "mark", "text", "spots").mapInArrow(run, "gram long, core long, piece long, doc long, mark long, start long, single boolean, left binary, right binary")
 
 
 def repeated_starts(pieces: list[tuple[bytes, int, bytes]], width: int) -> list[list[int]]:
@@ -182,12 +184,13 @@ def comparable(pieces: list[tuple[bytes, bytes]], width: int) -> list[tuple[int,
 
 def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """Intervals (doc, mark, low, high) of the single pieces that others hold too; rows with one core are in one task."""
-    dealt = pieces.repartition("core").sortWithinPartitions("core")
+    dealt = pieces.repartition("gram", "core").sortWithinPartitions("gram", "core")
+    Core = tuple[int, int]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict[int, tuple]] = {}
-        single: list[tuple[int, int, int, int, int]] = []
-        copies: dict[tuple[int, int], int] = {}
+        held: dict[Core, dict[int, tuple]] = {}
+        single: list[tuple[Core, int, int, int, int]] = []
+        copies: dict[tuple[Core, int], int] = {}
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
@@ -216,7 +219,8 @@ def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc", "mark", "low", "high"])
 
         for batch in batches:
-            for core, piece, doc, mark, start, alone, left, right in zip(*(batch.column(k).to_pylist() for k in range(8)), strict=True):
+            for gram, number, piece, doc, mark, start, alone, left, right in zip(*(batch.column(k).to_pylist() for k in range(9)), strict=True):
+                core = (gram, number)
                 if core != last and size > ARRAY_SYMBOLS:
                     yield flush()
                     held, single, copies, size = {}, [], {}, 0
@@ -231,23 +235,57 @@ def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
         if single:
             yield flush()
 
-    return dealt.select("core", "piece", "doc", "mark", "start", "single", "left", "right").mapInArrow(run, "doc long, mark long, low long, high long")
+    return dealt.select(*PIECE).mapInArrow(run, "doc long, mark long, low long, high long")
+
 
+def longer_cores(pieces: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The pieces with longer cores, and how many symbols their strings have; `width` is that of the given ones.
 
-def counted_strings(pieces: DataFrame, length: int, width: int) -> DataFrame:
-    """The same for cores with very many pieces: each string of a piece is counted by its core and the bytes about it."""
+    A string holds width - 1 bytes about its core, so half of that to one side at least. A piece goes on with that half
+    to its left as part of the core, and with that to its right, as far as it has them.
+    """
+    about = width - 1
+    half = (about + 1) // 2
+    rest = about - half
+    part = lambda c, at, n: F.expr(f"substring({c}, {at}, {n})")
     lefts, rights = F.octet_length("left"), F.octet_length("right")
-    k = F.explode(F.sequence(F.lit(0), lefts + rights - (width - 1)))
-    strings = pieces.where(lefts + rights >= width - 1).select("core", "doc", "mark", "start", "single", "left", "right", k.alias("k"))
-    tail = lambda c: F.expr(f"substring({c}, 1, {width - 1} - (octet_length(left) - k))")
-    named = strings.select("core", "doc", "mark", "start", "single", "k", F.expr("substring(left, k + 1)").alias("head"), tail("right").alias("tail"))
-    named = stored(named, "strings")
-    twice = stored(named.groupBy("core", "head", "tail").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "strings-twice")
-    return named.where("single").join(twice, ["core", "head", "tail"]).select("doc", "mark", (F.col("start") + F.col("k")).alias("low"), (F.col("start") + F.col("k") + length).alias("high"))
+    last = lambda c, n: part(c, f"greatest(octet_length({c}) - {n}, 0) + 1", n)
+    one = pieces.where(lefts >= half).select(
+        "gram", F.xxhash64("core", F.lit("left"), last("left", half)).alias("core"), "doc", "mark", "single", "start", "left",
+        part("left", 1, f"octet_length(left) - {half}").alias("__left"), part("right", 1, rest).alias("__right"),
+    )
+    two = pieces.where(rights >= half).select(
+        "gram", F.xxhash64("core", F.lit("right"), part("right", 1, half)).alias("core"), "doc", "mark", "single", "start", "left", F.col("left").alias("__left"), part("right", half + 1, rest).alias("__right")
+    )
+    both = one.unionByName(two).withColumn("start", F.col("start") + F.greatest(F.octet_length("__left") - rest, F.lit(0))).withColumn("left", last("__left", rest)).withColumnRenamed("__right", "right")
+    both = both.where(F.octet_length("left") + F.octet_length("right") >= rest)
+    return both.withColumn("piece", F.xxhash64("core", "left", "right")).select(*PIECE), rest + 1
+
+
+def repeated_pieces(pieces: DataFrame, length: int, width: int, core_pieces: int) -> list[DataFrame]:
+    """Stored intervals (doc, mark, low, high) of the single pieces that others hold too. Forgets the pieces."""
+    out = []
+    while True:
+        cores = stored(pieces.groupBy("gram", "core").agg(F.count("*").alias("n"), F.max("single").alias("any")).where("n > 1 AND any").select("gram", "core", (F.col("n") > core_pieces).alias("many")), "cores")
+        shared = stored(pieces.join(cores, ["gram", "core"]), "pieces-shared")
+        forget(pieces, cores)
+        few, many = shared.where("NOT many"), shared.where("many")
+        out.append(stored(compared_pieces(few, length, width).distinct(), "found"))
+        if not many.limit(1).count():
+            forget(shared)
+            return out
+        if width == 1:
+            # A core is the whole string here, so all pieces of one are copies.
+            out.append(stored(many.where("single").select("doc", "mark", F.col("start").alias("low"), (F.col("start") + length).alias("high")).distinct(), "found"))
+            forget(shared)
+            return out
+        longer, width = longer_cores(many.drop("many"), width)
+        pieces = stored(longer, "pieces")
+        forget(shared)
 
 
 def repeated_intervals(docs: DataFrame, length: int, gram: int = GRAM, width: int = RANGE, core_pieces: int = CORE_PIECES, part: int = PART) -> DataFrame:
-    """Intervals (doc, mark, low, high) of bytes that repeated strings cover; docs: (doc, mark, text)."""
+    """Stored rows (doc, mark, found): the intervals (low, high) of bytes that repeated strings cover, sorted; docs: (doc, mark, text)."""
     width = min(width, length - gram + 1)
     rows = stored(anchor_rows(docs, length, gram, part), "anchors")
     twice = stored(rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "anchors-twice")
@@ -255,40 +293,42 @@ def repeated_intervals(docs: DataFrame, length: int, gram: int = GRAM, width: in
     forget(rows, twice)
     contexts = some.groupBy("gram", "context").agg(F.count("*").alias("n"), F.first("doc").alias("doc"), F.first("mark").alias("mark"), F.first("spot").alias("spot"))
     contexts = stored(contexts, "contexts")
-    place, part = F.shiftright("spot", 30), F.lit(0x7FFF)
-    reach = [(place - F.shiftright("spot", 15).bitwiseAND(part)).alias("low"), (place + F.col("spot").bitwiseAND(part)).alias("high")]
+    place, bits = F.shiftright("spot", 30), F.lit(0x7FFF)
+    reach = [(place - F.shiftright("spot", 15).bitwiseAND(bits)).alias("low"), (place + F.col("spot").bitwiseAND(bits)).alias("high")]
     whole = stored(some.join(contexts.where("n > 1").select("gram", "context"), ["gram", "context"]).select("doc", "mark", *reach).distinct(), "covered")
     mixed = stored(contexts.groupBy("gram").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 AND least = 1").select("gram"), "mixed")
-    needed = stored(contexts.join(mixed, "gram").select("doc", "mark", "spot", (F.col("n") == 1).alias("single")), "needed")
+    needed = stored(contexts.join(mixed, "gram").select("doc", "mark", "spot", "gram", (F.col("n") == 1).alias("single")), "needed")
     forget(some, contexts, mixed)
     pieces = stored(piece_rows(docs, needed, length, gram, width), "pieces")
     forget(needed)
-    cores = stored(pieces.groupBy("core").agg(F.count("*").alias("n"), F.max("single").alias("any")).where("n > 1 AND any").select("core", (F.col("n") > core_pieces).alias("many")), "cores")
-    shared = stored(pieces.join(cores, "core"), "pieces-shared")
-    forget(pieces, cores)
-    found = stored(compared_pieces(shared.where("NOT many"), length, width).distinct(), "found")
-    out = whole.unionByName(found)
-    if shared.where("many").limit(1).count():
-        out = out.unionByName(stored(counted_strings(shared.where("many"), length, width).distinct(), "counted"))
-    forget(shared)
-    return out
+    found = [whole, *repeated_pieces(pieces, length, width, core_pieces)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.unionByName(more)
+    per_doc = stored(every.groupBy("doc", "mark").agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("found")), "intervals")
+    forget(*found)
+    return per_doc
 
 
 def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = 200, gram: int = GRAM, width: int = RANGE, core_pieces: int = CORE_PIECES, part: int = PART) -> DataFrame:
     """(key, n_bytes, n_removed, spans, kept) of each row: removed runs as [low, high) in bytes, and the bytes that stay.
 
     Texts are UTF-8; a null text is empty. Texts shorter than `length` lose nothing. Strings are judged on the input.
-    Repeated rows count as repeats: each loses what they share. A null key is a key; a key with two texts is told
-    apart by them. kept is binary, as a run may begin or end within a character.
+    Repeated rows count as repeats: each loses what they share. The key may be of any type that Spark can hash; a null
+    key is a key, and a key with several texts is told apart by them, as rows go by 64-bit hashes of key and of text.
+    kept is binary, as a run may begin or end within a character. `part` bytes of a text are looked at together;
+    ValueError where it, or another parameter, is not of use.
     """
     if not 0 < gram <= length < 1 << 15:
         raise ValueError("0 < gram <= length < 32768 is needed")
+    if not 2 * length < part <= MOST_PART:
+        raise ValueError(f"2 * length < part <= {MOST_PART} is needed")
+    if width < 1 or core_pieces < 1:
+        raise ValueError("width and core_pieces must be 1 or more")
     t = F.coalesce(F.col(text), F.lit(""))
-    told = docs.select(F.col(key).alias(key), F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.crc32(t).alias("mark"), t.alias("text"))
-    intervals = repeated_intervals(told.select("doc", "mark", "text"), length, gram, width, core_pieces, part)
-    per_doc = intervals.groupBy(F.col("doc").alias("__doc"), F.col("mark").alias("__mark")).agg(F.sort_array(F.collect_list(F.struct("low", "high"))).alias("found"))
-    per_doc = stored(per_doc, "intervals")
-    joined = told.join(per_doc, (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left").select(key, "text", "found")
+    told = docs.select(F.col(key).alias("__key"), F.xxhash64(F.col(key)).alias("doc"), F.xxhash64(t).alias("mark"), t.alias("text"))
+    per_doc = repeated_intervals(told.select("doc", "mark", "text"), length, gram, width, core_pieces, part).withColumnsRenamed({"doc": "__doc", "mark": "__mark"})
+    joined = told.join(per_doc, (F.col("doc") == F.col("__doc")) & (F.col("mark") == F.col("__mark")), "left").select("__key", "text", "found")
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +353,25 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", le
                 kept.append(b"".join(rest))
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("low", pa.int64()), ("high", pa.int64())]))), pa.array(kept, pa.binary())],
-                names=[key, "n_bytes", "n_removed", "spans", "kept"],
+                names=["__key", "n_bytes", "n_removed", "spans", "kept"],
             )
 
-    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes long, n_removed long, spans array<struct<low: long, high: long>>, kept binary")
+    out = joined.mapInArrow(run, f"__key {kind}, n_bytes long, n_removed long, spans array<struct<low: long, high: long>>, kept binary")
+    return out.withColumnRenamed("__key", key)
+
+
+#: The same in DuckDB's SQL.
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+blocks AS (SELECT rid, b, substr(h, 2 * b + 1, 2398) AS s FROM (SELECT rid, h, unnest(range(0, CAST(length(h) // 2 AS BIGINT), 1000)) AS b FROM d)),
+strings AS (SELECT rid, b + i AS pos, md5_number(substr(s, 2 * i + 1, 400)) AS k FROM (SELECT rid, b, s, unnest(range(0, least(1000, CAST(length(s) // 2 AS BIGINT) - 199))) AS i FROM blocks)),
+starts AS (SELECT rid, pos FROM strings SEMI JOIN (SELECT k FROM strings GROUP BY k HAVING count(*) > 1) USING (k)),
+gaps AS (SELECT rid, pos, CASE WHEN pos <= lag(pos) OVER (PARTITION BY rid ORDER BY pos) + 200 THEN 0 ELSE 1 END AS opens FROM starts),
+runs AS (SELECT rid, min(pos) AS low, max(pos) + 200 AS high FROM (SELECT rid, pos, sum(opens) OVER (PARTITION BY rid ORDER BY pos) AS run FROM gaps) GROUP BY rid, run),
+ends AS (SELECT rid, low, high, coalesce(lag(high) OVER (PARTITION BY rid ORDER BY low), 0) AS upto FROM runs),
+cut AS (
+  SELECT d.rid, CAST(count(low) AS BIGINT) AS n_spans, CAST(coalesce(sum(high - low), 0) AS BIGINT) AS n_removed,
+    coalesce(string_agg(substr(h, 2 * upto + 1, 2 * (low - upto)), '' ORDER BY low), '') AS kept, coalesce(max(high), 0) AS last
+  FROM d LEFT JOIN ends ON d.rid = ends.rid GROUP BY d.rid)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, n_removed, n_spans, sha256(unhex(concat(kept, substr(h, 2 * last + 1)))) AS kept_sha256 FROM d JOIN cut ON d.rid = cut.rid
+"""

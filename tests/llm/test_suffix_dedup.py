@@ -82,8 +82,47 @@ def test_short_alphabets_and_edits(llm):
     assert sorted(got(df, length=20, gram=7, width=5, part=100)) == small
 
 
+def thue_morse(n, one="a", two="b"):
+    text = one
+    while len(text) < n:
+        text += text.translate(str.maketrans({one: two, two: one}))
+    return text
+
+
+def test_texts_that_break_rolling_hashes(llm):
+    """A Thue-Morse text and its complement have equal polynomial hashes modulo 2^64, but share no long string."""
+    one, two = thue_morse(2048), thue_morse(2048, "b", "a")
+    texts = ["q" * 64 + one + "r" * 100, "q" * 64 + two + "r" * 100, one[100:1500], "xy" + two[:700]]
+    df = llm.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for length, options in ((2048, {"width": 35}), (2048, {"gram": 1024}), (300, {}), (200, {"core_pieces": 2})):
+        assert sorted(got(df, length=length, **options)) == sorted((k, *b) for k, b in enumerate(brute(texts, length))), (length, options)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_random_parameters(llm, seed):
+    """Texts made of a few blocks, so that strings repeat in many contexts; every core is split until it is small."""
+    rng = random.Random(seed)
+    blocks = ["".join(rng.choice("abcde") for _ in range(rng.randrange(5, 60))) for _ in range(8)] + ["z" * 50, "ab" * 30]
+    texts = ["".join(rng.choice(blocks) for _ in range(rng.randrange(40))) for _ in range(40)]
+    length = rng.randrange(20, 90)
+    options = {"gram": rng.randrange(4, length + 1), "width": rng.randrange(1, 60), "core_pieces": rng.choice([1, 2, 5, 50]), "part": rng.randrange(2 * length + 1, 900)}
+    df = llm.createDataFrame([(f"k{k}", t) for k, t in enumerate(texts)], "doc_id string, text string")
+    want = sorted((f"k{k}", *b) for k, b in enumerate(brute(texts, length)))
+    assert sorted(got(df, length=length, **options)) == want, (length, options)
+
+
+def test_rows_without_a_key_and_other_names(llm):
+    rng = random.Random(7)
+    base = "".join(rng.choice("abc") for _ in range(500))
+    texts = [base, base[:250] + "-" * 10 + base[250:], base[::-1], base]
+    df = llm.createDataFrame([(None, t, "x") for t in texts], "doc string, mark string, found string")
+    rows = suffix_dedup.without_repeats(df, "doc", "mark").collect()
+    want = sorted((n, removed) for n, removed, *_ in brute(texts, 200))
+    assert sorted((r["n_bytes"], r["n_removed"]) for r in rows) == want and rows[0]["doc"] is None
+
+
 def test_parameters(llm, nothing):
-    for bad in ({"gram": 0}, {"gram": 201}, {"length": 1 << 15}):
+    for bad in ({"gram": 0}, {"gram": 201}, {"length": 1 << 15}, {"part": 400}, {"part": 300}, {"part": (1 << 24) + 1}, {"width": 0}, {"core_pieces": 0}):
         with pytest.raises(ValueError):
             suffix_dedup.without_repeats(nothing, **bad)
     assert suffix_dedup.offset_ranges(200, 64, 35) == [(0, 34), (35, 69), (70, 104), (102, 136)]
