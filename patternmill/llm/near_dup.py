@@ -6,6 +6,8 @@ full, so every coordinate fills after 2t rounds at most and two sketches agree i
 probability of the sets' similarity, concentrated like independent coordinates. Rows that share a band of
 coordinates are candidates; the connected groups of candidates are brought together once, and links within a group
 are confirmed on the full sets. Equal sets are one class throughout, so copies are not compared with each other.
+A group too large for one task is first compared with the centres of its bands, which is linear; what that does not
+join into one component meets in pairs of blocks, but never blocks of the same component, nor of sizes too far apart.
 """
 
 from __future__ import annotations
@@ -14,16 +16,16 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from patternmill.llm.common import joinable, packed, slices
 from patternmill.llm.graph import components
-from patternmill.session import stored
+from patternmill.session import forget, stored
 
 #: 40 bands of 5 coordinates: a pair at 0.8 is missed with a probability of 1e-7 (32 bands of 6 do as well at 0.85).
 BANDS, ROWS = 40, 5
-#: Shingles that one task compares at most; groups that have more go to pairs of blocks.
+#: Shingles that one task compares, about; groups that have more are cut into blocks.
 TASK_SHINGLES = 1_500_000
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -107,122 +109,218 @@ def sketch_rows(df: DataFrame, key: str = "doc_id", text: str = "text", size: in
             hi, lo = [0] * len(sets), [0] * len(sets)
             if some:
                 full = [sets[k] for k in some]
-                starts = np.concatenate([[0], np.cumsum([len(s) for s in full])[:-1]])
-                joined = np.concatenate(full)
-                with np.errstate(over="ignore"):
-                    h1, h2 = (np.add.reduceat(mixed(joined, s), starts).view(np.int64).tolist() for s in (3, 4))
                 banded = band_keys(sketches(full, bands * rows), bands, rows).view(np.int64).tolist()
-                for k, a, b, c in zip(some, h1, h2, banded, strict=True):
+                for k, (a, b), c in zip(some, map(set_name, full), banded, strict=True):
                     hi[k], lo[k], keys[k] = a, b, c
             yield pa.RecordBatch.from_arrays(
                 [piece.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=[key, "n_shingles", "set_hi", "set_lo", "bands"],
             )
 
-    return df.select(F.col(key).cast("long").alias(key), text).mapInArrow(run, f"`{key}` long, n_shingles long, set_hi long, set_lo long, bands array<long>")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_shingles long, set_hi long, set_lo long, bands array<long>")
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[int]:
+def set_name(own: np.ndarray) -> tuple[int, int]:
+    """A 128-bit hash of a set."""
+    with np.errstate(over="ignore"):
+        return tuple(int(np.add.reduce(mixed(own, s)).view(np.int64)) for s in (3, 4))
+
+
+def shared_with(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each of the other sets (sorted, not empty) has in common with the one."""
+    joined = np.concatenate(others)
+    place = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+    return np.add.reduceat((own[place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(c) for c in others])[:-1]]))
+
+
+def linked(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
     """For each set (sorted, distinct, non-empty) the label of its component under 100 * shared >= percent * united.
 
-    Sets come by size, and each meets the earlier ones that are large enough and not yet in its component, near sizes
-    first; so all links count, but pairs that would change nothing are not compared.
+    Sets with equal numbers in `known` are in one component already. Sets come by size, and each meets the earlier ones
+    that are large enough and not yet in its component, near sizes first; so all links count, but pairs that would
+    change nothing are not compared.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
-    label = np.arange(m)
+    label = np.arange(m) if known is None else np.unique(np.array(known), return_inverse=True)[1][order]
     for k in range(1, m):
-        own = sets[order[k]]
         low = int(np.searchsorted(sizes * 100, percent * sizes[k]))
         end = k
-        while end > low:
+        while end > low and not (label[low:end] == label[k]).all():
             start = max(low, end - (4 if end == k else 64))
-            rest = [j for j in range(start, end) if label[j] != label[k]]
+            rest = start + np.flatnonzero(label[start:end] != label[k])
             end = start
-            if not rest:
+            if not len(rest):
                 continue
-            cut = [sets[order[j]] for j in rest]
-            joined = np.concatenate(cut)
-            at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
-            shared = np.add.reduceat((own[at] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(c) for c in cut])[:-1]]))
-            for j, both in zip(rest, shared.tolist(), strict=True):
-                if 100 * both >= percent * (sizes[k] + sizes[j] - both) and label[j] != label[k]:
-                    label[label == label[j]] = label[k]
-            if (label[low:k] == label[k]).all():
-                break
+            shared = shared_with(sets[order[k]], [sets[order[j]] for j in rest])
+            for j in rest[100 * shared >= percent * (sizes[k] + sizes[rest] - shared)]:
+                label[label == label[j]] = label[k]
     out = [0] * m
     for k, j in enumerate(order.tolist()):
         out[j] = int(label[k])
     return out
 
 
-def confirmed_links(members: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, task_shingles: int) -> DataFrame:
-    """Links (a, b) that span the components of each candidate group; members: (key, n_shingles, set_hi, set_lo, group)."""
-    groups = members.groupBy("group").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("blocks"))
-    cut = members.join(joinable(groups), "group").withColumn("block", F.pmod(F.xxhash64(key), F.col("blocks")).cast("int"))
-    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        F.col(key).alias("__key"), "set_hi", "set_lo", "group", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second")
-    )
-    held = docs.select(F.col(key).cast("long").alias(key), text).join(joinable(dealt), F.col(key) == F.col("__key"))
+def _texts(held: DataFrame, dealt: DataFrame) -> DataFrame:
+    """The texts of the rows that are dealt out."""
+    return held.select("__id", "__text").join(joinable(dealt), "__id")
+
+
+def star_links(stars: DataFrame, members: DataFrame, held: DataFrame, size: int, percent: int, task_shingles: int) -> DataFrame:
+    """The pairs (a, b) of (__id, center) that are linked; the rows of a centre are dealt over as many tasks as they need."""
+    sized = stars.join(members.select("__id", "n_shingles"), "__id")
+    parts = sized.groupBy("center").agg(F.ceil(F.sum("n_shingles") / task_shingles).cast("int").alias("parts"))
+    dealt = sized.join(joinable(parts), "center").select("__id", "center", F.pmod(F.xxhash64("__id"), "parts").cast("int").alias("part"))
+    own = parts.select(F.col("center").alias("__id"), "center", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+
+    def run(told: pa.Table) -> pa.Table:
+        ids, center = told.column("__id").to_pylist(), told.column("center")[0].as_py()
+        sets = [shingles(t, size) for t in told.column("__text").to_pylist()]
+        mine = sets[ids.index(center)]
+        rest = [k for k, i in enumerate(ids) if i != center]
+        lengths = np.array([len(sets[k]) for k in rest], np.int64)
+        shared = shared_with(mine, [sets[k] for k in rest]) if rest else lengths
+        near = [ids[k] for k, ok in zip(rest, (100 * shared >= percent * (len(mine) + lengths - shared)).tolist(), strict=True) if ok]
+        return pa.table({"a": pa.array(near, pa.int64()), "b": pa.array([center] * len(near), pa.int64())})
+
+    return _texts(held, dealt.unionByName(own)).groupBy("center", "part").applyInArrow(run, "a long, b long")
+
+
+def block_links(dealt: DataFrame, held: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) that span the components among the rows (__id, label, first, second) with one first and second; equal labels are linked already."""
 
     def run(told: pa.Table) -> pa.Table:
-        seen: set[tuple[int, int]] = set()
-        ids, sets = [], []
-        for row in told.to_pylist():
-            own = shingles(row[text], size)
-            with np.errstate(over="ignore"):
-                name = tuple(int(np.add.reduce(mixed(own, s)).view(np.int64)) for s in (3, 4)) if len(own) else (0, 0)
-            if name == (row["set_hi"], row["set_lo"]) and name not in seen and len(own):
-                seen.add(name)
-                ids.append(row[key])
-                sets.append(own)
+        ids = told.column("__id").to_pylist()
+        labels = linked([shingles(t, size) for t in told.column("__text").to_pylist()], percent, told.column("label").to_pylist())
         least: dict[int, int] = {}
-        labels = linked(sets, percent)
         for k, name in zip(ids, labels, strict=True):
             least[name] = min(k, least.get(name, k))
         pairs = [(k, least[name]) for k, name in zip(ids, labels, strict=True) if k != least[name]]
         return pa.table({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
 
-    return held.select(key, text, "set_hi", "set_lo", "group", "first", "second").groupBy("group", "first", "second").applyInArrow(run, "a long, b long")
+    return _texts(held, dealt).groupBy("first", "second").applyInArrow(run, "a long, b long")
+
+
+def meetings(members: DataFrame, percent: int, task_shingles: int) -> DataFrame:
+    """Rows (__id, label, first, second) by which the members (__id, n_shingles, group, label) of large groups meet in pairs of blocks.
+
+    Blocks hold one class of sizes; sets that are linked lie in the same or the next class. A component with more than
+    a block has blocks of its own, which do not meet each other; all others share blocks.
+    """
+    several = members.groupBy("group").agg((F.min("label") != F.max("label")).alias("several")).where("several").select("group")
+    classed = members.join(joinable(several), "group").withColumn("kind", F.floor(F.ln("n_shingles") / F.lit(-1.001 * float(np.log(percent / 100)) if percent < 100 else 1.0)))
+    by_label = classed.groupBy("group", "kind", "label").agg(F.sum("n_shingles").alias("n")).withColumn("own", F.when(F.col("n") > task_shingles, F.col("label")).otherwise(-1))
+    units = by_label.groupBy("group", "kind", "own").agg(F.ceil(F.sum("n") / task_shingles).cast("int").alias("parts"))
+    blocked = (
+        classed.join(joinable(by_label.select("group", "kind", "label", "own")), ["group", "kind", "label"])
+        .join(joinable(units), ["group", "kind", "own"])
+        .withColumn("part", F.pmod(F.xxhash64(F.when(F.col("own") < 0, F.col("label")).otherwise(F.col("__id"))), "parts").cast("int"))
+    )
+    name = F.struct("group", "kind", "own", "part")
+    blocks = units.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("group", name.alias("block"))
+    other = blocks.select("group", F.col("block").alias("second"))
+    near = (F.col("first") <= F.col("second")) & (F.abs(F.col("first.kind") - F.col("second.kind")) <= 1) & ((F.col("first.own") < 0) | (F.col("first.own") != F.col("second.own")))
+    met = blocks.withColumnRenamed("block", "first").join(other, "group").where(near).select("first", "second", F.explode(F.array_distinct(F.array("first", "second"))).alias("block"))
+    return blocked.select("__id", "label", name.alias("block")).join(joinable(met), "block").select("__id", "label", "first", "second")
+
+
+def confirmed_links(members: DataFrame, stars: DataFrame, held: DataFrame, size: int, percent: int, task_shingles: int) -> DataFrame:
+    """Links (a, b) that span the components of each candidate group; members: (__id, n_shingles, group), stars: (__id, center)."""
+    groups = members.groupBy("group").agg((F.sum("n_shingles") > task_shingles).alias("large"))
+    cut = stored(members.join(joinable(groups), "group"), "groups")
+    small = cut.where("NOT large").select("__id", F.col("__id").alias("label"), F.col("group").alias("first"), F.col("group").alias("second"))
+    links = stored(block_links(small, held, size, percent), "links")
+    large = cut.where("large")
+    if not large.limit(1).count():
+        forget(cut)
+        return links
+    first = stored(star_links(stars.join(large.select("__id"), "__id"), large, held, size, percent, task_shingles), "links")
+    label = components(first)
+    labelled = stored(large.join(label.select(F.col("node").alias("__id"), F.col("component").alias("label")), "__id", "left").withColumn("label", F.coalesce("label", "__id")), "labelled")
+    rest = stored(block_links(meetings(labelled, percent, task_shingles), held, size, percent), "links")
+    every = stored(links.unionByName(first).unionByName(rest), "links")
+    forget(cut, links, first, labelled, rest)
+    return every
+
+
+def component_rows(held: DataFrame, size: int, percent: int, bands: int, rows: int, task_shingles: int) -> DataFrame:
+    """Stored (__id, n_shingles, node, least) for each row of held (__id, __key, __text): its component and the smallest key in it.
+
+    held must be a written table, with whole numbers of their own as __id. An empty set is in no component (node null).
+    """
+    sketched = stored(sketch_rows(held, "__id", "__text", size, bands, rows), "sketches")
+    keyed = sketched.drop("bands").join(held.select("__id", "__key"), "__id").where("n_shingles > 0")
+    classes = stored(keyed.groupBy("set_hi", "set_lo").agg(F.min("__key").alias("least"), F.min("__id").alias("__id")), "classes")
+    chosen = stored(sketched.select("__id", "n_shingles", "bands").join(classes.select("__id"), "__id"), "chosen")
+    banded = chosen.select("__id", F.explode("bands").alias("band"))
+    centers = banded.groupBy("band").agg(F.min("__id").alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
+    stars = stored(banded.join(centers, "band").where(F.col("__id") != F.col("center")).select("__id", "center").distinct(), "stars")
+    grouped = components(stars, "__id", "center")
+    members = stored(chosen.drop("bands").join(grouped.select(F.col("node").alias("__id"), F.col("component").alias("group")), "__id"), "candidates")
+    links = confirmed_links(members, stars, held, size, percent, task_shingles)
+    label = components(links)
+    named = classes.join(label.select(F.col("node").alias("__id"), "component"), "__id", "left").select("set_hi", "set_lo", "least", F.coalesce("component", "__id").alias("node"))
+    smallest = named.groupBy("node").agg(F.min("least").alias("least"))
+    named = stored(named.drop("least").join(smallest, "node"), "components")
+    out = stored(sketched.select("__id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("set_hi")).alias("set_hi"), "set_lo").join(named, ["set_hi", "set_lo"], "left").select("__id", "n_shingles", "node", "least"), "verdicts")
+    forget(sketched, classes, chosen, stars, members, links, named)
+    return out
 
 
 def near_duplicates(
     docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, task_shingles: int = TASK_SHINGLES
 ) -> DataFrame:
-    """(key, n_shingles, component_id, kept) for each row.
+    """(key, n_shingles, component_id, kept) for each row; the key may be of any type that has an order.
 
     Rows are linked if their shingle sets share percent / 100 of what they unite; component_id is the smallest key
     that can be reached. Texts without words have the empty set, are linked with nothing and kept. Repeated rows get
-    the same values. A row without a key joins no group by itself but gets the component of its set; it is kept only
-    if there is none. Other columns do not matter.
+    the same values. A row without a key is linked like any other and gets the smallest key of its component; it is
+    kept only if there is none. A key with several texts is in the component of each. Other columns do not matter.
     """
-    told = stored(sketch_rows(docs, key, text, size, bands, rows), "sketches")
-    own = F.col(key)
-    classes = told.where((F.col("n_shingles") > 0) & own.isNotNull()).groupBy("set_hi", "set_lo").agg(F.min(key).alias(key))
-    chosen = stored(told.join(classes, ["set_hi", "set_lo", key]).dropDuplicates([key, "set_hi", "set_lo"]), "classes")
-    banded = chosen.select(key, F.explode("bands").alias("band"))
-    centers = banded.groupBy("band").agg(F.min(key).alias("center"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = banded.join(centers, "band").where(own != F.col("center"))
-    grouped = components(pairs, key, "center")
-    members = stored(chosen.drop("bands").join(grouped.select(F.col("node").alias(key), F.col("component").alias("group")), key), "candidates")
-    links = stored(confirmed_links(members, docs, key, text, size, percent, task_shingles), "links")
-    label = components(links)
-    named = chosen.select("set_hi", "set_lo", key).join(label.select(F.col("node").alias(key), "component"), key, "left")
-    named = stored(named.select("set_hi", "set_lo", F.coalesce("component", key).alias("component_id")), "components")
-    # A key with two different texts stands for two sets; each set keeps its own smallest component.
-    joined = told.drop("bands").join(named, ["set_hi", "set_lo"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(own)
-    return joined.select(key, "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(own == F.col("component_id"), F.col("component_id").isNull()))
+    held = stored(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"), F.monotonically_increasing_id().alias("__id")), "texts")
+    found = component_rows(held, size, percent, bands, rows, task_shingles)
+    joined = held.select("__id", "__key").join(found, "__id")
+    component = F.when(F.col("node").isNull(), F.col("__key")).otherwise(F.col("least"))
+    out = joined.select(F.col("__key").alias(key), "n_shingles", component.alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.col("component_id").isNull()))
 
 
 def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one for each component: that with the smallest doc_id; of rows that share it, the first by text.
+    """The rows of docs, one for each component: that with the smallest doc_id, one without a doc_id only if there is no other.
 
-    Rows without a doc_id are kept, once for each text, if their set is in no component with one.
+    Of rows that share it the one with the smallest hash of the text stays. Rows without words are kept.
     """
-    verdicts = near_duplicates(docs, size=size, percent=percent).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    held = packed(docs, "doc_id", "text").join(verdicts, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
-    first = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))).orderBy("text")
-    return held.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("__row.*")
+    held = stored(packed(docs, docs["doc_id"].alias("__key"), docs["text"].alias("__text"), F.monotonically_increasing_id().alias("__id")).withColumn("__row", F.col("__row").dropFields("text")), "texts")
+    found = component_rows(held, size, percent, BANDS, ROWS, TASK_SHINGLES)
+    told = held.select("__id", "__key", F.xxhash64("__text").alias("__mark")).join(found, "__id")
+    order = F.struct(F.col("__key").isNull(), "__key", "__mark", "__id")
+    first = told.where("node IS NOT NULL").groupBy("node").agg(F.min(order).alias("first")).select(F.col("first.__id").alias("__id"))
+    kept = stored(first.unionByName(told.where("node IS NULL").select("__id")), "kept")
+    forget(found)
+    names = [F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
+    return held.join(joinable(kept), "__id", "left_semi").select(*names)
+
+
+#: The same in DuckDB's SQL.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT rid, md5_number(concat_ws(chr(0), CAST(least(len(ws), 3) AS VARCHAR), ws[i], CASE WHEN len(ws) > 1 THEN ws[i + 1] END, CASE WHEN len(ws) > 2 THEN ws[i + 2] END)) AS k
+  FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 1, 2))) AS i FROM d WHERE len(ws) > 0)),
+n AS (SELECT rid, CAST(count(*) AS BIGINT) AS n_shingles, md5(string_agg(CAST(k AS VARCHAR), ',' ORDER BY k)) AS name FROM s GROUP BY rid),
+c AS (SELECT name, min(rid) AS rid, any_value(n_shingles) AS n FROM n GROUP BY name),
+t AS (SELECT s.rid, k, n, count(*) OVER (PARTITION BY k) AS often FROM s JOIN c ON c.rid = s.rid),
+o AS (SELECT rid, k, n, row_number() OVER (PARTITION BY rid ORDER BY often, k) AS place FROM t),
+p AS (SELECT rid, k, n FROM o WHERE place <= n - CAST(ceil(85 * n / 100.0) AS BIGINT) + 1),
+cand AS (SELECT DISTINCT a.rid AS a, b.rid AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.k = b.k AND a.rid < b.rid AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+both_have AS (SELECT a, b, any_value(na) AS na, any_value(nb) AS nb, count(*) AS both_n FROM cand JOIN s x ON x.rid = a JOIN s y ON y.rid = b AND x.k = y.k GROUP BY a, b),
+link AS (SELECT a, b FROM both_have WHERE 100 * both_n >= 85 * (na + nb - both_n)),
+edge AS (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+reach AS (SELECT rid AS a, rid AS b FROM c UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+label AS (SELECT a, min(doc_id) AS component_id FROM reach JOIN c ON c.rid = reach.b JOIN n ON n.name = c.name JOIN d ON d.rid = n.rid GROUP BY a)
+SELECT d.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, CASE WHEN n.rid IS NULL THEN d.doc_id ELSE component_id END AS component_id,
+  (d.doc_id = CASE WHEN n.rid IS NULL THEN d.doc_id ELSE component_id END) AS kept
+FROM d LEFT JOIN n ON n.rid = d.rid LEFT JOIN c ON c.name = n.name LEFT JOIN label ON label.a = c.rid
+"""

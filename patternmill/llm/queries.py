@@ -83,5 +83,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_suffix_dedup": suffix_dedup.ORACLE_SQL,
+    "op4_warc": warc_zip.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
+    "op8_near_dup": near_dup.ORACLE_SQL,
 }

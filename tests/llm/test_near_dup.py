@@ -1,15 +1,17 @@
 from __future__ import annotations
 
+import os
 import random
+from collections import Counter
 
 import numpy as np
+import oracle
 import pytest
 
-from patternmill.llm import near_dup
+from patternmill.llm import near_dup, queries
 from patternmill.llm.graph import components
 
 
-
 def sets_of(texts, size):
     out = []
     for t in texts:
@@ -123,3 +125,55 @@ def test_components(llm):
     rows = components(llm.createDataFrame(edges, "a long, b long")).collect()
     assert {r["node"]: r["component"] for r in rows} == {x: find(x) for x in parent} and len(rows) == len(parent)
     assert components(llm.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_text_keys_and_rows_without_a_key(llm):
+    """Keys of any order; a row without a key links the texts on both its sides."""
+    words = [f"w{k}" for k in range(60)]
+    near = lambda n: " ".join(words[n:] + [f"x{k}" for k in range(n)])
+    rows = [("b", near(0)), (None, near(2)), ("a10", near(4)), ("a9", near(40)), (None, near(40)), (None, "nothing like it"), (None, "nothing like it"), ("z", None), ("z", "")]
+    df = llm.createDataFrame(rows, "doc_id string, text string")
+    assert got(df) == brute(rows, 5, 80) and ("b", 56, "a10") in got(df)
+    kept = Counter((r["doc_id"], r["text"]) for r in near_dup.kept_documents(df).collect())
+    assert kept == Counter([("a10", near(4)), ("a9", near(40)), (None, "nothing like it"), ("z", None), ("z", "")])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_large_groups_of_several_components(llm, seed):
+    """Clusters of unlike sizes that share passages; one block holds few sets."""
+    rng = random.Random(seed)
+    common = [f"c{k}" for k in range(150)]
+    rows = []
+    for c in range(8):
+        base = common[: rng.randrange(60, 150)] + [f"b{c}_{k}" for k in range(rng.randrange(10, 80))]
+        for _ in range(12):
+            own = list(base)
+            for _ in range(rng.randrange(4)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(own[: len(own) - rng.randrange(20)])))
+    df = llm.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows, 3, 85)
+    assert 1 < len({c for *_, c in want}) < len(rows) / 2
+    for task_shingles in (300, 3000):
+        assert got(df, size=3, percent=85, bands=32, rows=6, task_shingles=task_shingles) == want
+
+
+def test_recall_on_all_documents(llm, sf):
+    """Links between different texts of 1,000 documents, found and in truth."""
+    docs = llm.read.parquet(f"{os.path.dirname(sf.rstrip('/'))}/sf0.01/documents.parquet")
+    told = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = sets_of([t for _, t in told], 3)
+    holders: dict = {}
+    for k, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(k)
+    shared = Counter((a, b) for those in holders.values() if len(those) < 200 for i, a in enumerate(those) for b in those[:i])
+    links = [(a, b) for (a, b), n in shared.items() if 100 * n >= 85 * (len(sets[a]) + len(sets[b]) - n)]
+    unlike = [(a, b) for a, b in links if sets[a] != sets[b]]
+    component = {d: c for d, _, c in got(docs, size=3, percent=85, bands=32, rows=6)}
+    assert len(unlike) > 10 and all(component[told[a][0]] == component[told[b][0]] for a, b in links)
+
+
+@pytest.mark.parametrize("query", ["op3_suffix_dedup", "op4_warc", "op8_near_dup"])
+def test_queries_equal_their_sql(llm, sf, query):
+    assert not oracle.difference(queries.QUERIES[query](llm, sf).toPandas(), oracle.connection(sf).execute(queries.ORACLE_SQL[query]).df())
