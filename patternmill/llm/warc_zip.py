@@ -16,6 +16,7 @@ import zipfile
 import zlib
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +31,11 @@ END_SIZE, LOCATOR_SIZE, CENTRAL_SIZE, LOCAL_SIZE, ZIP64_EXTRA = 22, 20, 46, 30,
 MAX16, MAX32 = 0xFFFF, 0xFFFFFFFF
 
 DATA, INDEX, PACKAGE = "archive/data.warc.gz", "indexes/index.cdxj", "datapackage.json"
-RECORD_URN, NO_URL = "urn:patternmill:page:", "urn:patternmill:none"
+RECORD_URN, NO_URL, NO_PAGE = "urn:patternmill:page:", "urn:patternmill:none", "urn:patternmill:no-page"
 DATE = "2020-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Bytes of payload that a task reads back, about, and the most tasks for that.
+TASK_BYTES, MOST_TASKS = 256 << 20, 50_000
 
 
 class BadArchive(ValueError):
@@ -140,20 +143,24 @@ def _clean(value: str) -> str:
     return value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") if any(c in value for c in "\r\n") else value
 
 
-def make_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _urn(page_id: str | int | None) -> str:
+    return NO_PAGE if page_id is None else RECORD_URN + quote(str(page_id), safe="")
+
+
+def make_record(page_id: str | int | None, url: str | None, payload: bytes, digest: str, refers_to: str | int | None) -> bytes:
     """A response record, or a revisit record (HTTP headers only) if refers_to is given."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http + payload if refers_to is None else http
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
-        f"WARC-Record-ID: <{RECORD_URN}{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: <{_urn(page_id)}>",
         f"WARC-Target-URI: {_clean(url) if url else NO_URL}",
         f"WARC-Date: {DATE}",
         f"WARC-Payload-Digest: sha-256:{digest}",
     ]
     if refers_to is not None:
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{RECORD_URN}{refers_to}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_urn(refers_to)}>"]
     lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
 
@@ -205,15 +212,15 @@ def read_archive(uri: str, gap: int = 4 << 20) -> Iterator[dict]:
         source.close()
 
 
-def _page(urn: str | None) -> int | None:
-    value = (urn or "").strip("<>").removeprefix(RECORD_URN)
-    return int(value) if value else None
+def _page(urn: str | None) -> str | None:
+    name = (urn or "").strip("<>")
+    return unquote(name.removeprefix(RECORD_URN)) if name.startswith(RECORD_URN) else None
 
 
 def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 16 << 20, zip64: bool = False) -> DataFrame:
-    """Write rows of (page_id, url, payload binary, digest, refers_to) to archives; one row (uri, records) per archive.
+    """Write rows of (page_id, url, payload binary, digest, refers_to) to archives; one row (uri, records, bytes of payload) per archive.
 
-    Each attempt of a task writes under names of its own, and only the archives in the returned table count, so a task
+    page_id and refers_to are written as text. Each attempt of a task writes under names of its own, and only the archives in the returned table count, so a task
     that is run again does no harm. A worker holds `archive_bytes` of payload, or one payload that is larger.
     """
 
@@ -228,7 +235,7 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 16 << 20,
             name = f"{uuid.uuid4().hex}.wacz"
             with system.open_output_stream(f"{path}/{name}") as out:
                 out.write(pack_archive(records, urls, zip64))
-            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(records)], pa.int64())], names=["uri", "records"])
+            return pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([len(records)], pa.int64()), pa.array([size], pa.int64())], names=["uri", "records", "bytes"])
 
         for batch in slices(batches, "payload", archive_bytes):
             for row in batch.to_pylist():
@@ -242,11 +249,12 @@ def write_archives(pages: DataFrame, folder: str, archive_bytes: int = 16 << 20,
         if records:
             yield flush()
 
-    return pages.select("page_id", "url", "payload", "digest", "refers_to").mapInArrow(run, "uri string, records long")
+    text = lambda c: F.col(c).cast("string").alias(c)
+    return pages.select(text("page_id"), "url", "payload", "digest", text("refers_to")).mapInArrow(run, "uri string, records long, bytes long")
 
 
-RECORD_FIELDS = {"uri": pa.string(), "offset": pa.int64(), "length": pa.int64(), "warc_type": pa.string(), "page_id": pa.int64(), "refers_to": pa.int64(), "target_uri": pa.string(), "declared_bytes": pa.int64(), "declared_digest": pa.string(), "payload": pa.binary()}
-RECORD_DDL = "uri string, offset long, length long, warc_type string, page_id long, refers_to long, target_uri string, declared_bytes long, declared_digest string, payload binary"
+RECORD_FIELDS = {"uri": pa.string(), "offset": pa.int64(), "length": pa.int64(), "warc_type": pa.string(), "page_id": pa.string(), "refers_to": pa.string(), "target_uri": pa.string(), "declared_bytes": pa.int64(), "declared_digest": pa.string(), "payload": pa.binary()}
+RECORD_DDL = "uri string, offset long, length long, warc_type string, page_id string, refers_to string, target_uri string, declared_bytes long, declared_digest string, payload binary"
 
 
 def read_records(archives: DataFrame, uri: str = "uri") -> DataFrame:
@@ -284,11 +292,11 @@ def read_records(archives: DataFrame, uri: str = "uri") -> DataFrame:
 def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
     """Add payload, digest and refers_to: of equal payloads of `least` bytes or more, all but the smallest page_id refer to it.
 
-    A null html is an empty payload. Rows that share the smallest page_id of their payload are all responses; a null
+    page_id may be of any type that has an order. A null html is an empty payload. Rows that share the smallest page_id of their payload are all responses; a null
     page_id refers to the smallest one there is, and is a response if all are null. Only digests that occur twice are
     joined back, by broadcast if they are few, else by a shuffle that AQE can split.
     """
-    own = pages.select(F.col("page_id").cast("long"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
+    own = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     first = own.where(F.octet_length("payload") >= least).groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("copies")).where("copies > 1 AND first_id IS NOT NULL").drop("copies")
     first = stored(first, "warc-first")
     joined = own.join(joinable(first), "digest", "left")
@@ -296,17 +304,28 @@ def mark_revisits(pages: DataFrame, least: int = 100) -> DataFrame:
 
 
 def round_trip(pages: DataFrame, archive_bytes: int = 16 << 20) -> DataFrame:
-    """Write all pages to archives in the shared folder, then read the records back."""
-    spark = pages.sparkSession
+    """Write all pages to archives in the shared folder, then read the records back: (page_id, payload_bytes, payload_digest, record_type, refers_to, url)."""
+    spark, kind = pages.sparkSession, pages.schema["page_id"].dataType
     written = stored(write_archives(mark_revisits(pages), fresh_path(spark, "warc"), archive_bytes), "warc-archives")
-    records = read_records(written.repartition(max(1, written.count())))
+    told = written.agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")).first()
+    tasks = min(told["n"], MOST_TASKS, max(2 * spark.sparkContext.defaultParallelism, -(-(told["bytes"] or 0) // TASK_BYTES)))
+    records = read_records(written.repartition(max(1, tasks)))
     return records.select(
-        "page_id",
+        F.col("page_id").cast(kind).alias("page_id"),
         F.coalesce(F.octet_length("payload"), "declared_bytes").cast("long").alias("payload_bytes"),
         F.coalesce(F.sha2("payload", 256), "declared_digest").alias("payload_digest"),
         F.col("warc_type").alias("record_type"),
-        "refers_to",
+        F.col("refers_to").cast(kind).alias("refers_to"),
         F.col("target_uri").alias("url"),
-        F.col("offset").alias("record_offset"),
-        F.col("length").alias("record_length"),
     )
+
+
+#: The same in DuckDB's SQL.
+ORACLE_SQL = r"""
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, url, encode(coalesce(html, '')) AS b FROM pages),
+k AS (SELECT *, CAST(octet_length(b) AS BIGINT) AS n, sha256(b) AS digest FROM p),
+f AS (SELECT digest, min(page_id) AS first_id FROM k WHERE n >= 100 GROUP BY digest)
+SELECT page_id, n AS payload_bytes, k.digest AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to, url
+FROM k LEFT JOIN f ON k.digest = f.digest
+"""
