@@ -1,7 +1,8 @@
 """Mix sources to target weights by drawing fixed-length blocks.
 
 The words of each source are packed into blocks of a fixed number of words, documents one after the other within
-groups of documents; blocks are numbered through a source. An output shard is a fixed number of block slots, and how
+groups of documents; blocks are numbered through a source. Blocks of large sources are longer, so that there are no more
+of them than it takes to come near a target. An output shard is a fixed number of block slots, and how
 many of its slots each source gets is a multinomial draw by the sources' quotas; draws beyond a quota go to sources
 that drew less, so each source ends with its quota. The slots of a source, numbered through, map to its blocks by a
 pseudorandom permutation of block numbers, another one for each time round; slots and blocks then join by number.
@@ -16,21 +17,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from patternmill.llm.common import WORD, fenced, joinable, packed, running_total, small_enough, text_mark
-from patternmill.session import stored
+from patternmill.session import forget, stored
 
 #: Weights of the sources in code point order, again and again; and all sources' share of all words.
 WEIGHTS, SHARE, MOST = (5.0, 2.0, 1.0), 1.5, 2.0
-BLOCK_WORDS = 32
+#: Words in a block, and the most that blocks of very large sources have; a source has this many blocks before its blocks grow.
+BLOCK_WORDS, MOST_BLOCK_WORDS, MANY_BLOCKS = 32, 2048, 1 << 16
 SHARD_SLOTS = 1024
 GROUP_DOCS = 2048
 ROUNDS = 12
-#: Rows that one task makes of few, about.
-TASK_ROWS = 100_000
+#: Rows that one task makes of few, about, and the most tasks for that.
+TASK_ROWS, MOST_TASKS = 100_000, 20_000
 
 
 class Mix(NamedTuple):
     documents: DataFrame  # source_no, doc_id, source, size, group, offset (size > 0)
-    sources: DataFrame  # source_no, source, source_size, target, blocks, quota
+    sources: DataFrame  # source_no, source, source_size, target, block_words, blocks, quota
     pieces: DataFrame  # source_no, doc_id, size, group, offset, block, start, words
     slots: DataFrame  # shard, source_no, block
     empty: DataFrame  # source_no, doc_id, source of documents without words
@@ -38,7 +40,13 @@ class Mix(NamedTuple):
 
 def spread(df: DataFrame, rows: int) -> DataFrame:
     """df over as many partitions as the rows that will be made of it ask for; a small table is one partition when read."""
-    return df.repartition(max(1, -(-rows // TASK_ROWS)))
+    return df.repartition(min(MOST_TASKS, max(1, -(-rows // TASK_ROWS))))
+
+
+def block_length(size: Column) -> Column:
+    """Words in a block of a source of that many: BLOCK_WORDS, doubled as often as leaves it MANY_BLOCKS, up to MOST_BLOCK_WORDS."""
+    doubled = F.floor(F.log2(F.greatest(size, F.lit(1)) / (BLOCK_WORDS * MANY_BLOCKS)))
+    return F.least(F.lit(MOST_BLOCK_WORDS), F.shiftleft(F.lit(BLOCK_WORDS), F.least(F.lit(30), F.greatest(F.lit(0), doubled)).cast("int"))).cast("long")
 
 
 def unit(*parts: Column) -> Column:
@@ -101,28 +109,29 @@ def located(df: DataFrame, value: str, spans: DataFrame, first: str, end: str, t
     return df.withColumn("__cell", F.floor(F.col(value) / width)).join(joinable(cut), "__cell").where((F.col(value) >= F.col(first)) & (F.col(value) < F.col(end))).drop("__cell")
 
 
-def pack_blocks(sizes: DataFrame, sources: DataFrame, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
+def pack_blocks(sizes: DataFrame, sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Number the words of each source in blocks: (documents with offsets, groups with their blocks and first block).
 
     Documents go to groups of about GROUP_DOCS by hash, so no window holds a whole source; each group starts a block.
     A column mark, if there, is kept and settles ties.
     """
     mark = [c for c in sizes.columns if c == "mark"]
-    told = sources.select(F.col("source").alias("__source"), "source_no", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / GROUP_DOCS)).alias("__groups"))
+    told = sources.select(F.col("source").alias("__source"), "source_no", "block_words", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / GROUP_DOCS)).alias("__groups"))
     joined = sizes.join(joinable(told), F.col("source").eqNullSafe(F.col("__source"))).where("size > 0")
     group = F.pmod(F.xxhash64(F.lit("group"), "doc_id", "size"), F.col("__groups"))
     within = Window.partitionBy("source_no", "group").orderBy("doc_id", "size", *mark).rowsBetween(Window.unboundedPreceding, -1)
-    documents = joined.withColumn("group", group).withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long")).select("source_no", "doc_id", *mark, "source", "size", "group", "offset")
+    documents = joined.withColumn("group", group).withColumn("offset", F.coalesce(F.sum("size").over(within), F.lit(0)).cast("long")).select("source_no", "doc_id", *mark, "source", "size", "group", "offset", "block_words")
     documents = stored(documents, "mix-documents")
-    groups = documents.groupBy("source_no", "group").agg(F.ceil(F.sum("size") / block_words).cast("long").alias("blocks"))
+    groups = documents.groupBy("source_no", "group").agg(F.ceil(F.sum("size") / F.min("block_words")).cast("long").alias("blocks"))
     return documents, stored(running_total(groups, ["source_no"], "group", "blocks", "base"), "mix-groups")
 
 
-def block_pieces(documents: DataFrame, groups: DataFrame, blocks: int, block_words: int = BLOCK_WORDS) -> DataFrame:
+def block_pieces(documents: DataFrame, groups: DataFrame, blocks: int) -> DataFrame:
     """The pieces of documents in blocks; blocks: how many there are in all."""
     mark = [c for c in documents.columns if c == "mark"]
-    first, last = F.floor(F.col("offset") / block_words), F.floor((F.col("offset") + F.col("size") - 1) / block_words)
-    low, high = F.greatest("offset", F.col("__b") * block_words), F.least(F.col("offset") + F.col("size"), (F.col("__b") + 1) * block_words)
+    n = F.col("block_words")
+    first, last = F.floor(F.col("offset") / n), F.floor((F.col("offset") + F.col("size") - 1) / n)
+    low, high = F.greatest("offset", F.col("__b") * n), F.least(F.col("offset") + F.col("size"), (F.col("__b") + 1) * n)
     return (
         spread(documents.drop("source"), blocks)
         .join(joinable(groups.select("source_no", "group", "base")), ["source_no", "group"])
@@ -167,7 +176,7 @@ def mix(docs: DataFrame, seed: int = 1, text: str = "text", marked: bool = False
     """
     mark = [text_mark(text).alias("mark")] if marked else []
     sizes = stored(docs.select("doc_id", *mark, "source", F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit(WORD)).cast("long").alias("size")), "mix-sizes")
-    targets = stored(source_targets(sizes), "mix-targets")
+    targets = stored(source_targets(sizes).withColumn("block_words", block_length(F.col("source_size"))), "mix-targets")
     documents, groups = pack_blocks(sizes, targets)
     blocks = groups.groupBy("source_no").agg(F.sum("blocks").cast("long").alias("blocks"))
     quota = F.least(F.round(F.col("target") * F.col("blocks") / F.col("source_size")), MOST * F.col("blocks")).cast("long")
