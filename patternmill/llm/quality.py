@@ -118,9 +118,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of docs (source, text and any others) that are kept; the rules are reckoned twice, no text is shuffled."""
-    _, hosts = verdicts_of(docs.select(F.lit(0).alias("doc_id"), "source", "text"), limit=limit)
-    return judge(document_rules(packed(docs, "source", "text")), hosts).where("kept").select("__row.*")
+    """The rows of docs (source, text and any others) that are kept. The rules are reckoned once; no text is shuffled."""
+    ruled = document_rules(packed(docs, "source", "text"))
+    rules = stored(ruled.select(F.when(~F.col("base_failed"), F.col("__row")).alias("__row"), "source", "base_failed"), "rules")
+    hosts = host_counts(rules)
+    verdicts = stored(host_verdicts(hosts, fit_prior(hosts), limit), "hosts")
+    return judge(rules, verdicts).where("kept").select("__row.*")
 
 
 #: The same in DuckDB's SQL.
