@@ -83,3 +83,47 @@ def test_walk_serves_those_that_wait_first():
     assert [(s.arc, s.first, s.end, s.shard, s.slot) for s in spans] == [(0, 0, 3, 0, 0), (1, 0, 2, 1, 0), (3, 0, 3, 2, 0), (3, 3, 4, 1, 2)]
     with pytest.raises(ValueError):
         ring.walk({0: 5}, nodes, [1, 1, 1])
+
+
+def plain_ring(rows, nodes, room):
+    """Row by row: (place, order) rows go to the first shard with room from their place on; those that wait longest first."""
+    shards = {}
+    waiting: list = []
+    held = sorted(rows)
+    left = list(room)
+    by_arc = defaultdict(list)
+    arcs = ring.arcs_of_places(nodes)
+    for place, order in held:
+        by_arc[arcs[place]].append(order)
+    for lap in range(3):
+        for arc, (_, shard) in enumerate(nodes):
+            if lap == 0:
+                waiting += [(arc, o) for o in by_arc[arc]]
+            while waiting and left[shard]:
+                _, order = waiting.pop(0)
+                shards[order] = shard
+                left[shard] -= 1
+    return shards
+
+
+def test_arcs_share_out_as_a_plain_ring_does(llm, monkeypatch):
+    """How many rows of each arc each shard gets, against a ring that serves row by row."""
+    df = llm.range(3_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 900, F.lit(7)).otherwise(F.col("id") % 500).cast("long").alias("g"))
+    rows = ring.assign(df, F.col("g"), ["g", "doc_id"], 24).collect()
+    place = {r["g"]: r["p"] for r in df.select("g", F.pmod(F.xxhash64("g"), F.lit(ring.PLACES)).alias("p")).distinct().collect()}
+    nodes = ring.virtual_nodes(llm, 24)
+    arcs = ring.arcs_of_places(nodes)
+    want = plain_ring([(place[r["g"]], (r["g"], r["doc_id"])) for r in rows], nodes, ring.capacities(3_000, 24))
+    arc_of = lambda g: arcs[place[g]]
+    assert Counter((arc_of(r["g"]), r["shard"]) for r in rows) == Counter((arc_of(g), s) for (g, _), s in want.items())
+
+
+def test_rows_that_are_alike(llm, monkeypatch):
+    """A third of all rows the same in every column, over several steps and shards."""
+    monkeypatch.setattr(ring, "COPIES", 50)
+    df = llm.range(6_000).select(F.when(F.col("id") < 2_000, F.lit(None)).otherwise(F.col("id")).alias("doc_id"), F.lit("x").alias("other"))
+    rows = ring.assign(df, F.col("doc_id"), ["doc_id"]).collect()
+    checked(rows)
+    assert len(rows) == 6_000 and sum(r["doc_id"] is None for r in rows) == 2_000
+    again = ring.assign(df.repartition(5), F.col("doc_id"), ["doc_id"]).collect()
+    assert sorted(map(tuple, rows), key=repr) == sorted(map(tuple, again), key=repr)
