@@ -344,24 +344,55 @@ def _ddl(fields: list, *more: str) -> str:
     return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), *more])
 
 
+def _encoded(batches: Iterable[pa.RecordBatch], columns: list[str], text: str) -> Iterator[pa.RecordBatch]:
+    """Batches with n_bytes and media in place of the text."""
+    at, keep = columns.index(text), [k for k, c in enumerate(columns) if c != text]
+    for piece in slices(batches, text, 2 << 20):
+        made = [(n, write_tiff(payload)) for payload, n in map(text_payload, piece.column(at).to_pylist())]
+        yield pa.RecordBatch.from_arrays([*(piece.column(k) for k in keep), pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=[*(columns[k] for k in keep), "n_bytes", "media"])
+
+
 def encode_texts(df: DataFrame, text: str = "text") -> DataFrame:
     """Put n_bytes and media (the TIFF of the padded UTF-8) in place of the text column and of columns of these names; a null text is empty."""
     df = without(df, "n_bytes", "media")
-    rest, at, names = _others(df, text), df.columns.index(text), df.columns
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches, text, 2 << 20):
-            made = [(n, write_tiff(payload)) for payload, n in map(text_payload, piece.column(at).to_pylist())]
-            kept = [piece.column(k) for k, c in enumerate(names) if c != text]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array([n for n, _ in made], pa.int64()), pa.array([m for _, m in made], pa.binary())], names=[*(f.name for f in rest), "n_bytes", "media"])
-
-    return df.mapInArrow(run, _ddl(rest, "n_bytes long", "media binary"))
+    columns = df.columns
+    return df.mapInArrow(lambda batches: _encoded(batches, columns, text), _ddl(_others(df, text), "n_bytes long", "media binary"))
 
 
 PAGE = {"page_no": pa.int32(), "width": pa.int32(), "height": pa.int32(), "bits": pa.int32(), "samples": pa.int32(), "compression": pa.int32(), "predictor": pa.int32(), "layout": pa.string(), "data": pa.binary(), "error": pa.string()}
 _PAGE_DDL = ["page_no int", "width int", "height int", "bits int", "samples int", "compression int", "predictor int", "layout string", "data binary", "error string"]
 
 
+def _paged(batches: Iterable[pa.RecordBatch], columns: list[str], media: str) -> Iterator[pa.RecordBatch]:
+    """Batches of pages in place of the media."""
+    at, keep = columns.index(media), [k for k, c in enumerate(columns) if c != media]
+
+    def out() -> pa.RecordBatch:
+        own = [pa.array([p.get(c) for p in pages], t) for c, t in PAGE.items()]
+        return pa.RecordBatch.from_arrays([*(piece.column(k).take(pa.array(rows)) for k in keep), *own], names=[*(columns[k] for k in keep), *PAGE])
+
+    for piece in slices(batches, media, 2 << 20):
+        rows, pages, held = [], [], 0
+        for row, value in enumerate(piece.column(at)):
+            number = 0
+            try:
+                for page in read_pages(value.as_py() or b""):
+                    rows.append(row)
+                    pages.append(page | {"page_no": number})
+                    number += 1
+                    held += len(page["data"])
+                    if held > 2 << 20:
+                        yield out()
+                        rows, pages, held = [], [], 0
+                if not number:
+                    raise BadTiff("no page")
+            except (BadTiff, struct.error) as e:
+                rows.append(row)
+                pages.append({"page_no": number, "error": str(e)})
+        if rows:
+            yield out()
+
+
 def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     """One row per page, the pages of an image one after the other from page_no 0; no shuffle.
 
@@ -370,36 +401,48 @@ def tiff_pages(df: DataFrame, media: str = "media") -> DataFrame:
     a row too. Columns that have the names in PAGE already are replaced. A worker holds one image and about 2 MB of pages.
     """
     df = without(df, *(c for c in PAGE if c != media))
-    rest, at, names = _others(df, media), df.columns.index(media), df.columns
-    keep = [k for k, c in enumerate(names) if c != media]
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            own = [pa.array([p.get(c) for p in pages], t) for c, t in PAGE.items()]
-            return pa.RecordBatch.from_arrays([*(piece.column(k).take(pa.array(rows)) for k in keep), *own], names=[*(f.name for f in rest), *PAGE])
-
-        for piece in slices(batches, media, 2 << 20):
-            rows, pages, held = [], [], 0
-            for row, value in enumerate(piece.column(at)):
-                number = 0
-                try:
-                    for page in read_pages(value.as_py() or b""):
-                        rows.append(row)
-                        pages.append(page | {"page_no": number})
-                        number += 1
-                        held += len(page["data"])
-                        if held > 2 << 20:
-                            yield out()
-                            rows, pages, held = [], [], 0
-                    if not number:
-                        raise BadTiff("no page")
-                except (BadTiff, struct.error) as e:
-                    rows.append(row)
-                    pages.append({"page_no": number, "error": str(e)})
-            if rows:
-                yield out()
-
-    return df.mapInArrow(run, _ddl(rest, *_PAGE_DDL))
+    columns = df.columns
+    return df.mapInArrow(lambda batches: _paged(batches, columns, media), _ddl(_others(df, media), *_PAGE_DDL))
+
+
+FOLDED = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail": pa.binary(), "feature": pa.string()}
+_FOLDED_DDL = ["payload_bytes long", "payload_sha256 string", "tail binary", "feature string"]
+
+
+def _folded(batches: Iterable[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
+    """One row for each image from batches of (carry, page_no, width, height, data)."""
+    state, first = None, None
+
+    def close() -> pa.RecordBatch:
+        n, digest, tail, count, width, height, total, steps, broken = state
+        own = [None] * 4 if broken else [n, digest.hexdigest(), tail, f"pages={count} width={width} rows={height} mean={total / max(n, 1):.4f} steps={steps}"]
+        return pa.RecordBatch.from_arrays([*first, *(pa.array([v], t) for v, t in zip(own, FOLDED.values(), strict=True))], names=[*carry, *FOLDED])
+
+    for batch in batches:
+        done = []
+        number, width, height, data = (batch.column(len(carry) + k) for k in range(4))
+        for row in range(batch.num_rows):
+            if number[row].as_py() == 0:
+                if state:
+                    done.append(close())
+                state, first = [0, hashlib.sha256(), b"", 0, 0, 0, 0, 0, False], [batch.column(k).slice(row, 1) for k in range(len(carry))]
+            page = data[row].as_py()
+            if page is None:
+                state[8] = True
+                continue
+            values = np.frombuffer(page, np.uint8)
+            state[0] += len(page)
+            state[1].update(page)
+            state[2] = (state[2] + page[-64:])[-64:]
+            state[3] += 1
+            state[4] = width[row].as_py()
+            state[5] += height[row].as_py()
+            state[6] += int(values.sum())
+            state[7] += int(np.count_nonzero(values[1:] != values[:-1]))
+        if done:
+            yield from pa.Table.from_batches(done).combine_chunks().to_batches()
+    if state:
+        yield close()
 
 
 def fold_pages(pages: DataFrame, carry: list[str]) -> DataFrame:
@@ -408,49 +451,23 @@ def fold_pages(pages: DataFrame, carry: list[str]) -> DataFrame:
     Takes the rows as tiff_pages emits them (the pages of an image follow each other in one partition, page 0 first),
     so nothing is shuffled and one page is held at a time. An image with an error gets null digests.
     """
-    fields = [pages.schema[c] for c in carry]
     source = pages.select(*carry, "page_no", "width", "height", "data")
-    made = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail": pa.binary(), "feature": pa.string()}
+    return source.mapInArrow(lambda batches: _folded(batches, carry), _ddl([pages.schema[c] for c in carry], *_FOLDED_DDL))
+
+
+def text_media(docs: DataFrame) -> DataFrame:
+    """Round trip of the whole texts of documents through TIFF, with digests of what was read back; all steps in one worker."""
+    source = docs.select("doc_id", "text")
+    carry = ["doc_id", "n_bytes", "media_bytes", "media_sha256"]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, first = None, None
-
-        def close() -> pa.RecordBatch:
-            n, digest, tail, count, width, height, total, steps, broken = state
-            own = [None] * 4 if broken else [n, digest.hexdigest(), tail, f"pages={count} width={width} rows={height} mean={total / max(n, 1):.4f} steps={steps}"]
-            return pa.RecordBatch.from_arrays([*first, *(pa.array([v], t) for v, t in zip(own, made.values(), strict=True))], names=[*carry, *made])
-
-        for batch in batches:
-            done = []
-            number, width, height, data = (batch.column(len(carry) + k) for k in range(4))
-            for row in range(batch.num_rows):
-                if number[row].as_py() == 0:
-                    if state:
-                        done.append(close())
-                    state, first = [0, hashlib.sha256(), b"", 0, 0, 0, 0, 0, False], [batch.column(k).slice(row, 1) for k in range(len(carry))]
-                page = data[row].as_py()
-                if page is None:
-                    state[8] = True
-                    continue
-                values = np.frombuffer(page, np.uint8)
-                state[0] += len(page)
-                state[1].update(page)
-                state[2] = (state[2] + page[-64:])[-64:]
-                state[3] += 1
-                state[4] = width[row].as_py()
-                state[5] += height[row].as_py()
-                state[6] += int(values.sum())
-                state[7] += int(np.count_nonzero(values[1:] != values[:-1]))
-            if done:
-                yield from pa.Table.from_batches(done).combine_chunks().to_batches()
-        if state:
-            yield close()
-
-    return source.mapInArrow(run, _ddl(fields, "payload_bytes long", "payload_sha256 string", "tail binary", "feature string"))
+        def told() -> Iterator[pa.RecordBatch]:
+            for b in _encoded(batches, ["doc_id", "text"], "text"):
+                media = b.column(2).to_pylist()
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(map(len, media), pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in media]), b.column(2)], names=[*carry, "media"])
 
+        pages = _paged(told(), [*carry, "media"], "media")
+        yield from _folded((b.select([*carry, "page_no", "width", "height", "data"]) for b in pages), carry)
 
-def text_media(docs: DataFrame) -> DataFrame:
-    """Round trip of the whole texts of documents through TIFF, with digests of what was read back."""
-    media = encode_texts(docs.select("doc_id", "text")).select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    folded = fold_pages(tiff_pages(media), ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return folded.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").cast("long").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
+    ddl = _ddl([source.schema["doc_id"]], "n_bytes long", "media_bytes long", "media_sha256 string", *_FOLDED_DDL)
+    return source.mapInArrow(run, ddl).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", F.crc32("tail").cast("long").alias("tail_crc32"), "media_bytes", "media_sha256", "feature")
