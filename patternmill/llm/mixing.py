@@ -46,7 +46,7 @@ def spread(df: DataFrame, rows: int) -> DataFrame:
 def block_length(size: Column) -> Column:
     """Words in a block of a source of that many: BLOCK_WORDS, doubled as often as leaves it MANY_BLOCKS, up to MOST_BLOCK_WORDS."""
     doubled = F.floor(F.log2(F.greatest(size, F.lit(1)) / (BLOCK_WORDS * MANY_BLOCKS)))
-    return F.least(F.lit(MOST_BLOCK_WORDS), F.shiftleft(F.lit(BLOCK_WORDS), F.least(F.lit(30), F.greatest(F.lit(0), doubled)).cast("int"))).cast("long")
+    return F.least(F.lit(MOST_BLOCK_WORDS), BLOCK_WORDS * F.pow(F.lit(2), F.greatest(F.lit(0), doubled))).cast("long")
 
 
 def unit(*parts: Column) -> Column:
