@@ -1,9 +1,10 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are long runs of key characters with a digit, values assigned to names of secrets, passwords in URLs and
-private keys in their blocks. The forest judges each by its length, its changes between kinds of characters, how far words of a dictionary cover it, the path it
-stands in and the words next to it. It is trained from labelled findings. All on the rows is DataFrame functions and
-Spark's own forest.
+Candidates are long runs of key characters with a digit or several changes of case, values assigned to names of secrets,
+passwords in URLs and private keys in their blocks. The forest judges each by its length, its changes between kinds of
+characters, how far words of a dictionary cover it, the path it stands in and the words next to it. The dictionary is
+learned from the documents: all their words are counted. The forest is trained from labelled findings. All on the rows
+is DataFrame functions and Spark's own forest.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from patternmill.llm.common import fenced, joinable, packed, text_mark
-from patternmill.session import stored
+from patternmill.session import forget, stored
 
 NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
 NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]*+[=:][ \t]*+[\"']?"
@@ -29,21 +30,25 @@ OPEN, CLOSE = (rf"-----{side} [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----" for side in
 BLOCK = rf"{OPEN}(?:(?:[^-]|-(?!----))*+{CLOSE}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++)"
 # A value of any length, up to a blank, quote or bracket or to the next assignment; possessive, so nothing is tried twice.
 ASSIGNED = rf"{NAMED}(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.:-]*{LOGIN}{PASSWORD})(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{4,}}+"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:[A-Za-z+/_-]*?[a-z][A-Z]){3})[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{BLOCK}|{URL}|{ASSIGNED}|{RUN}"
 VALUE = rf"(?s)^(?:{NAMED}|{LOGIN})?(.*)$"
 
-# Words that placeholders, names and prose are made of; a parameter.
-DICTIONARY = (
+# Words of placeholders and names, which count as words whether the documents have them or not.
+PLACEHOLDERS = (
     "example", "sample", "dummy", "test", "your", "here", "change", "placeholder", "default", "value", "name", "string", "null", "none", "true", "false", "user", "admin", "server", "client", "config",
     "local", "library", "package", "python", "java", "script", "module", "version", "release", "build", "file", "path", "home", "index", "page", "image", "static", "content", "article", "category",
     "product", "search", "request", "response", "handler", "manager", "service", "factory", "controller", "function", "class", "object", "array", "list", "from", "with", "this", "that", "have", "the",
     "and", "get", "set", "chapter", "section", "figure", "table", "report", "update", "news", "blog", "post", "date", "time",
 )
+#: Words of the dictionary: those in the most documents, but in LEAST_DOCS at least; their lengths.
+DICTIONARY_WORDS, LEAST_DOCS, LEAST_WORD, MOST_WORD = 20_000, 5, 4, 16
 #: Labelled findings that are used for training at most; Spark samples no further rows.
 TRAINING_ROWS = 8_000
 TREES, DEPTH, SEED = 20, 8, 7
 BEFORE, AFTER = 48, 24
+#: What may stand between the values of a list, and how many values of it are looked back over.
+BETWEEN, BACK = r"^[\s\"',;|\[\]\\]*$", 4
 
 FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_vowels", "f_words", "f_test_path", "f_code_path", "f_named", "f_assigned", "f_hash_near", "f_fake_near", "f_url_near", "f_after_word", "f_login", "f_block"]
 
@@ -51,33 +56,64 @@ FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distin
 def candidates(docs: DataFrame, path: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
     """Rows (key, mark, finding_no, start, length, value, before, after, path), one per candidate; start counts characters from 0.
 
-    mark is the text_mark of the row. Null and empty texts have no candidates. Long texts are scanned whole. Repeated
-    rows repeat their findings. No shuffle.
+    mark is the text_mark of the row; before and after are the characters next to the candidate, not cut at other
+    candidates of a list: there what stands before the list, and the name of its first value, count for all.
+    Null and empty texts have no candidates. Long texts are scanned whole. Repeated rows repeat their findings. No shuffle.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), t.alias("__t")).withColumn("__m", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)))
     some = fenced(found, "__m").where(F.size("__m") > 0).withColumn("__s", F.split("__t", CANDIDATE, -1))
     ends = F.transform(F.col("__m"), lambda m, i: F.length(m) + F.length(F.get("__s", i)))
     some = some.withColumn("__lens", ends).withColumn("mark", text_mark("__t", "path")).drop("__t")
-    rows = some.select("doc_id", "mark", "path", "__s", "__lens", F.posexplode("__m").alias("finding_no", "__match"))
+    rows = some.select("doc_id", "mark", "path", "__s", "__m", "__lens", F.posexplode("__m").alias("finding_no", "__match"))
     value = F.regexp_extract("__match", VALUE, 1)
     end = F.aggregate(F.slice("__lens", 1, F.col("finding_no") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
-    cut = rows.select(
-        "doc_id", "mark", "finding_no", end.alias("__end"), value.alias("value"), "path", F.col("__match"),
-        F.right(F.get("__s", F.col("finding_no")), F.lit(BEFORE)).alias("__left"), F.left(F.get("__s", F.col("finding_no") + 1), F.lit(AFTER)).alias("after"),
-    )
+    gap = lambda k: F.coalesce(F.get("__s", F.col("finding_no") + k), F.lit(""))
+    left = F.lit("")
+    for k in range(-BACK, 1):
+        earlier = F.regexp_extract(F.coalesce(F.get("__m", F.col("finding_no") + k - 1), F.lit("")), f"^(?:{NAMED})?", 0)
+        left = F.right(F.when(gap(k).rlike(BETWEEN), F.concat(left, earlier, gap(k))).otherwise(F.right(gap(k), F.lit(BEFORE))), F.lit(BEFORE))
+    cut = rows.select("doc_id", "mark", "finding_no", end.alias("__end"), value.alias("value"), "path", F.col("__match"), left.alias("__left"), F.left(gap(1), F.lit(AFTER)).alias("after"))
     name = F.left("__match", F.length("__match") - F.length("value"))
     return cut.select(
         "doc_id", "mark", "finding_no", (F.col("__end") - F.length("value")).cast("long").alias("start"), F.length("value").cast("long").alias("length"), "value", F.concat("__left", name).alias("before"), "after", "path"
     )
 
 
-def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) -> DataFrame:
-    """Add FEATURES (doubles) to rows with value, before, after and path; nulls count as empty."""
+def dictionary(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORDS, least: int = LEAST_DOCS) -> DataFrame:
+    """Stored rows (word): PLACEHOLDERS, and of the lower-case or capitalised words of all documents those in the most.
+
+    Words are counted once a document, over all documents; no words or documents give the placeholders alone. The
+    table has `words` rows and the placeholders at most.
+    """
+    told = F.split(F.coalesce(F.col(text), F.lit("")), r"[^\p{L}\p{N}]+", -1)
+    own = F.filter(F.array_distinct(told), lambda w: w.rlike(rf"^(?=.{{{LEAST_WORD},{MOST_WORD}}}$)\p{{Lu}}?\p{{Ll}}+$"))
+    counted = docs.select(F.explode(own).alias("word")).groupBy(F.lower("word").alias("word")).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    fixed = docs.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in PLACEHOLDERS])).alias("word"))
+    return stored(counted.orderBy(F.desc("n"), "word").limit(words).select("word").unionByName(fixed).distinct(), "dictionary")
+
+
+def word_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
+    """(__id, covered): how many characters of the value of each row (__id, value) lie in words of the dictionary; rows without any are left out.
+
+    Each stretch of letters is looked up at every place and length, so words that are run together count too.
+    """
+    runs = found.select("__id", F.posexplode(F.regexp_extract_all(F.lower("value"), F.lit(rf"\p{{L}}{{{LEAST_WORD},}}"), F.lit(0))).alias("run", "letters"))
+    places = runs.select("__id", "run", "letters", F.explode(F.sequence(F.lit(1), F.length("letters") - LEAST_WORD + 1)).alias("low"))
+    cut = places.withColumn("n", F.explode(F.sequence(F.lit(LEAST_WORD), F.least(F.lit(MOST_WORD), F.length("letters") - F.col("low") + 1))))
+    hits = cut.select("__id", "run", "low", "n", F.substring("letters", F.col("low"), F.col("n")).alias("word")).join(F.broadcast(words), "word")
+    spans = hits.groupBy("__id", "run").agg(F.array_sort(F.collect_set(F.struct("low", (F.col("low") + F.col("n")).alias("high")))).alias("spans"))
+    step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["high"] - F.greatest(s["low"], a["end"]))).alias("n"), F.greatest(a["end"], s["high"]).alias("end"))
+    covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"])
+    return spans.groupBy("__id").agg(F.sum(covered).alias("covered"))
+
+
+def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
+    """Add FEATURES (doubles) to rows with value, before, after, path and a number of their own, __id, from a written table; nulls count as empty."""
+    found = found.join(word_coverage(found, words), "__id", "left")
     v, n = F.coalesce("value", F.lit("")), F.greatest(F.length("value"), F.lit(1))
     before, after, path = (F.coalesce(c, F.lit("")) for c in ("before", "after", "path"))
     share = lambda pattern: F.regexp_count(v, F.lit(pattern)) / n
-    words = "(?i)" + "|".join(sorted(dictionary, key=len, reverse=True))
     flag = lambda c, pattern: c.rlike(pattern).cast("double")
     made: dict[str, Column] = {
         "f_length": F.least(F.length(v), F.lit(512)),
@@ -88,19 +124,19 @@ def with_features(found: DataFrame, dictionary: tuple[str, ...] = DICTIONARY) ->
         "f_distinct": F.size(F.array_distinct(F.split(v, ""))),
         "f_hex": flag(v, r"^(?:[0-9a-f]+|[0-9A-F]+)$"),
         "f_vowels": share("[aeiouAEIOU]"),
-        "f_words": (F.length(v) - F.length(F.regexp_replace(v, words, ""))) / n,
+        "f_words": F.coalesce("covered", F.lit(0)) / n,
         "f_test_path": flag(path, r"(?i)test|example|sample|mock|fixture|docs?/"),
         "f_code_path": flag(path, r"(?i)\.(?:py|js|ts|java|go|env|ya?ml|json|cfg|ini|properties|sh)$"),
         "f_named": flag(before, rf"(?i){NAMES}|bearer|aws"),
         "f_assigned": flag(before, r"[=:][ \t]*[\"']?$"),
-        "f_hash_near": flag(before, r"(?i)commit|sha-?\d*|md5|checksum|digest|etag|uuid|revision|integrity"),
+        "f_hash_near": flag(F.concat(before, F.left(v, F.lit(8))), r"(?i)commit|sha-?\d*|md5|checksum|digest|etag|uuid|revision|integrity"),
         "f_fake_near": flag(F.concat(before, v, after), r"(?i)example|sample|dummy|placeholder|your[_-]|changeme|xxxx|<|\$\{"),
         "f_url_near": flag(before, r"(?:://|www\.|/)[^\s\"']*$"),
         "f_after_word": flag(after, r"^[\"']?[\s,.;)]|^$"),
         "f_login": flag(before, LOGIN + "$"),
         "f_block": flag(v, f"^{OPEN}"),
     }
-    return found.withColumns({k: c.cast("double") for k, c in made.items()})
+    return found.withColumns({k: c.cast("double") for k, c in made.items()}).drop("covered")
 
 
 def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
@@ -121,7 +157,13 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     login = f"concat({pick(25, 'postgres', 'https', 'redis', 'mongodb+srv', 'amqp', 'ftp')}, '://', {pick(26, 'user', 'admin', 'app', '', 'root')}, ':')"
     host = f"concat('@', {pick(27, 'localhost', 'db.internal', 'host', '10.0.0.5')}, {pick(28, ':5432/app', '/', '', ':6379')})"
     block = lambda body: f"concat('-----BEGIN ', kind, 'PRIVATE KEY-----', chr(10), {body}, chr(10), '-----END ', kind, 'PRIVATE KEY-----')".replace("kind", pick(29, "RSA ", "EC ", "", "OPENSSH "))
+    passphrase = f"concat({pick(33, 'violet', 'Marble', 'thunder', 'quiet')}, {pick(34, 'harbor', 'Pickle', 'lantern', 'otter')}, {pick(35, 'Sunday', 'basket', 'gravel', 'piano')}, {pick(36, '', 'zebra', 'Copper', 'window')})"
+    spoken = "regexp_replace(regexp_replace(regexp_replace(translate(left(sha1(concat('f', id)), cast(8 + id % 9 as int)), '0123456789abcdef', 'lrnstkdmbgpvfhzw'), '([lrnst])', '$1e'), '([kdmbg])', '$1a'), '([pvfhzw])', '$1oi')"
+    prefix = pick(38, "sk_live_", "sk_test_", "xoxb-", "glpat-", "pk_live_", "SG.", "npm_", "rk_")
+    bare = pick(39, '("', "(", "['", "= ", "key ", ", ", ": '")
+    letters = "translate(left(" + b64 + ", 24), '0123456789', 'QwZrTkVbNp')"
     good = [
+        (f"concat({prefix}, left({b64}, cast({r(31)} % 16 + 20 as int)))", f"concat({word}, {bare})"), (passphrase, f"concat({pick(37, 'password', 'passwd', 'db_password', 'PASSWORD', 'user_pwd')}, {join})"), (letters, f"concat({word}, ' ', {name}, {join})"),
         (hex40, f"concat({word}, ' ', {name}, {join})"), (f"upper({hex40})", f"concat({word}, ' ', upper({name}), {join})"), (hex32, f"concat({word}, ' ', {name}, {join})"), (f"left({b64}, 40)", f"concat('aws_', {name}, {join})"),
         (f"concat('AKIA', upper(left({b64}, 16)))", f"concat({word}, ' ')"), (f"concat('ghp_', left({b64}, 36))", f"concat({word}, ' ')"), (f"concat('sk-', left({b64}, 40))", f"concat({name}, {join})"),
         (f"left({b64}, 43)", "'Authorization: Bearer '"), (f"concat(left({b64}, 6), '!', left({hex32}, 6))", f"concat({name}, {join})"), (hex64, f"concat({word}, ' ', {name}, {join})"),
@@ -129,6 +171,8 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (f"left({b64}, cast({r(31)} % 30 + 10 as int))", f"concat({word}, ' ', {login})", host), (block(f"repeat(concat({b64}, chr(10)), cast({r(31)} % 20 + 3 as int))"), f"concat({word}, ' ')"),
     ]
     bad = [
+        (pick(32, "Bearer", "Basic", "Token", "Digest", "Negotiate"), "'Authorization: '"), (f"concat({pick(32, 'sha512-', 'sha384-', 'sha256-')}, {b64}, '=')", f"concat({word}, {pick(39, ' integrity: ', ' ', '=')}, chr(34))"),
+        (f"concat({spoken}, {pick(32, '', '-')}, id % 1000)", f"concat({word}, ' ')"), (f"concat({spoken}, '-', {spoken}, '-', id % 100)", f"concat({word}, {pick(39, '/', ' ', chr(34))})"),
         (hex40, f"concat({word}, ' commit ')"), (hex64, f"concat({word}, ' sha256: ')"), (hex32, "'md5sum '"), (f"concat(left({hex32}, 8), '-', substring({hex32}, 9, 4), '-4', substring({hex32}, 14, 3), '-a', substring({hex32}, 18, 3), '-', right({hex32}, 12))", f"concat({word}, ' uuid=')"),
         (f"left({digits}, 16)", f"concat({word}, ' ')"), (f"left({digits}, 18)", f"concat({word}, ': ')"), ("concat('news/2024/article-', id, '-update-report')", "'https://site.example.com/'"), ("concat('usr/local/lib/python3/package', id)", "'/'"),
         ("concat('your_token_here_', id % 100)", f"concat({name}, {join})"), ("concat('example-value-', id % 1000)", f"concat({name}, {join})"), ("concat('xxxxxxxxxxxxxxxx', id % 1000)", f"concat({name}, {join})"), ("concat('getUserById', id % 10, 'FromServiceFactory')", f"concat({word}, ' ')"),
@@ -138,32 +182,36 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (block("'your-private-key-goes-here'"), f"concat({word}, ' ')"),
     ]
     case = lambda rows, at: "CASE " + " ".join(f"WHEN {r(1)} % {len(rows)} = {k} THEN {x[at]}" for k, x in enumerate(rows) if len(x) > at) + " END"
-    after = f"concat({pick(23, chr(34), '', chr(34) + '$$$', chr(34) + '###', chr(34) + ',', '.', chr(34))}, ' ', {word})"
-    path = pick(24, "src/main.py", "config/app.yml", "docs/readme.md", "tests/test_a.py", "src0", "src7", "deploy/.env", "web/index.js", "src12", "notes.txt")
+    after = f"concat({pick(23, chr(34), '', chr(34) + '}', chr(34) + '|', chr(34) + ',', '.', chr(34) + ')', ';', chr(34) + '#', chr(34) + '<br>', chr(34) + '&', chr(34))}, ' ', {word})"
+    path = pick(24, "src/main.py", "config/app.yml", "docs/readme.md", "tests/test_a.py", "example.org", "crawl-7", "deploy/.env", "web/index.js", "", "notes.txt")
     made = spark.range(0, rows, 1, 1).selectExpr("id", f"id % 2 AS label", f"CASE WHEN id % 2 = 1 THEN {case(good, 0)} ELSE {case(bad, 0)} END AS value", f"CASE WHEN id % 2 = 1 THEN {case(good, 1)} ELSE {case(bad, 1)} END AS before", f"coalesce(CASE WHEN id % 2 = 1 THEN {case(good, 2)} ELSE {case(bad, 2)} END, {after}) AS after", f"{path} AS path")
     return made.select("id", "value", "before", "after", "path", F.col("label").cast("double").alias("label"))
 
 
-def train(labelled: DataFrame, rows: int = TRAINING_ROWS) -> PipelineModel:
+def train(labelled: DataFrame, words: DataFrame, rows: int = TRAINING_ROWS) -> PipelineModel:
     """Fit the forest to at most `rows` labelled findings (value, before, after, path, label 0 or 1)."""
-    bounded = with_features(labelled).limit(rows).coalesce(1)
+    bounded = stored(labelled.select("value", "before", "after", "path", "label").limit(rows).coalesce(1).withColumn("__id", F.monotonically_increasing_id()), "labelled")
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
     forest = RandomForestClassifier(labelCol="label", numTrees=TREES, maxDepth=DEPTH, seed=SEED)
-    return PipelineModel([assembler, forest.fit(assembler.transform(bounded))])
+    model = PipelineModel([assembler, forest.fit(assembler.transform(with_features(bounded, words).coalesce(1).sortWithinPartitions("__id")))])
+    forget(bounded)
+    return model
 
 
-def judge(found: DataFrame, model: PipelineModel, threshold: float = 0.5) -> DataFrame:
-    """Add score (the forest's probability that it is a secret) and confirmed."""
-    scored = model.transform(with_features(found))
+def judge(found: DataFrame, model: PipelineModel, words: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Add score (the forest's probability that it is a secret) and confirmed to the rows that with_features takes."""
+    scored = model.transform(with_features(found, words))
     drop = [c for c in (*FEATURES, "features", "rawPrediction", "probability", "prediction") if c in scored.columns]
     score = F.round(F.element_at(vector_to_array("probability"), 2), 6)
     return scored.withColumn("score", score).withColumn("confirmed", F.col("score") >= threshold).drop(*drop)
 
 
 def judged(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
-    """All candidates of all documents with score and confirmed."""
-    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession))
-    return judge(candidates(docs), model)
+    """All candidates of all documents with score and confirmed. They are written to the shared folder in between, values included."""
+    words = dictionary(docs)
+    model = train(labelled if labelled is not None else labelled_findings(docs.sparkSession), words)
+    found = stored(candidates(docs).withColumn("__id", F.monotonically_increasing_id()), "candidates")
+    return judge(found, model, words).drop("__id")
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
