@@ -6,8 +6,9 @@ Where contexts of an anchor differ, the strings about it fall into ranges of nei
 range hold a common core, and a piece is a core with the bytes about it that the range can reach. Pieces with the
 same core go to one task, which writes the core as one symbol and builds the suffix array of the pieces by linear
 grouping construction; two strings are equal where neighbours in the array share the core and the bytes about it.
-The pieces of a core that has very many are dealt anew by the half of the bytes next to it that each string must hold:
-these become part of a longer core, and so on until a core is the whole string. So no task grows with a core.
+Of a core that has very many pieces, alike ones go on as one. If too many kinds are left they are dealt anew by the half
+of the bytes next to the core that each string must hold: these become part of a longer core, and so on until a core
+is the whole string, of which there is one kind. So no task grows with a core.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternmill.llm.anchors import GRAM, MOST_PART, PART, anchors, byte_hashes
@@ -29,6 +30,7 @@ RANGE, CORE_PIECES = 35, 4_000
 #: Symbols of one suffix array, about; cores are not cut.
 ARRAY_SYMBOLS = 150_000
 PIECE = ["gram", "core", "piece", "doc", "mark", "start", "single", "left", "right"]
+KIND = ["gram", "core", "piece", "n", "single", "left", "right"]
 
 
 def offset_ranges(length: int, gram: int, width: int) -> list[tuple[int, int]]:
@@ -182,40 +184,48 @@ def comparable(pieces: list[tuple[bytes, bytes]], width: int) -> list[tuple[int,
     return [(k, left[len(left) - m :], right[:n]) for k, ((left, right), m, n) in enumerate(zip(pieces, lefts, rights, strict=True)) if m + n >= width - 1]
 
 
+Core = tuple[int, int]
+
+
+def shared_parts(held: dict[Core, dict[int, tuple[bytes, bytes]]], copies: dict[tuple[Core, int], int], wanted: Iterable[tuple[Core, int]], length: int, width: int) -> dict[tuple[Core, int], list[tuple[int, int]]]:
+    """For each wanted piece the parts (low, high), from its first byte, that strings cover which another piece, or a copy, has too."""
+    names, texts = [], []
+    for number, (core, own) in enumerate(held.items()):
+        keys = list(own)
+        for k, left, right in comparable(list(own.values()), width) if len(own) > 1 else ():
+            names.append((core, keys[k]))
+            texts.append((left, number, right))
+    starts = repeated_starts(texts, width)
+    found = {name: [k + len(held[name[0]][name[1]][0]) - len(text[0]) for k in own] for name, text, own in zip(names, texts, starts, strict=True)}
+    out: dict[tuple[Core, int], list[tuple[int, int]]] = {}
+    for name in wanted:
+        if copies[name] > 1:
+            left, right = held[name[0]][name[1]]
+            out[name] = [(0, len(left) + len(right) + length - (width - 1))]
+            continue
+        parts: list[tuple[int, int]] = []
+        for k in found.get(name, ()):
+            if parts and k + length - 1 == parts[-1][1]:
+                parts[-1] = (parts[-1][0], k + length)
+            else:
+                parts.append((k, k + length))
+        out[name] = parts
+    return out
+
+
 def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
     """Intervals (doc, mark, low, high) of the single pieces that others hold too; rows with one core are in one task."""
     dealt = pieces.repartition("gram", "core").sortWithinPartitions("gram", "core")
-    Core = tuple[int, int]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[Core, dict[int, tuple]] = {}
+        held: dict[Core, dict[int, tuple[bytes, bytes]]] = {}
         single: list[tuple[Core, int, int, int, int]] = []
         copies: dict[tuple[Core, int], int] = {}
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            names, texts = [], []
-            for number, (core, own) in enumerate(held.items()):
-                keys = list(own)
-                for k, left, right in comparable(list(own.values()), width) if len(own) > 1 else ():
-                    names.append((core, keys[k]))
-                    texts.append((left, number, right))
-            starts = repeated_starts(texts, width)
-            found = {name: [k + len(held[name[0]][name[1]][0]) - len(text[0]) for k in own] for name, text, own in zip(names, texts, starts, strict=True)}
-            rows: list[tuple[int, int, int, int]] = []
-            for core, piece, doc, mark, start in single:
-                left, right = held[core][piece]
-                if copies[core, piece] > 1:
-                    rows.append((doc, mark, start, start + len(left) + len(right) + length - (width - 1)))
-                    continue
-                run_from = None
-                for k in [*found.get((core, piece), ()), None]:
-                    if run_from is not None and k != upto + 1:
-                        rows.append((doc, mark, start + run_from, start + upto + length))
-                        run_from = None
-                    if k is not None:
-                        run_from = k if run_from is None else run_from
-                        upto = k
+            parts = shared_parts(held, copies, {(core, piece) for core, piece, *_ in single}, length, width)
+            rows = [(doc, mark, start + low, start + high) for core, piece, doc, mark, start in single for low, high in parts[core, piece]]
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=["doc", "mark", "low", "high"])
 
         for batch in batches:
@@ -238,8 +248,41 @@ def compared_pieces(pieces: DataFrame, length: int, width: int) -> DataFrame:
     return dealt.select(*PIECE).mapInArrow(run, "doc long, mark long, low long, high long")
 
 
-def longer_cores(pieces: DataFrame, width: int) -> tuple[DataFrame, int]:
-    """The pieces with longer cores, and how many symbols their strings have; `width` is that of the given ones.
+def compared_kinds(kinds: DataFrame, length: int, width: int) -> DataFrame:
+    """The same for pieces without their places (KIND): (gram, core, piece, low, high), from the first byte of the piece."""
+    dealt = kinds.repartition("gram", "core").sortWithinPartitions("gram", "core")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[Core, dict[int, tuple[bytes, bytes]]] = {}
+        copies: dict[tuple[Core, int], int] = {}
+        wanted: list[tuple[Core, int]] = []
+        size, last = 0, None
+
+        def flush() -> pa.RecordBatch:
+            parts = shared_parts(held, copies, wanted, length, width)
+            rows = [(*core, piece, low, high) for (core, piece), own in parts.items() for low, high in own]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(5)], names=["gram", "core", "piece", "low", "high"])
+
+        for batch in batches:
+            for gram, number, piece, n, single, left, right in zip(*(batch.column(k).to_pylist() for k in range(7)), strict=True):
+                core = (gram, number)
+                if core != last and size > ARRAY_SYMBOLS:
+                    yield flush()
+                    held, copies, wanted, size = {}, {}, [], 0
+                last = core
+                held.setdefault(core, {})[piece] = (left, right)
+                copies[core, piece] = n
+                size += len(left) + len(right) + 2
+                if single:
+                    wanted.append((core, piece))
+        if wanted:
+            yield flush()
+
+    return dealt.select(*KIND).mapInArrow(run, "gram long, core long, piece long, low long, high long")
+
+
+def longer_cores(kinds: DataFrame, width: int) -> tuple[DataFrame, int]:
+    """The pieces with longer cores, each with the core, piece and place (of, part, shift) it is cut from, and how many symbols their strings have.
 
     A string holds width - 1 bytes about its core, so half of that to one side at least. A piece goes on with that half
     to its left as part of the core, and with that to its right, as far as it has them.
@@ -248,40 +291,61 @@ def longer_cores(pieces: DataFrame, width: int) -> tuple[DataFrame, int]:
     half = (about + 1) // 2
     rest = about - half
     part = lambda c, at, n: F.expr(f"substring({c}, {at}, {n})")
-    lefts, rights = F.octet_length("left"), F.octet_length("right")
     last = lambda c, n: part(c, f"greatest(octet_length({c}) - {n}, 0) + 1", n)
-    one = pieces.where(lefts >= half).select(
-        "gram", F.xxhash64("core", F.lit("left"), last("left", half)).alias("core"), "doc", "mark", "single", "start", "left",
-        part("left", 1, f"octet_length(left) - {half}").alias("__left"), part("right", 1, rest).alias("__right"),
-    )
-    two = pieces.where(rights >= half).select(
-        "gram", F.xxhash64("core", F.lit("right"), part("right", 1, half)).alias("core"), "doc", "mark", "single", "start", "left", F.col("left").alias("__left"), part("right", half + 1, rest).alias("__right")
+    kept = ["gram", F.col("core").alias("of"), F.col("piece").alias("part"), "n", "single"]
+    one = kinds.where(F.octet_length("left") >= half).select(
+        *kept, F.xxhash64("core", F.lit("left"), last("left", half)).alias("core"), part("left", 1, f"octet_length(left) - {half}").alias("left"), part("right", 1, rest).alias("right")
     )
-    both = one.unionByName(two).withColumn("start", F.col("start") + F.greatest(F.octet_length("__left") - rest, F.lit(0))).withColumn("left", last("__left", rest)).withColumnRenamed("__right", "right")
+    two = kinds.where(F.octet_length("right") >= half).select(*kept, F.xxhash64("core", F.lit("right"), part("right", 1, half)).alias("core"), "left", part("right", half + 1, rest).alias("right"))
+    both = one.unionByName(two).withColumn("shift", F.greatest(F.octet_length("left") - rest, F.lit(0))).withColumn("left", last("left", rest))
     both = both.where(F.octet_length("left") + F.octet_length("right") >= rest)
-    return both.withColumn("piece", F.xxhash64("core", "left", "right")).select(*PIECE), rest + 1
+    return both.withColumn("piece", F.xxhash64("core", "left", "right")), rest + 1
+
+
+def kinds_of(pieces: DataFrame, n: Column) -> DataFrame:
+    """The different pieces of each core, with how many there are of each, and whether one of them is single."""
+    return pieces.groupBy("gram", "core", "piece").agg(F.sum(n).alias("n"), F.max("single").alias("single"), F.first("left").alias("left"), F.first("right").alias("right")).select(*KIND)
+
+
+def repeated_kinds(kinds: DataFrame, length: int, width: int, core_pieces: int) -> DataFrame:
+    """Stored parts (gram, core, piece, low, high) of the single pieces that others hold too, whatever the number of pieces of a core. Forgets kinds.
+
+    Where a core is the whole string it has one kind of piece, so this ends.
+    """
+    cores = stored(kinds.groupBy("gram", "core").agg(F.sum("n").alias("__n"), F.max("single").alias("__any"), (F.count("*") > core_pieces).alias("many")).where("__n > 1 AND __any").select("gram", "core", "many"), "cores")
+    shared = stored(kinds.join(cores, ["gram", "core"]), "kinds-shared")
+    forget(kinds, cores)
+    found = stored(compared_kinds(shared.where("NOT many"), length, width), "found")
+    many = shared.where("many").drop("many")
+    if many.limit(1).count():
+        rows, longer = longer_cores(many, width)
+        rows = stored(rows, "kinds-cut")
+        deeper = repeated_kinds(stored(kinds_of(rows, F.col("n")), "kinds"), length, longer, core_pieces)
+        back = deeper.join(rows.select("gram", "core", "piece", "of", "part", "shift"), ["gram", "core", "piece"])
+        back = back.select("gram", F.col("of").alias("core"), F.col("part").alias("piece"), (F.col("low") + F.col("shift")).alias("low"), (F.col("high") + F.col("shift")).alias("high"))
+        every = stored(found.unionByName(back).distinct(), "found")
+        forget(found, rows, deeper)
+        found = every
+    forget(shared)
+    return found
 
 
 def repeated_pieces(pieces: DataFrame, length: int, width: int, core_pieces: int) -> list[DataFrame]:
     """Stored intervals (doc, mark, low, high) of the single pieces that others hold too. Forgets the pieces."""
-    out = []
-    while True:
-        cores = stored(pieces.groupBy("gram", "core").agg(F.count("*").alias("n"), F.max("single").alias("any")).where("n > 1 AND any").select("gram", "core", (F.col("n") > core_pieces).alias("many")), "cores")
-        shared = stored(pieces.join(cores, ["gram", "core"]), "pieces-shared")
-        forget(pieces, cores)
-        few, many = shared.where("NOT many"), shared.where("many")
-        out.append(stored(compared_pieces(few, length, width).distinct(), "found"))
-        if not many.limit(1).count():
-            forget(shared)
-            return out
-        if width == 1:
-            # A core is the whole string here, so all pieces of one are copies.
-            out.append(stored(many.where("single").select("doc", "mark", F.col("start").alias("low"), (F.col("start") + length).alias("high")).distinct(), "found"))
-            forget(shared)
-            return out
-        longer, width = longer_cores(many.drop("many"), width)
-        pieces = stored(longer, "pieces")
-        forget(shared)
+    cores = pieces.groupBy("gram", "core").agg(F.count("*").alias("n"), F.max("single").alias("any")).where("n > 1 AND any")
+    cores = stored(cores.select("gram", "core", (F.col("n") > core_pieces).alias("many")), "cores")
+    shared = stored(pieces.join(cores, ["gram", "core"]), "pieces-shared")
+    forget(pieces, cores)
+    out = [stored(compared_pieces(shared.where("NOT many"), length, width).distinct(), "found")]
+    many = shared.where("many").drop("many")
+    if many.limit(1).count():
+        # Pieces that are alike go on as one, and what is found in them comes back to all their places.
+        found = repeated_kinds(stored(kinds_of(many, F.lit(1)), "kinds"), length, width, core_pieces)
+        placed = many.where("single").join(found, ["gram", "core", "piece"])
+        out.append(stored(placed.select("doc", "mark", (F.col("start") + F.col("low")).alias("low"), (F.col("start") + F.col("high")).alias("high")).distinct(), "found"))
+        forget(found)
+    forget(shared)
+    return out
 
 
 def repeated_intervals(docs: DataFrame, length: int, gram: int = GRAM, width: int = RANGE, core_pieces: int = CORE_PIECES, part: int = PART) -> DataFrame:
