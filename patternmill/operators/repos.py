@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternmill.functions.paths import matches_any
 from patternmill.schema import BATCH_FILES, EXCLUDED_REPOS, LARGE_REPO_FILES
 
 
+RAW_REPO = "full_name string, name string, description string, language string, private boolean, default_branch string, html_url string, owner struct<login: string>"
+
+
+def repo_info(raw: DataFrame) -> DataFrame:
+    """Repositories as the service describes them (RAW_REPO) as rows of their own; a missing private flag counts as public."""
+    return raw.select("full_name", "name", "description", "language", F.coalesce("private", F.lit(False)).alias("is_private"), F.coalesce("default_branch", F.lit("main")).alias("default_branch"), F.col("html_url").alias("url"), F.col("owner.login").alias("owner"))
+
+
+def repo_listing(spark: SparkSession, path: str) -> DataFrame:
+    """A dump of repositories as JSON lines; lines that are broken are left out."""
+    return repo_info(spark.read.schema(RAW_REPO).json(path).where("full_name IS NOT NULL"))
+
+
 def listed(repos: DataFrame, me: str | None = None, include_private: bool = True, include_orgs: bool = True, excluded: list[str] | None = None) -> DataFrame:
     """Repositories by visibility and owner, without those whose name matches an excluded pattern."""
     if not include_private:

@@ -97,6 +97,32 @@ def delete(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """The bytes of a file; raises if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).getLen()
+
+
+def names_in(spark: SparkSession, folder: str, folders_only: bool = False) -> list[str]:
+    """The names right below a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).listStatus(p)
+    return sorted(f.getPath().getName() for f in found if f.isDirectory() or not folders_only)
+
+
+def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """Write a small file to any Hadoop file system."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(p, True)
+    out.write(bytearray(data))
+    out.close()
+
+
 def forget(*stored_ones: DataFrame) -> None:
     """Delete the tables of `stored`, when no further query needs them."""
     for df in stored_ones:
