@@ -79,5 +79,10 @@ def read_through(wanted: DataFrame, cache: DataFrame, origin: DataFrame, now: fl
 
 
 def file_name(key: Column) -> Column:
-    """X27."""
+    """The file of a cache entry."""
     return F.concat(F.md5(key), F.lit(".json"))
+
+
+def short_name(repo: Column) -> Column:
+    """The name under which the progress of a repository is kept."""
+    return F.substring(F.md5(repo), 1, 12)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import ArrayType, BooleanType, FloatType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, FloatType, IntegerType, LongType, StringType, StructField, StructType
 
 # Fixed values of the data model.
 CATEGORIES = ["architecture", "error_handling", "configuration", "testing", "api_design", "data_access", "security", "logging", "utilities", "other"]
@@ -43,6 +43,8 @@ BANK = StructType(
     ]
 )
 
+CACHE = StructType([StructField("key", StringType()), StructField("value", StringType()), StructField("expires_at", DoubleType()), StructField("access_seq", LongType())])
+
 CHUNK = "chunk_no int, content string, start_line int, end_line int, chunk_type string, name string, context string"
 ANALYSIS = StructType(
     [

@@ -1,58 +1,112 @@
-"""Bank tables as versioned folders: a write makes a new version, and a pointer says which one holds."""
+"""Tables as versioned folders: a write makes a new version, and a pointer says which folders it has."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from patternmill.schema import BANK
+from patternmill.operators.bank import upsert
+from patternmill.schema import BANK, CACHE
+from patternmill.session import exists, names_in
 
 
-class BankTable:
-    """A bank on disk. No version is changed once written, so readers and a failed write do no harm."""
+class VersionedTable:
+    """A table on disk in buckets by its key. No folder is changed once written, so readers and a failed write do no harm.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    A version is a folder for each bucket; a write that touches some buckets only makes new folders for those.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, buckets: int = 64):
+        self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
         self._pointer = f"{self.path}/_versions"
 
-    def _exists(self, path: str) -> bool:
-        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(conf).exists(p)
+    def _manifest(self) -> dict[int, dict[int, str]]:
+        """Folders by version and bucket; a row for each version and bucket."""
+        if not exists(self.spark, self._pointer):
+            return {}
+        out: dict[int, dict[int, str]] = {}
+        for r in self.spark.read.schema("number long, bucket int, folder string").parquet(self._pointer).collect():
+            out.setdefault(r["number"], {})
+            if r["bucket"] is not None:
+                out[r["number"]][r["bucket"]] = r["folder"]
+        return out
 
-    def versions(self) -> list[tuple[int, str]]:
-        """(number, folder) of all versions; one small row each."""
-        if not self._exists(self._pointer):
-            return []
-        return sorted((r["number"], r["folder"]) for r in self.spark.read.schema("number long, folder string").parquet(self._pointer).collect())
+    def versions(self) -> list[int]:
+        return sorted(self._manifest())
 
     def create(self) -> None:
         """An empty first version if there is none."""
-        if not self.versions():
-            self.replace(self.spark.createDataFrame([], BANK))
+        if not exists(self.spark, self._pointer):
+            self._point(0, {})
 
-    def read(self, number: int | None = None) -> DataFrame:
-        known = self.versions()
+    def _point(self, number: int, folders: dict[int, str]) -> int:
+        rows = [(number, b, f) for b, f in sorted(folders.items())] or [(number, None, None)]
+        self.spark.createDataFrame(rows, "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(self._pointer)
+        return number
+
+    def _folders(self, number: int | None = None) -> dict[int, str]:
+        known = self._manifest()
         if not known:
-            raise ValueError(f"there is no bank at {self.path}")
-        folder = known[-1][1] if number is None else dict(known)[number]
-        return self.spark.read.parquet(f"{self.path}/{folder}")
+            raise ValueError(f"there is no table at {self.path}")
+        return known[max(known) if number is None else number]
+
+    def _load(self, folders: list[str]) -> DataFrame:
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders))
+
+    def read(self, number: int | None = None) -> DataFrame:
+        return self._load(list(self._folders(number).values()))
+
+    def bucket(self) -> Column:
+        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
+
+    def _write(self, df: DataFrame) -> dict[int, str]:
+        """Write rows in the columns of the table, those missing as null; the new folders by bucket."""
+        kept = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields], self.bucket().alias("__bucket"))
+        folder = f"v-{uuid.uuid4().hex}"
+        kept.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        made = names_in(self.spark, f"{self.path}/{folder}", folders_only=True)
+        return {int(name.partition("=")[2]): f"{folder}/{name}" for name in made}
 
     def replace(self, df: DataFrame) -> int:
         """A new version; the pointer moves when it is whole."""
-        known = self.versions()
-        number, folder = (known[-1][0] + 1 if known else 0), f"v-{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{folder}")
-        self.spark.createDataFrame([(number, folder)], "number long, folder string").coalesce(1).write.mode("append").parquet(self._pointer)
-        return number
+        known = self._manifest()
+        return self._point(max(known) + 1 if known else 0, self._write(df))
+
+    def change(self, buckets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
+        """A new version in which only the buckets named (column bucket) differ: make(rows of these) gives their new rows."""
+        number, folders = max(self._manifest()), self._folders()
+        touched = {r["bucket"] for r in buckets.select("bucket").distinct().collect()}
+        new = self._write(make(self._load([f for b, f in folders.items() if b in touched])))
+        return self._point(number + 1, {b: f for b, f in folders.items() if b not in touched} | new)
+
+    def merge(self, rows: DataFrame, order: str = "ingest_seq") -> int:
+        """Upsert; rows should be a written table, as they are read twice."""
+        return self.change(rows.select(self.bucket().alias("bucket")), lambda old: upsert(old, rows, self.key, order))
 
     def restore(self, number: int) -> int:
         """An earlier version becomes the newest one, without a copy."""
-        known = self.versions()
-        row = (known[-1][0] + 1, dict(known)[number])
-        self.spark.createDataFrame([row], "number long, folder string").coalesce(1).write.mode("append").parquet(self._pointer)
-        return row[0]
+        known = self._manifest()
+        return self._point(max(known) + 1, known[number])
 
     def count(self) -> int:
         return self.read().count()
+
+
+class BankTable(VersionedTable):
+    """A bank of patterns."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        super().__init__(spark, path, BANK, "point_id", buckets)
+
+
+class CacheTable(VersionedTable):
+    """A cache that outlives its process."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        super().__init__(spark, path, CACHE, "key", buckets)
