@@ -58,8 +58,10 @@ def progress_report() -> Column:
 
 
 def stats_lines(counts: DataFrame) -> DataFrame:
-    """A line of text per dimension and value, most frequent first."""
-    return counts.orderBy("dimension", F.desc("n"), "value").select(F.format_string("%s | %s: %d", "dimension", "value", "n").alias("line"))
+    """A line of text per dimension and value, most frequent first; one line that says so if there is none."""
+    told = counts.select("dimension", "n", "value", F.format_string("%s | %s: %d", "dimension", "value", "n").alias("line"))
+    none = counts.groupBy().agg(F.count("*").alias("n")).where("n = 0").select(F.lit("").alias("dimension"), "n", F.lit("").alias("value"), F.lit("The bank is empty: sync a repository or store a pattern").alias("line"))
+    return told.unionByName(none).orderBy("dimension", F.desc("n"), "value").select("line")
 
 
 def analysis_prompt(template: str) -> Column:

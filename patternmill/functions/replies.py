@@ -42,10 +42,14 @@ def analysis_of(c: Column) -> Column:
     text_number = t.rlike(r'"quality_score"\s*:\s*"')
     quality = F.when(~has("quality_score") & ~named_null("quality_score"), F.lit(5)).otherwise(
         F.when(text_number & raw["quality_score"].rlike(r"^\s*[+-]?\d+\s*$"), _clamped(F.trim(raw["quality_score"]).try_cast("double")))
+        .when(raw["quality_score"].isin("true", "false") & ~text_number, F.lit(1))
         .when(~text_number, _clamped(raw["quality_score"].try_cast("double")))
     )
+    # What counts as false: nothing, false, zero as a number, and empty texts, lists and objects.
+    zero = t.rlike(r'"is_pattern"\s*:\s*-?0+(?:\.0*)?(?:[eE][+-]?\d+)?\s*[,}]')
+    truthy = raw["is_pattern"].isNotNull() & ~raw["is_pattern"].isin("false", "", "[]", "{}") & ~zero
     out = F.struct(
-        F.coalesce(raw["is_pattern"] == "true", F.lit(False)).alias("is_pattern"),
+        F.coalesce(truthy | t.rlike(r'"is_pattern"\s*:\s*"false"'), F.lit(False)).alias("is_pattern"),
         F.coalesce(raw["title"], F.lit("Untitled Pattern")).alias("title"),
         F.coalesce(raw["description"], F.lit("")).alias("description"),
         category.alias("category"),
@@ -57,7 +61,8 @@ def analysis_of(c: Column) -> Column:
 
 
 def _clamped(c: Column) -> Column:
-    return F.greatest(F.lit(1), F.least(F.lit(10), c.cast("int")))
+    """Cut to 1 to 10 before the cast, which would stop at numbers beyond its range."""
+    return F.greatest(F.lit(1.0), F.least(F.lit(10.0), c)).cast("int")
 
 
 def structure_of(c: Column) -> Column:

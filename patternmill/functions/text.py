@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from patternmill.schema import MIN_LINES, STOP_WORDS
@@ -82,12 +84,29 @@ def content_tokens(c: Column) -> Column:
 def top_keywords(df: DataFrame, key: str, text: str, n: int = 10) -> DataFrame:
     """X10 for a table: (key, rank, keyword, hits), most frequent first, ties by first occurrence.
 
-    Counted by a grouped aggregate with partial sums, so a long text costs no more than its tokens.
+    Counted within the row, from the lengths of runs of sorted tokens, so nothing is shuffled.
     """
-    exploded = df.select(key, F.posexplode(content_tokens(F.col(text))).alias("at", "keyword"))
-    counted = exploded.groupBy(key, "keyword").agg(F.count("*").alias("hits"), F.min("at").alias("first_at"))
-    order = Window.partitionBy(key).orderBy(F.desc("hits"), "first_at")
-    return counted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n).select(key, "rank", "keyword", "hits")
+    told = df.select(key, keyword_counts(F.col(text), n).alias("__k"))
+    rows = told.select(key, F.posexplode("__k").alias("rank", "__k"))
+    return rows.select(key, (F.col("rank") + 1).alias("rank"), "__k.keyword", "__k.hits")
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value found once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def keyword_counts(c: Column, n: int = 10) -> Column:
+    """Array of (keyword, hits), the n most frequent content tokens, ties by first occurrence."""
+    placed = F.array_sort(F.transform(content_tokens(c), lambda t, i: F.struct(t.alias("t"), i.alias("i"))))
+
+    def counted(s: Column) -> Column:
+        places = F.when(F.size(s) > 0, F.sequence(F.lit(0), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda p: (p == 0) | (F.get(s, p - 1)["t"] != F.get(s, p)["t"]))
+        run = lambda b, p, k: F.struct((p - F.coalesce(F.get(b, k + 1), F.size(s))).cast("long").alias("fewer"), F.get(s, p)["i"].alias("first"), F.get(s, p)["t"].alias("t"))
+        return let(starts, lambda b: F.slice(F.array_sort(F.transform(b, lambda p, k: run(b, p, k))), 1, n))
+
+    return F.transform(let(placed, counted), lambda r: F.struct(r["t"].alias("keyword"), (-r["fewer"]).alias("hits")))
 
 
 def occurrences(text: Column, word: Column) -> Column:

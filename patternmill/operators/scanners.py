@@ -7,7 +7,8 @@ chunks carry. The scanner runs in Arrow batches; everything around it is columns
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+import time
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate
 from typing import NamedTuple
@@ -44,18 +45,17 @@ class Chunk(NamedTuple):
 
 def indent_ends(lines: list[str]) -> Ends:
     """The last line that is not blank before the next one indented as little as the head."""
-    depth = [len(x) - len(x.lstrip()) if x.strip() else None for x in lines]
-    solid = [k for k, d in enumerate(depth) if d is not None]
-
-    def end(start: int) -> int:
-        last = start
-        for k in solid[bisect_left(solid, start + 1) :]:
-            if depth[k] <= depth[start]:
-                break
-            last = k
-        return last
-
-    return end
+    last, ends, before = -1, {}, []
+    # Lines that still wait for one indented as little as they are, deeper ones on top.
+    for k, x in enumerate(lines):
+        if not (bare := x.strip()):
+            continue
+        depth = len(x) - len(x.lstrip()) if bare else 0
+        while before and before[-1][1] >= depth:
+            ends[before.pop()[0]] = last
+        before.append((k, depth))
+        last = k
+    return lambda start: ends.get(start, max(last, start))
 
 
 def brace_ends(lines: list[str]) -> Ends:
@@ -63,9 +63,15 @@ def brace_ends(lines: list[str]) -> Ends:
     opened = [0, *accumulate(x.count("{") for x in lines)]
     level = [0, *accumulate(x.count("{") - x.count("}") for x in lines)]
 
+    at: dict[int, list[int]] = {}
+    for k, depth in enumerate(level):
+        at.setdefault(depth, []).append(k)
+
     def end(start: int) -> int:
-        closed = (k for k in range(start, len(lines)) if opened[k + 1] > opened[start] and level[k + 1] == level[start])
-        return next(closed, len(lines) - 1)
+        first = bisect_right(opened, opened[start])
+        same = at[level[start]]
+        k = bisect_left(same, first)
+        return same[k] - 1 if k < len(same) else len(lines) - 1
 
     return end
 
@@ -151,12 +157,36 @@ def chunks_of(content: str | None, path: str, language: str) -> list[Chunk]:
     return found or list(parts(lines, path))
 
 
+Chunker = Callable[[str | None, str, str], Iterable[Chunk]]
+
+
 def extract_chunks(files: DataFrame, content: str = "content", path: str = "file_path", language: str = "language") -> DataFrame:
     """The chunks of each file in place of its content, numbered from 0; the other columns stay on each chunk. No shuffle."""
+    return extracted(files, content, path, language).drop("error")
+
+
+def attempt(chunker: Chunker, args: tuple[str | None, str, str], retries: int, delay: float) -> tuple[list[Chunk], str | None]:
+    """T5: the chunks of a file, or what went wrong at the last of `retries` attempts."""
+    for k in range(max(1, retries)):
+        try:
+            return list(chunker(*args)), None
+        except Exception as e:  # noqa: BLE001  one file must not end the task
+            if k + 1 >= retries:
+                return [], f"{type(e).__name__}: {e}"
+            time.sleep(delay)
+    return [], None
+
+
+def extracted(files: DataFrame, content: str = "content", path: str = "file_path", language: str = "language", chunker: Chunker | None = None, retries: int = 1, delay: float = 1.0) -> DataFrame:
+    """extract_chunks with a chunker of one's own, and a column error.
+
+    A file whose chunker fails `retries` times, `delay` seconds apart, gives one row with the error and no chunk; the
+    others go on.
+    """
     keep = [c for c in files.columns if c != content]
     at = {c: k for k, c in enumerate(files.columns)}
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != content), CHUNK])
-    own = {"chunk_no": pa.int32(), "content": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "chunk_type": pa.string(), "name": pa.string(), "context": pa.string()}
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in files.schema.fields if f.name != content), CHUNK, "error string"])
+    own = {"chunk_no": pa.int32(), "content": pa.string(), "start_line": pa.int32(), "end_line": pa.int32(), "chunk_type": pa.string(), "name": pa.string(), "context": pa.string(), "error": pa.string()}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,9 +195,13 @@ def extract_chunks(files: DataFrame, content: str = "content", path: str = "file
                 rows, made = [], []
                 told = zip(*(piece.column(at[c]).to_pylist() for c in (content, path, language)), strict=True)
                 for row, (text, where, kind) in enumerate(told):
-                    for number, c in enumerate(chunks_of(text, where or "", kind or "unknown")):
+                    chunks, error = attempt(chunker or chunks_of, (text, where or "", kind or "unknown"), retries, delay)
+                    for number, c in enumerate(chunks):
+                        rows.append(row)
+                        made.append((number, *c, None))
+                    if error is not None:
                         rows.append(row)
-                        made.append((number, c.content, c.start_line, c.end_line, c.chunk_type, c.name, c.context))
+                        made.append((None,) * 7 + (error,))
                 taken = [piece.column(at[c]).take(pa.array(rows, pa.int32())) for c in keep]
                 yield pa.RecordBatch.from_arrays([*taken, *(pa.array([m[k] for m in made], t) for k, t in enumerate(own.values()))], names=[*keep, *own])
 

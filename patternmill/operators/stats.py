@@ -47,6 +47,14 @@ def outcome_counts(df: DataFrame) -> DataFrame:
 
 
 def transitions(df: DataFrame) -> DataFrame:
-    """A6."""
+    """Changes of category with their number and rank, most frequent first. There are no more rows than pairs of categories."""
     changed = df.where("outcome = 'updated'")
-    return changed.groupBy(F.concat("old_category", F.lit(" -> "), "analysis.category").alias("transition")).agg(F.count("*").alias("n"))
+    counts = changed.groupBy(F.concat("old_category", F.lit(" -> "), "analysis.category").alias("transition")).agg(F.count("*").alias("n"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "transition"))).orderBy("rank")
+
+
+def ranked_counts(bank: DataFrame, order: str = "ingest_seq") -> DataFrame:
+    """dimension_counts with a rank within the dimension, most frequent first, ties by who came first."""
+    pairs = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value")) for d in ("language", "category", "source_repo")])
+    counts = bank.select(order, F.explode(pairs).alias("p")).where("p.value IS NOT NULL").groupBy("p.dimension", "p.value").agg(F.count("*").alias("n"), F.min(order).alias("first_seq"))
+    return counts.withColumn("rank", F.row_number().over(Window.partitionBy("dimension").orderBy(F.desc("n"), "first_seq", "value"))).drop("first_seq")
