@@ -66,6 +66,17 @@ def template(name: str, kind: str, stack: list[str]) -> tuple[list[str], dict[st
     return ["src", "docs", "tests"], files
 
 
+PROMPT = (
+    "Plan a new project.\nName: {name}\nKind: {kind}\nStack: {stack}\n\nPatterns to follow:\n\n{patterns}\n"
+    'Reply with one JSON object and nothing else: {{"directories": [paths], "files": {{path: content}}}}.'
+)
+
+
+def filled(prompt: str, name: str, kind: str, stack: list[str], patterns: list[str]) -> str:
+    """The prompt with its fields filled in; without patterns it says that there are none."""
+    return prompt.format(name=name, kind=kind, stack=", ".join(stack), patterns="\n".join(patterns) or "None yet.")
+
+
 def scaffold(spark: SparkSession, name: str, kind: str, stack: str | list[str]) -> DataFrame:
     """One row with the structure of a new project."""
     split = [s.strip() for s in stack.split(",")] if isinstance(stack, str) else stack

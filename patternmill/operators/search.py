@@ -33,14 +33,14 @@ def in_category(df: DataFrame, category: str | None) -> DataFrame:
 
 
 def cosine(vector: Column, query: list[float]) -> Column:
-    """R4 in doubles, folded in order; 0 where a norm is 0."""
+    """R4 in doubles, folded in order; 0 where a norm is 0, null without a vector."""
     q = F.array(*[F.lit(float(x)) for x in query])
     v = F.transform(vector, lambda x: x.cast("double"))
     zero = F.lit(0.0)
     dot = F.aggregate(F.zip_with(v, q, lambda a, b: a * b), zero, lambda a, x: a + x)
     norm = F.sqrt(F.aggregate(v, zero, lambda a, x: a + x * x))
     other = F.sqrt(F.aggregate(q, zero, lambda a, x: a + x * x))
-    return F.when(norm * other > 0, dot / (norm * other)).otherwise(zero)
+    return F.when(vector.isNotNull(), F.when(norm * other > 0, dot / (norm * other)).otherwise(zero))
 
 
 def query_keywords(query: str, n: int = 10) -> list[str]:
@@ -54,10 +54,13 @@ def semantic_top(df: DataFrame, query: list[float], k: int) -> DataFrame:
     return df.withColumn("semantic", cosine(F.col("embedding"), query)).orderBy(F.desc("semantic"), "point_id").limit(k)
 
 
-def hybrid_top(df: DataFrame, query: str, vector: list[float], k: int, candidate_cap: int | None = CANDIDATE_CAP, enabled: bool = True) -> DataFrame:
-    """The candidates of the highest similarity, reranked with the keywords of the query.
+def hybrid_top(
+    df: DataFrame, query: str, vector: list[float], k: int, candidate_cap: int | None = CANDIDATE_CAP, enabled: bool = True, semantic_weight: float = SEMANTIC_WEIGHT, keyword_weight: float = KEYWORD_WEIGHT
+) -> DataFrame:
+    """The candidates of the highest similarity, reranked with the keywords of the query by the weights, which need not add up to 1.
 
-    Of min(3 k, candidate_cap) candidates; with a cap no more than that many rows come back, whatever k is.
+    Of min(3 k, candidate_cap) candidates; with a cap no more than that many rows come back, whatever k is. R7: a row
+    without a similarity counts as 1 in the reranking, and comes last among the candidates.
     """
     n = OVERFETCH * k if candidate_cap is None else min(OVERFETCH * k, candidate_cap)
     if not enabled:
@@ -68,7 +71,7 @@ def hybrid_top(df: DataFrame, query: str, vector: list[float], k: int, candidate
     words = query_keywords(query)
     keywords = F.array(*[F.lit(w) for w in words]) if words else F.array().cast("array<string>")
     scored = ranked.withColumn("lowered", F.lower("document")).withColumn("keyword", keyword_score(F.col("lowered"), keywords)).drop("lowered")
-    hybrid = scored.withColumn("hybrid", F.lit(SEMANTIC_WEIGHT) * F.coalesce("semantic", F.lit(1.0)) + F.lit(KEYWORD_WEIGHT) * F.col("keyword"))
+    hybrid = scored.withColumn("hybrid", F.lit(float(semantic_weight)) * F.coalesce("semantic", F.lit(1.0)) + F.lit(float(keyword_weight)) * F.col("keyword"))
     top = hybrid.orderBy(F.desc("hybrid"), "semantic_rank").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("hybrid"), "semantic_rank")))
 

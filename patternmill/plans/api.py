@@ -2,27 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import time
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patternmill.config import Config
 from patternmill.functions import render
-from patternmill.operators import analyze, bank as bank_ops, repos, scaffold, search, stats, validate
+from patternmill.operators import analyze, bank as bank_ops, cache, repos, scaffold, search, stats, validate
+from patternmill.operators.embed import Embedder, HashEmbedder
+from patternmill.operators.scanners import Chunker
 from patternmill.plans import sync as plan
-from patternmill.schema import CATEGORIES, MODELS
+from patternmill.schema import CATEGORIES, EXTENSIONS, MODELS
+from patternmill.session import delete, exists, forget, stored
 from patternmill.sources.files import code_files, discovered, local_files, tree
 from patternmill.sources.tables import BankTable
+from patternmill.streaming import ingest
+
+
+def _now() -> int:
+    """Milliseconds; orders what several syncs write."""
+    return int(time.time() * 1000)
 
 
 class PatternBank:
-    """A pattern bank at a path."""
+    """A pattern bank at a path. The configuration sets weights, limits, batches and ignored folders; analyzer and embedder are plug-points."""
 
-    def __init__(self, spark: SparkSession, path: str, analyzer: plan.Analyzer | None = analyze.mock_analysis, dims: int = 64):
-        self.spark, self.table, self.analyzer, self.dims = spark, BankTable(spark, path), analyzer, dims
+    def __init__(self, spark: SparkSession, path: str, analyzer: plan.Analyzer | None = analyze.mock_analysis, config: Config = Config(), embedder: Embedder | None = None):
+        self.spark, self.table, self.config = spark, BankTable(spark, path), config
+        self.analyzer = analyzer if config.batch.analyze else None
+        self.embedder = embedder or HashEmbedder()
         self.table.create()
 
     def read(self) -> DataFrame:
         return self.table.read()
 
+    def _embedded(self, new: DataFrame, name: str) -> DataFrame:
+        """The points with their vectors, written once."""
+        return stored(new.withColumn("embedding", self.embedder.column(F.col("document"))), name)
+
     def store(self, rows: DataFrame, dedup: bool = False) -> DataFrame:
         """Add patterns (content, title, description, category, language, quality_score, ...); returns the rows that were refused.
 
@@ -34,34 +53,104 @@ class PatternBank:
         new = good.select(
             F.col("content").alias("document"), "title", "description", F.lower("category").alias("category"), F.lower("language").alias("language"),
             default("quality_score", 5).cast("int").alias("quality_score"), default("source_repo", "manual").alias("source_repo"), default("source_path", "").alias("source_path"),
-            search.hash_embedding(F.col("content"), self.dims).cast("array<float>").alias("embedding"), F.unix_micros(F.current_timestamp()).alias("ingest_seq"),
+            F.lit(_now() << 20).cast("long").alias("ingest_seq"),
         )
-        new = plan.points(new) if dedup else new.withColumn("point_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
-        self.table.replace(bank_ops.upsert(self.read(), new))
+        new = bank_ops.latest(plan.points(new)) if dedup else new.withColumn("point_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
+        new = self._embedded(new, "new-points")
+        self.table.merge(new)
+        forget(new)
         return bad
 
-    def search(self, query: str, language: str | None = None, category: str | None = None, min_quality: int = 5, limit: int = 10, candidate_cap: int | None = 50, hybrid: bool = True) -> DataFrame:
-        """The best patterns with their scores, rank and rendered text."""
+    def search(self, query: str, language: str | None = None, category: str | None = None, min_quality: int = 5, limit: int = 10, candidate_cap: int | None = -1, hybrid: bool | None = None) -> DataFrame:
+        """The best patterns with their scores, rank and rendered text; cap and hybrid are the configuration's unless given."""
         row = self.spark.createDataFrame([(query, limit, min_quality, language, category)], "query string, limit int, min_quality int, language string, category string")
         if errors := row.select(validate.search_errors().alias("e")).first()["e"]:
             raise ValueError(f"not valid: {', '.join(errors)}")
-        vector = search.embed([query], self.dims)[0]
-        found = search.matching(self.read(), language, category, min_quality)
-        return search.hybrid_top(found, query, vector, limit, candidate_cap, hybrid).withColumn("rendered", render.search_result())
-
-    def sync(self, files: DataFrame, min_quality: int = 5) -> DataFrame:
-        """Chunk, analyze and upsert files (repo, file_path, language, content, ingest_seq); returns the summary."""
-        new_bank, new, chunks = plan.sync(files, self.read(), self.analyzer, min_quality)
-        vector = F.coalesce("embedding", search.hash_embedding(F.col("document"), self.dims).cast("array<float>"))
-        self.table.replace(new_bank.withColumn("embedding", vector))
-        return plan.summary(files, chunks, new)
-
-    def sync_folder(self, root: str, repo: str, min_quality: int = 5) -> DataFrame:
-        files = code_files(tree(self.spark, root)).select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "language", "content", F.lit(0).cast("long").alias("ingest_seq"))
-        return self.sync(files, min_quality)
+        found, own = search.matching(self.read(), language, category, min_quality), self.config.search
+        cap, enabled = own.candidate_cap if candidate_cap == -1 else candidate_cap, own.enabled if hybrid is None else hybrid
+        top = search.hybrid_top(found, query, self.embedder.query(query), limit, cap, enabled, own.semantic_weight, own.keyword_weight)
+        return top.withColumn("rendered", render.search_result())
+
+    def gather_patterns(self, kind: str, stack: list[str], limit: int = 5) -> DataFrame:
+        """The patterns nearest to a project's kind and stack, without filter or reranking; none if that cannot be asked."""
+        told = self.spark.range(1).select(search.scaffold_query(F.lit(kind), F.array(*[F.lit(s) for s in stack]).cast("array<string>")).alias("q")).first()["q"]
+        top = search.semantic_top(self.read(), self.embedder.query(told), limit)
+        return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("semantic"), "point_id")))
+
+    def sync(self, files: DataFrame, min_quality: int | None = None, chunker: Chunker | None = None) -> DataFrame:
+        """Chunk, analyze and upsert files (repo, file_path, language, content, ingest_seq); returns the summary, with failed files.
+
+        Chunks and points are written once, only new points are embedded, and only the bank's buckets that they fall in
+        are written anew.
+        """
+        own = self.config.batch
+        tried = stored(plan.tried(files, chunker, own.max_retries, own.retry_delay), "chunks")
+        chunks = tried.where("error IS NULL").drop("error")
+        new = self._embedded(plan.found_in(chunks, self.analyzer, own.min_quality if min_quality is None else min_quality), "new-points")
+        self.table.merge(new)
+        told = stored(plan.summary(files, chunks, new, plan.failures(tried)), "summary")
+        forget(tried, new)
+        return told
+
+    def sync_folder(self, root: str, repo: str, min_quality: int | None = None) -> DataFrame:
+        """sync for the code files below a folder; of several syncs the last one wins."""
+        found = code_files(tree(self.spark, root, self.config.ignored_dirs, list(EXTENSIONS)))
+        return self.sync(found.select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "language", "content", F.lit(_now()).cast("long").alias("ingest_seq")), min_quality)
+
+    def _sync_home(self, repo: str) -> str:
+        name = self.spark.range(1).select(cache.short_name(F.lit(repo)).alias("n")).first()["n"]
+        return f"{self.table.path}/_sync/{name}"
+
+    def sync_stream(self, source: str, repo: str, resume: bool = True, chunker: Chunker | None = None, min_quality: int | None = None, on_batch: Callable[[DataFrame], None] | None = None) -> DataFrame:
+        """Sync the files of a repository from Parquet files of file rows in small batches; returns the progress.
+
+        A batch is batch_size new Parquet files. What is done stays done: a later call goes on where the last one ended,
+        also after a failure, unless resume is false. A file that fails after all its attempts is a row of the progress
+        and stops nothing. on_batch gets the progress after each batch.
+        """
+        own, home = self.config.batch, self._sync_home(repo)
+        quality = own.min_quality if min_quality is None else min_quality
+        if not resume:
+            self.clear_progress(repo)
+        meta = self.spark.read.parquet(f"{home}/meta").first() if exists(self.spark, f"{home}/meta/_SUCCESS") else None
+        total = self.spark.read.schema(ingest.FILES).parquet(source).where(F.col("repo") == repo).select("file_path").distinct().count()
+        started = meta["started_at"] if meta else time.time()
+        self.spark.createDataFrame([(repo, total, started)], "repo string, total_files long, started_at double").coalesce(1).write.mode("overwrite").parquet(f"{home}/meta")
+
+        def write(batch: DataFrame, number: int) -> None:
+            files = batch.where(F.col("repo") == repo)
+            tried = stored(plan.tried(files, chunker, own.max_retries, own.retry_delay), "chunks")
+            new = self._embedded(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, quality), "new-points")
+            self.table.merge(new)
+            ingest.logged(files, tried, new, time.time()).write.mode("overwrite").parquet(f"{home}/files/batch={number}")
+            forget(tried, new)
+            if on_batch:
+                on_batch(self.progress(repo))
+            if own.delay > 0:
+                time.sleep(own.delay)
+
+        rows = self.spark.readStream.schema(ingest.FILES).option("maxFilesPerTrigger", own.batch_size).parquet(source)
+        query = rows.writeStream.foreachBatch(write).option("checkpointLocation", f"{home}/checkpoint").trigger(availableNow=True).start()
+        query.awaitTermination()
+        return self.progress(repo)
+
+    def progress(self, repo: str) -> DataFrame:
+        """How far the sync of a repository is, with percent, seconds left and a line of text; no row if there is none."""
+        home = self._sync_home(repo)
+        meta = self.spark.read.parquet(f"{home}/meta").first() if exists(self.spark, f"{home}/meta/_SUCCESS") else None
+        log = self.spark.read.schema(ingest.LOG).parquet(f"{home}/files") if exists(self.spark, f"{home}/files") else self.spark.createDataFrame([], ingest.LOG)
+        told = ingest.progress_from(log, meta["total_files"] if meta else 0, meta["started_at"] if meta else 0.0)
+        return render.with_progress(told).withColumn("rendered", render.progress_report())
+
+    def clear_progress(self, repo: str) -> bool:
+        """T4: forget how far the sync of a repository is, so that the next one starts anew; whether there was anything."""
+        return delete(self.spark, self._sync_home(repo))
 
     def discover(self, root: str) -> int:
-        self.table.replace(self.read().unionByName(discovered(local_files(self.spark, root)), allowMissingColumns=True))
+        """Each code file below a folder becomes a point of its own; returns how many points there are."""
+        new = stored(discovered(local_files(self.spark, root)), "discovered")
+        self.table.merge(new.withColumn("ingest_seq", F.lit(_now() << 20).cast("long")))
+        forget(new)
         return self.table.count()
 
     def stats(self) -> DataFrame:
@@ -79,22 +168,37 @@ class PatternBank:
         chunks = analyze.chunk_of(search.in_category(self.read(), from_category))
         told = stats.relabelled(chunks, self.analyzer())
         if not dry_run:
-            new = told.where("outcome = 'updated'").select("point_id", "analysis.title", "analysis.description", "analysis.category", "analysis.quality_score", "analysis.use_cases")
-            self.table.replace(bank_ops.partial_update(self.read(), new))
+            new = stored(told.where("outcome = 'updated'").select("point_id", "analysis.title", "analysis.description", "analysis.category", "analysis.quality_score", "analysis.use_cases"), "relabelled")
+            counts = stored(stats.outcome_counts(told), "outcomes")
+            self.table.change(new.select(self.table.bucket().alias("bucket")), lambda old: bank_ops.partial_update(old, new))
+            forget(new)
+            return counts
         return stats.outcome_counts(told)
 
     def rebuild(self) -> int:
         """Embed all rows anew as a new version."""
-        return self.table.replace(self.read().withColumn("embedding", search.hash_embedding(F.col("document"), self.dims).cast("array<float>")))
-
-    def scaffold(self, name: str, kind: str, stack: str, folder: str | None = None) -> DataFrame:
-        made = scaffold.scaffold(self.spark, name, kind, stack)
+        return self.table.replace(self.read().withColumn("embedding", self.embedder.column(F.col("document"))))
+
+    def scaffold(self, name: str, kind: str, stack: str, folder: str | None = None, ask: Callable[[str], str] | None = None, prompt: str = scaffold.PROMPT) -> DataFrame:
+        """A new project's folders and files, from a model's reply to the prompt with the nearest patterns where there is one, else from the template."""
+        split = [s.strip() for s in stack.split(",")]
+        filled = ""
+        if ask is not None:
+            shown = self.gather_patterns(kind, split).orderBy("rank").select(render.prompt_pattern().alias("p")).collect()
+            filled = scaffold.filled(prompt, name, kind, split, [r["p"] for r in shown])
+        made = scaffold.structure_from(self.spark, name, kind, split, ask, filled)
         if folder is not None:
             scaffold.write_project(made, folder)
         return scaffold.listing(made)
 
-    def list_repos(self, listed: DataFrame, **options) -> DataFrame:
-        return repos.listed(listed, **options).withColumn("rendered", render.repo_entry())
+    def list_repos(self, listed: DataFrame, me: str | None = None) -> DataFrame:
+        """The listed repositories that the configuration lets through, with their text; listed is what repos.repo_listing reads."""
+        own = self.config.repos
+        return repos.listed(listed, me, include_private=own.include_private, include_orgs=own.include_orgs, excluded=own.excluded).withColumn("rendered", render.repo_entry())
+
+    def stats_text(self) -> DataFrame:
+        """The statistics as lines of text."""
+        return render.stats_lines(stats.dimension_counts(self.read()))
 
 
 def embedding_info(spark: SparkSession) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from patternmill.operators.analyze import fallback_patterns, mock_analysis, patterns, quality_gate
 from patternmill.operators.bank import point_id, upsert
-from patternmill.operators.scanners import extract_chunks
+from patternmill.operators.scanners import Chunker, extracted
 
 Analyzer = Callable[[], Column]
 
@@ -19,28 +19,42 @@ def points(patterns_: DataFrame) -> DataFrame:
     return patterns_.withColumn("point_id", point_id(F.col("source_repo"), F.col("source_path"), F.col("document")))
 
 
-def chunked(files: DataFrame) -> DataFrame:
-    """Chunks of files (repo, file_path, language, content, ingest_seq); empty files and empty chunks give none.
+def tried(files: DataFrame, chunker: Chunker | None = None, retries: int = 1, delay: float = 1.0) -> DataFrame:
+    """Chunks of files (repo, file_path, language, content, ingest_seq), and a row with an error for each file that gave up.
 
-    ingest_seq numbers the chunks of a file in order: that of the file times 2^20 plus the chunk's number.
+    Empty files (F11) and empty chunks give none. ingest_seq numbers the chunks of a file in order: that of the file
+    times 2^20 plus the chunk's number.
     """
-    chunks = extract_chunks(files.where(F.length("content") > 0))
-    return chunks.withColumn("ingest_seq", F.shiftleft(F.col("ingest_seq").cast("long"), 20) + F.col("chunk_no"))
+    rows = extracted(files.where(F.length("content") > 0), chunker=chunker, retries=retries, delay=delay)
+    return rows.withColumn("ingest_seq", F.shiftleft(F.col("ingest_seq").cast("long"), 20) + F.coalesce("chunk_no", F.lit(0)))
+
+
+def chunked(files: DataFrame) -> DataFrame:
+    """The chunks of tried alone."""
+    return tried(files).where("error IS NULL").drop("error")
+
+
+def failures(rows: DataFrame) -> DataFrame:
+    """(repo, file_path, error) of the files that gave up."""
+    return rows.where("error IS NOT NULL").select("repo", "file_path", "error")
+
+
+def found_in(chunks: DataFrame, analyzer: Analyzer | None = mock_analysis, min_quality: int = 5) -> DataFrame:
+    """The points of chunks; without an analyzer all chunks become points as they are."""
+    if analyzer is None:
+        return points(fallback_patterns(chunks))
+    return points(patterns(quality_gate(chunks.withColumn("analysis", analyzer()), min_quality)))
 
 
 def sync(files: DataFrame, bank: DataFrame, analyzer: Analyzer | None = mock_analysis, min_quality: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The new bank, the points written, and the chunks; without an analyzer all chunks go in as they are."""
+    """The new bank, the points written, and the chunks, as plans; PatternBank.sync writes each step once."""
     chunks = chunked(files)
-    if analyzer is None:
-        found = fallback_patterns(chunks)
-    else:
-        found = patterns(quality_gate(chunks.withColumn("analysis", analyzer()), min_quality))
-    new = points(found)
+    new = found_in(chunks, analyzer, min_quality)
     return upsert(bank, new), new, chunks
 
 
 def summary(files: DataFrame, chunks: DataFrame, new: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Per repository files, chunks, writes and distinct points."""
+    """Per repository files, chunks, writes and distinct points, and failed files where they are given."""
     one = files.groupBy("repo").agg(F.count("*").alias("files"))
     two = chunks.groupBy("repo").agg(F.count("*").alias("chunks"))
     three = new.groupBy(F.col("source_repo").alias("repo")).agg(F.count("*").alias("stored"), F.count_distinct("point_id").alias("distinct_points"))
