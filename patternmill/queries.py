@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from patternmill.config import CacheConfig, from_settings
 from patternmill.functions import paths, render, replies, text
-from patternmill.operators import analyze, bank, cache, chunking, repos, scaffold, scanners, search, stats, validate
+from patternmill.operators import analyze, bank, cache, chunking, remote, repos, scaffold, scanners, search, stats, validate
 from patternmill.plans import sync as plan
 from patternmill.plans.api import embedding_info as model_info
+from patternmill.plans.cache_store import CacheStore
 from patternmill.schema import EXCLUDED_REPOS
-from patternmill.session import fresh_path, ship, stored
+from patternmill.session import fresh_path, put_bytes, ship, stored
+from patternmill.sources import files as trees
+from patternmill.sources.tables import CacheTable
+from patternmill.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -147,12 +151,14 @@ REPOS = """repos AS (
 
 
 def repo_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The sources as repositories that a service describes, through P4; html_url names the source."""
     s = F.col("source")
     name = F.when(s.isin("src1", "src2"), F.concat(F.lit("archived-"), s)).when(s == "src3", "dotfiles").when(s == "src4", "team.github.io").otherwise(s)
-    return table(spark, sf, "documents").select("source").distinct().select(
-        s, name.alias("name"), (F.length(s) == 5).alias("is_private"), F.when(s < "src5", "me").otherwise("org").alias("owner"), F.when(s != "src0", "python").alias("language"),
-        F.lit("main").alias("default_branch"), F.when(s == "src7", "").otherwise(F.concat(F.lit("All of "), s)).alias("description"),
+    raw = table(spark, sf, "documents").select("source").distinct().select(
+        F.concat(F.lit("me/"), name).alias("full_name"), name.alias("name"), F.when(s == "src7", "").otherwise(F.concat(F.lit("All of "), s)).alias("description"), F.when(s != "src0", "python").alias("language"),
+        F.when(F.length(s) == 5, True).alias("private"), F.lit(None).cast("string").alias("default_branch"), s.alias("html_url"), F.struct(F.when(s < "src5", "me").otherwise("org").alias("login")).alias("owner"),
     )
+    return repos.repo_info(raw).withColumn("source", F.col("url"))
 
 
 @query(f"WITH {REPOS} SELECT source, name, owner FROM repos WHERE NOT is_private AND owner = 'me'")
@@ -184,7 +190,17 @@ def file_batches_of_10(spark, sf):
   coalesce(nullif(description, ''), 'No description'), chr(10), chr(10)) AS rendered FROM repos"""
 )
 def repo_list_rendered(spark, sf):
-    return repo_rows(spark, sf).withColumn("full_name", F.concat(F.lit("me/"), "name")).select("source", render.repo_entry().alias("rendered"))
+    return repo_rows(spark, sf).select("source", render.repo_entry().alias("rendered"))
+
+
+@query(f"WITH {REPOS} SELECT concat('me/', name) AS full_name, name, description, language, is_private, default_branch, source AS url, owner FROM repos")
+def repo_scan(spark, sf):
+    """A dump of repositories written as JSON lines and read back."""
+    home = fresh_path(spark, "repos")
+    rows = repo_rows(spark, sf)
+    raw = rows.select("full_name", "name", "description", "language", F.col("is_private").alias("private"), "default_branch", F.col("url").alias("html_url"), F.struct(F.col("owner").alias("login")).alias("owner"))
+    raw.write.json(home)
+    return repos.repo_listing(spark, home)
 
 
 # Search
@@ -202,10 +218,10 @@ def vector_bank(spark: SparkSession, sf: str) -> DataFrame:
     return bank.document_bank(spark, sf).join(vectors, "ingest_seq")
 
 
-def _hybrid_sql(k: int, where: str = "TRUE") -> str:
+def _hybrid_sql(k: int, where: str = "TRUE", weights: tuple[float, float] = (0.7, 0.3)) -> str:
     return f"""WITH {BANK}, {VECTORS}, cand AS (SELECT * FROM vectors WHERE {where} ORDER BY semantic DESC, point_id LIMIT {min(3 * k, 50)}),
 rk AS (SELECT *, row_number() OVER (ORDER BY semantic DESC, point_id) AS srank, {KEYWORD} AS keyword FROM cand),
-h AS (SELECT *, CAST(0.7 AS DOUBLE) * semantic + CAST(0.3 AS DOUBLE) * keyword AS hybrid FROM rk),
+h AS (SELECT *, CAST({weights[0]} AS DOUBLE) * semantic + CAST({weights[1]} AS DOUBLE) * keyword AS hybrid FROM rk),
 top AS (SELECT *, row_number() OVER (ORDER BY hybrid DESC, srank) AS rank FROM h ORDER BY hybrid DESC, srank LIMIT {k})
 """
 
@@ -228,6 +244,36 @@ def search_hybrid_limit_cap(spark, sf):
     return _top(search.hybrid_top(vector_bank(spark, sf), QUESTION, search.vector_of(spark, sf, 0), 60))
 
 
+WEIGHTS = {"search": {"semantic_weight": 0.25, "keyword_weight": 0.6}}
+
+
+@query(_hybrid_sql(10, "quality_score >= 3", (0.25, 0.6)) + _TOP)
+def search_hybrid_weights(spark, sf):
+    """Weights from a configuration."""
+    own = from_settings(WEIGHTS).search
+    found = search.matching(vector_bank(spark, sf), min_quality=3)
+    return _top(search.hybrid_top(found, QUESTION, search.vector_of(spark, sf, 0), 10, own.candidate_cap, own.enabled, own.semantic_weight, own.keyword_weight))
+
+
+@query(
+    f"""WITH {BANK}, v AS (SELECT b.*, CASE WHEN ingest_seq % 4 = 1 THEN NULL ELSE {_SEMANTIC} END AS semantic FROM bank b JOIN embeddings e ON e.vec_id = b.ingest_seq WHERE b.ingest_seq < 40),
+rk AS (SELECT *, row_number() OVER (ORDER BY semantic DESC NULLS LAST, point_id) AS srank, {KEYWORD} AS keyword FROM v),
+h AS (SELECT *, CAST(0.7 AS DOUBLE) * coalesce(semantic, 1) + CAST(0.3 AS DOUBLE) * keyword AS hybrid FROM rk)
+SELECT CAST(row_number() OVER (ORDER BY hybrid DESC, srank) AS INTEGER) AS rank, point_id, round(hybrid, 9) AS hybrid FROM h ORDER BY hybrid DESC, srank LIMIT 20"""
+)
+def search_null_vectors(spark, sf):
+    """Rows without a similarity count as 1 in the reranking; 40 rows, so that all are candidates."""
+    some = vector_bank(spark, sf).where("ingest_seq < 40").withColumn("embedding", F.when(F.col("ingest_seq") % 4 != 1, F.col("embedding")))
+    return search.hybrid_top(some, QUESTION, search.vector_of(spark, sf, 0), 20, None).select("rank", "point_id", F.round("hybrid", 9).alias("hybrid"))
+
+
+@query(_hybrid_sql(5) + "SELECT point_id, round(semantic, 9) AS semantic, CAST(srank AS INTEGER) AS rank FROM rk WHERE srank <= 5")
+def gather_patterns(spark, sf):
+    """The nearest patterns, without filter or reranking."""
+    top = search.semantic_top(vector_bank(spark, sf), search.vector_of(spark, sf, 0), 5)
+    return top.select("point_id", F.round("semantic", 9).alias("semantic"), F.row_number().over(Window.orderBy(F.desc("semantic"), "point_id")).alias("rank"))
+
+
 @query(f"WITH {BANK}, {VECTORS} SELECT point_id, round(semantic, 9) AS semantic FROM vectors WHERE quality_score >= 5 ORDER BY vectors.semantic DESC, point_id LIMIT 10")
 def search_semantic_topk(spark, sf):
     top = search.semantic_top(search.matching(vector_bank(spark, sf), min_quality=5), search.vector_of(spark, sf, 0), 10)
@@ -328,6 +374,28 @@ def stats_dimensions(spark, sf):
     return stats.dimension_counts(bank.document_bank(spark, sf))
 
 
+@query(
+    f"""WITH {BANK}, u AS (SELECT 'language' AS dimension, language AS value, ingest_seq FROM bank UNION ALL SELECT 'category', category, ingest_seq FROM bank UNION ALL SELECT 'source_repo', source_repo, ingest_seq FROM bank),
+c AS (SELECT dimension, value, count(*) AS n, min(ingest_seq) AS f FROM u WHERE value IS NOT NULL GROUP BY dimension, value)
+SELECT dimension, value, n, CAST(row_number() OVER (PARTITION BY dimension ORDER BY n DESC, f, value) AS INTEGER) AS rank FROM c"""
+)
+def stats_ranked(spark, sf):
+    """Ties by who came first."""
+    return stats.ranked_counts(bank.document_bank(spark, sf))
+
+
+@query(
+    f"""WITH {BANK}, u AS (SELECT 'language' AS dimension, language AS value FROM bank UNION ALL SELECT 'category', category FROM bank UNION ALL SELECT 'source_repo', source_repo FROM bank)
+SELECT concat(dimension, ' | ', value, ': ', count(*)) AS line, FALSE AS empty_bank FROM u WHERE value IS NOT NULL GROUP BY dimension, value
+UNION ALL SELECT 'The bank is empty: sync a repository or store a pattern', TRUE"""
+)
+def stats_rendered(spark, sf):
+    """The lines of a bank, and the one of an empty bank."""
+    told = bank.document_bank(spark, sf)
+    lines = lambda b: render.stats_lines(stats.dimension_counts(b))
+    return lines(told).withColumn("empty_bank", F.lit(False)).unionByName(lines(told.limit(0)).withColumn("empty_bank", F.lit(True)))
+
+
 @query("SELECT count(*) AS n FROM documents")
 def stats_total(spark, sf):
     return table(spark, sf, "documents").agg(F.count("*").alias("n"))
@@ -363,7 +431,7 @@ def relabel_outcomes(spark, sf):
     return stats.outcome_counts(_relabelled(spark, sf))
 
 
-@query(f"WITH {BANK} SELECT concat(category, ' -> other') AS transition, count(*) AS n FROM bank WHERE length(document) > 0 AND category <> 'other' GROUP BY category")
+@query(f"WITH {BANK}, c AS (SELECT concat(category, ' -> other') AS transition, count(*) AS n FROM bank WHERE length(document) > 0 AND category <> 'other' GROUP BY category) SELECT *, CAST(row_number() OVER (ORDER BY n DESC, transition) AS INTEGER) AS rank FROM c")
 def relabel_transitions(spark, sf):
     return stats.transitions(_relabelled(spark, sf))
 
@@ -421,7 +489,17 @@ def fixed_windows(spark, sf):
     return rows.select("doc_id", "chunk_index", "total_chunks", "start_char", "end_char", F.md5("text").alias("digest"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE big AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE length(text) / 4.0 > 512),
+steps AS (
+  SELECT doc_id, ls, 0 AS k, CAST([] AS VARCHAR[]) AS held, CAST(0 AS DOUBLE) AS size, CAST(NULL AS VARCHAR) AS done FROM big UNION ALL
+  SELECT doc_id, ls, k + 1, CASE WHEN past THEN list_append(tail, x) ELSE list_append(held, x) END,
+    CASE WHEN past THEN coalesce(list_sum(list_transform(tail, lambda t: length(t) / CAST(4 AS DOUBLE))), 0) + n ELSE size + n END, CASE WHEN past THEN array_to_string(held, chr(10)) END
+  FROM (SELECT *, size + n > 512 AND len(held) > 0 AS past, list_slice(held, -2, -1) AS tail FROM (SELECT *, ls[k + 1] AS x, length(ls[k + 1]) / CAST(4 AS DOUBLE) AS n FROM steps WHERE k < len(ls)))),
+parts AS (SELECT doc_id, k, done AS part FROM steps WHERE done IS NOT NULL UNION ALL SELECT doc_id, k + 1, array_to_string(held, chr(10)) FROM steps WHERE k = len(ls) AND len(held) > 0
+  UNION ALL SELECT doc_id, 0, text FROM documents WHERE NOT length(text) / 4.0 > 512)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, md5(part) AS digest FROM parts"""
+)
 def line_packing(spark, sf):
     return chunking.packed_rows(table(spark, sf, "documents"), "doc_id", "text").select("doc_id", "chunk_index", "total_chunks", F.md5("text").alias("digest"))
 
@@ -519,6 +597,40 @@ def chunk_documents(spark, sf):
     return scanners.extract_chunks(files).select("ingest_seq", "language", "chunk_no", F.md5("content").alias("digest"), "start_line", "end_line", "chunk_type", "name")
 
 
+_BODY = lambda line: f"repeat(concat('{line}', chr(10)), n)"
+CORPUS = f"""corpus AS (
+  SELECT doc_id, CAST(2 + doc_id % 7 AS INTEGER) AS n, CAST(2 + doc_id // 7 % 6 AS INTEGER) AS m, CASE doc_id % 4 WHEN 0 THEN 'python' WHEN 1 THEN 'java' WHEN 2 THEN 'javascript' ELSE 'go' END AS language FROM documents),
+blocks AS (
+  SELECT doc_id, language, 1 AS k, 'class' AS chunk_type, concat('A', doc_id) AS name, 3 AS start_line, n + CASE language WHEN 'python' THEN 3 ELSE 4 END AS end_line, n + CASE language WHEN 'python' THEN 1 ELSE 2 END AS lines FROM corpus WHERE language <> 'go'
+  UNION ALL SELECT doc_id, language, 2, 'function', concat('f', doc_id), n + CASE language WHEN 'python' THEN 5 ELSE 6 END, n + m + CASE language WHEN 'python' THEN 5 ELSE 7 END, m + CASE language WHEN 'python' THEN 1 ELSE 2 END FROM corpus WHERE language IN ('python', 'javascript')),
+found AS (SELECT * FROM blocks WHERE lines >= 5),
+whole AS (
+  SELECT doc_id, language, 1 AS k, 'file' AS chunk_type, concat('doc', doc_id) AS name, 1 AS start_line, CASE language WHEN 'python' THEN n + m + 6 ELSE n + m + 8 END AS end_line, 9 AS lines FROM corpus c
+  WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.doc_id = c.doc_id))"""
+
+
+def corpus_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A source for each document: an import, a class of n lines and a function of m lines, in four languages."""
+    d = F.col("doc_id")
+    n, m, name = (2 + d % 7).cast("int"), (2 + F.floor(d / 7) % 6).cast("int"), d.cast("string")
+    body = lambda line, k: F.repeat(F.lit(line + "\n"), k)
+    language = F.element_at(F.array(*[F.lit(x) for x in ("python", "java", "javascript", "go")]), (d % 4 + 1).cast("int"))
+    python = F.concat(F.lit("import os\n\nclass A"), name, F.lit(":\n"), body("    x = 1", n), F.lit("\ndef f"), name, F.lit("(a):\n"), body("    a += 1", m))
+    braces = lambda first, head: F.concat(F.lit(first + "\n\nclass A"), name, F.lit(" {\n"), body("  a = {};", n), F.lit("}\n\n" + head), name, F.lit("(a) {\n"), body("  go();", m), F.lit("}\n"))
+    text = F.when(language == "python", python).when(language == "java", braces("import a.b;", "void f")).when(language == "javascript", braces("import a from 'a';", "function f")).otherwise(braces("package a", "func f"))
+    return table(spark, sf, "documents").select("doc_id", F.concat(F.lit("src/doc"), name, F.lit(".x")).alias("file_path"), language.alias("language"), text.alias("content"))
+
+
+@query(
+    f"""WITH {CORPUS}, every AS (SELECT * FROM found UNION ALL SELECT * FROM whole)
+SELECT doc_id, language, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS INTEGER) AS chunk_no, chunk_type, name, CAST(start_line AS INTEGER) AS start_line, CAST(end_line AS INTEGER) AS end_line FROM every"""
+)
+def chunk_corpus(spark, sf):
+    """G1 to G8, D4 over thousands of sources: blocks that are long enough, else the whole file."""
+    ship(spark)
+    return scanners.extract_chunks(corpus_rows(spark, sf)).select("doc_id", "language", "chunk_no", "chunk_type", "name", "start_line", "end_line")
+
+
 # Analysis
 
 PIECES = """pieces AS (SELECT doc_id AS ingest_seq, source AS repo, concat('doc/', doc_id, '.txt') AS file_path, lang AS language, text AS content,
@@ -554,6 +666,33 @@ def fallback_patterns(spark, sf):
     return analyze.fallback_patterns(piece_rows(spark, sf)).select("ingest_seq", "title", "description", "category", "quality_score")
 
 
+_PROMPT = "concat('Rate ', language, ' of ', file_path, ' in N/A: ', substr(content, 1, 40))"
+
+
+@query(f"WITH {PIECES} SELECT ingest_seq, {_PROMPT} AS prompt FROM (SELECT ingest_seq, language, file_path, content FROM pieces)")
+def analysis_prompt(spark, sf):
+    """X29."""
+    rows = piece_rows(spark, sf).withColumn("content", F.substring("content", 1, 40)).withColumn("context", F.when(F.col("ingest_seq") % 2 == 0, ""))
+    return rows.select("ingest_seq", render.analysis_prompt("Rate {language} of {file_path} in {context}: {code}").alias("prompt"))
+
+
+@query(
+    f"""WITH {PIECES} SELECT ingest_seq, CASE WHEN length(content) % 5 = 0 THEN NULL ELSE concat('T', length(content) % 40) END AS title, CASE WHEN length(content) % 5 = 0 THEN NULL ELSE CAST(least(10, greatest(1, length(content) % 12)) AS INTEGER) END AS quality_score,
+  CASE WHEN length(content) % 5 = 0 THEN 'refused' END AS error FROM pieces"""
+)
+def remote_analysis(spark, sf):
+    """An analyzer behind a call, which refuses a fifth of the chunks."""
+    ship(spark)
+
+    def call(prompt: str) -> str:
+        if len(prompt) % 5 == 0:
+            raise ValueError("refused")
+        return f'{{"is_pattern": true, "title": "T{len(prompt) % 40}", "quality_score": {len(prompt) % 12}}}'
+
+    told = remote.analyzed(piece_rows(spark, sf).withColumn("context", F.lit(None).cast("string")), "{code}", call)
+    return told.select("ingest_seq", "analysis.title", "analysis.quality_score", "error")
+
+
 FENCE = "`" * 3
 REPLIES = [
     (0, '{"is_pattern": true, "title": "T", "description": "D", "category": "testing", "quality_score": 7, "use_cases": ["a", "b"]}'),
@@ -570,11 +709,14 @@ REPLIES = [
     (11, "{'title': 'Q'}"),
     (12, '  {"title": "B"}  '),
     (13, ""),
+    (14, '{"title": "Big", "quality_score": 99999999999, "is_pattern": 1}'),
+    (15, '{"title": "Zero", "quality_score": -1e30, "is_pattern": 0}'),
 ]
 PARSED = [
     (0, True, "T", "D", "testing", 7, "a,b"), (1, True, "F", "", "security", 10, ""), (2, None, None, None, None, None, None), (3, False, "Untitled Pattern", "", "other", 1, ""), (4, False, "S", "", "other", 8, ""),
     (5, False, "H", "", "other", 7, ""), (6, None, None, None, None, None, None), (7, None, None, None, None, None, None), (8, None, None, None, None, None, None), (9, None, None, None, None, None, None),
     (10, None, None, None, None, None, None), (11, None, None, None, None, None, None), (12, False, "B", "", "other", 5, ""), (13, None, None, None, None, None, None),
+    (14, True, "Big", "", "other", 10, ""), (15, False, "Zero", "", "other", 1, ""),
 ]
 
 
@@ -628,13 +770,33 @@ def progress_metrics(spark, sf):
 SELECT source AS repo, string_agg(concat('doc/', doc_id, '.txt'), ',' ORDER BY doc_id) AS failed, greatest(max(n) - 5, 0) AS more FROM f WHERE k <= 5 GROUP BY source"""
 )
 def failed_files_top5(spark, sf):
-    short = table(spark, sf, "documents").where("n_chars < 400")
-    counts = short.groupBy("source").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("source").orderBy("doc_id")
-    first = short.select("source", "doc_id", F.row_number().over(order).alias("k")).where("k <= 5")
-    named = first.groupBy("source").agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).join(counts, "source")
-    path = F.transform("ids", lambda x: F.concat(F.lit("doc/"), x.cast("string"), F.lit(".txt")))
-    return named.select(F.col("source").alias("repo"), F.array_join(path, ",").alias("failed"), F.greatest(F.col("n") - 5, F.lit(0).cast("long")).alias("more"))
+    short = table(spark, sf, "documents").where("n_chars < 400").select(F.col("source").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.lit("short").alias("error"), "doc_id")
+    return ingest.first_failures(short, "doc_id").select("repo", F.array_join(F.transform("failed_files", lambda f: f["path"]), ",").alias("failed"), F.col("more_failed").alias("more"))
+
+
+_LINE = "concat(repo, ': ', processed_files, ' of ', total_files, ' files (', CAST(CAST(percent AS DECIMAL(18, 1)) AS VARCHAR), '%), about ', CASE WHEN eta_s >= 60 THEN concat(CAST(floor(eta_s / 60) AS BIGINT), 'm ', CAST(floor(eta_s % 60) AS BIGINT), 's') ELSE concat(CAST(CAST(eta_s AS DECIMAL(18, 1)) AS VARCHAR), 's') END, ' left')"
+
+
+@query(
+    f"""WITH l AS (SELECT source AS repo, count(*) AS processed_files, CAST(sum(n_chars // 700) AS BIGINT) AS total_chunks, CAST(sum(CASE WHEN n_chars > 900 THEN 1 ELSE 0 END) AS BIGINT) AS stored_patterns, CAST(max(doc_id % 500) AS DOUBLE) AS elapsed_s,
+  CAST(greatest(count(*) FILTER (WHERE n_chars < 200) - 5, 0) AS BIGINT) AS more_failed FROM documents GROUP BY source),
+p AS (SELECT *, CAST(20000 AS BIGINT) AS total_files, round_even(processed_files * CAST(100 AS DOUBLE) / 20000, 1) AS percent, round_even(elapsed_s / processed_files * (20000 - processed_files), 1) AS eta_s FROM l)
+SELECT repo AS repo_name, total_files, processed_files, total_chunks, stored_patterns, more_failed, percent, eta_s, {_LINE} AS rendered FROM p"""
+)
+def sync_progress_rows(spark, sf):
+    """The progress that a log of files stands for."""
+    log = table(spark, sf, "documents").select(
+        F.col("source").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file_path"), F.expr("n_chars div 700").alias("chunks"), F.when(F.col("n_chars") > 900, 1).otherwise(0).cast("long").alias("stored"),
+        F.when(F.col("n_chars") < 200, "short").alias("error"), (1000 + F.col("doc_id") % 500).cast("double").alias("finished_at"),
+    )
+    told = render.with_progress(ingest.progress_from(log, 20_000, 1000.0))
+    return told.select("repo_name", "total_files", "processed_files", "total_chunks", "stored_patterns", "more_failed", "percent", "eta_s", render.progress_report().alias("rendered"))
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 10 = 0")
+def progress_sampled(spark, sf):
+    """W8."""
+    return ingest.sampled(table(spark, sf, "documents").select("doc_id"), 10, "doc_id")
 
 
 def sync_files(spark: SparkSession, sf: str) -> DataFrame:
@@ -669,45 +831,89 @@ def sync_summary(spark, sf):
 
 @query("SELECT source AS repo, concat('doc/', doc_id, '.py') AS file_path FROM documents WHERE n_chars > 1500")
 def sync_resume_antijoin(spark, sf):
-    from patternmill.streaming.ingest import remaining
-
     files = sync_files(spark, sf).select("repo", "file_path")
     done = table(spark, sf, "documents").where("n_chars <= 1500").select(F.col("source").alias("repo"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".py")).alias("file_path"))
-    return remaining(files, done)
+    return ingest.remaining(files, done)
 
 
-@query()
+@query(f"WITH {_SYNC} SELECT 'only_stream' AS what, 0 AS n UNION ALL SELECT 'only_batch', 0 UNION ALL SELECT 'streamed', count(DISTINCT point_id) FROM p")
 def sync_stream_equals_batch(spark, sf):
     """The points that differ between one stream over 25 files and one batch: their counts, and 0 differences."""
-    from patternmill.streaming.ingest import ingest, ingested
-
     ship(spark)
     home = fresh_path(spark, "stream")
     files = sync_files(spark, sf)
     files.repartition(25).write.parquet(f"{home}/in")
-    ingest(spark, f"{home}/in", f"{home}/out", f"{home}/checkpoint")
-    streamed = ingested(spark, f"{home}/out").select("point_id")
+    ingest.ingest(spark, f"{home}/in", f"{home}/out", f"{home}/checkpoint")
+    streamed = ingest.ingested(spark, f"{home}/out").select("point_id")
     _, new, _ = plan.sync(files, bank.document_bank(spark, sf).limit(0))
     batch = stored(bank.latest(new).select("point_id"), "batch-points")
     only = lambda a, b, n: a.join(b, "point_id", "left_anti").agg(F.count("*").alias("n")).select(F.lit(n).alias("what"), "n")
     return only(streamed, batch, "only_stream").unionByName(only(batch, streamed, "only_batch")).unionByName(streamed.agg(F.count("*").alias("n")).select(F.lit("streamed").alias("what"), "n"))
 
 
-@query()
+_TREE = {"a.py": b"x = 1\n", "src/B.PY": b"y = 2\n", "src/c.ts": "é\n".encode(), "node_modules/d.js": b"no", "lib/vendor/e.go": b"no", "bad.go": b"\xff\xfe", "empty.py": b"", "x.md": b"# x"}
+
+
+def small_tree(spark: SparkSession) -> str:
+    home = fresh_path(spark, "tree")
+    for path, data in _TREE.items():
+        put_bytes(spark, f"{home}/{path}", data)
+    return home
+
+
+@query(
+    f"""WITH {_SYNC.replace("SELECT source AS repo", "SELECT 'me/app' AS repo")}, k AS (SELECT count(*) AS n FROM p WHERE path <> 'doc/7.py')
+SELECT 'me/app' AS repo_name, (SELECT count(*) FROM documents) AS total_files, (SELECT count(*) FROM documents) AS processed_files, CAST(k.n AS BIGINT) AS stored_patterns, k.n AS in_bank, CAST(100 AS DOUBLE) AS percent, 'doc/7.py: ValueError: no good' AS failed FROM k"""
+)
+def sync_stream_failures(spark, sf):
+    """T1 to T5 into a bank: one file fails at every attempt; the stream ends with all others, and a second one has nothing to do."""
+    from patternmill.config import BatchConfig, Config
+    from patternmill.plans.api import PatternBank
+
+    ship(spark)
+
+    def chunker(content, path, language):
+        if path == "doc/7.py":
+            raise ValueError("no good")
+        return scanners.chunks_of(content, path, language)
+
+    home = fresh_path(spark, "stream")
+    sync_files(spark, sf).withColumn("repo", F.lit("me/app")).repartition(20).write.parquet(f"{home}/in")
+    own = PatternBank(spark, f"{home}/bank", config=Config(batch=BatchConfig(batch_size=10, max_retries=2, retry_delay=0.0)))
+    own.sync_stream(f"{home}/in", "me/app", chunker=chunker)
+    told = own.sync_stream(f"{home}/in", "me/app", chunker=chunker)
+    first = F.element_at("failed_files", 1)
+    return told.select("repo_name", "total_files", "processed_files", "stored_patterns", F.lit(own.table.count()).cast("long").alias("in_bank"), "percent", F.concat(first["path"], F.lit(": "), first["error"]).alias("failed"))
+
+
+@query(f"WITH {_SYNC} SELECT md5(content) AS digest, path FROM p WHERE CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) % 3 = 1")
+def sync_skips_empty(spark, sf):
+    """files without content, or with an empty one, give nothing."""
+    ship(spark)
+    n = F.col("ingest_seq") % 3
+    held = sync_files(spark, sf).withColumn("content", F.when(n == 1, F.col("content")).when(n == 0, ""))
+    return plan.found_in(plan.chunked(held)).select(F.md5("document").alias("digest"), F.col("source_path").alias("path"))
+
+
+@query("SELECT * FROM (VALUES ('a.py', 'python', CAST(6 AS BIGINT), 6), ('src/c.ts', 'typescript', CAST(3 AS BIGINT), 2)) t(path, language, size, n_chars)")
 def discover_files(spark, sf):
     """A small tree written here and read back: code files with language and length."""
-    from patternmill.session import shared_dir
-    from patternmill.sources.files import code_files, tree
+    return trees.code_files(trees.tree(spark, small_tree(spark))).select("path", "language", "size", F.length("content").alias("n_chars"))
 
-    home = fresh_path(spark, "tree")
-    local = home.removeprefix("file://")
-    if not local.startswith("/"):
-        raise ValueError(f"{shared_dir(spark)} is no folder of this machine")
-    for path, data in (("a.py", b"x = 1\n"), ("src/B.PY", b"y = 2\n"), ("src/c.ts", "é\n".encode()), ("node_modules/d.js", b"no"), ("bad.go", b"\xff\xfe"), ("empty.py", b""), ("x.md", b"# x")):
-        os.makedirs(os.path.dirname(f"{local}/{path}"), exist_ok=True)
-        with open(f"{local}/{path}", "wb") as f:
-            f.write(data)
-    return code_files(tree(spark, home)).select("path", "language", "size", F.length("content").alias("n_chars"))
+
+@query("SELECT * FROM (VALUES ('a.py', 'x = 1' || chr(10), TRUE), ('bad.go', NULL, FALSE), ('src/c.ts', 'é' || chr(10), TRUE)) t(source_path, document, readable)")
+def local_discovery(spark, sf):
+    """F3, S5, S6 over the same tree: endings rather than extensions, whole files as points."""
+    found = trees.discovered(trees.local_files(spark, small_tree(spark)))
+    return found.select("source_path", "document", F.col("document").isNotNull().alias("readable"))
+
+
+@query(f"WITH {FILES}, w AS (SELECT ingest_seq, repo, concat(path, CASE WHEN ingest_seq % 3 = 0 THEN '.gone' ELSE '' END) AS path FROM files) SELECT w.ingest_seq, md5(f.content) AS digest FROM w LEFT JOIN files f ON f.repo = w.repo AND f.path = w.path")
+def content_lookup(spark, sf):
+    """S4 for many paths, a third of which there are not."""
+    held = file_rows(spark, sf).withColumnRenamed("path", "file_path")
+    wanted = held.select("ingest_seq", "repo", F.concat("file_path", F.when(F.col("ingest_seq") % 3 == 0, ".gone").otherwise("")).alias("file_path"))
+    return trees.contents(held, wanted).select("ingest_seq", F.md5("content").alias("digest"))
 
 
 # Cache
@@ -743,6 +949,58 @@ def cache_invalidate_prefix(spark, sf):
     return cache.without_prefix(rows, rows.agg(F.min("event_type")).first()[0]).select("key")
 
 
+@query(f"WITH {ENTRIES} SELECT key, value FROM entries WHERE expires_at >= 1700000000 AND key = (SELECT min(key) FROM entries)")
+def cache_get(spark, sf):
+    """C1."""
+    rows = cache_rows(spark, sf)
+    return cache.lookup(rows, rows.agg(F.min("key")).first()[0], NOW).select("key", "value")
+
+
+@query(
+    f"""WITH {ENTRIES}, m AS (SELECT concat(event_type, ':user', user_id, ':', event_id) AS key, 'new' AS value, event_id + 1000000 AS access_seq FROM events WHERE event_id % 9 = 0),
+u AS (SELECT key, value, access_seq FROM entries WHERE key NOT IN (SELECT key FROM m) UNION ALL SELECT * FROM m) SELECT key, value, access_seq FROM u ORDER BY access_seq DESC, key LIMIT 700"""
+)
+def cache_put(spark, sf):
+    """New values replace old ones, then the least recently used go."""
+    rows = cache_rows(spark, sf).select("key", "value", "access_seq")
+    new = table(spark, sf, "events").where("event_id % 9 = 0").select(
+        cache.key_of(F.col("event_type"), F.concat(F.lit("user"), F.col("user_id").cast("string")), F.col("event_id")).alias("key"), F.lit("new").alias("value"), (F.col("event_id") + 1_000_000).alias("access_seq")
+    )
+    return cache.put(rows, new, 700)
+
+
+@query(f"WITH {ENTRIES} SELECT key, access_seq FROM entries WHERE expires_at >= 1700000000 ORDER BY access_seq DESC, key LIMIT 300")
+def cache_load_valid(spark, sf):
+    """C5."""
+    return cache.load_valid(cache_rows(spark, sf), NOW, 300).select("key", "access_seq")
+
+
+_REPO_KEYS = "k AS (SELECT unnest([concat('tree:', source), concat('tree:', source, ':', doc_id), concat('content:', source, ':doc', doc_id), concat('repo:', source)]) AS key FROM documents)"
+
+
+@query(f"WITH {_REPO_KEYS} SELECT key FROM k WHERE key <> 'tree:src1' AND NOT starts_with(key, 'tree:src1:') AND NOT starts_with(key, 'content:src1:')")
+def cache_invalidate_repo(spark, sf):
+    """C6; src10 and the like stay."""
+    s, d = F.col("source"), F.col("doc_id").cast("string")
+    keys = F.array(F.concat(F.lit("tree:"), s), F.concat(F.lit("tree:"), s, F.lit(":"), d), F.concat(F.lit("content:"), s, F.lit(":doc"), d), F.concat(F.lit("repo:"), s))
+    return cache.without_repo(table(spark, sf, "documents").select(F.explode(keys).alias("key")), "src1")
+
+
+@query(f"WITH {ENTRIES} SELECT key, value FROM (SELECT key, value, access_seq FROM entries WHERE expires_at >= 1700000000 AND NOT starts_with(key, 'click:') ORDER BY access_seq DESC, key LIMIT 200)")
+def cache_persisted(spark, sf):
+    """Entries kept on disk, invalidated there, and taken over by another process."""
+    home, own = fresh_path(spark, "cache"), CacheConfig(max_size=200)
+    CacheTable(spark, home).replace(cache_rows(spark, sf).drop("event_type"))
+    CacheStore(spark, home, own).invalidate(prefix="click")
+    return CacheStore(spark, home, own).entries(NOW).select("key", "value")
+
+
+@query("SELECT source AS repo, substr(md5(source), 1, 12) AS short_name FROM documents GROUP BY source")
+def progress_short_name(spark, sf):
+    """X27."""
+    return table(spark, sf, "documents").select(F.col("source").alias("repo")).distinct().withColumn("short_name", cache.short_name(F.col("repo")))
+
+
 @query(f"WITH {ENTRIES} SELECT key, concat(md5(key), '.json') AS file_name, concat('repos:', CASE WHEN access_seq % 2 = 0 THEN 'True' ELSE 'False' END, ':', access_seq) AS list_key FROM entries")
 def cache_keys(spark, sf):
     flag = cache.flag(F.col("access_seq") % 2 == 0)

@@ -201,7 +201,7 @@ def test_bank_from_end_to_end(spark, tmp_path):
     (home / "src/small.py").write_text("x = 1\n")
     b = PatternBank(spark, f"file://{tmp_path}/bank")
     told = b.sync_folder(str(home), "me/app").first().asDict()
-    assert told == {"repo": "me/app", "files": 2, "chunks": 1, "stored": 1, "distinct_points": 1}
+    assert told == {"repo": "me/app", "files": 2, "chunks": 1, "stored": 1, "distinct_points": 1, "failed": 0}
     b.sync_folder(str(home), "me/app")
     assert b.read().count() == 1
     hit = b.search("retry handler", min_quality=5).first()

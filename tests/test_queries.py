@@ -73,5 +73,25 @@ def test_chunk_documents_equals_the_scanner(spark, sf):
 
 
 def test_hash_embedding_topk(spark, sf):
-    rows = queries.hash_embedding_topk(spark, sf).collect()
-    assert len(rows) == 10 and all(-1.000001 <= r["semantic"] <= 1.000001 for r in rows)
+    """Against counts of signed hashes, token by token."""
+    import math
+    import re
+    import zlib
+
+    def vector(text):
+        out = [0.0] * 64
+        for w in re.findall(r"\w+", text.lower()):
+            if re.fullmatch(r"[a-z_][a-z0-9_]*", w):
+                h = zlib.crc32(w.encode())
+                out[h % 64] += 1.0 if h >> 31 else -1.0
+        return out
+
+    def cosine(a, b):
+        n = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / n if n else 0.0
+
+    question = vector(queries.QUESTION)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = sorted(((-round(cosine(vector(r["text"]), question), 9), str(r["doc_id"])) for r in docs))[:10]
+    got = [(-r["semantic"], r["point_id"]) for r in queries.hash_embedding_topk(spark, sf).collect()]
+    assert [p for _, p in got] == [p for _, p in want] and [s for s, _ in got] == pytest.approx([s for s, _ in want])
