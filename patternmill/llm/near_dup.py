@@ -133,30 +133,61 @@ def shared_with(own: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
     return np.add.reduceat((own[place] == joined).astype(np.int64), np.concatenate([[0], np.cumsum([len(c) for c in others])[:-1]]))
 
 
+def rarest(sets: list[np.ndarray], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (owner, place, number) by owner and place: of each set the rarest numbers, of which any linked set has one too.
+
+    Numbers are named by their rank, those in the fewest sets first. A set of n numbers shares ceil(n * percent / 100)
+    of them with a linked one, so the first n + 1 less that many are enough. Numbers of one set alone are left out.
+    """
+    lengths = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), lengths)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    by_often = np.argsort(often, kind="stable")
+    rank = np.empty(len(often), np.int64)
+    rank[by_often] = np.arange(len(often))
+    number = rank[code]
+    number = number[np.lexsort((number, owner))]
+    place = np.arange(len(owner)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    keep = (place <= (lengths + (-percent * lengths) // 100)[owner]) & (often[by_often][number] > 1)
+    return owner[keep], place[keep], number[keep]
+
+
 def linked(sets: list[np.ndarray], percent: int, known: list[int] | None = None) -> list[int]:
     """For each set (sorted, distinct, non-empty) the label of its component under 100 * shared >= percent * united.
 
     Sets with equal numbers in `known` are in one component already. Sets come by size, and each meets the earlier ones
-    that are large enough and not yet in its component, near sizes first; so all links count, but pairs that would
-    change nothing are not compared.
+    that share one of its rarest numbers, could share enough from there on and are not yet in its component, near sizes
+    first; so all links count, but pairs that would change nothing or cannot be linked are not compared.
     """
     m = len(sets)
     sizes = np.array([len(s) for s in sets])
     order = np.argsort(sizes, kind="stable")
     sizes = sizes[order]
     label = np.arange(m) if known is None else np.unique(np.array(known), return_inverse=True)[1][order]
+    owner, place, number = rarest([sets[j] for j in order], percent)
+    by_number = np.argsort(number, kind="stable")
+    holder, held_at = owner[by_number], place[by_number]
+    first = np.searchsorted(number[by_number], number)
+    earlier = np.empty(len(number), np.int64)
+    earlier[by_number] = np.arange(len(number))
+    earlier -= first
+    bounds = np.searchsorted(owner, np.arange(m + 1))
     for k in range(1, m):
-        low = int(np.searchsorted(sizes * 100, percent * sizes[k]))
-        end = k
-        while end > low and not (label[low:end] == label[k]).all():
-            start = max(low, end - (4 if end == k else 64))
-            rest = start + np.flatnonzero(label[start:end] != label[k])
-            end = start
-            if not len(rest):
-                continue
-            shared = shared_with(sets[order[k]], [sets[order[j]] for j in rest])
-            for j in rest[100 * shared >= percent * (sizes[k] + sizes[rest] - shared)]:
-                label[label == label[j]] = label[k]
+        own = slice(bounds[k], bounds[k + 1])
+        n = earlier[own]
+        if not n.any():
+            continue
+        rows = np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        j = holder[rows]
+        most = np.minimum(sizes[k] - np.repeat(place[own], n), sizes[j] - held_at[rows])
+        rest = np.unique(j[(label[j] != label[k]) & ((100 + percent) * most >= percent * (sizes[k] + sizes[j]))])
+        step = 4
+        while len(rest):
+            near, rest, step = rest[-step:], rest[:-step], 64
+            shared = shared_with(sets[order[k]], [sets[order[x]] for x in near])
+            for x in near[100 * shared >= percent * (sizes[k] + sizes[near] - shared)]:
+                label[label == label[x]] = label[k]
+            rest = rest[label[rest] != label[k]]
     out = [0] * m
     for k, j in enumerate(order.tolist()):
         out[j] = int(label[k])
