@@ -177,3 +177,25 @@ def test_recall_on_all_documents(llm, sf):
 @pytest.mark.parametrize("query", ["op3_suffix_dedup", "op4_warc", "op8_near_dup"])
 def test_queries_equal_their_sql(llm, sf, query):
     assert not oracle.difference(queries.QUERIES[query](llm, sf).toPandas(), oracle.connection(sf).execute(queries.ORACLE_SQL[query]).df())
+
+
+def test_linking_equals_all_pairs():
+    """Random groups of sets, with labels known beforehand or without, at several limits."""
+    rng = random.Random(3)
+    names = lambda labels: [labels.index(x) for x in labels]
+    for turn in range(600):
+        many, percent = rng.choice([3, 8, 20, 60]), rng.choice([30, 50, 80, 85, 100])
+        bases = [rng.sample(range(many), rng.randint(1, many)) for _ in range(3)]
+        sets = []
+        for _ in range(rng.randint(1, 14)):
+            one = set(rng.choice(bases))
+            for _ in range(rng.randint(0, max(1, many // 5))):
+                one ^= {rng.randrange(many + 5)}
+            sets.append(one or {1})
+        known = [rng.randrange(6) for _ in sets] if turn % 3 == 0 else None
+        label = list(known or range(len(sets)))
+        for a in range(len(sets)):
+            for b in range(a):
+                if 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    label = [label[a] if x == label[b] else x for x in label]
+        assert names(near_dup.linked([np.array(sorted(s), np.uint64) for s in sets], percent, known)) == names(label)
