@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import bpe, mixing, near_dup, quality, ring, secrets, suffix_dedup, tiff, tokens, warc_zip
+from patternmill.llm import bpe, decontam, mixing, near_dup, quality, ring, secrets, suffix_dedup, tiff, tokens, warc_zip
 from patternmill.llm.common import table
 from patternmill.session import ship
 
@@ -69,6 +69,10 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_tiff": op1_tiff,
     "op2_token_counts": op2_token_counts,
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_near_dup": op8_near_dup,
     "op9_ring": op9_ring,
     "op10_secrets": op10_secrets,
+    "op12_decontam": op12_decontam,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -87,4 +92,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc_zip.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op8_near_dup": near_dup.ORACLE_SQL,
+    "op12_decontam": decontam.ORACLE_SQL,
 }
