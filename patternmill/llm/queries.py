@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm import bpe, decontam, mixing, near_dup, quality, ring, secrets, suffix_dedup, tiff, tokens, warc_zip
+from patternmill.llm import bpe, decontam, merkle, mixing, near_dup, quality, ring, secrets, suffix_dedup, tiff, tokens, turns, warc_zip
 from patternmill.llm.common import table
 from patternmill.session import ship
 
@@ -69,10 +69,19 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turns.report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_tiff": op1_tiff,
     "op2_token_counts": op2_token_counts,
@@ -84,7 +93,9 @@ QUERIES: dict[str, Query] = {
     "op8_near_dup": op8_near_dup,
     "op9_ring": op9_ring,
     "op10_secrets": op10_secrets,
+    "op11_merkle": op11_merkle,
     "op12_decontam": op12_decontam,
+    "op13_turns": op13_turns,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -92,5 +103,7 @@ ORACLE_SQL: dict[str, str] = {
     "op4_warc": warc_zip.ORACLE_SQL,
     "op6_quality": quality.ORACLE_SQL,
     "op8_near_dup": near_dup.ORACLE_SQL,
+    "op11_merkle": merkle.ORACLE_SQL,
     "op12_decontam": decontam.ORACLE_SQL,
+    "op13_turns": turns.ORACLE_SQL,
 }
