@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import os
 import tempfile
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,10 +57,10 @@ def qualified(spark: SparkSession, path: str) -> str:
     return "file://" + told.removeprefix("file:") if told.startswith("file:/") and not told.startswith("file://") else told
 
 
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path of its own in the shared folder."""
+def fresh_path(spark: SparkSession, name: str, kept: bool = False) -> str:
+    """A path of its own in the shared folder; kept: what is written there outlives the innermost open scratch."""
     path = f"{shared_dir(spark)}/patternmill/{name}-{uuid.uuid4().hex}"
-    for held in _SCRATCH:
+    for held in _SCRATCH[: len(_SCRATCH) - kept]:
         held.append(path)
     return path
 
@@ -123,6 +125,56 @@ def put_bytes(spark: SparkSession, path: str, data: bytes) -> None:
     out.close()
 
 
+def read_bytes(spark: SparkSession, path: str) -> bytes:
+    """The content of a small file of any Hadoop file system; raises if there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).open(p)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream))
+    finally:
+        stream.close()
+
+
+def put_if_absent(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Write a small file whole unless there is one; whether it was written. Of several writers at once one succeeds.
+
+    The file is written under another name first. In a local or mounted folder a hard link then gives it its own; other
+    file systems rename, which must be atomic and refuse an existing name there, as HDFS does.
+    """
+    held = f"{path}.{uuid.uuid4().hex}.tmp"
+    put_bytes(spark, held, data)
+    try:
+        if path.startswith("file:"):
+            local = lambda p: "/" + p.removeprefix("file:").lstrip("/")
+            os.link(local(held), local(path))
+        else:
+            renamed(spark, held, path)
+        return True
+    except FileExistsError:
+        return False
+    finally:
+        delete(spark, held)
+
+
+def renamed(spark: SparkSession, old: str, new: str) -> None:
+    """Rename a file of any Hadoop file system; FileExistsError where there is one of the new name."""
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    fs = jvm.org.apache.hadoop.fs
+    one, two = fs.Path(old), fs.Path(new)
+    try:
+        fs.FileContext.getFileContext(one.toUri(), spark._jsparkSession.sessionState().newHadoopConf()).rename(one, two, gateway.new_array(getattr(fs, "Options$Rename"), 0))
+    except Py4JJavaError as e:
+        if "FileAlreadyExistsException" in str(e.java_exception.getClass()):
+            raise FileExistsError(new) from e
+        raise
+
+
+def age_of(spark: SparkSession, path: str) -> float:
+    """Seconds since a file or folder was changed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return time.time() - p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(p).getModificationTime() / 1000
+
+
 def forget(*stored_ones: DataFrame) -> None:
     """Delete the tables of `stored`, when no further query needs them."""
     for df in stored_ones:
