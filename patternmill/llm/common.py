@@ -76,6 +76,16 @@ def packed(df: DataFrame, *names: str | Column) -> DataFrame:
     return df.select(F.struct(*[df[f"`{c}`"] for c in df.columns]).alias("__row"), *names)
 
 
+def place_bits(start: Column, n: Column | int) -> Column:
+    """The places start to start + n - 1 (from 0; n is 63 at most) as an array of one or two structs (at, bits): words of 64 places, to be joined by bit_or."""
+    by = lambda name, c, k: F.call_function(name, c, k.cast("int"))
+    n = F.lit(n) if isinstance(n, int) else n
+    bits, low, at = by("shiftleft", F.lit(1).cast("long"), n) - 1, F.pmod(start, F.lit(64)), F.floor(start / 64)
+    one = F.struct(at.alias("at"), by("shiftleft", bits, low).alias("bits"))
+    two = F.struct((at + 1).alias("at"), by("shiftrightunsigned", bits, 64 - low).alias("bits"))
+    return F.when(low + n > 64, F.array(one, two)).otherwise(F.array(one))
+
+
 def text_mark(text: str | Column = "text", source: str | Column = "source") -> Column:
     """A hash of a row's text and source: with doc_id it tells rows apart that have no doc_id or share one."""
     of = lambda c: F.col(c) if isinstance(c, str) else c

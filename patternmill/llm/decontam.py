@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import fenced, joinable, without
+from patternmill.llm.common import fenced, joinable, place_bits, without
 from patternmill.session import stored
 
 #: Words after A-Z are in lower case: runs of a-z, 0-9 and all characters beyond ASCII.
@@ -117,11 +117,7 @@ def hits(docs: DataFrame, one: DataFrame, text: str = "text", shingle: int = SHI
 
 def covered(found: DataFrame) -> DataFrame:
     """(__m1, __m2, n_hit): words inside hits, as bits of words of 64 places, so that no task holds all hits of a long text."""
-    by = lambda name, c, n: F.call_function(name, c, n.cast("int"))
-    bits, low = by("shiftleft", F.lit(1).cast("long"), F.col("n")) - 1, F.pmod("start", F.lit(64))
-    one = F.struct(F.floor(F.col("start") / 64).alias("at"), by("shiftleft", bits, low).alias("bits"))
-    two = F.struct((F.floor(F.col("start") / 64) + 1).alias("at"), by("shiftrightunsigned", bits, 64 - low).alias("bits"))
-    cut = found.select("__m1", "__m2", F.explode(F.when(low + F.col("n") > 64, F.array(one, two)).otherwise(F.array(one))).alias("c"))
+    cut = found.select("__m1", "__m2", F.explode(place_bits(F.col("start"), F.col("n"))).alias("c"))
     return cut.groupBy("__m1", "__m2", "c.at").agg(F.bit_or("c.bits").alias("bits")).groupBy("__m1", "__m2").agg(F.sum(F.bit_count("bits")).cast("long").alias("n_hit"))
 
 

@@ -16,11 +16,13 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from patternmill.llm.common import fenced, joinable, packed, text_mark
-from patternmill.session import forget, stored
+from patternmill.llm.common import fenced, joinable, packed, place_bits, text_mark
+from patternmill.session import forget, fresh_path, scratch, stored, written
 
-NAMES = r"(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-NAMED = rf"(?i:{NAMES})[A-Za-z_]{{0,16}}[\"']?[ \t]*+[=:][ \t]*+[\"']?"
+NAMES = r"(?:password|passwd|passphrase|(?<![a-z])pass(?![a-z])|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
+# A name of any length that holds such a word, and what assigns: = : == := => and the like, a colon with its value on the next line too.
+NAME = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?{NAMES})[A-Za-z0-9_-]++"
+NAMED = rf"(?i:{NAME})\\?[\"']?\]?[ \t]*+[=:]{{1,2}}+>?[ \t]*+(?:(?<=:)[ \t]*+\r?\n[ \t]*+)?"
 # The password of a URL, up to the last @ before its path.
 LOGIN = r"://[^\s/?#:@\"'<>]*+:"
 PASSWORD = r"[^\s/?#\"'<>]+(?=@)"
@@ -28,11 +30,15 @@ URL = rf"(?<=[A-Za-z0-9+.-]){LOGIN}{PASSWORD}"
 # A private key to its end; where that is missing, its lines.
 OPEN, CLOSE = (rf"-----{side} [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----" for side in ("BEGIN", "END"))
 BLOCK = rf"{OPEN}(?:(?:[^-]|-(?!----))*+{CLOSE}|(?:(?:\s|\\[nr])*+[A-Za-z0-9+/=]{{16,}}+)++)"
-# A value of any length, up to a blank, quote or bracket or to the next assignment; possessive, so nothing is tried twice.
-ASSIGNED = rf"{NAMED}(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.:-]*{LOGIN}{PASSWORD})(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{4,}}+"
+# A value of any length: in quotes up to its own closing quote on the line, else up to a blank, quote or bracket or to
+# the next assignment; possessive, so nothing is tried twice.
+ELSEWHERE = rf"(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.:-]*{LOGIN}{PASSWORD})"
+QUOTED = "|".join(rf"{q}{ELSEWHERE}(?:[^{q}\\\r\n]|\\.){{4,}}+(?={q})" for q in "\"'") + rf"|\\\"{ELSEWHERE}[^\"\\\r\n]{{4,}}+(?=\\\")"
+BARE = rf"\\?[\"']?{ELSEWHERE}(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{4,}}+"
+ASSIGNED = rf"{NAMED}(?:{QUOTED}|{BARE})"
 RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:[A-Za-z+/_-]*?[a-z][A-Z]){3})[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{BLOCK}|{URL}|{ASSIGNED}|{RUN}"
-VALUE = rf"(?s)^(?:{NAMED}|{LOGIN})?(.*)$"
+VALUE = rf"(?s)^(?:{NAMED}(?=.{{4}})(?:\\?[\"'](?=.{{4}})|\\(?=.{{4}}))?|{LOGIN})?(.*)$"
 
 # Words of placeholders and names, which count as words whether the documents have them or not.
 PLACEHOLDERS = (
@@ -47,10 +53,15 @@ DICTIONARY_WORDS, LEAST_DOCS, LEAST_WORD, MOST_WORD = 20_000, 5, 4, 16
 TRAINING_ROWS = 8_000
 TREES, DEPTH, SEED = 20, 8, 7
 BEFORE, AFTER = 48, 24
+#: Letters of a piece in which words are looked up, and candidates of a block over which lengths are added up.
+PIECE, BLOCKED = 256, 256
 #: What may stand between the values of a list, and how many values of it are looked back over.
 BETWEEN, BACK = r"^[\s\"',;|\[\]\\]*$", 4
 
-FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_vowels", "f_words", "f_test_path", "f_code_path", "f_named", "f_assigned", "f_hash_near", "f_fake_near", "f_url_near", "f_after_word", "f_login", "f_block"]
+#: Words of what is said about a secret, rather than of one.
+SPOKEN = "password|token|key|secret|credentials?|your|please|enter|invalid|must|should|the|is|are|was|not|wrong|incorrect|missing|required|expired|forgot|reset|change|sign|log|for|of|to|a|an|and|or|with|from|new|old|least|characters?"
+
+FEATURES = ["f_length", "f_changes", "f_digits", "f_upper", "f_other", "f_distinct", "f_hex", "f_vowels", "f_words", "f_test_path", "f_code_path", "f_named", "f_assigned", "f_hash_near", "f_fake_near", "f_url_near", "f_after_word", "f_login", "f_block", "f_blanks", "f_spoken"]
 
 
 def candidates(docs: DataFrame, path: str = "source", text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -63,11 +74,14 @@ def candidates(docs: DataFrame, path: str = "source", text: str = "text", key: s
     t = F.coalesce(F.col(text), F.lit(""))
     found = docs.select(F.col(key).alias("doc_id"), F.col(path).cast("string").alias("path"), t.alias("__t")).withColumn("__m", F.regexp_extract_all("__t", F.lit(CANDIDATE), F.lit(0)))
     some = fenced(found, "__m").where(F.size("__m") > 0).withColumn("__s", F.split("__t", CANDIDATE, -1))
-    ends = F.transform(F.col("__m"), lambda m, i: F.length(m) + F.length(F.get("__s", i)))
-    some = some.withColumn("__lens", ends).withColumn("mark", text_mark("__t", "path")).drop("__t")
-    rows = some.select("doc_id", "mark", "path", "__s", "__m", "__lens", F.posexplode("__m").alias("finding_no", "__match"))
+    added = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + x)
+    ends = F.transform(F.col("__m"), lambda m, i: (F.length(m) + F.length(F.get("__s", i))).cast("long"))
+    some = fenced(some.withColumn("__lens", ends).withColumn("mark", text_mark("__t", "path")).drop("__t"), "__lens")
+    sums = F.transform(F.sequence(F.lit(0), F.floor((F.size("__lens") - 1) / BLOCKED).cast("int")), lambda b: added(F.slice("__lens", b * BLOCKED + 1, F.lit(BLOCKED))))
+    rows = fenced(some.withColumn("__sums", sums), "__sums").select("doc_id", "mark", "path", "__s", "__m", "__lens", "__sums", F.posexplode("__m").alias("finding_no", "__match"))
     value = F.regexp_extract("__match", VALUE, 1)
-    end = F.aggregate(F.slice("__lens", 1, F.col("finding_no") + 1), F.lit(0).cast("long"), lambda a, x: a + x)
+    block = F.floor(F.col("finding_no") / BLOCKED).cast("int")
+    end = added(F.slice("__sums", F.lit(1), block)) + added(F.slice("__lens", block * BLOCKED + 1, F.col("finding_no") % BLOCKED + 1))
     gap = lambda k: F.coalesce(F.get("__s", F.col("finding_no") + k), F.lit(""))
     left = F.lit("")
     for k in range(-BACK, 1):
@@ -96,16 +110,22 @@ def dictionary(docs: DataFrame, text: str = "text", words: int = DICTIONARY_WORD
 def word_coverage(found: DataFrame, words: DataFrame) -> DataFrame:
     """(__id, covered): how many characters of the value of each row (__id, value) lie in words of the dictionary; rows without any are left out.
 
-    Each stretch of letters is looked up at every place and length, so words that are run together count too.
+    Each stretch of letters is looked up at every place where a word may begin and at each of its lengths, so words that
+    are run together count too. Stretches are cut into pieces of PIECE letters, and as many more as a word may reach
+    over, so the work grows with the length of a value; what is covered is kept as bits, which are joined before they
+    are shuffled.
     """
     runs = found.select("__id", F.posexplode(F.regexp_extract_all(F.lower("value"), F.lit(rf"\p{{L}}{{{LEAST_WORD},}}"), F.lit(0))).alias("run", "letters"))
-    places = runs.select("__id", "run", "letters", F.explode(F.sequence(F.lit(1), F.length("letters") - LEAST_WORD + 1)).alias("low"))
-    cut = places.withColumn("n", F.explode(F.sequence(F.lit(LEAST_WORD), F.least(F.lit(MOST_WORD), F.length("letters") - F.col("low") + 1))))
-    hits = cut.select("__id", "run", "low", "n", F.substring("letters", F.col("low"), F.col("n")).alias("word")).join(F.broadcast(words), "word")
-    spans = hits.groupBy("__id", "run").agg(F.array_sort(F.collect_set(F.struct("low", (F.col("low") + F.col("n")).alias("high")))).alias("spans"))
-    step = lambda a, s: F.struct((a["n"] + F.greatest(F.lit(0), s["high"] - F.greatest(s["low"], a["end"]))).alias("n"), F.greatest(a["end"], s["high"]).alias("end"))
-    covered = F.aggregate("spans", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), step, lambda a: a["n"])
-    return spans.groupBy("__id").agg(F.sum(covered).alias("covered"))
+    cut = fenced(runs.select("__id", "run", F.regexp_extract_all("letters", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)).alias("cut")), "cut")
+    wide = F.transform("cut", lambda c, i: F.concat(c, F.left(F.coalesce(F.get("cut", i + 1), F.lit("")), F.lit(MOST_WORD - 1))))
+    pieces = cut.select("__id", "run", F.posexplode(wide).alias("piece", "part")).where(F.length("part") >= LEAST_WORD)
+    places = pieces.select("__id", "run", "piece", "part", F.explode(F.sequence(F.lit(1), F.least(F.lit(PIECE), F.length("part") - LEAST_WORD + 1))).alias("low"))
+    heads = words.select(F.left("word", F.lit(LEAST_WORD)).alias("head")).distinct()
+    begun = places.withColumn("head", F.substring("part", F.col("low"), F.lit(LEAST_WORD))).join(F.broadcast(heads), "head")
+    long = begun.withColumn("n", F.explode(F.sequence(F.lit(LEAST_WORD), F.least(F.lit(MOST_WORD), F.length("part") - F.col("low") + 1))))
+    hits = long.select("__id", "run", (F.col("piece") * PIECE + F.col("low") - 1).alias("start"), "n", F.substring("part", F.col("low"), F.col("n")).alias("word")).join(F.broadcast(words), "word")
+    bits = hits.select("__id", "run", F.explode(place_bits(F.col("start"), F.col("n"))).alias("c")).groupBy("__id", "run", "c.at").agg(F.bit_or("c.bits").alias("bits"))
+    return bits.groupBy("__id").agg(F.sum(F.bit_count("bits")).alias("covered"))
 
 
 def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
@@ -128,13 +148,15 @@ def with_features(found: DataFrame, words: DataFrame) -> DataFrame:
         "f_test_path": flag(path, r"(?i)test|example|sample|mock|fixture|docs?/"),
         "f_code_path": flag(path, r"(?i)\.(?:py|js|ts|java|go|env|ya?ml|json|cfg|ini|properties|sh)$"),
         "f_named": flag(before, rf"(?i){NAMES}|bearer|aws"),
-        "f_assigned": flag(before, r"[=:][ \t]*[\"']?$"),
+        "f_assigned": flag(before, r"[=:]>?\s*\\?[\"']?$"),
         "f_hash_near": flag(F.concat(before, F.left(v, F.lit(8))), r"(?i)commit|sha-?\d*|md5|checksum|digest|etag|uuid|revision|integrity"),
-        "f_fake_near": flag(F.concat(before, v, after), r"(?i)example|sample|dummy|placeholder|your[_-]|changeme|xxxx|<|\$\{"),
+        "f_fake_near": flag(F.concat(before, v, after), r"(?i)example|sample|dummy|placeholder|your[_-]|changeme|xxxx|<[a-z_ -]+>|\$\{"),
         "f_url_near": flag(before, r"(?:://|www\.|/)[^\s\"']*$"),
         "f_after_word": flag(after, r"^[\"']?[\s,.;)]|^$"),
         "f_login": flag(before, LOGIN + "$"),
         "f_block": flag(v, f"^{OPEN}"),
+        "f_blanks": share(r"[ \t]"),
+        "f_spoken": F.regexp_count(v, F.lit(rf"(?i)\b(?:{SPOKEN})\b")),
     }
     return found.withColumns({k: c.cast("double") for k, c in made.items()}).drop("covered")
 
@@ -160,6 +182,11 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
     passphrase = f"concat({pick(33, 'violet', 'Marble', 'thunder', 'quiet')}, {pick(34, 'harbor', 'Pickle', 'lantern', 'otter')}, {pick(35, 'Sunday', 'basket', 'gravel', 'piano')}, {pick(36, '', 'zebra', 'Copper', 'window')})"
     spoken = "regexp_replace(regexp_replace(regexp_replace(translate(left(sha1(concat('f', id)), cast(8 + id % 9 as int)), '0123456789abcdef', 'lrnstkdmbgpvfhzw'), '([lrnst])', '$1e'), '([kdmbg])', '$1a'), '([pvfhzw])', '$1oi')"
     prefix = pick(38, "sk_live_", "sk_test_", "xoxb-", "glpat-", "pk_live_", "SG.", "npm_", "rk_")
+    some = lambda k: pick(k, "violet", "harbor", "pickle", "lantern", "otter", "gravel", "piano", "zebra", "copper", "window", "marble", "thunder", "basket", "river", "stone", "candle")
+    phrase = f"concat_ws(' ', {some(40)}, {some(41)}, {some(42)}, CASE WHEN {r(43)} % 3 > 0 THEN {some(44)} END, CASE WHEN {r(45)} % 4 = 0 THEN cast(id % 90 as string) END)"
+    odd = f"concat(left({b64}, cast({r(46)} % 6 + 3 as int)), {pick(47, '<', '>', '&', ';', ',', ' ', '?', '$')}, left({hex32}, cast({r(48)} % 6 + 4 as int)))"
+    quoted = pick(49, ' = "', ': "', ' => "', ' := "', '="', '=> "')
+    said = f"concat({pick(50, 'Enter your', 'Please enter the', 'Invalid', 'The', 'Forgot your', 'Reset the', 'your new', 'Wrong')}, ' ', {pick(51, 'password', 'token', 'secret', 'API key', 'user name', 'passphrase')}, {pick(52, '', ' here', ' is missing', ' must not be empty', '?', ' for this account', ' to go on', '.')})"
     bare = pick(39, '("', "(", "['", "= ", "key ", ", ", ": '")
     letters = "translate(left(" + b64 + ", 24), '0123456789', 'QwZrTkVbNp')"
     good = [
@@ -168,6 +195,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         (f"concat('AKIA', upper(left({b64}, 16)))", f"concat({word}, ' ')"), (f"concat('ghp_', left({b64}, 36))", f"concat({word}, ' ')"), (f"concat('sk-', left({b64}, 40))", f"concat({name}, {join})"),
         (f"left({b64}, 43)", "'Authorization: Bearer '"), (f"concat(left({b64}, 6), '!', left({hex32}, 6))", f"concat({name}, {join})"), (hex64, f"concat({word}, ' ', {name}, {join})"),
         (f"concat({pick(30, 'hunter', 'Pw!', 's3cr', 'x', 'Tr0ub')}, left({hex32}, cast({r(31)} % 4 + 2 as int)))", f"concat({word}, ' ', {name}, {join})"), (f"concat({pick(30, 'hunter', 'Pw!', 's3cr', 'x', 'Tr0ub')}, left({hex32}, cast({r(31)} % 12 + 1 as int)))", f"concat({word}, ' ', {login})", host),
+        (phrase, f"concat({name}, {quoted})"), (odd, f"concat({word}, ' ', {name}, {quoted})"),
         (f"left({b64}, cast({r(31)} % 30 + 10 as int))", f"concat({word}, ' ', {login})", host), (block(f"repeat(concat({b64}, chr(10)), cast({r(31)} % 20 + 3 as int))"), f"concat({word}, ' ')"),
     ]
     bad = [
@@ -179,7 +207,7 @@ def labelled_findings(spark: SparkSession, rows: int = 6_000) -> DataFrame:
         ("concat('donaudampfschiff', translate(cast(id % 977 as string), '0123456789', 'aeioulmnrt'), 'gesellschaft', id % 10)", f"concat({word}, ' ')"), ("concat('2024-01-02T03-04-', id % 60, '-report')", f"concat({word}, ' ')"), ("concat('os.environ[', id % 10, ']')", f"concat({name}, {join})"),
         ("concat('changeme', id % 1000)", f"concat({name}, {join})"), (f"left({digits}, 20)", f"concat({word}, ' id ')"), ("concat(repeat('th', cast(id % 9 + 8 as int)), id % 10)", f"concat({word}, ' ')"),
         (pick(32, "None", "true", "false", "null", "self", "required", "string", "get()", "user"), f"concat({word}, ' ', {name}, {join})"), (pick(32, "changeme", "your-password", "example", "xxxxxxxx", "placeholder"), f"concat({word}, ' ', {login})", host),
-        (block("'your-private-key-goes-here'"), f"concat({word}, ' ')"),
+        (block("'your-private-key-goes-here'"), f"concat({word}, ' ')"), (said, f"concat({name}, {quoted})"),
     ]
     case = lambda rows, at: "CASE " + " ".join(f"WHEN {r(1)} % {len(rows)} = {k} THEN {x[at]}" for k, x in enumerate(rows) if len(x) > at) + " END"
     after = f"concat({pick(23, chr(34), '', chr(34) + '}', chr(34) + '|', chr(34) + ',', '.', chr(34) + ')', ';', chr(34) + '#', chr(34) + '<br>', chr(34) + '&', chr(34))}, ' ', {word})"
@@ -220,22 +248,34 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """The findings without the secrets themselves."""
-    return scan(docs).select("doc_id", "finding_no", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "confirmed")
+    """The findings without the secrets themselves, as a stored table; the candidates that were written on the way are deleted."""
+    spark = docs.sparkSession
+    with scratch(spark):
+        told = scan(docs).select("doc_id", "finding_no", "start", "length", F.sha2("value", 256).alias("value_sha256"), "score", "confirmed")
+        return written(told, fresh_path(spark, "findings", kept=True))
 
 
 def redacted(docs: DataFrame, mask: str = "[SECRET]", labelled: DataFrame | None = None) -> DataFrame:
     """All rows of docs, with each confirmed secret in the text replaced by the mask; n_chars, if there, set anew.
 
     Findings go to the rows with their doc_id, text and source, so rows without a doc_id or with the same one keep their own.
+    A text with confirmed findings is cut at its candidates once more and put together again, in time that grows with its length.
     """
-    spans = F.array_sort(F.collect_list(F.struct("start", "length")))
-    confirmed = stored(judged(docs, labelled).where("confirmed").select("doc_id", "mark", "start", "length").distinct(), "secrets")
-    told = confirmed.groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__of")).agg(spans.alias("__spans"))
+    with scratch(docs.sparkSession):
+        found = written(judged(docs, labelled).select("doc_id", "mark", "finding_no", F.when(F.col("confirmed"), F.col("length")).alias("length")).distinct(), fresh_path(docs.sparkSession, "verdicts", kept=True))
+    lengths = F.transform(F.array_sort(F.collect_list(F.struct("finding_no", "length"))), lambda x: x["length"])
+    told = found.groupBy(F.col("doc_id").alias("__doc"), F.col("mark").alias("__of")).agg(lengths.alias("__lengths"), F.count("length").alias("__n")).where("__n > 0").drop("__n")
     joined = packed(docs, "doc_id", "text", text_mark().alias("__mark")).join(joinable(told), F.col("doc_id").eqNullSafe(F.col("__doc")) & (F.col("__mark") == F.col("__of")), "left")
-    step = lambda a, s: F.struct(F.concat(a["t"], F.substr("text", (a["at"] + 1).cast("int"), (s["start"] - a["at"]).cast("int")), F.lit(mask)).alias("t"), (s["start"] + s["length"]).alias("at"))
-    masked = F.aggregate("__spans", F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("at")), step, lambda a: F.concat(a["t"], F.substr("text", (a["at"] + 1).cast("int"))))
-    row = F.col("__row").withField("text", masked)
+    held = F.col("__lengths").isNotNull()
+    cut = fenced(joined.withColumn("__m", F.when(held, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)))).withColumn("__s", F.when(held, F.split("text", CANDIDATE, -1))), "__m", "__s")
+
+    def after(i: Column) -> Column:
+        match, length = F.get("__m", i), F.get("__lengths", i)
+        return F.when(length.isNull(), F.coalesce(match, F.lit(""))).otherwise(F.concat(F.left(match, (F.length(match) - length).cast("int")), F.lit(mask)))
+
+    masked = F.array_join(F.transform("__s", lambda piece, i: F.concat(piece, after(i))), "")
+    made = fenced(cut.withColumn("__masked", masked), "__masked")
+    row = F.col("__row").withField("text", F.col("__masked"))
     if "n_chars" in docs.columns:
-        row = row.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))
-    return joined.select(F.when(F.col("__spans").isNull(), F.col("__row")).otherwise(row).alias("__row")).select("__row.*")
+        row = row.withField("n_chars", F.length("__masked").cast(docs.schema["n_chars"].dataType))
+    return made.select(F.when(held, row).otherwise(F.col("__row")).alias("__row")).select("__row.*")

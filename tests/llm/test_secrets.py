@@ -115,24 +115,45 @@ def test_precision_and_recall_on_findings_written_by_hand(llm):
     assert precision >= 0.9 and recall >= 0.9, (precision, recall, found - want, want - found)
 
 
+def assigned(text, at, name):
+    """(start, end) of the value that stands at a place behind a name and its sign, or None."""
+    for quote in "\"'":
+        if text[at : at + 1] == quote:
+            j, n = at + 1, 0
+            while j < len(text) and text[j] not in quote + "\r\n":
+                j, n = j + 1 + (text[j] == "\\"), n + 1
+            if text[j : j + 1] == quote and n >= 4:
+                return at + 1, j
+    if text.startswith('\\"', at):
+        j = at + 2
+        while j < len(text) and text[j] not in '"\\\r\n':
+            j += 1
+        if text.startswith('\\"', j) and j - at - 2 >= 4:
+            return at + 2, j
+    slash = text[at : at + 1] == "\\"
+    for start in (at + slash + (text[at + slash : at + slash + 1] in ("'", '"')), at + slash, at):
+        j = start
+        while j < len(text) and not (text[j].isspace() and text[j] in " \t\n\x0b\f\r") and text[j] not in "\"'<>" and not (text[j] in "&;,?" and name.match(text, j + 1)):
+            j += 1
+        if j - start >= 4:
+            return start, j
+    return None
+
+
 def plain_candidates(text):
     """(start, value) of all candidates by going through the text character by character."""
     import re
 
     key, letters = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"), re.compile(r"[A-Za-z+/_-]*")
-    name = re.compile(secrets.NAMED.replace("*+", "*"))
+    name = re.compile(secrets.NAMED)
     out, i = [], 0
     while i < len(text):
         if text.startswith("-----BEGIN ", i) or text.startswith("://", i):
             raise ValueError("this text is not for the plain search")
         m, end = name.match(text, i), None
-        if m:
-            j = m.end()
-            while j < len(text) and not (text[j].isspace() and text[j] in " \t\n\x0b\f\r") and text[j] not in "\"'<>" and not (text[j] in "&;,?" and name.match(text, j + 1)):
-                j += 1
-            if j - m.end() >= 4:
-                out.append((m.end(), text[m.end() : j]))
-                end = j
+        if m and (told := assigned(text, m.end(), name)):
+            out.append((told[0], text[told[0] : told[1]]))
+            end = told[1]
         if end is None and text[i] in key and (i == 0 or text[i - 1] not in key):
             j = i
             while j < len(text) and text[j] in key:
@@ -152,7 +173,7 @@ def plain_candidates(text):
 def test_candidates_equal_a_plain_search(llm, sf):
     docs = llm.read.parquet(f"{sf}/documents.parquet")
     more = [(10**6 + k, t, "s") for k, (t, *_) in enumerate(FINDINGS) if "://" not in t and "-----" not in t]
-    more += [(2 * 10**6, "aaBbCcDdEeFfGgHhIi oneTwoThreeFourFiveSix a" * 3, "s"), (2 * 10**6 + 1, "token = k1234567 'z9x8c7v6b5n4m3a2', \"q1w2e3r4t5y6u7i8\"", "s")]
+    more += [(2 * 10**6, "aaBbCcDdEeFfGgHhIi oneTwoThreeFourFiveSix a" * 3, "s"), (2 * 10**6 + 1, "token = k1234567 'z9x8c7v6b5n4m3a2', \"q1w2e3r4t5y6u7i8\"", "s"), (2 * 10**6 + 2, 'pass => "a b<c" token := \'it\\\'s\' secret="ab", pwd: "open auth_2 = \\"wxyz\\" x_token_y == abc;token=de token=\\abc compass = north', "s")]
     rows = [(r["doc_id"], r["text"], r["source"]) for r in docs.collect() if "-----BEGIN" not in r["text"] and "://" not in r["text"]] + more
     got: dict = {}
     for r in secrets.candidates(llm.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect():
@@ -279,3 +300,55 @@ def test_later_findings(llm):
     want = Counter((k, v) for k, (*_, values) in enumerate(LATER) for v in values)
     right = sum((found & want).values())
     assert right / sum(found.values()) >= 0.7 and right / sum(want.values()) >= 0.85, (found - want, want - found)
+
+
+#: What has been left in the text before: (text with {} for the secret, the secret).
+WHOLE = [
+    ('password = "{}"', "abcd<efghIJKL99"), ('password = "{}" and more', "correct horse battery staple"), ('api_token_for_the_production_site = "{}"', "hunter2Kx9"), ('db_password_v2 = "{}"', "hunter2Kx9zz"), ('password => "{}"', "hunter2Kx9zz"),
+    ("secret := '{}'", "p8Kz&q2;Lm?x7Rw"), ('client_id_secret2="{}"', "Zk81xQp2vB"), ("password:\n    {}\nuser: x", "Wx7!kd92LmQz"), ('passphrase: "{}"', "Zk81 xQp2 vB77 mm3T"), ('config["password"] = "{}"', "mQ7x!z91Kp"), ('"{\\"token\\": \\"{}\\"}"', "k8Zr2mQx71LpWv"),
+    ("--api-key={}", "Vw8LqTz3NnXk5RbYp2Hd"), ("user pass = {}", "q9Xw2ZkV7t"),
+]
+
+
+def test_values_and_names_of_any_form_are_masked_whole(llm):
+    rows = [(k, form.replace("{}", value), "src0") for k, (form, value) in enumerate(WHOLE)]
+    df = llm.createDataFrame(rows, "doc_id long, text string, source string")
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert texts == {k: form.replace("{}", "[SECRET]") for k, (form, _) in enumerate(WHOLE)}
+
+
+def test_time_grows_with_the_length(llm, words):
+    """A value of a million letters, one of 100,000 in quotes, and a text of thousands of candidates end within seconds."""
+    import random
+    import time
+
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    one, quoted = letters(1_000_000), letters(100_000)
+    many = "\n".join(f"token_{k} = {letters(6)}{rng.randint(10**6, 10**7)}{letters(8)}" for k in range(5_000))
+    df = llm.createDataFrame([(1, f"token={one} end", "s"), (2, f'password = "{quoted}" end', "s"), (3, many, "s"), (4, "token" * 200_000, "s")], "doc_id long, text string, source string")
+    began = time.time()
+    texts = {r["doc_id"]: r["text"] for r in secrets.redacted(df).collect()}
+    assert time.time() - began < 90
+    assert texts[1] == "token=[SECRET] end" and texts[2] == 'password = "[SECRET]" end' and texts[4] == "token" * 200_000
+    assert texts[3].count("[SECRET]") > 4_900 and len(texts[3]) < 150_000
+
+
+def test_covered_letters_equal_a_plain_count(llm):
+    import random
+
+    rng, words = random.Random(1), ["correct", "horse", "battery", "staple", "even", "evening"]
+    values = ["".join(rng.choice([*words, "x", "qq", "Z1"]) for _ in range(rng.randint(1, 300))) for _ in range(20)]
+
+    def plain(value):
+        import re
+
+        n = 0
+        for run in re.findall(r"[^\W\d_]{4,}", value.lower()):
+            hit = {i + d for w in words for i in range(len(run)) if run.startswith(w, i) for d in range(len(w))}
+            n += len(hit)
+        return n
+
+    df = llm.createDataFrame(list(enumerate(values)), "__id long, value string")
+    got = {r["__id"]: r["covered"] for r in secrets.word_coverage(df, llm.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert got == {k: plain(v) for k, v in enumerate(values) if plain(v)}

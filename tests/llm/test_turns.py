@@ -145,5 +145,5 @@ def test_known_repairs(llm):
     }
     rows = [(c, k, role, f"{role} {k}.") for c, of in talk.items() for k, role in enumerate(of)]
     told = {r["conv_id"]: (r["cost"], r["audit"], [t["role"] for t in r["turns"]]) for r in turns.repaired(llm.createDataFrame(rows, COLUMNS)).collect()}
-    assert told[1] == (0, "KKK", ["system", "user", "assistant"]) and told[2] == (2, "KIKK"[:0] + told[2][1], told[2][2]) and told[4][0] == 3 and told[6] == (2, "KI", ["user", "assistant"])
+    assert told[1] == (0, "KKK", ["system", "user", "assistant"]) and told[2] == (2, "KIKK", ["user", "assistant", "user", "assistant"]) and told[4][0] == 3 and told[6] == (2, "KI", ["user", "assistant"])
     assert told[5] == (3, "KKDKK", ["user", "assistant", "user", "assistant"]) and told[7] == (2, "RK", ["user", "assistant"])
