@@ -20,9 +20,11 @@ from patternmill.llm.common import fenced, joinable, packed, place_bits, text_ma
 from patternmill.session import forget, fresh_path, scratch, stored, written
 
 NAMES = r"(?:password|passwd|passphrase|(?<![a-z])pass(?![a-z])|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth)"
-# A name of any length that holds such a word, and what assigns: = : == := => and the like, a colon with its value on the next line too.
-NAME = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*?{NAMES})[A-Za-z0-9_-]++"
-NAMED = rf"(?i:{NAME})\\?[\"']?\]?[ \t]*+[=:]{{1,2}}+>?[ \t]*+(?:(?<=:)[ \t]*+\r?\n[ \t]*+)?"
+# A name of any length that holds such a word, and what assigns: = : == := => and the like, a colon with its value on the
+# next line too. The sign is looked for first, as few words have one.
+SIGN = r"\\?[\"']?\]?[ \t]*+[=:]"
+NAME = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]++{SIGN})(?=[A-Za-z0-9_-]*?{NAMES})[A-Za-z0-9_-]++"
+NAMED = rf"(?i:{NAME}){SIGN}[=:]?+>?[ \t]*+(?:(?<=:)[ \t]*+\r?\n[ \t]*+)?"
 # The password of a URL, up to the last @ before its path.
 LOGIN = r"://[^\s/?#:@\"'<>]*+:"
 PASSWORD = r"[^\s/?#\"'<>]+(?=@)"
@@ -36,7 +38,7 @@ ELSEWHERE = rf"(?!-----BEGIN |[A-Za-z][A-Za-z0-9+.:-]*{LOGIN}{PASSWORD})"
 QUOTED = "|".join(rf"{q}{ELSEWHERE}(?:[^{q}\\\r\n]|\\.){{4,}}+(?={q})" for q in "\"'") + rf"|\\\"{ELSEWHERE}[^\"\\\r\n]{{4,}}+(?=\\\")"
 BARE = rf"\\?[\"']?{ELSEWHERE}(?:[^\s\"'<>&;,?]|[&;,?](?!{NAMED})){{4,}}+"
 ASSIGNED = rf"{NAMED}(?:{QUOTED}|{BARE})"
-RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9]|(?:[A-Za-z+/_-]*?[a-z][A-Z]){3})[A-Za-z0-9+/_-]{16,}={0,2}"
+RUN = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{16})(?=[A-Za-z+/_-]*+[0-9]|(?:[A-Za-z+/_-]*?[a-z][A-Z]){3})[A-Za-z0-9+/_-]{16,}={0,2}"
 CANDIDATE = f"{BLOCK}|{URL}|{ASSIGNED}|{RUN}"
 VALUE = rf"(?s)^(?:{NAMED}(?=.{{4}})(?:\\?[\"'](?=.{{4}})|\\(?=.{{4}}))?|{LOGIN})?(.*)$"
 
