@@ -15,9 +15,10 @@ from patternmill.operators.embed import Embedder, HashEmbedder
 from patternmill.operators.scanners import Chunker
 from patternmill.plans import sync as plan
 from patternmill.schema import CATEGORIES, EXTENSIONS, MODELS
-from patternmill.session import delete, exists, forget, stored
+from patternmill.session import delete, exists, forget, ship, stored
 from patternmill.sources.files import code_files, discovered, local_files, tree
 from patternmill.sources.tables import BankTable
+from patternmill.sources.vector_index import VectorIndex
 from patternmill.streaming import ingest
 
 
@@ -30,7 +31,9 @@ class PatternBank:
     """A pattern bank at a path. The configuration sets weights, limits, batches and ignored folders; analyzer and embedder are plug-points."""
 
     def __init__(self, spark: SparkSession, path: str, analyzer: plan.Analyzer | None = analyze.mock_analysis, config: Config = Config(), embedder: Embedder | None = None):
+        ship(spark)
         self.spark, self.table, self.config = spark, BankTable(spark, path), config
+        self.index = VectorIndex(spark, f"{self.table.path}/_index")
         self.analyzer = analyzer if config.batch.analyze else None
         self.embedder = embedder or HashEmbedder()
         self.table.create()
@@ -61,14 +64,29 @@ class PatternBank:
         forget(new)
         return bad
 
-    def search(self, query: str, language: str | None = None, category: str | None = None, min_quality: int = 5, limit: int = 10, candidate_cap: int | None = -1, hybrid: bool | None = None) -> DataFrame:
-        """The best patterns with their scores, rank and rendered text; cap and hybrid are the configuration's unless given."""
+    def build_index(self, cells: int | None = None) -> int:
+        """Index the vectors of all patterns; searches use the index from then on, and take over what has changed."""
+        return self.index.build(self.table, cells)
+
+    def search(
+        self, query: str, language: str | None = None, category: str | None = None, min_quality: int = 5, limit: int = 10, candidate_cap: int | None = -1, hybrid: bool | None = None, probes: int | None = None
+    ) -> DataFrame:
+        """The best patterns with their scores, rank and rendered text; cap and hybrid are the configuration's unless given.
+
+        With an index, probes limits the cells that are read; without probes the answer is that of a whole scan.
+        """
         row = self.spark.createDataFrame([(query, limit, min_quality, language, category)], "query string, limit int, min_quality int, language string, category string")
         if errors := row.select(validate.search_errors().alias("e")).first()["e"]:
             raise ValueError(f"not valid: {', '.join(errors)}")
-        found, own = search.matching(self.read(), language, category, min_quality), self.config.search
+        own, vector = self.config.search, self.embedder.query(query)
         cap, enabled = own.candidate_cap if candidate_cap == -1 else candidate_cap, own.enabled if hybrid is None else hybrid
-        top = search.hybrid_top(found, query, self.embedder.query(query), limit, cap, enabled, own.semantic_weight, own.keyword_weight)
+        if self.index.built():
+            self.index.refresh(self.table)
+            n = limit if not enabled else search.OVERFETCH * limit if cap is None else min(search.OVERFETCH * limit, cap)
+            found = self.index.candidates(vector, n, probes, lambda rows: search.matching(rows, language, category, min_quality)).drop("cell", "closeness", "digest")
+        else:
+            found = search.matching(self.read(), language, category, min_quality)
+        top = search.hybrid_top(found, query, vector, limit, cap, enabled, own.semantic_weight, own.keyword_weight)
         return top.withColumn("rendered", render.search_result())
 
     def gather_patterns(self, kind: str, stack: list[str], limit: int = 5) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternmill.config import CacheConfig, from_settings
-from patternmill.functions import paths, render, replies, text
+from patternmill.functions import paths, render, replies, sql as sql_functions, text
 from patternmill.operators import analyze, bank, cache, chunking, remote, repos, scaffold, scanners, search, stats, validate
 from patternmill.plans import sync as plan
 from patternmill.plans.api import embedding_info as model_info
@@ -16,8 +16,10 @@ from patternmill.plans.cache_store import CacheStore
 from patternmill.schema import EXCLUDED_REPOS
 from patternmill.session import fresh_path, put_bytes, ship, stored
 from patternmill.sources import files as trees
-from patternmill.sources.tables import CacheTable
+from patternmill.sources.tables import BankTable, CacheTable
+from patternmill.sources.vector_index import VectorIndex, recall
 from patternmill.streaming import ingest
+from patternmill.streaming.cache_state import cached
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -280,6 +282,46 @@ def search_semantic_topk(spark, sf):
     return top.select("point_id", F.round("semantic", 9).alias("semantic"))
 
 
+def indexed(spark: SparkSession, sf: str, cells: int | None = None) -> VectorIndex:
+    """An index over all vectors of the embeddings table, each a point of a bank."""
+    home = fresh_path(spark, "index")
+    v = F.col("vec_id")
+    points = table(spark, sf, "embeddings").select(F.concat(F.lit("vec_"), F.lpad(v.cast("string"), 12, "0")).alias("point_id"), F.col("embedding").cast("array<float>").alias("embedding"), v.alias("ingest_seq"))
+    own = BankTable(spark, f"{home}/bank")
+    own.replace(points)
+    index = VectorIndex(spark, f"{home}/index")
+    index.build(own, cells)
+    return index
+
+
+_NEAR = "round(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12)"
+_VEC = "concat('vec_', lpad(CAST(vec_id AS VARCHAR), 12, '0'))"
+_MANY = f"""near AS (SELECT a.vec_id AS query_id, concat('vec_', lpad(CAST(b.vec_id AS VARCHAR), 12, '0')) AS point_id, {_NEAR} AS semantic FROM embeddings a JOIN embeddings b ON TRUE WHERE a.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY semantic DESC, point_id) AS rank FROM near)"""
+
+
+@query(f"SELECT {_VEC} AS point_id, round({_NEAR.replace('b.embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 0)')}, 9) AS semantic FROM embeddings a ORDER BY semantic DESC, point_id LIMIT 10")
+def search_index_topk(spark, sf):
+    """The best ten through an index that reads only the cells which can hold one of them."""
+    return indexed(spark, sf).search(search.vector_of(spark, sf, 0), 10).select("point_id", F.round("semantic", 9).alias("semantic"))
+
+
+@query(f"WITH {_MANY} SELECT query_id, CAST(rank AS INTEGER) AS rank, point_id, round(semantic, 9) AS semantic FROM ranked WHERE rank <= 10")
+def search_index_many(spark, sf):
+    """The best ten of each vector whose number 20 divides, against all vectors, in blocks by cell; all cells are probed."""
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return indexed(spark, sf).search_many(asked, 10).select("query_id", "rank", "point_id", F.round("semantic", 9).alias("semantic"))
+
+
+@query("SELECT count(*) AS queries, TRUE AS enough FROM embeddings WHERE vec_id % 20 = 0")
+def search_index_recall(spark, sf):
+    """Of the best ten of each such vector, at least 95 in 100 are found when 80 % of the cells are probed; these vectors hardly cluster."""
+    asked = table(spark, sf, "embeddings").where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    index = indexed(spark, sf)
+    some = max(1, round(0.8 * len(index.centroids())))
+    return recall(index.search_many(asked, 10, some), index.search_many(asked, 10)).select("queries", (F.col("recall") >= 0.95).alias("enough"))
+
+
 @query(f"WITH {BANK} SELECT ingest_seq, title FROM bank WHERE language = 'en' AND category = 'security' AND quality_score >= 5")
 def search_filter_lang_cat_quality(spark, sf):
     return search.matching(bank.document_bank(spark, sf), "EN", "security", 5).select("ingest_seq", "title")
@@ -631,6 +673,29 @@ def chunk_corpus(spark, sf):
     return scanners.extract_chunks(corpus_rows(spark, sf)).select("doc_id", "language", "chunk_no", "chunk_type", "name", "start_line", "end_line")
 
 
+@query(ORACLE_SQL["chunk_corpus"])
+def sql_chunk_file(spark, sf):
+    """The same in SQL, by a table function that hands the other columns on."""
+    sql_functions.register(spark)
+    corpus_rows(spark, sf).createOrReplaceTempView("corpus_files")
+    return spark.sql("SELECT doc_id, language, chunk_no, chunk_type, name, start_line, end_line FROM chunk_file(TABLE(corpus_files))")
+
+
+@query(
+    f"""WITH {FILES}, e AS (SELECT *, {_EXT} AS ext FROM files)
+SELECT ingest_seq, md5(concat(repo, ':', path, ':', substr(md5(content), 1, 8))) AS id, {_LANG} AS language, round(({" + ".join(f"least(CAST(1.0 AS DOUBLE), CAST(0.3 AS DOUBLE) * ((length(lower(content)) - length(replace(lower(content), '{w}', ''))) // {len(w)}))" for w in ("class", "token", "the"))}) / 3, 9) AS score,
+  round(CASE WHEN content IS NULL THEN NULL ELSE (3.0 * length(content) + 4) / (sqrt(CAST(length(content) AS DOUBLE) * length(content) + 5) * sqrt(14)) END, 9) AS near FROM e"""
+)
+def sql_scalars(spark, sf):
+    """Ids, languages, scores and similarities in SQL."""
+    sql_functions.register(spark)
+    file_rows(spark, sf).createOrReplaceTempView("corpus_rows")
+    return spark.sql(
+        """SELECT ingest_seq, pattern_id(repo, path, content) AS id, language_of(path) AS language, round(keyword_match(content, array('class', 'token', 'the')), 9) AS score,
+        round(vector_cosine(array(CAST(length(content) AS DOUBLE), 1D, 2D), array(3D, 2D, 1D)), 9) AS near FROM corpus_rows"""
+    )
+
+
 # Analysis
 
 PIECES = """pieces AS (SELECT doc_id AS ingest_seq, source AS repo, concat('doc/', doc_id, '.txt') AS file_path, lang AS language, text AS content,
@@ -886,6 +951,26 @@ def sync_stream_failures(spark, sf):
     return told.select("repo_name", "total_files", "processed_files", "stored_patterns", F.lit(own.table.count()).cast("long").alias("in_bank"), "percent", F.concat(first["path"], F.lit(": "), first["error"]).alias("failed"))
 
 
+@query(
+    f"""WITH {_SYNC.replace("SELECT source AS repo", "SELECT 'me/app' AS repo")}, k AS (SELECT count(*) AS n FROM p), c AS (SELECT count(*) AS n FROM p WHERE CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) % 7 = 0)
+SELECT 'me/app' AS repo_name, (SELECT count(*) FROM documents) AS total_files, (SELECT count(*) FROM documents) AS processed_files, CAST(k.n AS BIGINT) AS stored_patterns, CAST(100 AS DOUBLE) AS percent, k.n + c.n AS in_bank FROM k, c"""
+)
+def sync_stream_changed_files(spark, sf):
+    """A seventh of the files comes again, changed; each counts once, and its points of both times are in the bank."""
+    from patternmill.config import BatchConfig, Config
+    from patternmill.plans.api import PatternBank
+
+    home = fresh_path(spark, "stream")
+    files = sync_files(spark, sf).withColumn("repo", F.lit("me/app"))
+    files.repartition(4).write.parquet(f"{home}/in")
+    own = PatternBank(spark, f"{home}/bank", config=Config(batch=BatchConfig(batch_size=10, max_retries=1, retry_delay=0.0)))
+    own.sync_stream(f"{home}/in", "me/app")
+    again = files.where("ingest_seq % 7 = 0").withColumn("content", F.replace("content", F.lit("return a"), F.lit("return b"))).withColumn("ingest_seq", F.col("ingest_seq") + 10**6)
+    again.coalesce(1).write.mode("append").parquet(f"{home}/in")
+    told = own.sync_stream(f"{home}/in", "me/app")
+    return told.select("repo_name", "total_files", "processed_files", "stored_patterns", "percent", F.lit(own.table.count()).cast("long").alias("in_bank"))
+
+
 @query(f"WITH {_SYNC} SELECT md5(content) AS digest, path FROM p WHERE CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) % 3 = 1")
 def sync_skips_empty(spark, sf):
     """files without content, or with an empty one, give nothing."""
@@ -995,6 +1080,57 @@ def cache_persisted(spark, sf):
     return CacheStore(spark, home, own).entries(NOW).select("key", "value")
 
 
+CACHE_TTL_S, CACHE_SHARDS, CACHE_SIZE = 86_400, 4, 12
+_OP = "CASE event_type WHEN 'purchase' THEN 'put' WHEN 'click' THEN 'put' WHEN 'error' THEN 'drop' ELSE 'get' END"
+
+
+def cache_requests(events: DataFrame) -> DataFrame:
+    """Events as requests to a cache: some put what they hold under their user, some ask for it, some drop it."""
+    kind = F.col("event_type")
+    op = F.when(kind.isin("purchase", "click"), "put").when(kind == "error", "drop").otherwise("get")
+    return events.select(F.concat(F.lit("user"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("seq"), op.alias("op"), F.col("props").alias("value"), F.col("ts").cast("timestamp").alias("at"), (F.col("user_id") % CACHE_SHARDS).alias("shard"))
+
+
+@query(
+    f"""WITH RECURSIVE asked AS (
+  SELECT user_id % {CACHE_SHARDS} AS shard, concat('user', user_id) AS key, event_id AS seq, {_OP} AS op, props AS value, epoch_us(ts) AS now, row_number() OVER (PARTITION BY user_id % {CACHE_SHARDS} ORDER BY ts, event_id) AS n FROM events
+), run AS (
+  SELECT DISTINCT shard, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS VARCHAR) AS value, FALSE AS hit, CAST([] AS STRUCT(k VARCHAR, v VARCHAR, e BIGINT)[]) AS held FROM asked
+  UNION ALL
+  SELECT shard, n, seq, CASE WHEN op = 'put' THEN own WHEN op = 'get' THEN found END, op = 'get' AND at_hand,
+    CASE WHEN op = 'put' THEN list_slice(list_append(others, struct_pack(k := key, v := own, e := now + {CACHE_TTL_S * 1_000_000})), -{CACHE_SIZE}, -1) WHEN op = 'drop' THEN others WHEN at_hand THEN list_concat(others, same) ELSE others END
+  FROM (
+    SELECT a.shard, a.n, a.seq, a.op, a.key, a.value AS own, a.now, list_filter(r.held, lambda x: x.e >= a.now AND x.k <> a.key) AS others, list_filter(r.held, lambda x: x.e >= a.now AND x.k = a.key) AS same,
+      len(list_filter(r.held, lambda x: x.e >= a.now AND x.k = a.key)) > 0 AS at_hand, list_filter(r.held, lambda x: x.e >= a.now AND x.k = a.key)[1].v AS found
+    FROM run r JOIN asked a ON r.shard = a.shard AND a.n = r.n + 1
+  )
+) SELECT r.seq, a.op, r.value, r.hit FROM run r JOIN asked a ON r.seq = a.seq"""
+)
+def cache_stream_replay(spark, sf):
+    """The answers of a cache kept as streaming state, with eviction and time to live, to all events in order."""
+    ship(spark)
+    home = fresh_path(spark, "cache-stream")
+    events = cache_requests(table(spark, sf, "events"))
+    events.repartitionByRange(6, "at").sortWithinPartitions("at").write.parquet(f"{home}/all")
+    for k, path in enumerate(sorted(r["p"] for r in spark.read.parquet(f"{home}/all").select(F.input_file_name().alias("p")).distinct().collect())):
+        spark.read.schema(events.schema).parquet(path).coalesce(1).write.mode("append").parquet(f"{home}/in/{k}")
+    stream = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(f"{home}/in")
+    answers = cached(stream, CACHE_TTL_S, capacity=CACHE_SIZE)
+    answers.writeStream.format("parquet").option("checkpointLocation", f"{home}/checkpoint").option("path", f"{home}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{home}/out").select("seq", "op", "value", "hit")
+
+
+@query(f"WITH {ENTRIES}, g AS (SELECT key FROM entries ORDER BY access_seq LIMIT 12) SELECT key, CASE WHEN expires_at >= 1700000000 THEN value END AS value, CAST(1 AS BIGINT) AS versions FROM entries WHERE key IN (SELECT key FROM g)")
+def cache_store_reads(spark, sf):
+    """Reads of a stored cache; they leave as many versions as there were."""
+    home = fresh_path(spark, "cache")
+    rows = cache_rows(spark, sf).drop("event_type")
+    CacheTable(spark, home).replace(rows)
+    store = CacheStore(spark, home, CacheConfig(max_size=10**9))
+    got = [(r["key"], store.get(r["key"], NOW)) for r in rows.orderBy("access_seq").limit(12).select("key").collect()]
+    return spark.createDataFrame(got, "key string, value string").withColumn("versions", F.lit(len(store.table.versions())).cast("long"))
+
+
 @query("SELECT source AS repo, substr(md5(source), 1, 12) AS short_name FROM documents GROUP BY source")
 def progress_short_name(spark, sf):
     """X27."""

@@ -1,9 +1,11 @@
-"""Tables as versioned folders: a write makes a new version, and a pointer says which folders it has."""
+"""Tables as versioned folders: a write makes new folders, and a commit says which folders a version has."""
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,48 +13,104 @@ from pyspark.sql.types import StructType
 
 from patternmill.operators.bank import upsert
 from patternmill.schema import BANK, CACHE
-from patternmill.session import exists, names_in
+from patternmill.session import age_of, delete, exists, names_in, put_if_absent, read_bytes
+
+#: Every so many versions the log holds all folders of one; between, commits say what changes.
+CHECKPOINT = 10
+
+
+class Conflict(RuntimeError):
+    """Another writer changed the same part of a table first, again and again."""
+
+
+class State(NamedTuple):
+    """A version: its folders and what is known of their rows, by bucket, and what the table says about itself."""
+
+    number: int
+    folders: dict[int, str]
+    stats: dict[int, dict]
+    about: dict
 
 
 class VersionedTable:
     """A table on disk in buckets by its key. No folder is changed once written, so readers and a failed write do no harm.
 
-    A version is a folder for each bucket; a write that touches some buckets only makes new folders for those.
+    A version is a folder for each bucket; a write that touches some buckets only makes new folders for those. It becomes
+    a version by its commit, a file by its number that is made only where there is none, so of two writers one comes
+    first. The other one joins its folders to that version if they lie in other buckets, else does its work again on it.
+    A version is read from the last checkpoint and the commits after it, CHECKPOINT + 1 files at most.
     """
 
     def __init__(self, spark: SparkSession, path: str, schema: StructType, key: str, buckets: int = 64):
         self.spark, self.path, self.schema, self.key, self.buckets = spark, path.rstrip("/"), schema, key, buckets
-        self._pointer = f"{self.path}/_versions"
-
-    def _manifest(self) -> dict[int, dict[int, str]]:
-        """Folders by version and bucket; a row for each version and bucket."""
-        if not exists(self.spark, self._pointer):
-            return {}
-        out: dict[int, dict[int, str]] = {}
-        for r in self.spark.read.schema("number long, bucket int, folder string").parquet(self._pointer).collect():
-            out.setdefault(r["number"], {})
-            if r["bucket"] is not None:
-                out[r["number"]][r["bucket"]] = r["folder"]
-        return out
+        self._log = f"{self.path}/_log"
+
+    def _file(self, number: int, kind: str) -> str:
+        return f"{self._log}/{number:020d}.{kind}.json"
+
+    def _logged(self) -> tuple[list[int], list[int]]:
+        """The numbers of all commits and of all checkpoints there are."""
+        names = names_in(self.spark, self._log) if exists(self.spark, self._log) else []
+        of = lambda kind: [int(n[:20]) for n in names if n.endswith(f".{kind}.json")]
+        return of("commit"), of("checkpoint")
+
+    def _get(self, number: int, kind: str) -> dict:
+        return json.loads(read_bytes(self.spark, self._file(number, kind)))
+
+    def log_files(self, number: int | None = None) -> list[tuple[int, str]]:
+        """The files of the log that tell the folders of a version, in order; raises if there is no such version."""
+        commits, points = self._logged()
+        if not commits and not points:
+            raise ValueError(f"there is no table at {self.path}")
+        want = max(commits + points) if number is None else number
+        base = max((p for p in points if p <= want), default=min(commits, default=-1) - 1)
+        later = [c for c in sorted(commits) if base < c <= want]
+        if (later[-1] if later else base) != want:
+            raise ValueError(f"there is no version {want} at {self.path}")
+        return [(p, "checkpoint") for p in points if p == base] + [(c, "commit") for c in later]
+
+    def _state(self, number: int | None = None) -> State:
+        parts: dict[int, list] = {}
+        about: dict = {}
+        last = -1
+        for last, kind in self.log_files(number):
+            told = self._get(last, kind)
+            if told["whole"]:
+                parts, about = {}, {}
+            parts = {b: f for b, f in parts.items() if b not in told["drop"]} | {int(b): f for b, f in told["add"].items()}
+            about |= told["about"]
+        return State(last, {b: f for b, (f, _) in parts.items()}, {b: s for b, (_, s) in parts.items()}, about)
 
     def versions(self) -> list[int]:
-        return sorted(self._manifest())
+        """The versions that can be read."""
+        commits, points = self._logged()
+        first = min(points, default=0) if 0 not in commits else 0
+        return sorted({n for n in commits if n >= first} | {n for n in points if n == first})
 
     def create(self) -> None:
         """An empty first version if there is none."""
-        if not exists(self.spark, self._pointer):
-            self._point(0, {})
+        if not exists(self.spark, self._log):
+            self._commit(0, {}, {}, [], True, {})
 
-    def _point(self, number: int, folders: dict[int, str]) -> int:
-        rows = [(number, b, f) for b, f in sorted(folders.items())] or [(number, None, None)]
-        self.spark.createDataFrame(rows, "number long, bucket int, folder string").coalesce(1).write.mode("append").parquet(self._pointer)
-        return number
+    def _commit(self, number: int, add: dict[int, str], stats: dict[int, dict], drop: list[int], whole: bool, about: dict) -> bool:
+        """Make the version of this number unless there is one; whole: nothing of the one before stays."""
+        if not put_if_absent(self.spark, self._file(number, "commit"), self._told(add, stats, drop, whole, about)):
+            return False
+        if number and number % CHECKPOINT == 0:
+            self._checkpoint(number)
+        return True
 
-    def _folders(self, number: int | None = None) -> dict[int, str]:
-        known = self._manifest()
-        if not known:
-            raise ValueError(f"there is no table at {self.path}")
-        return known[max(known) if number is None else number]
+    def _checkpoint(self, number: int) -> None:
+        _, folders, stats, about = self._state(number)
+        put_if_absent(self.spark, self._file(number, "checkpoint"), self._told(folders, stats, [], True, about))
+
+    @staticmethod
+    def _told(add: dict[int, str], stats: dict[int, dict], drop: list[int], whole: bool, about: dict) -> bytes:
+        return json.dumps({"add": {str(b): [f, stats.get(b, {})] for b, f in sorted(add.items())}, "drop": sorted(drop), "whole": whole, "about": about}).encode()
+
+    def _stats(self, rows: DataFrame) -> dict[int, dict]:
+        """What a kind of table keeps of new rows by bucket, in its log."""
+        return {}
 
     def _load(self, folders: list[str]) -> DataFrame:
         if not folders:
@@ -60,39 +118,100 @@ class VersionedTable:
         return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders))
 
     def read(self, number: int | None = None) -> DataFrame:
-        return self._load(list(self._folders(number).values()))
+        return self._load(list(self._state(number).folders.values()))
+
+    def read_buckets(self, buckets: list[int], number: int | None = None) -> DataFrame:
+        """The rows of some buckets; the others' folders are not looked at."""
+        return self._load([f for b, f in self._state(number).folders.items() if b in set(buckets)])
+
+    def bucket_of(self, key: str) -> int:
+        """The bucket of one key, reckoned on the driver."""
+        return self.spark.sql("SELECT CAST(pmod(xxhash64(:k), :n) AS INT)", args={"k": key, "n": self.buckets}).first()[0]
 
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _write(self, df: DataFrame) -> dict[int, str]:
-        """Write rows in the columns of the table, those missing as null; the new folders by bucket."""
+    def _write(self, df: DataFrame) -> tuple[dict[int, str], dict[int, dict]]:
+        """Write rows in the columns of the table, those missing as null; the new folders by bucket, and their stats."""
         kept = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields], self.bucket().alias("__bucket"))
         folder = f"v-{uuid.uuid4().hex}"
         kept.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         made = names_in(self.spark, f"{self.path}/{folder}", folders_only=True)
-        return {int(name.partition("=")[2]): f"{folder}/{name}" for name in made}
-
-    def replace(self, df: DataFrame) -> int:
-        """A new version; the pointer moves when it is whole."""
-        known = self._manifest()
-        return self._point(max(known) + 1 if known else 0, self._write(df))
-
-    def change(self, buckets: DataFrame, make: Callable[[DataFrame], DataFrame]) -> int:
-        """A new version in which only the buckets named (column bucket) differ: make(rows of these) gives their new rows."""
-        number, folders = max(self._manifest()), self._folders()
-        touched = {r["bucket"] for r in buckets.select("bucket").distinct().collect()}
-        new = self._write(make(self._load([f for b, f in folders.items() if b in touched])))
-        return self._point(number + 1, {b: f for b, f in folders.items() if b not in touched} | new)
+        new = {int(name.partition("=")[2]): f"{folder}/{name}" for name in made}
+        return new, self._stats(self._load(list(new.values()))) if new else {}
+
+    def replace(self, df: DataFrame, base: int | None = None, attempts: int = 100, about: dict | None = None) -> int:
+        """A new version of these rows alone. base: the version they were made from; raises Conflict if there is a newer one."""
+        new, stats = self._write(df)
+        number = base if base is not None else max(sum(self._logged(), []), default=-1)
+        for k in range(1, (1 if base is not None else attempts) + 1):
+            if self._commit(number + k, new, stats, [], True, about or {}):
+                return number + k
+        self._drop(new)
+        raise Conflict(f"version {base} of {self.path} is no longer the newest" if base is not None else f"{attempts} others wrote to {self.path} meanwhile")
+
+    def change(self, buckets: DataFrame, make: Callable[[DataFrame], DataFrame], attempts: int = 10) -> int:
+        """A new version in which only the buckets named (column bucket) differ: make(rows of these) gives their new rows.
+
+        make is called again on newer rows where another writer changed one of the buckets meanwhile; after so many
+        attempts that raises Conflict.
+        """
+        return self.change_buckets({r["bucket"] for r in buckets.select("bucket").distinct().collect()}, make, attempts)
+
+    def change_buckets(self, touched: set[int], make: Callable[[DataFrame], DataFrame], attempts: int = 10, about: dict | None = None) -> int:
+        for _ in range(attempts):
+            number, folders, _, _ = self._state()
+            new, stats = self._write(make(self._load([f for b, f in folders.items() if b in touched])))
+            gone = [b for b in folders if b in touched and b not in new]
+            while True:
+                number += 1
+                if self._commit(number, new, stats, gone, False, about or {}):
+                    return number
+                other = self._get(number, "commit")
+                if other["whole"] or touched & ({int(b) for b in other["add"]} | set(other["drop"])):
+                    break
+            self._drop(new)
+        raise Conflict(f"others wrote to the same buckets of {self.path}, {attempts} times")
+
+    def _drop(self, folders: dict[int, str]) -> None:
+        """Delete what no version has: folders that were just written."""
+        for root in {f.partition("/")[0] for f in folders.values()}:
+            delete(self.spark, f"{self.path}/{root}")
 
     def merge(self, rows: DataFrame, order: str = "ingest_seq") -> int:
         """Upsert; rows should be a written table, as they are read twice."""
         return self.change(rows.select(self.bucket().alias("bucket")), lambda old: upsert(old, rows, self.key, order))
 
-    def restore(self, number: int) -> int:
+    def restore(self, number: int, attempts: int = 100) -> int:
         """An earlier version becomes the newest one, without a copy."""
-        known = self._manifest()
-        return self._point(max(known) + 1, known[number])
+        (_, folders, stats, about), newest = self._state(number), self._state().number
+        for k in range(1, attempts + 1):
+            if self._commit(newest + k, folders, stats, [], True, about):
+                return newest + k
+        raise Conflict(f"{attempts} others wrote to {self.path} meanwhile")
+
+    def vacuum(self, keep: int = 1, older_than_s: float = 7 * 86_400) -> int:
+        """Delete the log before the last `keep` versions, and the folders of no version left; how many.
+
+        Folders changed within older_than_s stay, as a writer may be about to commit them; a failed write's go then.
+        """
+        commits, points = self._logged()
+        kept = self.versions()[-max(1, keep) :]
+        if kept[0]:
+            self._checkpoint(kept[0])
+        for n, kind in [(c, "commit") for c in commits if c < kept[0]] + [(p, "checkpoint") for p in points if p < kept[0]]:
+            delete(self.spark, self._file(n, kind))
+        used = {f for n in kept for f in self._state(n).folders.values()}
+        gone = 0
+        for root in names_in(self.spark, self.path, folders_only=True):
+            if not root.startswith("v-") or age_of(self.spark, f"{self.path}/{root}") < older_than_s:
+                continue
+            parts = [f"{root}/{b}" for b in names_in(self.spark, f"{self.path}/{root}", folders_only=True)]
+            stale = [p for p in parts if p not in used]
+            if len(stale) == len(parts):
+                stale = [root]
+            gone += sum(delete(self.spark, f"{self.path}/{p}") for p in stale)
+        return gone
 
     def count(self) -> int:
         return self.read().count()

@@ -90,9 +90,13 @@ def logged(files: DataFrame, tried: DataFrame, new: DataFrame, finished_at: floa
 
 
 def progress_from(log: DataFrame, total_files: int, started_at: float) -> DataFrame:
-    """T4: how far each repository in a log is: files, chunks and points so far, its first failures, and the seconds it took."""
-    sums = log.groupBy("repo").agg(F.count("*").alias("processed_files"), F.sum("chunks").alias("total_chunks"), F.sum("stored").alias("stored_patterns"), (F.max("finished_at") - started_at).alias("elapsed_s"))
-    joined = sums.join(first_failures(log.where("error IS NOT NULL")), "repo", "left")
+    """T4: how far each repository in a log is: files, chunks and points so far, its first failures, and the seconds it took.
+
+    A file that was done more than once, as it changed, counts once, with what its last time gave.
+    """
+    last = log.groupBy("repo", "file_path").agg(F.max_by(F.struct("chunks", "stored", "error", "finished_at"), "finished_at").alias("l")).select("repo", "file_path", "l.*")
+    sums = last.groupBy("repo").agg(F.count("*").alias("processed_files"), F.sum("chunks").alias("total_chunks"), F.sum("stored").alias("stored_patterns"), (F.max("finished_at") - started_at).alias("elapsed_s"))
+    joined = sums.join(first_failures(last.where("error IS NOT NULL")), "repo", "left")
     return joined.select(
         F.col("repo").alias("repo_name"), F.lit(total_files).cast("long").alias("total_files"), "processed_files", "total_chunks", "stored_patterns", "failed_files", F.coalesce("more_failed", F.lit(0)).alias("more_failed"), "elapsed_s"
     )
