@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +85,18 @@ def scaffold(spark: SparkSession, name: str, kind: str, stack: str | list[str])
     return spark.createDataFrame([(name, folders, files)], STRUCTURE)
 
 
+def scaffolds(projects: DataFrame) -> DataFrame:
+    """The structures (STRUCTURE) of many projects (name, kind, stack as an array), made where the rows are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [template(*row) for row in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
+            folders, files = pa.array([m[0] for m in made], pa.list_(pa.string())), pa.array([list(m[1].items()) for m in made], pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), folders, files], names=["name", "directories", "files"])
+
+    return projects.select("name", "kind", "stack").mapInArrow(run, STRUCTURE)
+
+
 def structure_from(spark: SparkSession, name: str, kind: str, stack: list[str], ask: Callable[[str], str] | None = None, prompt: str = "") -> DataFrame:
     """The structure that a model's reply gives, or the template without a model or if asking fails.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from patternmill.config import CacheConfig, from_settings
@@ -13,8 +14,8 @@ from patternmill.operators import analyze, bank, cache, chunking, remote, repos,
 from patternmill.plans import sync as plan
 from patternmill.plans.api import embedding_info as model_info
 from patternmill.plans.cache_store import CacheStore
-from patternmill.schema import EXCLUDED_REPOS
-from patternmill.session import fresh_path, put_bytes, ship, stored
+from patternmill.schema import CATEGORIES, EXCLUDED_REPOS, EXTENSIONS, IGNORED_DIRS, LANGUAGES, LOCAL_IGNORED_DIRS
+from patternmill.session import fresh_path, ship, stored
 from patternmill.sources import files as trees
 from patternmill.sources.tables import BankTable, CacheTable
 from patternmill.sources.vector_index import VectorIndex, recall
@@ -36,6 +37,7 @@ BANK = """bank AS (
 
 EXTS = [".py", ".PY", ".java", ".js", ".ts", ".tsx", ".md", ".go", ""]
 DIRS = ["src", "node_modules", "lib/core", "vendor/a", "deps", "app/build", ".git"]
+_LIST = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _list = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
 FILES = f"""files AS (
   SELECT doc_id AS ingest_seq, source AS repo, text AS content,
@@ -352,11 +354,14 @@ def prompt_patterns_rendered(spark, sf):
 
 
 @query(
-    "SELECT * FROM (VALUES ('api', 'python, fastapi', 'api python fastapi REST API endpoint controller service'), ('cli', 'go', 'cli go command line argument parser'), ('library', 'java,spark ', 'library java spark module package utility'), ('game', 'rust', 'game rust ')) t(kind, stack, query_text)"
+    """WITH k AS (SELECT * FROM (VALUES (0, 'api', 'REST API endpoint controller service'), (1, 'cli', 'command line argument parser'), (2, 'library', 'module package utility'), (3, 'web-app', 'web application frontend backend'), (4, 'game', '')) t(n, kind, words))
+SELECT d.doc_id, k.kind, concat(k.kind, ' ', d.lang, ' ', d.source, ' ', k.words) AS query_text FROM documents d JOIN k ON d.doc_id % 5 = k.n"""
 )
 def gather_patterns_query(spark, sf):
-    rows = spark.createDataFrame([("api", "python, fastapi"), ("cli", "go"), ("library", "java,spark "), ("game", "rust")], "kind string, stack string")
-    return rows.withColumn("query_text", search.scaffold_query(F.col("kind"), search.split_stack(F.col("stack"))))
+    """What is asked for a project of each document's kind, with its language and source as the stack."""
+    kind = F.element_at(F.array(*[F.lit(x) for x in ("api", "cli", "library", "web-app", "game")]), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "documents").select("doc_id", kind.alias("kind"), F.concat("lang", F.lit(",  "), "source", F.lit(" ")).alias("stack"))
+    return rows.select("doc_id", "kind", search.scaffold_query(F.col("kind"), search.split_stack(F.col("stack"))).alias("query_text"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
@@ -400,9 +405,17 @@ def hash_embedding_topk(spark, sf):
     return search.semantic_top(docs, search.embed([QUESTION])[0], 10).select("point_id", F.round("semantic", 9).alias("semantic"))
 
 
-@query("SELECT * FROM (VALUES ('jinaai/jina-embeddings-v2-base-code', 768), ('BAAI/bge-base-en-v1.5', 768), ('BAAI/bge-small-en-v1.5', 384), ('sentence-transformers/all-MiniLM-L6-v2', 384), ('nomic-ai/nomic-embed-text-v1.5', 768)) t(model, vector_size)")
+@query(
+    """WITH m AS (SELECT * FROM (VALUES (0, 'jinaai/jina-embeddings-v2-base-code', 768), (1, 'BAAI/bge-base-en-v1.5', 768), (2, 'BAAI/bge-small-en-v1.5', 384), (3, 'sentence-transformers/all-MiniLM-L6-v2', 384), (4, 'nomic-ai/nomic-embed-text-v1.5', 768), (5, 'unknown', NULL)) t(n, model, vector_size))
+SELECT e.vec_id, m.model, m.vector_size, len(e.embedding) AS held, coalesce(m.vector_size = len(e.embedding), FALSE) AS fits FROM embeddings e JOIN m ON e.vec_id % 6 = m.n"""
+)
 def embedding_info(spark, sf):
-    return model_info(spark)
+    """The size that the model named beside each vector gives, and whether the vector has it."""
+    known = model_info(spark)
+    names = [r["model"] for r in known.select("model").collect()]
+    model = F.element_at(F.array(*[F.lit(x) for x in (*names, "unknown")]), (F.col("vec_id") % (len(names) + 1) + 1).cast("int"))
+    rows = table(spark, sf, "embeddings").select("vec_id", model.alias("model"), F.size("embedding").cast("long").alias("held")).join(F.broadcast(known), "model", "left")
+    return rows.select("vec_id", "model", "vector_size", "held", F.coalesce(F.col("vector_size") == F.col("held"), F.lit(False)).alias("fits"))
 
 
 # Statistics and relabelling
@@ -609,20 +622,28 @@ def values_sql(rows: list[tuple], columns: list[str], casts: dict[str, str] | No
     return f"SELECT {names} FROM (VALUES " + ", ".join("(" + ", ".join(map(_quoted, r)) + ")" for r in rows) + f") t({', '.join(columns)})"
 
 
-def fixture_chunks(spark: SparkSession) -> DataFrame:
-    ship(spark)
-    files = spark.createDataFrame(SOURCES, "case string, file_path string, language string, content string")
-    return scanners.extract_chunks(files)
+def fixture_files(spark: SparkSession, sf: str, cases: list[str]) -> DataFrame:
+    """Each document stands for one of the sources of these cases, in a folder of its own."""
+    texts = F.array(*[F.struct(*[F.lit(x).alias(n) for n, x in zip(("case_name", "path", "language", "content"), s, strict=True)]) for s in SOURCES if s[0] in cases])
+    docs = table(spark, sf, "documents").select("doc_id", F.element_at(texts, (F.col("doc_id") % len(cases) + 1).cast("int")).alias("s"))
+    return docs.select("doc_id", "s.case_name", F.concat(F.lit("src"), F.col("doc_id").cast("string"), F.lit("/"), F.col("s.path")).alias("file_path"), "s.language", "s.content")
 
 
-_CHUNK_COLUMNS = ["case", "chunk_no", "start_line", "end_line", "chunk_type", "name", "context"]
+_CHUNK_COLUMNS = ["chunk_no", "start_line", "end_line", "chunk_type", "name", "context"]
 
 
 def _chunk_query(name: str, starts: tuple[str, ...]) -> None:
-    rows = [c for c in CHUNKS if c[0].startswith(starts)]
-    sql = values_sql(rows, ["case_name", *_CHUNK_COLUMNS[1:]], {"context": "VARCHAR", "name": "VARCHAR"})
-    pick = lambda spark, sf: fixture_chunks(spark).where(F.col("case").rlike("^(?:" + "|".join(starts) + ")")).select(F.col("case").alias("case_name"), *_CHUNK_COLUMNS[1:])
-    query(sql, name)(pick)
+    """A query over the documents, each with one of the sources; what their chunks are is told by CHUNKS."""
+    cases = [s[0] for s in SOURCES if s[0].startswith(starts)]
+    told = values_sql([c for c in CHUNKS if c[0] in cases], ["case_name", *_CHUNK_COLUMNS], {"context": "VARCHAR", "name": "VARCHAR"})
+    numbers = values_sql(list(enumerate(cases)), ["k", "case_name"])
+    sql = f"WITH told AS ({told}), numbers AS ({numbers}) SELECT d.doc_id, t.* FROM documents d JOIN numbers n ON d.doc_id % {len(cases)} = n.k JOIN told t ON t.case_name = n.case_name"
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return scanners.extract_chunks(fixture_files(spark, sf, cases)).select("doc_id", "case_name", *_CHUNK_COLUMNS)
+
+    query(sql, name)(run)
 
 
 _chunk_query("chunk_python", ("py_",))
@@ -785,32 +806,63 @@ PARSED = [
 ]
 
 
-@query(values_sql(PARSED, ["n", "is_pattern", "title", "description", "category", "quality_score", "use_cases"]))
+def as_json(c: Column) -> Column:
+    """A text as a string of JSON, in its quotes."""
+    told = F.to_json(F.struct(c.alias("x")))
+    return F.substring(told, 6, F.length(told) - 6)
+
+
+@query(
+    f"""WITH told AS ({values_sql(PARSED, ["n", "is_pattern", "title", "description", "category", "quality_score", "use_cases"])})
+SELECT d.doc_id, t.n, t.is_pattern, CASE WHEN t.n = 0 THEN concat('T', d.doc_id) ELSE t.title END AS title, CASE WHEN t.n = 0 THEN md5(d.text) WHEN t.description <> '' THEN md5(t.description) ELSE t.description END AS description,
+  t.category, t.quality_score, t.use_cases FROM documents d JOIN told t ON d.doc_id % {len(PARSED)} = t.n"""
+)
 def llm_json_parse(spark, sf):
-    rows = spark.createDataFrame(REPLIES, "n int, reply string").withColumn("a", replies.analysis_of(F.col("reply")))
-    return rows.select("n", "a.is_pattern", "a.title", "a.description", "a.category", "a.quality_score", F.array_join("a.use_cases", ",").alias("use_cases"))
+    """A reply for each document, of sixteen kinds; one of them holds the document's text as JSON."""
+    docs = table(spark, sf, "documents").select("doc_id", F.col("text"), (F.col("doc_id") % len(REPLIES)).cast("int").alias("n"))
+    reply = F.element_at(F.array(*[F.lit(r) for _, r in REPLIES]), F.col("n") + 1)
+    own = F.replace(F.replace(reply, F.lit('"T"'), F.concat(F.lit('"T'), F.col("doc_id").cast("string"), F.lit('"'))), F.lit('"D"'), as_json(F.col("text")))
+    rows = docs.select("doc_id", "n", replies.analysis_of(own).alias("a"))
+    told = F.col("a.description")
+    return rows.select("doc_id", "n", "a.is_pattern", "a.title", F.when(told != "", F.md5(told)).otherwise(told).alias("description"), "a.category", "a.quality_score", F.array_join("a.use_cases", ",").alias("use_cases"))
 
 
-STRUCTURES = [(0, '{"directories": ["src", "a"], "files": {"b.txt": "B", "a.txt": ""}}'), (1, "{}"), (2, "nope"), (3, '{"directories": ["x"]}'), (4, f'{FENCE}\n{{"files": {{"k": "v"}}}}\n{FENCE}')]
+STRUCTURES = [(0, '{"directories": ["src", "a"], "files": {"b.txt": "B", "a.txt": ""}}'), (1, "{}"), (2, "nope"), (3, '{"directories": ["x"]}'), (4, f'{FENCE}\n{{"files": {{"k": "B"}}}}\n{FENCE}')]
 
 
-@query(values_sql([(0, "a,src", "a.txt,b.txt"), (1, None, None), (2, None, None), (3, "x", ""), (4, "", "k")], ["n", "directories", "files"]))
+@query(
+    f"""WITH told AS ({values_sql([(0, "a,src", "a.txt,b.txt"), (1, None, None), (2, None, None), (3, "x", ""), (4, "", "k")], ["n", "directories", "files"])})
+SELECT d.doc_id, CASE WHEN t.n = 0 THEN concat('a,src', d.doc_id) ELSE t.directories END AS directories, t.files, CASE WHEN t.n IN (0, 4) THEN md5(d.text) END AS digest FROM documents d JOIN told t ON d.doc_id % 5 = t.n"""
+)
 def structure_json_parse(spark, sf):
-    rows = spark.createDataFrame(STRUCTURES, "n int, reply string").withColumn("s", replies.structure_of(F.col("reply")))
-    return rows.select("n", F.array_join(F.array_sort("s.directories"), ",").alias("directories"), F.array_join(F.array_sort(F.map_keys("s.files")), ",").alias("files"))
+    """A project reply for each document, of five kinds; a file of it holds the document's text."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    reply = F.element_at(F.array(*[F.lit(r) for _, r in STRUCTURES]), (F.col("doc_id") % len(STRUCTURES) + 1).cast("int"))
+    own = F.replace(F.replace(reply, F.lit('"src"'), F.concat(F.lit('"src'), F.col("doc_id").cast("string"), F.lit('"'))), F.lit('"B"'), as_json(F.col("text")))
+    rows = docs.select("doc_id", replies.structure_of(own).alias("s"))
+    held = F.coalesce(F.element_at("s.files", "b.txt"), F.element_at("s.files", "k"))
+    return rows.select("doc_id", F.array_join(F.array_sort("s.directories"), ",").alias("directories"), F.array_join(F.array_sort(F.map_keys("s.files")), ",").alias("files"), F.md5(held).alias("digest"))
 
 
+_STACKS = [("api", "Python, FastAPI"), ("web-app", "node"), ("cli", "Java,Spark"), ("library", "rust")]
 _LISTING = [
-    ("api", "directory", 0, "docs"), ("api", "directory", 1, "src"), ("api", "directory", 2, "tests"), ("api", "file", 0, "README.md"), ("api", "file", 1, "requirements.txt"), ("api", "file", 2, "setup.py"), ("api", "file", 3, "src/__init__.py"),
-    ("api", "file", 4, "src/main.py"), ("api", "file", 5, "tests/__init__.py"), ("api", "file", 6, "tests/test_main.py"), ("web", "directory", 0, "src"), ("web", "directory", 1, "tests"), ("web", "file", 0, "README.md"),
-    ("web", "file", 1, "package.json"), ("web", "file", 2, "src/index.js"),
+    (0, "directory", "docs"), (0, "directory", "src"), (0, "directory", "tests"), (0, "file", "README.md"), (0, "file", "requirements.txt"), (0, "file", "setup.py"), (0, "file", "src/__init__.py"),
+    (0, "file", "src/main.py"), (0, "file", "tests/__init__.py"), (0, "file", "tests/test_main.py"), (1, "directory", "src"), (1, "directory", "tests"), (1, "file", "README.md"), (1, "file", "package.json"), (1, "file", "src/index.js"),
+    (2, "directory", "src/main/java"), (2, "directory", "src/main/java/com/@"), (2, "directory", "src/main/resources"), (2, "directory", "src/test/java"), (2, "file", "README.md"), (2, "file", "pom.xml"), (2, "file", "src/main/java/com/@/Application.java"),
+    (3, "directory", "docs"), (3, "directory", "src"), (3, "directory", "tests"), (3, "file", "README.md"),
 ]
 
 
-@query(values_sql(_LISTING, ["name", "kind", "position", "path"]))
+@query(
+    f"""WITH told AS ({values_sql(_LISTING, ["n", "kind", "path"])}), every AS (SELECT concat('proj-', d.doc_id) AS name, t.kind, replace(t.path, '@', concat('proj', d.doc_id)) AS path FROM documents d JOIN told t ON d.doc_id % {len(_STACKS)} = t.n)
+SELECT name, kind, CAST(row_number() OVER (PARTITION BY name, kind ORDER BY path) - 1 AS INTEGER) AS position, path FROM every"""
+)
 def scaffold_listing(spark, sf):
-    both = scaffold.scaffold(spark, "api", "api", "Python, FastAPI").unionByName(scaffold.scaffold(spark, "web", "web-app", "node"))
-    return scaffold.listing(both)
+    """A project for each document, of four stacks."""
+    ship(spark)
+    pick = F.element_at(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(s).alias("stack")) for k, s in _STACKS]), (F.col("doc_id") % len(_STACKS) + 1).cast("int"))
+    projects = table(spark, sf, "documents").select(F.concat(F.lit("proj-"), F.col("doc_id").cast("string")).alias("name"), pick.alias("p")).select("name", "p.kind", search.split_stack(F.col("p.stack")).alias("stack"))
+    return scaffold.listing(scaffold.scaffolds(projects))
 
 
 # Progress
@@ -916,14 +968,15 @@ def sync_stream_equals_batch(spark, sf):
     return only(streamed, batch, "only_stream").unionByName(only(batch, streamed, "only_batch")).unionByName(streamed.agg(F.count("*").alias("n")).select(F.lit("streamed").alias("what"), "n"))
 
 
-_TREE = {"a.py": b"x = 1\n", "src/B.PY": b"y = 2\n", "src/c.ts": "é\n".encode(), "node_modules/d.js": b"no", "lib/vendor/e.go": b"no", "bad.go": b"\xff\xfe", "empty.py": b"", "x.md": b"# x"}
+def document_tree(spark: SparkSession, sf: str) -> str:
+    """The documents as files of a tree, by their paths; each ninth is no UTF-8, each fourteenth is empty."""
+    n = F.col("ingest_seq")
+    data = F.when(n % 14 == 3, F.lit(b"")).when(n % 9 == 4, F.concat(F.unhex(F.lit("FF")), F.encode("content", "UTF-8"))).otherwise(F.encode("content", "UTF-8"))
+    return trees.write_tree(file_rows(spark, sf).select("path", data.alias("content")), fresh_path(spark, "tree"))
 
 
-def small_tree(spark: SparkSession) -> str:
-    home = fresh_path(spark, "tree")
-    for path, data in _TREE.items():
-        put_bytes(spark, f"{home}/{path}", data)
-    return home
+_TREE_SQL = f"""tree AS (SELECT path, CASE WHEN ingest_seq % 14 = 3 THEN '' ELSE content END AS text, ingest_seq % 14 <> 3 AND ingest_seq % 9 = 4 AS broken, {_EXT} AS ext FROM files)"""
+_IGNORED_RE = lambda names: "(^|/)(" + "|".join(re.escape(d) for d in names) + ")/"
 
 
 @query(
@@ -980,17 +1033,22 @@ def sync_skips_empty(spark, sf):
     return plan.found_in(plan.chunked(held)).select(F.md5("document").alias("digest"), F.col("source_path").alias("path"))
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'python', CAST(6 AS BIGINT), 6), ('src/c.ts', 'typescript', CAST(3 AS BIGINT), 2)) t(path, language, size, n_chars)")
+@query(f"WITH {FILES}, {_TREE_SQL} SELECT path, {_LANG} AS language, octet_length(encode(text)) AS size, length(text) AS n_chars FROM tree WHERE NOT broken AND text <> '' AND ext IN {_LIST(list(EXTENSIONS))} AND NOT regexp_matches(path, '{_IGNORED_RE(IGNORED_DIRS)}')")
 def discover_files(spark, sf):
-    """A small tree written here and read back: code files with language and length."""
-    return trees.code_files(trees.tree(spark, small_tree(spark))).select("path", "language", "size", F.length("content").alias("n_chars"))
+    """The documents written as a tree and read back: code files with language and length."""
+    ship(spark)
+    return trees.code_files(trees.tree(spark, document_tree(spark, sf))).select("path", "language", "size", F.length("content").cast("long").alias("n_chars"))
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'x = 1' || chr(10), TRUE), ('bad.go', NULL, FALSE), ('src/c.ts', 'é' || chr(10), TRUE)) t(source_path, document, readable)")
+@query(
+    f"""WITH {FILES}, {_TREE_SQL} SELECT path AS source_path, CASE WHEN NOT broken THEN md5(text) END AS digest, NOT broken AS readable FROM tree
+WHERE text <> '' AND regexp_matches(path, '({"|".join(re.escape(e) for e in EXTENSIONS)})$') AND NOT regexp_matches(path, '{_IGNORED_RE(LOCAL_IGNORED_DIRS)}')"""
+)
 def local_discovery(spark, sf):
-    """F3, S5, S6 over the same tree: endings rather than extensions, whole files as points."""
-    found = trees.discovered(trees.local_files(spark, small_tree(spark)))
-    return found.select("source_path", "document", F.col("document").isNotNull().alias("readable"))
+    """F3, S5, S6, U4 over the same tree: endings rather than extensions, whole files as points."""
+    ship(spark)
+    found = trees.discovered(trees.local_files(spark, document_tree(spark, sf)))
+    return found.select("source_path", F.md5("document").alias("digest"), F.col("document").isNotNull().alias("readable"))
 
 
 @query(f"WITH {FILES}, w AS (SELECT ingest_seq, repo, concat(path, CASE WHEN ingest_seq % 3 = 0 THEN '.gone' ELSE '' END) AS path FROM files) SELECT w.ingest_seq, md5(f.content) AS digest FROM w LEFT JOIN files f ON f.repo = w.repo AND f.path = w.path")
@@ -1018,9 +1076,15 @@ def cache_stats(spark, sf):
     return cache.stats(cache_rows(spark, sf), NOW)
 
 
-@query("SELECT * FROM (VALUES ('repos', CAST(300 AS DOUBLE)), ('repo', CAST(300 AS DOUBLE)), ('tree', CAST(600 AS DOUBLE)), ('content', CAST(3600 AS DOUBLE)), ('other', CAST(300 AS DOUBLE))) t(kind, ttl)")
+_KINDS = ["repos", "repo", "tree", "content", "other"]
+
+
+@query("SELECT event_id, ['repos', 'repo', 'tree', 'content', 'other'][CAST(event_id % 5 AS INTEGER) + 1] AS kind, CAST([300, 300, 600, 3600, 300][CAST(event_id % 5 AS INTEGER) + 1] AS DOUBLE) AS ttl, epoch_us(ts) // 1000000 + [300, 300, 600, 3600, 300][CAST(event_id % 5 AS INTEGER) + 1] AS expires_at FROM events")
 def cache_ttl_lookup(spark, sf):
-    return spark.createDataFrame([("repos",), ("repo",), ("tree",), ("content",), ("other",)], "kind string").withColumn("ttl", cache.ttl_of(F.col("kind")))
+    """When an entry of each event's kind ends."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in _KINDS]), (F.col("event_id") % 5 + 1).cast("int"))
+    rows = table(spark, sf, "events").select("event_id", kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts")).withColumn("ttl", cache.ttl_of(F.col("kind")))
+    return rows.select("event_id", "kind", "ttl", (F.unix_seconds("ts") + F.col("ttl").cast("long")).alias("expires_at"))
 
 
 @query(f"WITH {ENTRIES} SELECT key, access_seq FROM entries ORDER BY access_seq DESC, key LIMIT 1000")
@@ -1169,10 +1233,17 @@ def validate_store(spark, sf):
     return rows.select("ingest_seq", F.array_join(validate.store_errors(), ",").alias("errors"))
 
 
-_SEARCHES = [("ab", 10, 5, None, None), ("abc", 0, 5, "python", None), ("abc", 101, 11, "cobol", "testing"), ("how to", 100, 10, "GO", "nope"), ("fine", None, None, None, "Security")]
-
-
-@query(values_sql([("ab", "query"), ("abc", "limit"), ("abc", "limit,min_quality,language"), ("how to", "category"), ("fine", "")], ["query", "errors"]))
+@query(
+    f"""WITH q AS (SELECT doc_id, substr(text, 1, CAST(doc_id % 6 AS INTEGER)) AS query, CASE WHEN doc_id % 9 > 0 THEN doc_id % 120 END AS lim, CASE WHEN doc_id % 8 > 0 THEN doc_id % 13 END AS least,
+  CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'PYTHON' WHEN 2 THEN lang ELSE 'go' END AS language, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'Security' WHEN 2 THEN source ELSE 'testing' END AS category FROM documents)
+SELECT doc_id, concat_ws(',', CASE WHEN length(query) < 3 THEN 'query' END, CASE WHEN coalesce(lim, 10) NOT BETWEEN 1 AND 100 THEN 'limit' END, CASE WHEN coalesce(least, 5) NOT BETWEEN 1 AND 10 THEN 'min_quality' END,
+  CASE WHEN lower(language) NOT IN {_LIST(LANGUAGES)} THEN 'language' END, CASE WHEN lower(category) NOT IN {_LIST(CATEGORIES)} THEN 'category' END) AS errors FROM q"""
+)
 def validate_search(spark, sf):
-    rows = spark.createDataFrame(_SEARCHES, "query string, limit int, min_quality int, language string, category string")
-    return rows.select("query", F.array_join(validate.search_errors(), ",").alias("errors"))
+    """Searches that the documents stand for, some with no good query, limit, quality, language or category."""
+    n = F.col("doc_id")
+    rows = table(spark, sf, "documents").select(
+        n, F.substring("text", F.lit(1), (n % 6).cast("int")).alias("query"), F.when(n % 9 > 0, n % 120).cast("int").alias("limit"), F.when(n % 8 > 0, n % 13).cast("int").alias("min_quality"),
+        F.when(n % 5 == 1, "PYTHON").when(n % 5 == 2, F.col("lang")).when(n % 5 > 2, "go").alias("language"), F.when(n % 7 == 1, "Security").when(n % 7 == 2, F.col("source")).when(n % 7 > 2, "testing").alias("category"),
+    )
+    return rows.select("doc_id", F.array_join(validate.search_errors(), ",").alias("errors"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,6 +60,33 @@ def tree(spark: SparkSession, root: str, ignored: list[str] | None = None, endin
     return files.withColumn("error", F.when(F.col("content").isNull(), "not UTF-8"))
 
 
+def write_tree(files: DataFrame, root: str) -> str:
+    """Write rows (path relative to root, content binary) as files below root, each where its row is; returns root.
+
+    A file is written under another name first and then renamed, so one that is there is whole, also if its task runs
+    again. The folder must be one that Arrow's file systems reach. Paths that lead out of root are refused.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = fs.FileSystem.from_uri(root)
+        for batch in batches:
+            names = batch.column(0).to_pylist()
+            for path, data in zip(names, batch.column(1).to_pylist(), strict=True):
+                if path.startswith("/") or ".." in path.split("/"):
+                    raise ValueError(f"{path} leads out of the folder")
+                full = f"{base.rstrip('/')}/{path}"
+                folder, _, name = full.rpartition("/")
+                system.create_dir(folder, recursive=True)
+                held = f"{folder}/_{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(held, compression=None) as out:
+                    out.write(data or b"")
+                system.move(held, full)
+            yield pa.RecordBatch.from_arrays([pa.array([len(names)], pa.int64())], names=["n"])
+
+    files.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    return root
+
+
 def content_at(spark: SparkSession, root: str, path: str) -> str | None:
     """The text of one file below root; None if it is missing, no UTF-8 or cannot be read."""
     if path.startswith("/") or ".." in path.split("/"):

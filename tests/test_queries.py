@@ -32,8 +32,20 @@ def test_stream_equals_batch(spark, sf):
     assert told["only_stream"] == told["only_batch"] == 0 < told["streamed"]
 
 
-def test_discovered_files(spark, sf):
-    assert sorted((r["path"], r["language"], r["size"], r["n_chars"]) for r in queries.discover_files(spark, sf).collect()) == [("a.py", "python", 6, 6), ("src/c.ts", "typescript", 3, 2)]
+SMALL_TREE = {"a.py": b"x = 1\n", "src/B.PY": b"y = 2\n", "src/c.ts": "é\n".encode(), "node_modules/d.js": b"no", "lib/vendor/e.go": b"no", "bad.go": b"\xff\xfe", "empty.py": b"", "x.md": b"# x"}
+
+
+def test_discovered_files(spark, tmp_path):
+    from patternmill.sources import files
+
+    root = files.write_tree(spark.createDataFrame(list(SMALL_TREE.items()), "path string, content binary"), f"file://{tmp_path}/tree")
+    assert (tmp_path / "tree/bad.go").read_bytes() == b"\xff\xfe" and not [p for p in (tmp_path / "tree").rglob("_*") if p.is_file()]
+    found = files.code_files(files.tree(spark, root)).collect()
+    assert sorted((r["path"], r["language"], r["size"], len(r["content"])) for r in found) == [("a.py", "python", 6, 6), ("src/c.ts", "typescript", 3, 2)]
+    points = {r["source_path"]: r["document"] for r in files.discovered(files.local_files(spark, root)).collect()}
+    assert points == {"a.py": "x = 1\n", "bad.go": None, "src/c.ts": "é\n"}
+    with pytest.raises(Exception, match="leads out"):
+        files.write_tree(spark.createDataFrame([("../x", b"1")], "path string, content binary"), root)
 
 
 def packed(text, most=512, overlap=50):
