@@ -17,7 +17,7 @@ from patternmill.plans import sync as plan
 from patternmill.schema import CATEGORIES, EXTENSIONS, MODELS
 from patternmill.session import delete, exists, forget, ship, stored
 from patternmill.sources.files import code_files, discovered, local_files, tree
-from patternmill.sources.tables import BankTable
+from patternmill.sources.tables import BankTable, FileTable
 from patternmill.sources.vector_index import VectorIndex
 from patternmill.streaming import ingest
 
@@ -115,6 +115,39 @@ class PatternBank:
         found = code_files(tree(self.spark, root, self.config.ignored_dirs, list(EXTENSIONS)))
         return self.sync(found.select(F.lit(repo).alias("repo"), F.col("path").alias("file_path"), "language", "content", F.lit(_now()).cast("long").alias("ingest_seq")), min_quality)
 
+    def resync(self, files: DataFrame, repo: str, min_quality: int | None = None, chunker: Chunker | None = None) -> DataFrame:
+        """Make the bank hold what a repository's files are now: files (as for sync) are all of them; one row of counts.
+
+        Digests of the files of the last time tell which are new, changed or gone; only new and changed ones are chunked,
+        analyzed and embedded. Points of such files whose chunk is no longer there are deleted, in the same version that
+        adds the new ones. A file that fails keeps its points and is tried again the next time. Of rows with the same
+        path the last one counts. Digests are written after the bank: what ends in between is done again, to the same end.
+        """
+        own, digests = self.config.batch, FileTable(self.spark, f"{self._sync_home(repo)}-files")
+        digests.create()
+        held = bank_ops.latest(files.where(F.col("repo") == repo).select("file_path", "repo", "language", "content", "ingest_seq"), "file_path")
+        now = stored(held.withColumn("digest", F.md5(F.coalesce("content", F.lit("")))), "resync-files")
+        base = digests.versions()[-1]
+        before = digests.read(base)
+        state = plan.changes(now.select("file_path", "digest"), before)
+        told = stored(state, "resync-changes")
+        work = now.join(told.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi").select("repo", "file_path", "language", "content", "ingest_seq")
+        tried = stored(plan.tried(work, chunker, own.max_retries, own.retry_delay), "chunks")
+        failed = plan.failures(tried).select("file_path").distinct()
+        new = self._embedded(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, own.min_quality if min_quality is None else min_quality), "new-points")
+        done = told.where("change <> 'same'").join(failed, "file_path", "left_anti").select("file_path")
+        old = self.read().where(F.col("source_repo") == repo).join(done.withColumnRenamed("file_path", "source_path"), "source_path", "left_semi").select("point_id")
+        gone = stored(old.join(new.select("point_id"), "point_id", "left_anti").distinct(), "gone-points")
+        touched = new.select(self.table.bucket().alias("bucket")).unionByName(gone.select(self.table.bucket().alias("bucket")))
+        self.table.change(touched, lambda rows: bank_ops.upsert(rows.join(gone, "point_id", "left_anti"), new))
+        kept = now.join(failed, "file_path", "left_anti").select("file_path", "digest").unionByName(before.join(failed, "file_path", "left_semi"))
+        digests.replace(kept, base)
+        counts = told.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("same", "new", "changed", "gone")])
+        made = [d.agg(F.count("*").alias(n)) for d, n in ((failed, "failed"), (new.select("point_id").distinct(), "points"), (gone, "deleted"))]
+        out = stored(counts.crossJoin(made[0]).crossJoin(made[1]).crossJoin(made[2]), "resync-counts")
+        forget(now, told, tried, new, gone)
+        return out
+
     def _sync_home(self, repo: str) -> str:
         name = self.spark.range(1).select(cache.short_name(F.lit(repo)).alias("n")).first()["n"]
         return f"{self.table.path}/_sync/{name}"

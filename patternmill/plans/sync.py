@@ -46,6 +46,14 @@ def found_in(chunks: DataFrame, analyzer: Analyzer | None = mock_analysis, min_q
     return points(patterns(quality_gate(chunks.withColumn("analysis", analyzer()), min_quality)))
 
 
+def changes(now: DataFrame, before: DataFrame) -> DataFrame:
+    """(file_path, change) of all files (file_path, digest) now and before: same, new, changed or gone."""
+    old = before.select(F.col("file_path").alias("__path"), F.col("digest").alias("__digest"))
+    joined = now.select("file_path", "digest").join(old, F.col("file_path") == F.col("__path"), "full_outer")
+    change = F.when(F.col("__path").isNull(), "new").when(F.col("file_path").isNull(), "gone").when(F.col("digest") == F.col("__digest"), "same").otherwise("changed")
+    return joined.select(F.coalesce("file_path", "__path").alias("file_path"), change.alias("change"))
+
+
 def sync(files: DataFrame, bank: DataFrame, analyzer: Analyzer | None = mock_analysis, min_quality: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The new bank, the points written, and the chunks, as plans; PatternBank.sync writes each step once."""
     chunks = chunked(files)

@@ -1024,6 +1024,27 @@ def sync_stream_changed_files(spark, sf):
     return told.select("repo_name", "total_files", "processed_files", "stored_patterns", "percent", F.lit(own.table.count()).cast("long").alias("in_bank"))
 
 
+_EDITED = """e AS (
+  SELECT concat(CASE WHEN doc_id % 11 = 2 THEN 'moved/' ELSE 'doc/' END, doc_id, '.py') AS path, CASE WHEN doc_id % 5 = 0 THEN replace(content, 'return a', 'return b') ELSE content END AS content
+  FROM (SELECT doc_id, 'me/app' AS repo, content FROM s JOIN documents ON s.path = concat('doc/', doc_id, '.py')) WHERE doc_id % 7 <> 1)"""
+
+
+@query(f"WITH {_SYNC}, {_EDITED} SELECT path AS source_path, md5(concat('me/app', ':', path, ':', substr(md5(content), 1, 8))) AS point_id, md5(content) AS digest FROM e WHERE length(content) > 200")
+def sync_resync(spark, sf):
+    """Files are changed, renamed and deleted; the bank then holds what a new one would."""
+    from patternmill.config import BatchConfig, Config
+    from patternmill.plans.api import PatternBank
+
+    home, n = fresh_path(spark, "resync"), F.col("ingest_seq")
+    files = sync_files(spark, sf).withColumn("repo", F.lit("me/app"))
+    own = PatternBank(spark, f"{home}/bank", config=Config(batch=BatchConfig(max_retries=1, retry_delay=0.0)))
+    own.resync(files, "me/app")
+    path = F.when(n % 11 == 2, F.replace("file_path", F.lit("doc/"), F.lit("moved/"))).otherwise(F.col("file_path"))
+    edited = files.where(n % 7 != 1).withColumn("file_path", path).withColumn("content", F.when(n % 5 == 0, F.replace("content", F.lit("return a"), F.lit("return b"))).otherwise(F.col("content")))
+    own.resync(edited, "me/app")
+    return own.read().select("source_path", "point_id", F.md5("document").alias("digest"))
+
+
 @query(f"WITH {_SYNC} SELECT md5(content) AS digest, path FROM p WHERE CAST(regexp_extract(path, '(\\d+)', 1) AS BIGINT) % 3 = 1")
 def sync_skips_empty(spark, sf):
     """files without content, or with an empty one, give nothing."""

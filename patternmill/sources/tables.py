@@ -9,7 +9,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from patternmill.operators.bank import upsert
 from patternmill.schema import BANK, CACHE
@@ -229,3 +229,10 @@ class CacheTable(VersionedTable):
 
     def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         super().__init__(spark, path, CACHE, "key", buckets)
+
+
+class FileTable(VersionedTable):
+    """The digests of a repository's files, as they were taken over last."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        super().__init__(spark, path, StructType([StructField("file_path", StringType()), StructField("digest", StringType())]), "file_path", buckets)
