@@ -20,6 +20,7 @@ from patternmill.sources.files import code_files, discovered, local_files, tree
 from patternmill.sources.tables import BankTable, FileTable
 from patternmill.sources.vector_index import VectorIndex
 from patternmill.streaming import ingest
+from patternmill.streaming.progress import Progress, Watch
 
 
 def _now() -> int:
@@ -152,12 +153,13 @@ class PatternBank:
         name = self.spark.range(1).select(cache.short_name(F.lit(repo)).alias("n")).first()["n"]
         return f"{self.table.path}/_sync/{name}"
 
-    def sync_stream(self, source: str, repo: str, resume: bool = True, chunker: Chunker | None = None, min_quality: int | None = None, on_batch: Callable[[DataFrame], None] | None = None) -> DataFrame:
+    def sync_stream(self, source: str, repo: str, resume: bool = True, chunker: Chunker | None = None, min_quality: int | None = None, on_batch: Callable[[DataFrame], None] | None = None, on_progress: Callable[[Progress], None] | None = None) -> DataFrame:
         """Sync the files of a repository from Parquet files of file rows in small batches; returns the progress.
 
         A batch is batch_size new Parquet files. What is done stays done: a later call goes on where the last one ended,
         also after a failure, unless resume is false. A file that fails after all its attempts is a row of the progress
-        and stops nothing. on_batch gets the progress after each batch.
+        and stops nothing. on_batch gets the progress after each batch; on_progress is told of each batch, and of each 50
+        patterns more, what the writes themselves have counted.
         """
         own, home = self.config.batch, self._sync_home(repo)
         quality = own.min_quality if min_quality is None else min_quality
@@ -168,13 +170,17 @@ class PatternBank:
         started = meta["started_at"] if meta else time.time()
         self.spark.createDataFrame([(repo, total, started)], "repo string, total_files long, started_at double").coalesce(1).write.mode("overwrite").parquet(f"{home}/meta")
 
+        before = self.progress(repo).agg(F.sum("stored_patterns")).first()[0] or 0
+        watch = Watch(on_progress, before)
+
         def write(batch: DataFrame, number: int) -> None:
             files = batch.where(F.col("repo") == repo)
-            tried = stored(plan.tried(files, chunker, own.max_retries, own.retry_delay), "chunks")
-            new = self._embedded(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, quality), "new-points")
+            tried = stored(watch.observed(plan.tried(files, chunker, own.max_retries, own.retry_delay), "tried", chunks="chunk_no", failed="error"), "chunks")
+            new = self._embedded(watch.observed(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, quality), "new", stored="*"), "new-points")
             self.table.merge(new)
-            ingest.logged(files, tried, new, time.time()).write.mode("overwrite").parquet(f"{home}/files/batch={number}")
+            watch.observed(ingest.logged(files, tried, new, time.time()), "log", files="*").write.mode("overwrite").parquet(f"{home}/files/batch={number}")
             forget(tried, new)
+            watch.done(number)
             if on_batch:
                 on_batch(self.progress(repo))
             if own.delay > 0:

@@ -1024,6 +1024,24 @@ def sync_stream_changed_files(spark, sf):
     return told.select("repo_name", "total_files", "processed_files", "stored_patterns", "percent", F.lit(own.table.count()).cast("long").alias("in_bank"))
 
 
+@query(
+    f"""WITH {_SYNC}, k AS (SELECT count(*) FILTER (WHERE length(content) > 200) AS n FROM p), f AS (SELECT count(*) AS n FROM s)
+SELECT 'batches' AS what, f.n AS files, k.n AS stored, k.n // 50 AS steps FROM f, k"""
+)
+def sync_progress_events(spark, sf):
+    """What a stream's writes tell as they go: each batch, and each 50 patterns more."""
+    from patternmill.config import BatchConfig, Config
+    from patternmill.plans.api import PatternBank
+
+    home, told = fresh_path(spark, "stream"), []
+    sync_files(spark, sf).withColumn("repo", F.lit("me/app")).repartition(12).write.parquet(f"{home}/in")
+    own = PatternBank(spark, f"{home}/bank", config=Config(batch=BatchConfig(batch_size=4, max_retries=1, retry_delay=0.0)))
+    own.sync_stream(f"{home}/in", "me/app", on_progress=told.append)
+    rows = spark.createDataFrame([tuple(p) for p in told], "batch long, files long, chunks long, failed long, stored long, total_stored long, patterns long")
+    end = F.col("patterns").isNull()
+    return rows.agg(F.sum(F.when(end, F.col("files"))).alias("files"), F.sum(F.when(end, F.col("stored"))).alias("stored"), F.count("patterns").alias("steps")).select(F.lit("batches").alias("what"), "files", "stored", "steps")
+
+
 _EDITED = """e AS (
   SELECT concat(CASE WHEN doc_id % 11 = 2 THEN 'moved/' ELSE 'doc/' END, doc_id, '.py') AS path, CASE WHEN doc_id % 5 = 0 THEN replace(content, 'return a', 'return b') ELSE content END AS content
   FROM (SELECT doc_id, 'me/app' AS repo, content FROM s JOIN documents ON s.path = concat('doc/', doc_id, '.py')) WHERE doc_id % 7 <> 1)"""
