@@ -60,6 +60,14 @@ def tree(spark: SparkSession, root: str, ignored: list[str] | None = None, endin
     return files.withColumn("error", F.when(F.col("content").isNull(), "not UTF-8"))
 
 
+def place(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system for a folder, and the folder's path there; a local one may have any characters."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").strip("/")
+    system, path = fs.FileSystem.from_uri(uri)
+    return system, path.rstrip("/")
+
+
 def write_tree(files: DataFrame, root: str) -> str:
     """Write rows (path relative to root, content binary) as files below root, each where its row is; returns root.
 
@@ -68,13 +76,13 @@ def write_tree(files: DataFrame, root: str) -> str:
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, base = fs.FileSystem.from_uri(root)
+        system, base = place(root)
         for batch in batches:
             names = batch.column(0).to_pylist()
             for path, data in zip(names, batch.column(1).to_pylist(), strict=True):
                 if path.startswith("/") or ".." in path.split("/"):
                     raise ValueError(f"{path} leads out of the folder")
-                full = f"{base.rstrip('/')}/{path}"
+                full = f"{base}/{path}"
                 folder, _, name = full.rpartition("/")
                 system.create_dir(folder, recursive=True)
                 held = f"{folder}/_{name}.{uuid.uuid4().hex}"

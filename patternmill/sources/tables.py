@@ -4,16 +4,20 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
+from hashlib import sha256
 from typing import NamedTuple
 
+import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from patternmill.operators.bank import upsert
 from patternmill.schema import BANK, CACHE
-from patternmill.session import age_of, delete, exists, names_in, put_if_absent, read_bytes
+from patternmill.session import age_of, delete, exists, names_in, put_if_absent, qualified, read_bytes
+from patternmill.sources.files import place
 
 #: Every so many versions the log holds all folders of one; between, commits say what changes.
 CHECKPOINT = 10
@@ -213,10 +217,72 @@ class VersionedTable:
             gone += sum(delete(self.spark, f"{self.path}/{p}") for p in stale)
         return gone
 
+    def export(self, folder: str, number: int | None = None) -> int:
+        """Copy a version to another place, with the digest of each file in a manifest that is written last; the number of files.
+
+        The copies are made where Spark reads the files. Tables that keep files besides their folders have no export.
+        """
+        folder, state = folder.rstrip("/"), self._state(number)
+        if state.about:
+            raise ValueError("this kind of table cannot be exported")
+        if exists(self.spark, folder) and names_in(self.spark, folder):
+            raise FileExistsError(folder)
+        paths = {f"{self.path}/{f}": f"{b}" for b, f in state.folders.items()}
+        files = copied(self.spark, paths, folder) if paths else []
+        told = {"number": state.number, "stats": {str(b): x for b, x in state.stats.items()}, "files": sorted(files)}
+        if not put_if_absent(self.spark, f"{folder}/manifest.json", json.dumps(told).encode()):
+            raise FileExistsError(f"{folder}/manifest.json")
+        return len(files)
+
+    def import_from(self, folder: str) -> int:
+        """Make an exported version the newest one of this table. A file that is missing, more, or not as it was exported raises ValueError, and nothing changes."""
+        folder = folder.rstrip("/")
+        told = json.loads(read_bytes(self.spark, f"{folder}/manifest.json"))
+        buckets = sorted({b for b, *_ in told["files"]})
+        root = f"v-{uuid.uuid4().hex}"
+        try:
+            made = copied(self.spark, {f"{folder}/{b}": f"{root}/__bucket={b}" for b in buckets}, self.path) if buckets else []
+        except AnalysisException as e:
+            raise ValueError(f"the copy at {folder} is not whole") from e
+        made = sorted([b.rpartition("=")[2], *rest] for b, *rest in made)
+        if made != told["files"]:
+            delete(self.spark, f"{self.path}/{root}")
+            raise ValueError(f"the copy at {folder} is not what was exported")
+        new, number = {int(b): f"{root}/__bucket={b}" for b in buckets}, max(sum(self._logged(), []), default=-1)
+        while True:
+            number += 1
+            if self._commit(number, new, {int(b): x for b, x in told["stats"].items()}, [], True, {}):
+                return number
+
     def count(self) -> int:
         return self.read().count()
 
 
+def copied(spark: SparkSession, folders: dict[str, str], target: str) -> list[list]:
+    """Copy the files right below folders to those named below target: [folder, name, bytes, SHA-256] of each, reckoned from what was read."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = place(target)
+        for batch in batches:
+            rows = []
+            for k in range(batch.num_rows):
+                home, name, data = (batch.column(c)[k].as_py() for c in range(3))
+                system.create_dir(f"{base}/{home}", recursive=True)
+                held = f"{base}/{home}/_{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(held, compression=None) as out:
+                    out.write(data)
+                system.move(held, f"{base}/{home}/{name}")
+                rows.append({"home": home, "name": name, "n": len(data), "digest": sha256(data).hexdigest()})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([("home", pa.string()), ("name", pa.string()), ("n", pa.int64()), ("digest", pa.string())]))
+
+    own = {qualified(spark, source): to for source, to in folders.items()}
+    home = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+    # Spark spells a local path with one slash or three, so the folder is looked up as it is spelled here.
+    spelled = F.regexp_replace("path", "^file:/+", "file:///")
+    files = spark.read.format("binaryFile").load(list(own)).select(F.element_at(home, F.regexp_replace(spelled, "/[^/]*$", "")).alias("home"), F.substring_index("path", "/", -1).alias("name"), "content")
+    return [list(r) for r in files.where(~F.col("name").startswith("_") & ~F.col("name").startswith(".")).mapInArrow(run, "home string, name string, n long, digest string").collect()]
+
+
 class BankTable(VersionedTable):
     """A bank of patterns."""
 

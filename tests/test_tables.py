@@ -139,3 +139,36 @@ def test_writer_killed_halfway(spark, bank):
     assert held(bank) == {"a": "0"} and len(folders()) == 2
     bank.merge(rows(spark, ("b", "kept")))
     assert held(bank) == {"a": "0", "b": "kept"} and bank.vacuum(keep=9, older_than_s=-1) == 1 and len(folders()) == 2
+
+
+def test_snapshots(spark, bank, tmp_path):
+    """A version is copied elsewhere and back; a changed byte, a missing and an added file are refused."""
+    import pathlib
+
+    bank.replace(rows(spark, *[(f"k{n}", str(n)) for n in range(50)]))
+    bank.merge(rows(spark, ("k1", "new")))
+    there = f"file://{tmp_path}/copy"
+    assert bank.export(there, 1) >= 8
+    with pytest.raises(FileExistsError):
+        bank.export(there)
+    other = BankTable(spark, f"file://{tmp_path}/other bank", 8)
+    other.create()
+    other.merge(rows(spark, ("gone", "x")))
+    assert other.import_from(there) == 2 and held(other) == held(bank, 1) and held(bank)["k1"] == "new"
+    assert other.merge(rows(spark, ("k2", "later"))) == 3 and held(other)["k2"] == "later" and held(bank, 1)["k2"] == "2"
+    file = sorted(pathlib.Path(tmp_path / "copy").rglob("*.parquet"))[0]
+    data = file.read_bytes()
+    folders = session.names_in(spark, other.path)
+    for broken in (data[:-9] + bytes([data[-9] ^ 1]) + data[-8:], data[:-1], None):
+        file.unlink() if broken is None else file.write_bytes(broken)
+        with pytest.raises(ValueError):
+            other.import_from(there)
+    file.write_bytes(data)
+    (file.parent / "more.parquet").write_bytes(data)
+    with pytest.raises(ValueError):
+        other.import_from(there)
+    assert other.versions() == [0, 1, 2, 3] and session.names_in(spark, other.path) == folders
+    empty = BankTable(spark, f"file://{tmp_path}/empty", 8)
+    empty.create()
+    empty.export(f"file://{tmp_path}/nothing")
+    assert other.import_from(f"file://{tmp_path}/nothing") == 4 and held(other) == {}
