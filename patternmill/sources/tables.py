@@ -85,6 +85,9 @@ class VersionedTable:
             about |= told["about"]
         return State(last, {b: f for b, (f, _) in parts.items()}, {b: s for b, (_, s) in parts.items()}, about)
 
+    def _folders(self, number: int | None = None) -> dict[int, str]:
+        return self._state(number).folders
+
     def versions(self) -> list[int]:
         """The versions that can be read."""
         commits, points = self._logged()
