@@ -17,6 +17,7 @@ from patternmill.plans import sync as plan
 from patternmill.schema import CATEGORIES, EXTENSIONS, MODELS
 from patternmill.session import delete, exists, forget, ship, stored
 from patternmill.sources.files import code_files, discovered, local_files, tree
+from patternmill.sources.derived import ClusteredBank
 from patternmill.sources.tables import BankTable, FileTable
 from patternmill.sources.vector_index import VectorIndex
 from patternmill.streaming import ingest
@@ -35,6 +36,7 @@ class PatternBank:
         ship(spark)
         self.spark, self.table, self.config = spark, BankTable(spark, path), config
         self.index = VectorIndex(spark, f"{self.table.path}/_index")
+        self.clustered = ClusteredBank(spark, f"{self.table.path}/_clustered")
         self.analyzer = analyzer if config.batch.analyze else None
         self.embedder = embedder or HashEmbedder()
         self.table.create()
@@ -69,6 +71,10 @@ class PatternBank:
         """Index the vectors of all patterns; searches use the index from then on, and take over what has changed."""
         return self.index.build(self.table, cells)
 
+    def build_clusters(self) -> int:
+        """Lay the patterns out by language and category too; filtered searches without an index read that from then on."""
+        return self.clustered.build(self.table)
+
     def search(
         self, query: str, language: str | None = None, category: str | None = None, min_quality: int = 5, limit: int = 10, candidate_cap: int | None = -1, hybrid: bool | None = None, probes: int | None = None
     ) -> DataFrame:
@@ -85,6 +91,9 @@ class PatternBank:
             self.index.refresh(self.table)
             n = limit if not enabled else search.OVERFETCH * limit if cap is None else min(search.OVERFETCH * limit, cap)
             found = self.index.candidates(vector, n, probes, lambda rows: search.matching(rows, language, category, min_quality)).drop("cell", "closeness", "digest")
+        elif self.clustered.built():
+            self.clustered.refresh(self.table)
+            found = search.matching(self.clustered.candidates(language, category, min_quality), language, category, min_quality)
         else:
             found = search.matching(self.read(), language, category, min_quality)
         top = search.hybrid_top(found, query, vector, limit, cap, enabled, own.semantic_weight, own.keyword_weight)

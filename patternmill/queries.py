@@ -17,6 +17,7 @@ from patternmill.plans.cache_store import CacheStore
 from patternmill.schema import CATEGORIES, EXCLUDED_REPOS, EXTENSIONS, IGNORED_DIRS, LANGUAGES, LOCAL_IGNORED_DIRS
 from patternmill.session import fresh_path, ship, stored
 from patternmill.sources import files as trees
+from patternmill.sources.derived import ClusteredBank
 from patternmill.sources.tables import BankTable, CacheTable
 from patternmill.sources.vector_index import VectorIndex, recall
 from patternmill.streaming import ingest
@@ -329,6 +330,16 @@ def search_filter_lang_cat_quality(spark, sf):
     return search.matching(bank.document_bank(spark, sf), "EN", "security", 5).select("ingest_seq", "title")
 
 
+@query(f"WITH {BANK} SELECT ingest_seq, title FROM bank WHERE language = 'en' AND category = 'security' AND quality_score >= 5")
+def search_filter_clustered(spark, sf):
+    """The same from the layout by language and category, of which only the folders that may hold such rows are read."""
+    home = fresh_path(spark, "clustered")
+    own, clusters = BankTable(spark, f"{home}/bank"), ClusteredBank(spark, f"{home}/clustered")
+    own.replace(bank.document_bank(spark, sf))
+    clusters.build(own)
+    return search.matching(clusters.candidates("EN", "security", 5), "EN", "security", 5).select("ingest_seq", "title")
+
+
 @query(f"WITH {BANK} SELECT ingest_seq, quality_score FROM bank")
 def search_min_quality_1(spark, sf):
     return search.matching(bank.document_bank(spark, sf), min_quality=1).select("ingest_seq", "quality_score")

@@ -16,13 +16,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from patternmill.operators.search import semantic_top
 from patternmill.schema import BANK
 from patternmill.session import forget, put_bytes, read_bytes, ship, stored
+from patternmill.sources.derived import DerivedTable, marked, source_of
 from patternmill.sources.tables import VersionedTable
 
 #: Vectors that the centroids are learned from at most, rounds of k-means, and cells at most: this bounds what the driver holds.
@@ -67,23 +68,17 @@ def assigned(points: DataFrame, centroids: np.ndarray, vector: str = "embedding"
     return points.mapInArrow(run, schema)
 
 
-class VectorIndex(VersionedTable):
+class VectorIndex(DerivedTable):
     """An index beside a bank's table. It is built once, and takes over what has changed in the bank by refresh."""
 
     def __init__(self, spark: SparkSession, path: str):
-        super().__init__(spark, path, INDEX, "cell")
+        super().__init__(spark, path, INDEX)
         self._held: tuple[str, np.ndarray] | None = None
 
-    def bucket(self) -> Column:
-        return F.col("cell")
-
     def _stats(self, rows: DataFrame) -> dict[int, dict]:
         told = rows.groupBy("cell").agg(F.min("closeness").alias("reach"), F.count("*").alias("n"))
         return {r["cell"]: {"reach": r["reach"], "n": r["n"]} for r in told.collect()}
 
-    def built(self) -> bool:
-        return bool(self._logged()[0])
-
     def centroids(self) -> np.ndarray:
         """The centroids of the newest version, of unit length."""
         name = self._state().about["centroids"]
@@ -112,41 +107,25 @@ class VectorIndex(VersionedTable):
         forget(sample)
         return out / np.sqrt((out * out).sum(axis=1))[:, None]
 
-    def _rows(self, points: DataFrame, centroids: np.ndarray) -> DataFrame:
-        """Points as rows of the index; digest tells a row that has changed."""
+    def rows_of(self, points: DataFrame) -> DataFrame:
+        """Points as rows of the index, with their cell and closeness."""
+        return self._assigned(points, self.centroids())
+
+    def _assigned(self, points: DataFrame, centroids: np.ndarray) -> DataFrame:
         ship(self.spark)
-        told = points.select(*[f.name for f in BANK.fields]).withColumn("digest", F.xxhash64(*[f.name for f in BANK.fields]))
         if not len(centroids):
-            return told.withColumn("cell", F.lit(NO_CELL)).withColumn("closeness", F.lit(0.0))
-        return assigned(told, centroids).withColumn("cell", F.element_at("cells", 1)).drop("cells")
+            return points.withColumn("cell", F.lit(NO_CELL)).withColumn("closeness", F.lit(0.0))
+        return assigned(points, centroids).withColumn("cell", F.element_at("cells", 1)).drop("cells")
 
     def build(self, bank: VersionedTable, cells: int | None = None) -> int:
         """Learn centroids and index all points of the bank's newest version, as a new version of the index."""
-        folders = bank._state().folders
+        folders = bank._folders()
         points = bank._load(list(folders.values()))
         centroids = self.learn(points, cells)
         name, data = f"c-{uuid.uuid4().hex}.npy", io.BytesIO()
         np.save(data, centroids)
         put_bytes(self.spark, f"{self.path}/{name}", data.getvalue())
-        return self.replace(self._rows(points, centroids), about={"centroids": name, "source": {str(b): f for b, f in folders.items()}})
-
-    def refresh(self, bank: VersionedTable) -> int:
-        """Take over the points of the bank's buckets that have changed; cells without a changed point stay as they are. The number of the cells written."""
-        now, have = bank._state().folders, {int(b): f for b, f in self._state().about["source"].items()}
-        buckets = {b for b in now.keys() | have.keys() if now.get(b) != have.get(b)}
-        if not buckets:
-            return 0
-        new = stored(self._rows(bank._load([now[b] for b in sorted(buckets) if b in now]), self.centroids()), "index-rows")
-        old = self.read().where(bank.bucket().isin(sorted(buckets))).select("point_id", "digest", "cell")
-        gone = old.join(new, ["point_id", "digest"], "left_anti").select("point_id", "cell")
-        fresh = new.join(old, ["point_id", "digest"], "left_anti")
-        moved = stored(gone.unionByName(fresh.select("point_id", "cell")).distinct(), "index-changes")
-        added = stored(fresh, "index-new")
-        touched = {r["cell"] for r in moved.select("cell").distinct().collect()}
-        about = {"source": {str(b): f for b, f in now.items()}}
-        self.change_buckets(touched, lambda rows: rows.join(moved.select("point_id").distinct(), "point_id", "left_anti").unionByName(added), about=about)
-        forget(new, moved, added)
-        return len(touched)
+        return self.replace(self._assigned(marked(points), centroids), about={"centroids": name} | source_of(folders))
 
     def cells_for(self, vector: list[float], probes: int) -> list[int]:
         """The cells of the centroids nearest to a vector, the nearest first."""
