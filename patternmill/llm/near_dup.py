@@ -331,8 +331,8 @@ def kept_documents(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     kept = stored(first.unionByName(told.where("node IS NULL").select("__id")), "kept")
     forget(found)
     names = [F.col("__text").alias("text") if c == "text" else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
-    # Without a hint, so that the plan is the same at every size at which the ids are not small by Spark's own measure.
-    return held.join(kept, "__id", "left_semi").select(*names)
+    # Ids grow with the rows, so they are shuffled at every size; a hash table of a partition of them is small.
+    return held.join(kept.hint("shuffle_hash"), "__id", "left_semi").select(*names)
 
 
 #: The same in DuckDB's SQL.
