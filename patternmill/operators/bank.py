@@ -45,6 +45,22 @@ def latest(df: DataFrame, key: str = "point_id", order: str = "ingest_seq") -> D
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(order)).alias("__last")).select(key, "__last.*").select(*df.columns)
 
 
+#: Keys that are broadcast at most, so that whole rows need not be shuffled for them.
+FEW_KEYS = 100_000
+
+
+def last_rows(df: DataFrame, key: str = "point_id", order: str = "ingest_seq") -> DataFrame:
+    """latest for a written table: its keys are shuffled first, and of whole rows only those whose key is there more than once. df itself if none is."""
+    repeated = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(F.col(key).alias("__key"))
+    n = repeated.limit(FEW_KEYS + 1).count()
+    if n == 0:
+        return df
+    if n > FEW_KEYS:
+        return latest(df, key, order)
+    same = F.col(key).eqNullSafe(F.col("__key"))
+    return df.join(F.broadcast(repeated), same, "left_anti").unionByName(latest(df.join(F.broadcast(repeated), same, "left_semi"), key, order))
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, key: str = "point_id", order: str = "ingest_seq") -> DataFrame:
     """Rows of existing without a newer one, and the last incoming row of each key."""
     new = latest(incoming, key, order)

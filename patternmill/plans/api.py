@@ -44,9 +44,9 @@ class PatternBank:
     def read(self) -> DataFrame:
         return self.table.read()
 
-    def _embedded(self, new: DataFrame, name: str) -> DataFrame:
-        """The points with their vectors, written once."""
-        return stored(new.withColumn("embedding", self.embedder.column(F.col("document"))), name)
+    def _embedded(self, new: DataFrame, seen: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """The points with their vectors, written once, where the bank's next version has them."""
+        return self.table.staged(new.withColumn("embedding", self.embedder.column(F.col("document"))), seen)
 
     def store(self, rows: DataFrame, dedup: bool = False) -> DataFrame:
         """Add patterns (content, title, description, category, language, quality_score, ...); returns the rows that were refused.
@@ -62,9 +62,9 @@ class PatternBank:
             F.lit(_now() << 20).cast("long").alias("ingest_seq"),
         )
         new = bank_ops.latest(plan.points(new)) if dedup else new.withColumn("point_id", F.replace(F.uuid(), F.lit("-"), F.lit("")))
-        new = self._embedded(new, "new-points")
+        new = self._embedded(new)
         self.table.merge(new)
-        forget(new)
+        self.table.unstage(new)
         return bad
 
     def build_index(self, cells: int | None = None) -> int:
@@ -114,10 +114,11 @@ class PatternBank:
         own = self.config.batch
         tried = stored(plan.tried(files, chunker, own.max_retries, own.retry_delay), "chunks")
         chunks = tried.where("error IS NULL").drop("error")
-        new = self._embedded(plan.found_in(chunks, self.analyzer, own.min_quality if min_quality is None else min_quality), "new-points")
+        new = self._embedded(plan.found_in(chunks, self.analyzer, own.min_quality if min_quality is None else min_quality))
         self.table.merge(new)
         told = stored(plan.summary(files, chunks, new, plan.failures(tried)), "summary")
-        forget(tried, new)
+        forget(tried)
+        self.table.unstage(new)
         return told
 
     def sync_folder(self, root: str, repo: str, min_quality: int | None = None) -> DataFrame:
@@ -135,27 +136,29 @@ class PatternBank:
         """
         own, digests = self.config.batch, FileTable(self.spark, f"{self._sync_home(repo)}-files")
         digests.create()
-        held = bank_ops.latest(files.where(F.col("repo") == repo).select("file_path", "repo", "language", "content", "ingest_seq"), "file_path")
-        now = stored(held.withColumn("digest", F.md5(F.coalesce("content", F.lit("")))), "resync-files")
+        held = files.where(F.col("repo") == repo).select("file_path", "repo", "language", "content", "ingest_seq")
+        written = stored(held.withColumn("digest", F.md5(F.coalesce("content", F.lit("")))), "resync-files")
+        now = bank_ops.last_rows(written, "file_path")
         base = digests.versions()[-1]
         before = digests.read(base)
         state = plan.changes(now.select("file_path", "digest"), before)
         told = stored(state, "resync-changes")
-        work = now.join(told.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi").select("repo", "file_path", "language", "content", "ingest_seq")
+        counts = told.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("same", "new", "changed", "gone")])
+        work = now.where("file_path IS NOT NULL") if told.where("change = 'same'").isEmpty() else now.join(told.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
+        work = work.select("repo", "file_path", "language", "content", "ingest_seq")
         tried = stored(plan.tried(work, chunker, own.max_retries, own.retry_delay), "chunks")
         failed = plan.failures(tried).select("file_path").distinct()
-        new = self._embedded(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, own.min_quality if min_quality is None else min_quality), "new-points")
+        new = self._embedded(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, own.min_quality if min_quality is None else min_quality))
         done = told.where("change <> 'same'").join(failed, "file_path", "left_anti").select("file_path")
         old = self.read().where(F.col("source_repo") == repo).join(done.withColumnRenamed("file_path", "source_path"), "source_path", "left_semi").select("point_id")
         gone = stored(old.join(new.select("point_id"), "point_id", "left_anti").distinct(), "gone-points")
-        touched = new.select(self.table.bucket().alias("bucket")).unionByName(gone.select(self.table.bucket().alias("bucket")))
-        self.table.change(touched, lambda rows: bank_ops.upsert(rows.join(gone, "point_id", "left_anti"), new))
+        self.table.merge(new, gone=gone)
         kept = now.join(failed, "file_path", "left_anti").select("file_path", "digest").unionByName(before.join(failed, "file_path", "left_semi"))
         digests.replace(kept, base)
-        counts = told.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("same", "new", "changed", "gone")])
         made = [d.agg(F.count("*").alias(n)) for d, n in ((failed, "failed"), (new.select("point_id").distinct(), "points"), (gone, "deleted"))]
         out = stored(counts.crossJoin(made[0]).crossJoin(made[1]).crossJoin(made[2]), "resync-counts")
-        forget(now, told, tried, new, gone)
+        forget(written, told, tried, gone)
+        self.table.unstage(new)
         return out
 
     def _sync_home(self, repo: str) -> str:
@@ -185,10 +188,11 @@ class PatternBank:
         def write(batch: DataFrame, number: int) -> None:
             files = batch.where(F.col("repo") == repo)
             tried = stored(watch.observed(plan.tried(files, chunker, own.max_retries, own.retry_delay), "tried", chunks="chunk_no", failed="error"), "chunks")
-            new = self._embedded(watch.observed(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, quality), "new", stored="*"), "new-points")
+            new = self._embedded(plan.found_in(tried.where("error IS NULL").drop("error"), self.analyzer, quality), lambda df: watch.observed(df, "new", stored="*"))
             self.table.merge(new)
             watch.observed(ingest.logged(files, tried, new, time.time()), "log", files="*").write.mode("overwrite").parquet(f"{home}/files/batch={number}")
-            forget(tried, new)
+            forget(tried)
+            self.table.unstage(new)
             watch.done(number)
             if on_batch:
                 on_batch(self.progress(repo))

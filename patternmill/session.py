@@ -66,7 +66,7 @@ def fresh_path(spark: SparkSession, name: str, kept: bool = False) -> str:
 
 
 @contextmanager
-def _writing(spark: SparkSession) -> Iterator[None]:
+def writing(spark: SparkSession) -> Iterator[None]:
     before = {k: spark.conf.get(k, None) for k in WRITING}
     for k, v in WRITING.items():
         spark.conf.set(k, v)
@@ -86,7 +86,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def written(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet to the path and read it back."""
     spark = df.sparkSession
-    with _writing(spark):
+    with writing(spark):
         df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._patternmill_path = path

@@ -14,13 +14,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from patternmill.operators.bank import upsert
+from patternmill.operators.bank import last_rows, upsert  # noqa: F401
 from patternmill.schema import BANK, CACHE
-from patternmill.session import age_of, delete, exists, names_in, put_if_absent, qualified, read_bytes
+from patternmill.session import age_of, delete, exists, forget, names_in, put_if_absent, qualified, read_bytes, stored, writing
 from patternmill.sources.files import place
 
 #: Every so many versions the log holds all folders of one; between, commits say what changes.
 CHECKPOINT = 10
+#: Folders of a bucket at most; a merge that finds so many writes the bucket anew, as one.
+MOST_FOLDERS = 8
 
 
 class Conflict(RuntimeError):
@@ -28,7 +30,7 @@ class Conflict(RuntimeError):
 
 
 class State(NamedTuple):
-    """A version: its folders and what is known of their rows, by bucket, and what the table says about itself."""
+    """A version: its folders (of a bucket one, or several by commas) and what is known of their rows, by bucket, and what the table says about itself."""
 
     number: int
     folders: dict[int, str]
@@ -39,7 +41,8 @@ class State(NamedTuple):
 class VersionedTable:
     """A table on disk in buckets by its key. No folder is changed once written, so readers and a failed write do no harm.
 
-    A version is a folder for each bucket; a write that touches some buckets only makes new folders for those. It becomes
+    A version is one folder or some for each bucket; a write that touches some buckets only makes new folders for those,
+    and one that adds rows leaves the folders of the others beside its own, up to MOST_FOLDERS in a bucket. It becomes
     a version by its commit, a file by its number that is made only where there is none, so of two writers one comes
     first. The other one joins its folders to that version if they lie in other buckets, else does its work again on it.
     A version is read from the last checkpoint and the commits after it, CHECKPOINT + 1 files at most.
@@ -122,7 +125,7 @@ class VersionedTable:
     def _load(self, folders: list[str]) -> DataFrame:
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{f}" for f in folders))
+        return self.spark.read.schema(self.schema).parquet(*(f"{self.path}/{part}" for f in folders for part in f.split(",")))
 
     def read(self, number: int | None = None) -> DataFrame:
         return self._load(list(self._state(number).folders.values()))
@@ -138,12 +141,15 @@ class VersionedTable:
     def bucket(self) -> Column:
         return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
 
-    def _write(self, df: DataFrame) -> tuple[dict[int, str], dict[int, dict]]:
+    def _write(self, df: DataFrame, seen: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[dict[int, str], dict[int, dict]]:
         """Write rows in the columns of the table, those missing as null; the new folders by bucket, and their stats."""
         kept = df.select(*[(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema.fields], self.bucket().alias("__bucket"))
         folder = f"v-{uuid.uuid4().hex}"
-        kept.hint("rebalance", "__bucket").write.partitionBy("__bucket").parquet(f"{self.path}/{folder}")
+        with writing(self.spark):
+            seen(kept.hint("rebalance", "__bucket")).write.option("compression", "zstd").partitionBy("__bucket").parquet(f"{self.path}/{folder}")
         made = names_in(self.spark, f"{self.path}/{folder}", folders_only=True)
+        if not made:
+            delete(self.spark, f"{self.path}/{folder}")
         new = {int(name.partition("=")[2]): f"{folder}/{name}" for name in made}
         return new, self._stats(self._load(list(new.values()))) if new else {}
 
@@ -185,9 +191,67 @@ class VersionedTable:
         for root in {f.partition("/")[0] for f in folders.values()}:
             delete(self.spark, f"{self.path}/{root}")
 
-    def merge(self, rows: DataFrame, order: str = "ingest_seq") -> int:
-        """Upsert; rows should be a written table, as they are read twice."""
-        return self.change(rows.select(self.bucket().alias("bucket")), lambda old: upsert(old, rows, self.key, order))
+    def staged(self, rows: DataFrame, seen: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+        """Write rows where merge leaves them, and read them back; until then no version has them. seen may observe what is written."""
+        new, _ = self._write(rows, seen)
+        out = self._load(list(new.values()))
+        out._patternmill_folders, out._patternmill_unused = new, False
+        return out
+
+    def unstage(self, rows: DataFrame) -> None:
+        """Delete what staged wrote and no merge took over; rows cannot be read then."""
+        if rows._patternmill_unused:
+            self._drop(rows._patternmill_folders)
+
+    def merge(self, rows: DataFrame, order: str = "ingest_seq", gone: DataFrame | None = None, attempts: int = 10) -> int:
+        """Upsert; rows are those of staged, else they are written first. gone: a written table of further keys, whose rows go.
+
+        New rows are written once. Only keys are compared; a bucket that holds a row to be replaced or to go is written
+        anew, the others keep their folders beside the new ones.
+        """
+        own = not hasattr(rows, "_patternmill_folders")
+        rows = self.staged(rows) if own else rows
+        new, last = rows._patternmill_folders, last_rows(rows, self.key, order)
+        if last is not rows:
+            new, _ = self._write(last)
+            rows._patternmill_unused = True
+        if own:
+            self.unstage(rows)
+        at, keys = set(new), self._load(list(new.values())).select(self.key)
+        if gone is not None:
+            keys = keys.unionByName(gone.select(self.key))
+            at |= {r["bucket"] for r in gone.select(self.bucket().alias("bucket")).distinct().collect()}
+        for _ in range(attempts):
+            number, folders, _, _ = self._state()
+            full = {b for b in new if folders.get(b, "").count(",") + 1 >= MOST_FOLDERS}
+            kept, anew = self._without([folders[b] for b in sorted(at) if b in folders], keys, full)
+            whole = {b: [kept.get(b) if b in anew else folders.get(b), new.get(b)] for b in at}
+            add = {b: ",".join(f for f in both if f) for b, both in whole.items() if b in new or b in kept}
+            drop = [b for b in anew if b not in add]
+            while True:
+                number += 1
+                if self._commit(number, add, {}, drop, False, {}):
+                    return number
+                other = self._get(number, "commit")
+                if other["whole"] or at & ({int(b) for b in other["add"]} | set(other["drop"])):
+                    break
+            self._drop(kept)
+        self._drop(new)
+        raise Conflict(f"others wrote to the same buckets of {self.path}, {attempts} times")
+
+    def _without(self, held: list[str], keys: DataFrame, full: set[int]) -> tuple[dict[int, str], set[int]]:
+        """Write the rows of those buckets anew that hold any of the keys, without these, and of full ones; the new folders, and the buckets."""
+        if not held:
+            return {}, set()
+        old = self._load(held)
+        stale = stored(old.select(self.key).join(keys, self.key, "left_semi"), "stale-keys")
+        anew = {r["bucket"] for r in stale.select(self.bucket().alias("bucket")).distinct().collect()} | full
+        kept = {}
+        if anew:
+            rest = self._load([f for f in held if int(f.rpartition("=")[2]) in anew])
+            kept, _ = self._write(rest.join(stale, self.key, "left_anti"))
+        forget(stale)
+        return kept, anew
 
     def restore(self, number: int, attempts: int = 100) -> int:
         """An earlier version becomes the newest one, without a copy."""
@@ -208,7 +272,7 @@ class VersionedTable:
             self._checkpoint(kept[0])
         for n, kind in [(c, "commit") for c in commits if c < kept[0]] + [(p, "checkpoint") for p in points if p < kept[0]]:
             delete(self.spark, self._file(n, kind))
-        used = {f for n in kept for f in self._state(n).folders.values()}
+        used = {part for n in kept for f in self._state(n).folders.values() for part in f.split(",")}
         gone = 0
         for root in names_in(self.spark, self.path, folders_only=True):
             if not root.startswith("v-") or age_of(self.spark, f"{self.path}/{root}") < older_than_s:
@@ -230,7 +294,7 @@ class VersionedTable:
             raise ValueError("this kind of table cannot be exported")
         if exists(self.spark, folder) and names_in(self.spark, folder):
             raise FileExistsError(folder)
-        paths = {f"{self.path}/{f}": f"{b}" for b, f in state.folders.items()}
+        paths = {f"{self.path}/{part}": f"{b}" for b, f in state.folders.items() for part in f.split(",")}
         files = copied(self.spark, paths, folder) if paths else []
         told = {"number": state.number, "stats": {str(b): x for b, x in state.stats.items()}, "files": sorted(files)}
         if not put_if_absent(self.spark, f"{folder}/manifest.json", json.dumps(told).encode()):

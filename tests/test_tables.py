@@ -172,3 +172,30 @@ def test_snapshots(spark, bank, tmp_path):
     empty.create()
     empty.export(f"file://{tmp_path}/nothing")
     assert other.import_from(f"file://{tmp_path}/nothing") == 4 and held(other) == {}
+
+
+def test_merge_adds_beside_what_is_there(spark, bank):
+    """Buckets without a replaced row keep their folders, so a merge writes its own rows; many folders of a bucket become one."""
+    bank.replace(rows(spark, *[(f"k{n}", str(n)) for n in range(40)]))
+    first = bank._folders()
+    bank.merge(rows(spark, *[(f"m{n}", "new") for n in range(40)], ("m3", "last"), ("k7", "again")))
+    now, seven = bank._folders(), bank.bucket_of("k7")
+    assert all(now[b].startswith(f"{first[b]},") for b in first if b != seven) and first[seven] not in now[seven]
+    assert bank.count() == 80 and held(bank)["m3"] == "last" and held(bank)["k7"] == "again"
+    gone = session.stored(bank.read().where("point_id = 'k8'").select("point_id"), "gone")
+    bank.merge(rows(spark, ("z", "z")), gone=gone)
+    assert bank.count() == 80 and "k8" not in held(bank)
+    for n in range(2 * tables.MOST_FOLDERS):
+        bank.merge(rows(spark, *[(f"r{n}-{k}", "x") for k in range(40)]))
+    assert max(f.count(",") + 1 for f in bank._folders().values()) <= tables.MOST_FOLDERS and bank.count() == 80 + 80 * tables.MOST_FOLDERS
+    assert bank.vacuum(older_than_s=-1) > 0 and bank.count() == len(held(bank)) == 80 + 80 * tables.MOST_FOLDERS
+
+
+def test_last_rows_is_latest(spark):
+    """Rows whose key is there once are not shuffled; the last of the others counts, also for a null key."""
+    from patternmill.operators import bank as bank_ops
+
+    once = session.stored(rows(spark, ("a", "1"), ("b", "2")), "once")
+    assert bank_ops.last_rows(once) is once
+    twice = rows(spark, ("a", "1"), (None, "2"), ("b", "3"), ("a", "4"), (None, "5"))
+    assert sorted((r["point_id"] or "", r["document"]) for r in bank_ops.last_rows(twice).collect()) == [("", "5"), ("a", "4"), ("b", "3")]
