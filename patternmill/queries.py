@@ -1026,11 +1026,12 @@ def sync_stream_changed_files(spark, sf):
 
     home = fresh_path(spark, "stream")
     files = sync_files(spark, sf).withColumn("repo", F.lit("me/app"))
-    files.repartition(4).write.parquet(f"{home}/in")
+    # A Parquet file for each part of the table: they grow in number, not in size.
+    files.write.parquet(f"{home}/in")
     own = PatternBank(spark, f"{home}/bank", config=Config(batch=BatchConfig(batch_size=10, max_retries=1, retry_delay=0.0)))
     own.sync_stream(f"{home}/in", "me/app")
     again = files.where("ingest_seq % 7 = 0").withColumn("content", F.replace("content", F.lit("return a"), F.lit("return b"))).withColumn("ingest_seq", F.col("ingest_seq") + 10**6)
-    again.coalesce(1).write.mode("append").parquet(f"{home}/in")
+    again.write.mode("append").parquet(f"{home}/in")
     told = own.sync_stream(f"{home}/in", "me/app")
     return told.select("repo_name", "total_files", "processed_files", "stored_patterns", "percent", F.lit(own.table.count()).cast("long").alias("in_bank"))
 
