@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -1045,13 +1046,15 @@ def sync_progress_events(spark, sf):
     from patternmill.config import BatchConfig, Config
     from patternmill.plans.api import PatternBank
 
-    home, told = fresh_path(spark, "stream"), []
+    home, told = fresh_path(spark, "stream"), Counter()
+
+    def tell(p):
+        told.update({"steps": 1} if p.patterns is not None else {"files": p.files, "stored": p.stored})
+
     sync_files(spark, sf).withColumn("repo", F.lit("me/app")).repartition(12).write.parquet(f"{home}/in")
     own = PatternBank(spark, f"{home}/bank", config=Config(batch=BatchConfig(batch_size=4, max_retries=1, retry_delay=0.0)))
-    own.sync_stream(f"{home}/in", "me/app", on_progress=told.append)
-    rows = spark.createDataFrame([tuple(p) for p in told], "batch long, files long, chunks long, failed long, stored long, total_stored long, patterns long")
-    end = F.col("patterns").isNull()
-    return rows.agg(F.sum(F.when(end, F.col("files"))).alias("files"), F.sum(F.when(end, F.col("stored"))).alias("stored"), F.count("patterns").alias("steps")).select(F.lit("batches").alias("what"), "files", "stored", "steps")
+    own.sync_stream(f"{home}/in", "me/app", on_progress=tell)
+    return spark.createDataFrame([("batches", told["files"], told["stored"], told["steps"])], "what string, files long, stored long, steps long")
 
 
 _EDITED = """e AS (

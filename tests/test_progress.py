@@ -84,3 +84,14 @@ def test_a_bank_outside_the_repository_folder(tmp_path):
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "DONE 1 1" in out.stdout, out.stderr[-2000:]
+
+
+def test_a_batch_leaves_what_earlier_ones_wrote(spark, tmp_path):
+    """The folders that the first of two batches made are in the bank after the second one too, so rows are written once."""
+    bank, held = PatternBank(spark, f"file://{tmp_path}/bank", config=Config(batch=BatchConfig(batch_size=1))), []
+    for part in (0, 1):
+        rows = [("r", f"{n}.py", "python", f"def work{n}():\n" + "".join(f"    a{k} = '{'x' * 60}'\n" for k in range(6)), n) for n in range(100 * part, 100 * part + 100)]
+        spark.createDataFrame(rows, FILES).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        bank.sync_stream(f"file://{tmp_path}/in", "r")
+        held.append(bank.table._folders())
+    assert bank.table.count() == 200 and all(f in held[1][b].split(",") for b, f in held[0].items())
