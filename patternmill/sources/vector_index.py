@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -32,6 +33,8 @@ SAMPLE, ROUNDS, MOST_CELLS = 50_000, 10, 4096
 NO_CELL = -1
 #: Points and queries that a task compares at once in a search for many queries, about.
 PART_POINTS, PART_QUERIES = 50_000, 2_000
+#: Similarities that it holds at once.
+HELD = 4_000_000
 #: Similarities are compared to so many places, as sums in another order differ beyond.
 PLACES = 12
 
@@ -41,7 +44,10 @@ INDEX = StructType([*BANK.fields, StructField("cell", IntegerType()), StructFiel
 def _matrix(column: pa.Array, dims: int) -> tuple[np.ndarray, np.ndarray]:
     """The vectors of a list column, of unit length, and which rows have one; the others are zeros."""
     out = np.zeros((len(column), dims))
-    for k, v in enumerate(column.to_pylist()):
+    whole = column.null_count == 0 and (flat := column.flatten()).null_count == 0 and pc.all(pc.equal(pc.list_value_length(column), dims)).as_py()
+    if whole:
+        out[:] = flat.to_numpy(zero_copy_only=False).reshape(len(column), dims)
+    for k, v in enumerate([] if whole else column.to_pylist()):
         if v is not None and len(v) == dims and None not in v:
             out[k] = v
     norms = np.sqrt((out * out).sum(axis=1))
@@ -100,7 +106,7 @@ class VectorIndex(DerivedTable):
         sample = stored(usable.where(share).select(array_to_vector("embedding").alias("features")).limit(SAMPLE), "index-sample")
         k = max(1, min(cells or round(n**0.5), MOST_CELLS, sample.count()))
         if k > 1:
-            found = KMeans(k=k, seed=seed, maxIter=ROUNDS, distanceMeasure="cosine").fit(sample)
+            found = KMeans(k=k, seed=seed, maxIter=ROUNDS, distanceMeasure="cosine").fit(sample.repartition(self.spark.sparkContext.defaultParallelism))
             out = np.array(found.clusterCenters())
         else:
             out = np.array([sample.first()["features"].toArray()])
@@ -175,41 +181,64 @@ class VectorIndex(DerivedTable):
     def search_many(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
         """(query_id, rank, point_id, semantic) for queries (query_id, embedding), each against the probes nearest cells, or all.
 
-        Points and queries of a cell meet in blocks of bounded size, so neither a large cell nor one that many queries
-        ask for is one task's; a block gives its best k for each query, and their best k are the answer. Points and
-        queries without a usable vector give nothing.
+        Cells are put together to blocks of about PART_POINTS points, and larger cells are cut, so neither a large cell
+        nor one that many queries ask for is one task's, and a query goes to a block once, with those of its cells that it
+        is to probe. A block gives its best k for each query, and their best k are the answer. Points and queries without
+        a usable vector give nothing.
         """
         ship(self.spark)
         state, centroids = self._state(), self.centroids()
         dims = centroids.shape[1]
         sizes = {c: s["n"] for c, s in state.stats.items() if c != NO_CELL}
-        told = assigned(queries.select("query_id", "embedding"), centroids, probes=len(centroids) if probes is None else probes).where(F.element_at("cells", 1) != NO_CELL)
-        asked = stored(told.select("query_id", "embedding", F.explode("cells").alias("cell")).where(F.col("cell").isin(list(sizes) or [NO_CELL])), "index-queries")
-        load = {r["cell"]: -(-r["n"] // PART_QUERIES) for r in asked.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-        number = lambda of: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for p in of.items() for x in p]), F.col("cell")), F.lit(1)) if of else F.lit(1)
-        parts, groups = number({c: -(-n // PART_POINTS) for c, n in sizes.items()}), number(load)
+        block, held = {}, []
+        for c, n in sorted(sizes.items()):
+            if not held or held[-1] + n > PART_POINTS:
+                held.append(0)
+            block[c], held[-1] = len(held) - 1, held[-1] + n
+        every = probes is None or probes >= len(centroids)
+        told = assigned(queries.select("query_id", "embedding"), centroids, probes=1 if every else probes).where(F.element_at("cells", 1) != NO_CELL)
+        numbers = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
+        home = lambda c: F.get(numbers(block.get(k) for k in range(len(centroids))), c)
+        blocks = numbers(range(len(held))) if every else F.array_distinct(F.filter(F.transform("cells", home), lambda x: x.isNotNull()))
+        met = told.select("query_id", "embedding", "cells", F.explode(blocks).alias("blk"))
+        own = F.lit(None).cast("array<int>") if every else F.filter("cells", lambda c: home(c) == F.col("blk"))
+        asked = stored(met.select("query_id", "embedding", "blk", own.alias("cells")), "index-queries")
+        load = {r["blk"]: -(-r["n"] // PART_QUERIES) for r in asked.groupBy("blk").agg(F.count("*").alias("n")).collect()}
+        parts, groups = (F.get(numbers(xs), F.col("blk")) for xs in ([-(-n // PART_POINTS) for n in held] or [1], [load.get(b, 1) for b in range(len(held))] or [1]))
         upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        points = self.read_buckets(sorted(load)).select("point_id", "embedding", "cell", F.pmod(F.xxhash64("point_id"), parts).cast("int").alias("part"), upto(groups).alias("grp"))
-        wanted = asked.select("query_id", "embedding", "cell", upto(parts).alias("part"), F.pmod(F.xxhash64("query_id"), groups).cast("int").alias("grp"))
+        placed = self.read_buckets([c for c, b in block.items() if b in load]).select("point_id", "embedding", "cell", home(F.col("cell")).alias("blk"))
+        points = placed.select("*", F.pmod(F.xxhash64("point_id"), parts).cast("int").alias("part"), upto(groups).alias("grp"))
+        wanted = asked.select("query_id", "embedding", "cells", "blk", upto(parts).alias("part"), F.pmod(F.xxhash64("query_id"), groups).cast("int").alias("grp"))
         kind = queries.schema["query_id"].dataType.simpleString()
 
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
+            left = left.sort_by("point_id").combine_chunks()
             x, good = _matrix(left.column("embedding").combine_chunks(), dims)
-            q, asked_for = _matrix(right.column("embedding").combine_chunks(), dims)
-            near = np.round(q @ x.T, PLACES)
-            ids = np.array(left.column("point_id").to_pylist(), object)
-            at: list[int] = []
-            rows: list[tuple[str, float]] = []
-            for j in range(len(q)):
-                row = np.where(good, near[j], -np.inf)
-                low = np.partition(row, -k)[-k] if len(row) > k else -np.inf
-                some = np.flatnonzero((row >= low) & good)
-                for i in sorted(some, key=lambda i: (-row[i], ids[i]))[:k]:
-                    at.append(j)
-                    rows.append((ids[i], float(row[i])))
-            return pa.table({"query_id": right.column("query_id").take(pa.array(at, pa.int64())), "point_id": pa.array([r[0] for r in rows], pa.string()), "semantic": pa.array([r[1] for r in rows], pa.float64())})
-
-        keys = ["cell", "part", "grp"]
+            q, _ = _matrix(right.column("embedding").combine_chunks(), dims)
+            kinds, cell = np.unique(left.column("cell").to_numpy(), return_inverse=True)
+            probed = right.column("cells").to_pylist()
+            at, points_at, semantic = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            step = max(1, HELD // max(1, len(x)))
+            for start in range(0, len(q) if len(x) else 0, step):
+                near = q[start : start + step] @ x.T
+                near[:, ~good] = -np.inf
+                for j, cells in enumerate(probed[start : start + step]):
+                    if cells is not None:
+                        near[j, ~np.isin(kinds, cells)[cell]] = -np.inf
+                low = np.partition(near, -k, axis=1)[:, -k] if len(x) > k else np.full(len(near), -np.inf)
+                # Points are in the order of their ids, so equal similarities come in it.
+                row, col = np.nonzero((near >= low[:, None] - 2 * 10.0**-PLACES) & np.isfinite(near))
+                value = np.round(near[row, col], PLACES)
+                order = np.lexsort((col, -value, row))
+                row, col, value = row[order], col[order], value[order]
+                best = np.arange(len(row)) - np.searchsorted(row, row) < k
+                at.append(row[best] + start)
+                points_at.append(col[best])
+                semantic.append(value[best])
+            take = lambda t, name, xs: t.column(name).take(pa.array(np.concatenate(xs)))
+            return pa.table({"query_id": take(right, "query_id", at), "point_id": take(left, "point_id", points_at), "semantic": pa.array(np.concatenate(semantic))})
+
+        keys = ["blk", "part", "grp"]
         met = points.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInArrow(run, f"query_id {kind}, point_id string, semantic double")
         ranked = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("semantic"), "point_id")))
         return ranked.where(F.col("rank") <= k).select("query_id", "rank", "point_id", "semantic")

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from patternmill.operators import search
+from patternmill.session import stored
 from patternmill.sources.tables import BankTable
 from patternmill.sources.vector_index import NO_CELL, VectorIndex, recall
 
@@ -153,3 +154,15 @@ def test_search_through_the_bank(spark, tmp_path):
     assert ask() == plain and len(ask(probes=1)) <= 10
     b.store(spark.createDataFrame([(" retry the request handler retry the request handler", "Retry request handler", "retry the request handler", "utilities", "python")], schema))
     assert len(ask()) == 10 and ask()[0] not in plain
+
+
+def test_a_query_goes_to_a_block_once(spark, bank, index, monkeypatch):
+    """Small cells are one block, so as many rows are sent as there are queries, not as many for each cell; with probes too."""
+    from patternmill.sources import vector_index
+
+    sent = []
+    monkeypatch.setattr(vector_index, "stored", lambda df, name: sent.append(stored(df, name)) or sent[-1])
+    asked = bank.read().where("ingest_seq % 20 = 0").select(F.col("ingest_seq").alias("query_id"), "embedding")
+    found = index.search_many(asked, 3), index.search_many(asked, 3, 4)
+    assert len(index.centroids()) > 4 and [s.count() for s in sent] == [asked.count()] * 2
+    assert recall(*found).first()["queries"] == recall(*reversed(found)).first()["queries"] == asked.count()
